@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terravox.llm import id_store, packing
+from terravox.llm import decontaminate, id_store, packing, simhash
 from terravox.llm.common import read
 
 
@@ -14,6 +14,14 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.report(decontaminate.hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+
+
+def op5_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_duplicates(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op8_best_fit_packing(spark, sf_dir):
     packed = packing.best_fit(read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
     return packed.withColumnRenamed("id", "doc_id")
@@ -25,7 +33,7 @@ def op10_token_id_output(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_best_fit_packing, op10_token_id_output)}
+    return {f.__name__: f for f in (op3_benchmark_decontamination, op5_simhash_near_dedup, op8_best_fit_packing, op10_token_id_output)}
 
 
 def oracle_sql() -> dict[str, str]:
