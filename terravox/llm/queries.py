@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terravox.llm import decontaminate, id_store, packing, simhash
+from terravox.llm import automata_dedup, decontaminate, id_store, packing, simhash, suffix_merge
 from terravox.llm.common import read
 
 
@@ -22,18 +22,28 @@ def op5_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op7_substring_dedup(spark, sf_dir):
+    out = automata_dedup.passage_dedup(read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
+
+
 def op8_best_fit_packing(spark, sf_dir):
     packed = packing.best_fit(read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def op9_suffix_array_dedup(spark, sf_dir):
+    out = suffix_merge.substring_dedup(read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_token_id_output(spark, sf_dir):
     path = id_store.write_store(read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
     return id_store.read_store(spark, path).withColumnRenamed("id", "doc_id")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_benchmark_decontamination, op5_simhash_near_dedup, op8_best_fit_packing, op10_token_id_output)}
+    return {f.__name__: f for f in (op3_benchmark_decontamination, op5_simhash_near_dedup, op7_substring_dedup, op8_best_fit_packing, op9_suffix_array_dedup, op10_token_id_output)}
 
 
 def oracle_sql() -> dict[str, str]:
