@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terravox.llm import automata_dedup, decontaminate, id_store, packing, simhash, suffix_merge
+from terravox.llm import automata_dedup, decontaminate, id_store, packing, simhash, suffix_merge, vector_links
 from terravox.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op3_benchmark_decontamination(spark, sf_dir):
     return decontaminate.report(decontaminate.hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
+def op4_embedding_near_dedup(spark, sf_dir):
+    return vector_links.near_vectors(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op5_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -43,7 +47,7 @@ def op10_token_id_output(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_benchmark_decontamination, op5_simhash_near_dedup, op7_substring_dedup, op8_best_fit_packing, op9_suffix_array_dedup, op10_token_id_output)}
+    return {f.__name__: f for f in (op3_benchmark_decontamination, op4_embedding_near_dedup, op5_simhash_near_dedup, op7_substring_dedup, op8_best_fit_packing, op9_suffix_array_dedup, op10_token_id_output)}
 
 
 def oracle_sql() -> dict[str, str]:
