@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terravox.llm import automata_dedup, decontaminate, id_store, packing, simhash, suffix_merge, vector_links
+from terravox.llm import automata_dedup, decontaminate, id_store, language, packing, quality, simhash, suffix_merge, vector_links
 from terravox.llm.common import read
 
 
@@ -14,6 +14,26 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _crc(column):
+    """crc32 of an id written as text."""
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def op1_quality_classifier(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    voters = quality.fit(docs, labels.filter(_crc("doc_id") % 4 != 2))
+    out = quality.scores(docs, voters)
+    held = F.coalesce(_crc("id") % 4 == 2, F.lit(False))
+    return out.select(F.col("id").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op2_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(_crc("doc_id") % 5 != 0))
+    held = F.coalesce(_crc("id") % 5 == 0, F.lit(False))
+    return language.predict(docs, model).select(F.col("id").alias("doc_id"), held.alias("held_out"), "lang_pred", "score")
+
+
 def op3_benchmark_decontamination(spark, sf_dir):
     return decontaminate.report(decontaminate.hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
@@ -47,7 +67,7 @@ def op10_token_id_output(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_benchmark_decontamination, op4_embedding_near_dedup, op5_simhash_near_dedup, op7_substring_dedup, op8_best_fit_packing, op9_suffix_array_dedup, op10_token_id_output)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_benchmark_decontamination, op4_embedding_near_dedup, op5_simhash_near_dedup, op7_substring_dedup, op8_best_fit_packing, op9_suffix_array_dedup, op10_token_id_output)}
 
 
 def oracle_sql() -> dict[str, str]:
