@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terravox.llm import automata_dedup, decontaminate, id_store, language, packing, quality, simhash, suffix_merge, vector_links
+from terravox.llm import automata_dedup, decontaminate, html_text, id_store, language, packing, quality, simhash, suffix_merge, vector_links
 from terravox.llm.common import read
 
 
@@ -46,6 +46,10 @@ def op5_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_html_extraction(spark, sf_dir):
+    return html_text.main_text(read(spark, sf_dir, "pages"))
+
+
 def op7_substring_dedup(spark, sf_dir):
     out = automata_dedup.passage_dedup(read(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
@@ -67,7 +71,7 @@ def op10_token_id_output(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_benchmark_decontamination, op4_embedding_near_dedup, op5_simhash_near_dedup, op7_substring_dedup, op8_best_fit_packing, op9_suffix_array_dedup, op10_token_id_output)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_benchmark_decontamination, op4_embedding_near_dedup, op5_simhash_near_dedup, op6_html_extraction, op7_substring_dedup, op8_best_fit_packing, op9_suffix_array_dedup, op10_token_id_output)}
 
 
 def oracle_sql() -> dict[str, str]:
