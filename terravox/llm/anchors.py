@@ -57,9 +57,10 @@ def unzip(data: bytes, kind=None):
 
 @dataclass
 class Block:
-    """ids of the documents (LAST_ID for null) and their whole texts as UTF-8."""
+    """ids of the documents (LAST_ID for null), hashes of their texts, and the whole texts as UTF-8."""
 
     ids: np.ndarray
+    rows: np.ndarray
     texts: list[bytes]
     words: bool
 
@@ -156,9 +157,9 @@ def _from_six(data: bytes) -> np.ndarray:
 
 
 def unpacked(batch, words: bool) -> Iterator[tuple[int, Block]]:
-    for number, ids, lengths, body in zip(*(batch.column(c).to_pylist() for c in ("block", "ids", "lengths", "body"))):
+    for number, ids, rows, lengths, body in zip(*(batch.column(c).to_pylist() for c in ("block", "ids", "rows", "lengths", "body"))):
         raw, ends = unzip(body), np.cumsum(np.frombuffer(lengths, "<i8")).tolist()
-        yield number, Block(np.frombuffer(ids, "<i8"), [raw[a:b] for a, b in zip([0, *ends], ends)], words)
+        yield number, Block(np.frombuffer(ids, "<i8"), np.frombuffer(rows, "<i8"), [raw[a:b] for a, b in zip([0, *ends], ends)], words)
 
 
 class Exchange:
@@ -168,7 +169,8 @@ class Exchange:
         self.spark, self.words = docs.sparkSession, words
         self.table = f"blocks_{uuid.uuid4().hex}"
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        packed = texts(docs, id_col, text_col).select(F.coalesce("id", F.lit(LAST_ID)).alias("id"), "text").mapInArrow(_pack, "block long, ids binary, lengths binary, body binary")
+        packed = texts(docs, id_col, text_col).select(F.coalesce("id", F.lit(LAST_ID)).alias("id"), F.xxhash64("text").alias("row"), "text")
+        packed = packed.mapInArrow(_pack, "block long, ids binary, rows binary, lengths binary, body binary")
         packed.write.bucketBy(parts, "block").option("compression", "none").option("path", shared_dir(self.spark, "blocks")).format("parquet").saveAsTable(self.table)
         self.blocks = self.spark.table(self.table)
         self.buckets = max(64, self.blocks.count() // 4)
@@ -178,12 +180,9 @@ class Exchange:
         by_block = found.groupBy("block").agg(F.collect_list(F.struct("bucket", "status")).alias("status"))
         self.known = self.blocks.join(by_block, "block", "left")
 
-    def _send_fields(self):
-        return self.words, self.buckets
-
     @property
     def _send(self):
-        words, buckets = self._send_fields()
+        words, buckets = self.words, self.buckets
 
         def run(batches):
             for batch in batches:
@@ -203,11 +202,8 @@ class Exchange:
 
         return run
 
-    def statuses(self, block: Block, status) -> tuple[Segments, np.ndarray]:
-        return statuses(block, status, self.buckets)
-
     def drop(self) -> None:
-        """Forgets the table's name; its files go with the shared folder."""
+        """Forgets the table's name; its files stay in the shared folder, for frames that read them."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
@@ -216,24 +212,26 @@ def _pack(batches):
 
     base, count = TaskContext.get().partitionId() << 32, 0
     ids: list[int] = []
+    rows: list[int] = []
     bodies: list[bytes] = []
     size = 0
 
-    def row():
+    def packed():
         lengths = np.fromiter(map(len, bodies), "<i8", len(bodies)).tobytes()
-        cols = ([base + count], pa.int64()), ([np.array(ids, "<i8").tobytes()], pa.binary()), ([lengths], pa.binary()), ([zip_(b"".join(bodies))], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in cols], names=["block", "ids", "lengths", "body"])
+        cols = ([base + count], pa.int64()), ([np.array(ids, "<i8").tobytes()], pa.binary()), ([np.array(rows, "<i8").tobytes()], pa.binary()), ([lengths], pa.binary()), ([zip_(b"".join(bodies))], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in cols], names=["block", "ids", "rows", "lengths", "body"])
 
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for key, row, text in zip(*(c.to_pylist() for c in batch.columns)):
             ids.append(key)
+            rows.append(row)
             bodies.append(text.encode("utf-8", "surrogatepass"))
             size += len(bodies[-1]) + 64
             if size >= BLOCK_BYTES:
-                yield row()
-                ids, bodies, size, count = [], [], 0, count + 1
+                yield packed()
+                ids, rows, bodies, size, count = [], [], [], 0, count + 1
     if ids:
-        yield row()
+        yield packed()
 
 
 def _decide(table: pa.Table) -> pa.Table:

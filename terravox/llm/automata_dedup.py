@@ -87,6 +87,6 @@ def repeated(exchange: Exchange) -> DataFrame:
 def passage_dedup(docs: DataFrame, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Takes every word out that lies in a ``WINDOW``-word passage which also starts in a document of a smaller id."""
     exchange = Exchange(docs, words=True, id_col=id_col, text_col=text_col)
-    out = written(removed(exchange, repeated(exchange), keep_text), "removed")
+    out = removed(exchange, repeated(exchange), keep_text)
     exchange.drop()
     return out

@@ -220,4 +220,4 @@ def read_store(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFr
 
     rows = shards(spark, path).select("shard", "width", "first")
     kind = "id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * keep_ids
-    return rows.repartition("shard").mapInArrow(open_shards, kind)
+    return rows.repartition(max(1, rows.count()), "shard").mapInArrow(open_shards, kind)

@@ -8,7 +8,7 @@ from terravox.llm import automata_dedup, decontaminate, html_text, id_store, lan
 from terravox.llm.common import read
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -43,7 +43,8 @@ def op4_embedding_near_dedup(spark, sf_dir):
 
 
 def op5_simhash_near_dedup(spark, sf_dir):
-    return simhash.near_duplicates(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
 
 
 def op6_html_extraction(spark, sf_dir):
@@ -56,7 +57,7 @@ def op7_substring_dedup(spark, sf_dir):
 
 
 def op8_best_fit_packing(spark, sf_dir):
-    packed = packing.best_fit(read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    packed = packing.best_fit(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
     return packed.withColumnRenamed("id", "doc_id")
 
 
@@ -66,7 +67,7 @@ def op9_suffix_array_dedup(spark, sf_dir):
 
 
 def op10_token_id_output(spark, sf_dir):
-    path = id_store.write_store(read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    path = id_store.write_store(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
     return id_store.read_store(spark, path).withColumnRenamed("id", "doc_id")
 
 

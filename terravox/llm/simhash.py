@@ -50,14 +50,15 @@ def fingerprint(words: list[bytes], shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
+    """(id, row, fp): row is a hash of the text, fp the fingerprint as a signed long."""
 
     def run(batches):
         for batch in batches:
-            fp = [fingerprint(lower_words(t), shingle) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["id", "fp"])
+            fp = [fingerprint(lower_words(t), shingle) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["id", "row", "fp"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "id long, fp long")
+    rows = texts(docs, id_col, text_col).select("id", F.xxhash64("text").alias("row"), "text")
+    return rows.mapInArrow(run, "id long, row long, fp long")
 
 
 def _cut(spans: list[tuple[int, int]], n: int) -> list[list[tuple[int, int]]]:
@@ -164,13 +165,26 @@ def links(classes: DataFrame, bits: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint, component_id) per row; component_id is the smallest id reachable by links."""
+    """(id, row, fingerprint, component_id, kept) per row.
+
+    component_id is the smallest id reachable by links; row is a hash of the text, and kept marks the row of the
+    smallest id and hash in its component (all copies of it, if the very row is repeated).
+    """
     prints = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    classes = written(prints.groupBy("fp").agg(F.min(F.coalesce("id", F.lit(LAST_ID))).alias("least")), "classes")
+    me = F.struct(F.coalesce("id", F.lit(LAST_ID)).alias("id"), "row")
+    classes = written(prints.groupBy("fp").agg(F.min(me).alias("least")), "classes")
     joined = components(links(classes, bits))
     least = classes.join(joined.withColumnRenamed("node", "fp"), "fp").groupBy("component").agg(F.min("least").alias("least"))
     linked = joined.join(least, "component").select(F.col("node").alias("fp"), F.col("least").alias("linked"))
     label = classes.join(linked, "fp", "left").select("fp", F.coalesce("linked", "least").alias("least"))
     out = prints.join(label, "fp")
-    component = F.when(F.col("least") == LAST_ID, F.lit(None)).otherwise(F.col("least"))
-    return out.select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component.alias("component_id"))
+    component = F.when(F.col("least.id") != LAST_ID, F.col("least.id"))
+    return out.select("id", "row", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component.alias("component_id"), (me == F.col("least")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, shingle: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, of which one per component stays."""
+    found = near_duplicates(docs, shingle, bits, id_col, text_col).filter("kept")
+    keep = found.select(F.coalesce("id", F.lit(LAST_ID)).alias("_id"), F.col("row").alias("_row")).distinct()
+    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), "_row": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    return keyed.join(keep, ["_id", "_row"]).dropDuplicates(["_id", "_row"]).select(*docs.columns)

@@ -181,11 +181,11 @@ def repeated(exchange: Exchange) -> DataFrame:
     return written(runs.groupBy("bucket").applyInArrow(_combine, "block long, rows binary, starts binary"), "repeats")
 
 
-RESULT = "id long, n_units long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "id long, row long, n_units long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def removed(exchange: Exchange, found: DataFrame, keep_text: bool = False) -> DataFrame:
-    """Per row what is left after all repeated windows are taken out: id, n_units, n_removed, n_spans, kept_sha256 (and text).
+    """Per row what is left after all repeated windows are taken out: id, row (a hash of the text), n_units, n_removed, n_spans, kept_sha256 (and text).
 
     Text is decoded as UTF-8; a character that a cut leaves incomplete is dropped from it (not from the digest).
     """
@@ -219,8 +219,8 @@ def removed(exchange: Exchange, found: DataFrame, keep_text: bool = False) -> Da
                         left = np.flatnonzero(~hit)
                         kept = b" ".join([units[j] for j in left.tolist()]) if words else np.frombuffer(text, np.uint8)[left].tobytes()
                     whole = [kept.decode("utf-8", "ignore") if gone else text.decode("utf-8", "ignore")] if keep_text else []
-                    out.append((None if key == LAST_ID else key, len(units), gone, spans, hashlib.sha256(kept).hexdigest(), *whole))
-                kinds = [pa.int64()] * 4 + [pa.string()] * 2
+                    out.append((None if key == LAST_ID else key, int(block.rows[i]), len(units), gone, spans, hashlib.sha256(kept).hexdigest(), *whole))
+                kinds = [pa.int64()] * 5 + [pa.string()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], names=names)
 
     both = exchange.known.join(by_block, "block", "left")
@@ -230,6 +230,20 @@ def removed(exchange: Exchange, found: DataFrame, keep_text: bool = False) -> Da
 def substring_dedup(docs: DataFrame, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Takes every byte out that lies in a ``WINDOW``-byte string which also starts in a document of a smaller id."""
     exchange = Exchange(docs, words=False, id_col=id_col, text_col=text_col)
-    out = written(removed(exchange, repeated(exchange), keep_text), "removed")
+    out = removed(exchange, repeated(exchange), keep_text)
     exchange.drop()
     return out
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """The rows of docs, all columns, with what is left of their texts; rows that lose all bytes go.
+
+    length_col: a column of docs that counts the text's characters, to be counted again.
+    """
+    left = substring_dedup(docs, keep_text=True, id_col=id_col, text_col=text_col).filter("n_removed = 0 OR n_removed < n_units")
+    left = left.select(F.coalesce("id", F.lit(LAST_ID)).alias("_id"), F.col("row").alias("_row"), F.col("text").alias("_text")).dropDuplicates(["_id", "_row"])
+    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), "_row": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}).drop(text_col)
+    both = left.join(keyed, ["_id", "_row"]).withColumnRenamed("_text", text_col)
+    if length_col:
+        both = both.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
+    return both.select(*docs.columns)
