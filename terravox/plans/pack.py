@@ -2,32 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from terravox.plans import segment_plans, voxel_plans
 
-from terravox.functions.geometry import voxel_index
-from terravox.sources.tables import lineitem_points
-
-VOXEL = 1.0
-
-
-def voxel_downsample(spark, sf_dir):
-    points = lineitem_points(spark, sf_dir)
-    keyed = points.filter((F.col("x") - 25) * (F.col("x") - 25) + (F.col("y") - 25) * (F.col("y") - 25) <= 400)
-    cell = [voxel_index(F.col(a), VOXEL).alias(f"i{a}") for a in "xyz"]
-    return (
-        keyed.select("x", "y", "z", *cell)
-        .groupBy("ix", "iy", "iz")
-        .agg(F.count("*").alias("n"), *[F.round(F.avg(a), 4).alias(f"c{a}") for a in "xyz"])
-        .filter("n >= 2")
-    )
-
-
-VOXEL_DOWNSAMPLE = """
-WITH p AS (SELECT l_quantity x, l_extendedprice / 2000 y, (l_discount + 0.0) * 100 z FROM lineitem)
-SELECT CAST(floor(x) AS BIGINT) ix, CAST(floor(y) AS BIGINT) iy, CAST(floor(z) AS BIGINT) iz, count(*) n,
-       round(avg(x), 4) cx, round(avg(y), 4) cy, round(avg(z), 4) cz
-FROM p WHERE (x - 25) * (x - 25) + (y - 25) * (y - 25) <= 400
-GROUP BY 1, 2, 3 HAVING count(*) >= 2
-"""
-
-PACK = {"voxel_downsample": (voxel_downsample, VOXEL_DOWNSAMPLE)}
+PACK = voxel_plans.PACK | segment_plans.PACK
