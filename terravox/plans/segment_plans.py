@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terravox.functions.geometry import AXES, EIGEN_SCALE, covariance, eigenvalues_sql
 from terravox.operators.graph import labelled
 from terravox.operators.neighbours import radius_pairs, range_join
+from terravox.operators.segments import smooth
 from terravox.sources.tables import PTS_EV, PTS_LI, event_points, lineitem_points
 
 RADIUS = 0.5
@@ -161,6 +162,16 @@ SELECT pid, segment, n FROM sized WHERE n BETWEEN 3 AND 1000
 """
 
 
+def smoothness_segments(spark, sf_dir):
+    """Segments grown over neighbours of like normals; a point's normal is that of the plane through its neighbourhood's moments.
+
+    In these flat layers every normal points up, so growth follows distance and curvature alone.
+    """
+    points = event_points(spark, sf_dir).select("pid", *AXES).join(surface_normals(spark, sf_dir).select("pid", "curvature"), "pid")
+    points = points.withColumns({"nx": F.lit(0.0), "ny": F.lit(0.0), "nz": F.lit(1.0)})
+    return smooth(points, RADIUS, 0.9, 0.05, 3)
+
+
 def close_segment_pairs(spark, sf_dir):
     """Pairs of segments whose centroids are close, and the smallest distance."""
     cen = centroids(lineitem_points(spark, sf_dir)).withColumnRenamed("segment", "pid")
@@ -236,6 +247,7 @@ PACK = {
     "normal_moments": (normal_moments, MOMENTS),
     "surface_normals": (surface_normals, NORMALS),
     "euclidean_segments": (euclidean_segments, EUCLIDEAN),
+    "smoothness_segments": (smoothness_segments, None),
     "close_segment_pairs": (close_segment_pairs, CLOSE_PAIRS),
     "nearest_k_segments": (nearest_k_segments, NEAREST_K),
     "dedup_segments": (dedup_segments, DEDUP),

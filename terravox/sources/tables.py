@@ -28,8 +28,13 @@ def lineitem_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points with identity: (pid, track, robot, sec, kind, x, y, z); sec counts whole seconds since 1970."""
+    return points_of_events(table(spark, sf_dir, "events"))
+
+
+def points_of_events(events: DataFrame) -> DataFrame:
+    """The same for any frame of events, streaming ones as well."""
     ts = F.col("ts")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("pid"),
         F.pmod("user_id", F.lit(4)).cast("long").alias("track"),
         F.col("user_id").alias("robot"),
