@@ -1,4 +1,4 @@
-"""What the operators share: shared folders, written intermediates, words and row defaults.
+"""What the operators share: words and row defaults.
 
 Conventions of every operator of this package
 ---------------------------------------------
@@ -10,14 +10,14 @@ Conventions of every operator of this package
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terravox.shared import shared_dir, written
 from terravox.ship import ship
 
+__all__ = ["LAST_ID", "alnum_words", "lower_words", "plain_words", "read", "same_columns", "shared_dir", "texts", "written"]
+
 #: Stands for a null id where ids are ordered.
 LAST_ID = 2**63 - 1
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -30,27 +30,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share.
-
-    Only where that is unset, as in tests, the session gets a local one.
-    """
-    sc = spark.sparkContext
-    top = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not top:
-        top = tempfile.mkdtemp(prefix="terravox-")
-        sc.setCheckpointDir(top)
-    if "://" not in top and not top.startswith("file:"):
-        top = f"file://{top}" if top.startswith("/") else top
-    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str, **options: str) -> DataFrame:
-    """The rows, written to the shared folder as Parquet and read again: lineage ends here."""
-    spark = df.sparkSession
-    path = shared_dir(spark, what)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def same_columns(docs: DataFrame) -> list:
+    """The columns of docs, whatever characters their names have."""
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravox.llm.common import LAST_ID, lower_words, texts, written
-from terravox.llm.components import components
+from terravox.llm.common import LAST_ID, lower_words, same_columns, texts, written
+from terravox.operators.graph import components
 
 PIVOTS, SEED, CROWD = 32, 42, 4096
 
@@ -185,6 +185,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, id_col: st
 def deduplicated(docs: DataFrame, shingle: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, of which one per component stays."""
     found = near_duplicates(docs, shingle, bits, id_col, text_col).filter("kept")
-    keep = found.select(F.coalesce("id", F.lit(LAST_ID)).alias("_id"), F.col("row").alias("_row")).distinct()
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), "_row": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    return keyed.join(keep, ["_id", "_row"]).dropDuplicates(["_id", "_row"]).select(*docs.columns)
+    keep = found.select(F.coalesce("id", F.lit(LAST_ID)).alias("__tv_id"), F.col("row").alias("__tv_row")).distinct()
+    keyed = docs.withColumns({"__tv_id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), "__tv_row": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    return keyed.join(keep, ["__tv_id", "__tv_row"]).dropDuplicates(["__tv_id", "__tv_row"]).select(*same_columns(docs))
