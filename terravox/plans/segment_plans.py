@@ -188,7 +188,7 @@ def nearest_k_segments(spark, sf_dir):
     d = F.round(F.sqrt("d2"), 4)
     flat = pairs.select(F.col("l.segment").alias("segment"), F.col("r.segment").alias("other"), d.alias("distance"))
     w = Window.partitionBy("segment").orderBy("distance", "other")
-    return flat.withColumn("rank", F.row_number().over(w)).filter("rank <= 3")
+    return flat.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 3")
 
 
 NEAREST_K = f"""

@@ -86,7 +86,7 @@ WHERE ix BETWEEN 0 AND 31 AND iy BETWEEN 0 AND 31 AND iz BETWEEN 0 AND 15 GROUP
 def stride_sample(spark, sf_dir):
     """Every twentieth point of each track, in time."""
     w = Window.partitionBy("robot").orderBy("sec", "pid")
-    return event_points(spark, sf_dir).withColumn("n", F.row_number().over(w)).filter("n % 20 = 1").select("robot", "pid", "n")
+    return event_points(spark, sf_dir).withColumn("n", F.row_number().over(w).cast("long")).filter("n % 20 = 1").select("robot", "pid", "n")
 
 
 STRIDE_SAMPLE = f"WITH {PTS_EV} SELECT robot, pid, n FROM (SELECT robot, pid, row_number() OVER (PARTITION BY robot ORDER BY sec, pid) n FROM pts) WHERE n % 20 = 1"
@@ -95,7 +95,7 @@ STRIDE_SAMPLE = f"WITH {PTS_EV} SELECT robot, pid, n FROM (SELECT robot, pid, ro
 def topk_voxels(spark, sf_dir):
     """The five fullest voxels of each layer of height."""
     w = Window.partitionBy("iz").orderBy(F.desc("n"), "ix", "iy")
-    return V.voxels(lineitem_points(spark, sf_dir), 1.0).withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select(*CELL, "n", "rank")
+    return V.voxels(lineitem_points(spark, sf_dir), 1.0).withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 5").select(*CELL, "n", "rank")
 
 
 TOPK_VOXELS = f"""
