@@ -98,6 +98,14 @@ def _sliding(h: np.ndarray, n: int, join) -> np.ndarray:
     return out if size == n else join(out, n - size, size)
 
 
+def window_hashes(h: np.ndarray) -> np.ndarray:
+    """A hash of every run of WINDOW elements."""
+    powers = np.cumprod(np.r_[np.uint64(1), np.full(len(h), _INVERSE)])
+    forward = np.cumprod(np.r_[np.uint64(1), np.full(len(h), _BASE)])
+    prefix = np.r_[np.uint64(0), np.cumsum(h * powers[:-1])]
+    return mix((prefix[WINDOW:] - prefix[:-WINDOW]) * forward[: len(h) - WINDOW + 1])
+
+
 def _segments(h: np.ndarray, lengths: np.ndarray, first_row: int) -> Segments:
     n = len(h)
     starts = np.cumsum(lengths) - lengths

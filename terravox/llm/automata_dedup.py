@@ -1,9 +1,9 @@
 """Repeated passages by suffix automata of reference shards.
 
-The reference of a document is all documents of smaller id. It is cut into shards by anchor (see ``anchors``), and a
-shard holds the segments that have to be compared, nothing else. A shard's documents run in ascending order of their ids: each
-segment's words are streamed through the automaton of the smaller ids' segments, which gives the longest match that
-ends at every word (the matching statistics), and are then added to it. Where a match reaches the threshold, the window is repeated.
+The reference of a document is all documents of smaller id. It is cut into shards by anchor (see ``anchors``) and by size: a
+shard holds at most ``SHARD_WORDS`` words of the segments that have to be compared, nothing else. Documents run in ascending
+order of their ids: a segment's words are streamed through the automaton of the smaller ids' segments, which gives the longest
+match that ends at every word (the matching statistics). Where a match reaches the threshold, the window is repeated.
 
 Sending every shard to every document, as a plain broadcast would, costs shards times corpus. Instead each
 shard's automaton is built where the segments that can match in it arrive, which is the same comparison.
@@ -17,14 +17,74 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from terravox.llm.anchors import COMPARE, WINDOW, Exchange, bucket_of, statuses, unpacked, unzip, zip_
+from terravox.llm.anchors import COMPARE, WINDOW, Exchange, bucket_of, statuses, unpacked, unzip, window_hashes, zip_
 from terravox.llm.automaton import SuffixAutomaton
 from terravox.llm.common import written
 from terravox.llm.suffix_merge import removed
 
+SHARD_WORDS = 50_000
 SENT = "bucket long, block long, keys binary, ids binary, rows binary, starts binary, lengths binary, words binary"
 
 
+def _shared_runs(words: np.ndarray, ends: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> list[tuple[int, int, int]]:
+    """(segment, first, end): word runs whose windows have hashes that another id holds as well; no others can match."""
+    with np.errstate(over="ignore"):
+        h = window_hashes(words)
+    first = np.repeat(ends - lengths, lengths - WINDOW + 1)
+    many = lengths - WINDOW + 1
+    inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    h, segment = h[first + inner], np.repeat(np.arange(len(ends)), many)
+    order = np.lexsort((ids[segment], h))
+    hs, who = h[order], ids[segment[order]]
+    new = np.r_[True, hs[1:] != hs[:-1]]
+    differs = np.r_[True, (hs[1:] != hs[:-1]) | (who[1:] != who[:-1])]
+    starts = np.flatnonzero(new)
+    shared = np.add.reduceat(differs.astype(np.int64), starts)[np.cumsum(new) - 1] > 1
+    at = np.sort(order[shared])
+    if not len(at):
+        return []
+    cut = np.r_[True, (np.diff(at) != 1) | (segment[at[1:]] != segment[at[:-1]])]
+    lo, hi = at[cut], at[np.append(np.flatnonzero(cut)[1:] - 1, len(at) - 1)]
+    return list(zip(segment[lo].tolist(), inner[lo].tolist(), (inner[hi] + WINDOW).tolist()))
+
+
+def _matches(runs: list[tuple[int, list[int]]]) -> list[list[int]]:
+    """Per run (id, words), in ascending order of ids, the first words of windows that runs of smaller ids hold.
+
+    The reference is cut into shards of at most SHARD_WORDS words. A shard's automaton grows while its own runs are streamed;
+    then all later runs are streamed through it, and it is given up for the next one.
+    """
+    hits: list[set[int]] = [set() for _ in runs]
+
+    def stream(auto: SuffixAutomaton, r: int) -> None:
+        words = runs[r][1]
+        if len(hits[r]) == len(words) - WINDOW + 1:
+            return
+        state = matched = 0
+        for i, token in enumerate(words):
+            state, matched = auto.step(state, matched, token)
+            if matched >= WINDOW:
+                hits[r].add(i + 1 - WINDOW)
+
+    lo = 0
+    while lo < len(runs):
+        auto, size, hi, waiting = SuffixAutomaton(), 0, lo, lo
+        while hi < len(runs) and (size < SHARD_WORDS or hi == lo):
+            while runs[waiting][0] < runs[hi][0]:
+                if len(hits[waiting]) < len(runs[waiting][1]) - WINDOW + 1:
+                    auto.add(runs[waiting][1])
+                    size += len(runs[waiting][1])
+                waiting += 1
+            stream(auto, hi)
+            hi += 1
+        for r in range(waiting, hi):
+            auto.add(runs[r][1])
+        for r in range(hi, len(runs)):
+            stream(auto, r)
+        lo = hi
+    return [sorted(x) for x in hits]
+
+
 def _stream(table: pa.Table) -> pa.Table:
     """Repeated windows of one bucket: per block, rows and starts."""
     cols = {c: table.column(c).to_pylist() for c in table.column_names}
@@ -32,26 +92,18 @@ def _stream(table: pa.Table) -> pa.Table:
     sizes = [len(x) for x in n]
     owner = np.repeat(np.arange(len(sizes)), sizes)
     key, ids, rows, starts, lengths = (np.concatenate([unzip(x, kind) for x in cols[c]]) for c, kind in (("keys", "<u8"), ("ids", "<i8"), ("rows", "<u4"), ("starts", "<u4"), ("lengths", "<u4")))
-    words = np.concatenate([unzip(x, "<u8") for x in cols["words"]])
-    ends = np.cumsum(lengths.astype(np.int64))
+    words, lengths = np.concatenate([unzip(x, "<u8") for x in cols["words"]]), lengths.astype(np.int64)
+    ends = np.cumsum(lengths)
+    shards: dict[int, list[tuple[int, int, int, int]]] = {}
+    for s, a, b in _shared_runs(words, ends, lengths, ids):
+        shards.setdefault(int(key[s]), []).append((int(ids[s]), s, a, b))
     hits: list[list[tuple[int, int]]] = [[] for _ in sizes]
-    shard, auto = None, SuffixAutomaton()
-    waiting: list[list[int]] = []
-    last_id = None
-    for s in np.lexsort((starts, rows, owner, ids, key)).tolist():
-        if key[s] != shard:
-            shard, auto, waiting, last_id = key[s], SuffixAutomaton(), [], None
-        if ids[s] != last_id:
-            for tokens in waiting:
-                auto.add(tokens)
-            waiting, last_id = [], ids[s]
-        tokens = words[ends[s] - lengths[s] : ends[s]].tolist()
-        state = matched = 0
-        for i, token in enumerate(tokens):
-            state, matched = auto.step(state, matched, token)
-            if matched >= WINDOW:
-                hits[owner[s]].append((int(rows[s]), int(starts[s]) + i + 1 - WINDOW))
-        waiting.append(tokens)
+    for found in shards.values():
+        found.sort()
+        base = [int(ends[s] - lengths[s]) for _, s, _, _ in found]
+        runs = [(i, words[o + a : o + b].tolist()) for o, (i, _, a, b) in zip(base, found)]
+        for (_, s, a, _), at in zip(found, _matches(runs)):
+            hits[owner[s]] += [(int(rows[s]), int(starts[s]) + a + i) for i in at]
     found = [(cols["block"][b], *(zip_(np.array(x, "<u4")) for x in zip(*h))) for b, h in enumerate(hits) if h]
     out = list(zip(*found)) or [()] * 3
     return pa.table({"block": pa.array(list(out[0]), pa.int64()), "rows": pa.array(list(out[1]), pa.binary()), "starts": pa.array(list(out[2]), pa.binary())})
