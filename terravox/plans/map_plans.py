@@ -200,7 +200,42 @@ WITH {PTS_LI}, {SQL_VIEWS}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PA
 SELECT segment, view, round(x - px + 1, 4) x, round(y - py - 1, 4) y, round(z, 4) z FROM l JOIN p USING (view)
 """
 
+def loop_closure_endpoints(spark, sf_dir):
+    """Per robot the closure between its last purchase and its most frequent earlier hour of day.
+
+    Matches of a robot vote by the hour of their target pose (ties: the earliest); the endpoint on the target side is the pose within
+    that hour, at least a day before the last purchase, that lies nearest to it in space.
+    """
+    points = event_points(spark, sf_dir)
+    last = points.filter("kind = 'purchase'").groupBy("robot").agg(F.max(F.struct("sec", "pid", "x", "y")).alias("s"))
+    old = points.join(last, "robot").filter("sec <= s.sec - 86400").withColumn("hour", F.floor(F.pmod("sec", F.lit(86400)) / 3600).cast("long"))
+    votes = old.groupBy("robot", "hour").agg(F.count("*").alias("n"))
+    mode = votes.groupBy("robot").agg(F.min(F.struct((-F.col("n")).alias("m"), "hour")).alias("v")).select("robot", F.col("v.hour").alias("hour"))
+    d2 = F.round((F.col("x") - F.col("s.x")) * (F.col("x") - F.col("s.x")) + (F.col("y") - F.col("s.y")) * (F.col("y") - F.col("s.y")), 4)
+    near = old.join(mode, ["robot", "hour"]).groupBy("robot").agg(F.min(F.struct(d2.alias("d2"), "sec", "pid")).alias("t"), F.first("s.pid").alias("source"))
+    return near.select("robot", "source", F.col("t.pid").alias("target"), F.col("t.d2").alias("d2"))
+
+
+CLOSURES = f"""
+WITH {PTS_EV}, l AS (SELECT * FROM (SELECT robot, sec ls, pid source, x lx, y ly, row_number() OVER (PARTITION BY robot ORDER BY sec DESC, pid DESC) r FROM pts WHERE kind = 'purchase') WHERE r = 1),
+o AS (SELECT robot, source, pid, sec, CAST(floor((sec % 86400) / 3600) AS BIGINT) AS hod, round((x - lx) * (x - lx) + (y - ly) * (y - ly), 4) d2 FROM pts JOIN l USING (robot) WHERE sec <= ls - 86400),
+m AS (SELECT robot, hod FROM (SELECT robot, hod, row_number() OVER (PARTITION BY robot ORDER BY count(*) DESC, hod) r FROM o GROUP BY 1, 2) WHERE r = 1)
+SELECT robot, source, target, d2 FROM (SELECT robot, source, pid target, d2, row_number() OVER (PARTITION BY robot ORDER BY d2, sec, pid) r FROM o JOIN m USING (robot, hod)) WHERE r = 1
+"""
+
+
+def combine_sequences(spark, sf_dir):
+    """Views of merged segments shifted behind those of the segment that takes them in: a running count in merge order."""
+    views = _views(spark, sf_dir).select("segment", "view", "n").withColumn("family", F.floor(F.col("segment") / 10).cast("long"))
+    w = Window.partitionBy("family").orderBy("segment", "view")
+    return views.select("family", "segment", "view", F.row_number().over(w).cast("long").alias("new_view"), F.sum("n").over(w).alias("points_so_far"))
+
+
+COMBINE = f"WITH {PTS_LI}, {SQL_VIEWS} SELECT family, segment, view, row_number() OVER w new_view, CAST(sum(n) OVER w AS BIGINT) points_so_far FROM (SELECT *, segment // 10 family FROM vw) WINDOW w AS (PARTITION BY family ORDER BY segment, view)"
+
 PACK = {
+    "loop_closure_endpoints": (loop_closure_endpoints, CLOSURES),
+    "combine_sequences": (combine_sequences, COMBINE),
     "last_view": (last_view, LAST_VIEW),
     "remove_irrelevant": (remove_irrelevant, IRRELEVANT),
     "remove_unchanged": (remove_unchanged, UNCHANGED),
