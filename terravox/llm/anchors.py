@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravox.llm.common import LAST_ID, shared_dir, texts, written
+from terravox.llm.common import LAST_ID, shared_dir, small, texts, written
 
 WINDOW, ANCHOR = 50, 25
 BLOCK_BYTES, CHUNK = 2 << 20, 1 << 18
@@ -46,6 +46,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def element_hashes(raw: np.ndarray) -> np.ndarray:
+    return _BYTES[raw]
+
+
 def zip_(data: np.ndarray | bytes) -> bytes:
     return zstandard.compress(data if isinstance(data, bytes) else np.ascontiguousarray(data).tobytes(), 3)
 
@@ -71,7 +75,7 @@ class Block:
         """Element hashes of some documents and the number of elements of each."""
         if not self.words:
             lengths = np.fromiter((len(self.texts[r]) for r in rows), np.int64, len(rows))
-            return _BYTES[np.frombuffer(b"".join(self.texts[r] for r in rows), np.uint8)], lengths
+            return element_hashes(np.frombuffer(b"".join(self.texts[r] for r in rows), np.uint8)), lengths
         split = [self.texts[r].split() for r in rows]
         lengths = np.fromiter(map(len, split), np.int64, len(rows))
         digest = xxhash.xxh3_64_intdigest
@@ -181,7 +185,7 @@ class Exchange:
         packed = packed.mapInArrow(_pack, "block long, ids binary, rows binary, lengths binary, body binary")
         packed.write.bucketBy(parts, "block").option("compression", "none").option("path", shared_dir(self.spark, "blocks")).format("parquet").saveAsTable(self.table)
         self.blocks = self.spark.table(self.table)
-        self.buckets = max(64, self.blocks.count() // 4)
+        self.buckets = max(64, self.blocks.count() // 2)
         sent = self.blocks.mapInArrow(self._send, "bucket long, block long, ids binary, keys binary, contents binary, rows binary")
         found = sent.groupBy("bucket").applyInArrow(_decide, "block long, bucket long, status binary")
         found = written(found, "status")
@@ -229,7 +233,7 @@ def _pack(batches):
         cols = ([base + count], pa.int64()), ([np.array(ids, "<i8").tobytes()], pa.binary()), ([np.array(rows, "<i8").tobytes()], pa.binary()), ([lengths], pa.binary()), ([zip_(b"".join(bodies))], pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in cols], names=["block", "ids", "rows", "lengths", "body"])
 
-    for batch in batches:
+    for batch in small(batches):
         for key, row, text in zip(*(c.to_pylist() for c in batch.columns)):
             ids.append(key)
             rows.append(row)

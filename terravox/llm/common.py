@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from terravox.shared import shared_dir, written
 from terravox.ship import ship
 
-__all__ = ["LAST_ID", "alnum_words", "lower_words", "plain_words", "read", "same_columns", "shared_dir", "texts", "written"]
+__all__ = ["LAST_ID", "alnum_words", "lower_words", "read", "same_columns", "shared_dir", "small", "texts", "written"]
 
 #: Stands for a null id where ids are ordered.
 LAST_ID = 2**63 - 1
@@ -41,13 +41,15 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def plain_words(text: str) -> list[bytes]:
-    """Words without ASCII white space, as UTF-8."""
-    return text.encode("utf-8", "surrogatepass").split()
+def small(batches, rows: int = 1000):
+    """Arrow batches cut into smaller ones, so that a task turns few texts into Python strings at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
 
 
 def lower_words(text: str) -> list[bytes]:
-    """Like plain_words, with A-Z lower-cased."""
+    """Words without ASCII white space, A-Z lower-cased, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
 

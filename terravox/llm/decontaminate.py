@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravox.llm.automaton import SuffixAutomaton
-from terravox.llm.common import alnum_words, same_columns, texts, written
+from terravox.llm.common import alnum_words, same_columns, small, texts, written
 
 HITS = "id long, row long, n_words long, hits array<struct<start: long, end: long>>, items array<string>"
 
@@ -110,7 +110,7 @@ def _pass(keyed: DataFrame, index, every: bool) -> DataFrame:
 
     def run(batches):
         known = index.value
-        for batch in batches:
+        for batch in small(batches):
             out: list[tuple] = []
             for key, row, text in zip(*(c.to_pylist() for c in batch.columns)):
                 words = alnum_words(text)

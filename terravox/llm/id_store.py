@@ -29,7 +29,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terravox.llm.common import LAST_ID, shared_dir, texts
+from terravox.llm.common import LAST_ID, shared_dir, small, texts
 from terravox.llm.token_ids import encoder
 
 GAMMA, BLOCK = 1.5, 512
@@ -113,7 +113,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | No
         width = 2 if max(len(enc.packed), end_id + 1) <= 1 << 16 else 4
         name = f"{part:06d}-{uuid.uuid4().hex}"
         keys, lengths, out, where = [], [], None, None
-        for batch in batches:
+        for batch in small(batches):
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
                 if out is None:
                     files, where = pafs.FileSystem.from_uri(f"{path}/{name}.ids")

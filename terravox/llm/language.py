@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terravox.llm.common import texts
+from terravox.llm.common import small, texts
 from terravox.ship import ship
 
 BUCKETS, DIM, PER_LANGUAGE, EPOCHS, SLICE = 8192, 16, 400, 12, 1 << 18
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, text_col: str = "text
     sample = known.join(F.broadcast(bound), "lang").filter(F.xxhash64("id") <= F.col("top")).select("text", "lang")
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             x = [zstandard.compress(shares(t).tobytes(), 1) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(1)], names=["x", "lang"])
 
@@ -141,7 +141,7 @@ def predict(docs: DataFrame, model, least: float = 0.0, id_col: str = "doc_id",
     def run(batches):
         known = model.value
         names = known.languages
-        for batch in batches:
+        for batch in small(batches):
             out, sure = [], []
             for text in batch.column(1).to_pylist():
                 if not names or not any(map(str.isalpha, text)):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terravox.llm.common import texts, written
+from terravox.llm.common import small, texts, written
 from terravox.llm.token_ids import encoder
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
@@ -34,7 +34,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
 
     def cut(batches):
         enc = encoder(tokenizer)
-        for batch in batches:
+        for batch in small(batches):
             out = {n: [] for n in names}
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = enc.encode(text) + end

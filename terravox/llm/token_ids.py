@@ -28,21 +28,30 @@ def byte_letters() -> dict[int, str]:
 
 
 class _Memo(dict):
-    """piece -> ids as little-endian 32-bit integers; full memos are read but no longer written."""
+    """piece -> ids as little-endian 32-bit integers.
+
+    Pieces are kept from their second occurrence on, since most distinct pieces occur once; a byte per hash tells. A full
+    memo is read but no longer written.
+    """
+
+    SEEN = 1 << 22
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.seen = make, limit, bytearray(self.SEEN)
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.make(piece)
         if len(self) < self.limit:
-            self[piece] = ids
+            slot = hash(piece) & (self.SEEN - 1)
+            if self.seen[slot]:
+                self[piece] = ids
+            self.seen[slot] = 1
         return ids
 
 
 class IdEncoder:
-    def __init__(self, path: str, memo: int = 1_000_000):
+    def __init__(self, path: str, memo: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -106,7 +115,7 @@ class IdEncoder:
         return self.whole(text)
 
 
-def encoder(path: str, memo: int = 1_000_000) -> IdEncoder:
+def encoder(path: str, memo: int = 400_000) -> IdEncoder:
     """One encoder per worker process and file."""
     key = (path, memo)
     if key not in _ENCODERS:
