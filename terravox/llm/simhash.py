@@ -176,7 +176,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, id_col: st
     joined = components(links(classes, bits))
     least = classes.join(joined.withColumnRenamed("node", "fp"), "fp").groupBy("component").agg(F.min("least").alias("least"))
     linked = joined.join(least, "component").select(F.col("node").alias("fp"), F.col("least").alias("linked"))
-    label = classes.join(linked, "fp", "left").select("fp", F.coalesce("linked", "least").alias("least"))
+    # Written, so that both sides of the last join come straight from a shuffle and a frequent fingerprint can be split.
+    label = written(classes.join(linked, "fp", "left").select("fp", F.coalesce("linked", "least").alias("least")), "labels")
     out = prints.join(label, "fp")
     component = F.when(F.col("least.id") != LAST_ID, F.col("least.id"))
     return out.select("id", "row", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component.alias("component_id"), (me == F.col("least")).alias("kept"))
