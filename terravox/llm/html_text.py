@@ -11,7 +11,7 @@ Some nodes are settled by what they are: a tag or class that names page furnitur
 ``main`` everything else has importance 1. A page with a non-empty ``article`` or ``main`` gives that text alone.
 
 Only one row per page and distinct path is shuffled, with hashes; counts are summed before they meet, so a host with a third of
-all pages loads no single task.
+all pages loads no single task. The removed paths of all hosts go to every task while they are few; else pages are dealt by host and salt.
 
 Edge cases: null or empty html gives an empty text; a null url is a host of its own; tags may be unclosed or badly nested;
 repeated rows count as pages and are returned each.
@@ -27,9 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terravox.llm.common import small, written
 from terravox.ship import ship
 
 MIN_PAGES, LEAST, GAMMA = 8, 0.3, 0.9
+#: Removed paths are sent to all tasks up to this number (8 bytes each); beyond it pages are joined by host and salt.
+BROADCAST_PATHS, SALTS = 500_000, 32
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.DOTALL)
 _MARK = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.IGNORECASE)
@@ -168,7 +171,7 @@ def site_tree(pages: DataFrame) -> DataFrame:
     """(host, path, n_pages, importance) of every node outside the main elements; pages: host, html."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             cols: tuple[list, ...] = ([], [], [], [])
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 seen: dict[int, list[int]] = {}
@@ -213,7 +216,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     low = site_tree(known).filter((F.col("n_pages") >= min_pages) & (F.col("importance") < least)).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low"))
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             out, sets = [], {}
             for page, paths in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist()):
                 key = tuple(paths or ())
@@ -223,5 +226,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 out.append(article or rest)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    joined = known.join(low, "host", "left").select("id", "url", "html", "low")
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    low = written(low, "low-paths")
+    if (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= BROADCAST_PATHS:
+        joined = known.join(F.broadcast(low), "host", "left")
+    else:
+        dealt = low.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        joined = known.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).join(dealt, ["host", "salt"], "left")
+    return joined.select("id", "url", "html", "low").mapInArrow(run, "page_id long, url string, text string, n_chars long")
