@@ -345,7 +345,9 @@ def test_pages(spark):
     assert got[None]["text"] == "x" and all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
-def test_site_tree_removes_what_a_host_repeats(spark):
+@pytest.mark.parametrize("few", [500_000, -1])
+def test_site_tree_removes_what_a_host_repeats(spark, few, monkeypatch):
+    monkeypatch.setattr(html_text, "BROADCAST_PATHS", few)
     pages = [(i, f"https://s.org/{i}", f"<div><div><span>Home</span> <span>About</span></div><div id=c><p>{prose(i, 20)}</p></div><div id=z>Legal notice of s.org</div></div>") for i in range(20)]
     out = html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert {r["page_id"]: r["text"] for r in out} == {i: prose(i, 20) for i in range(20)}
