@@ -353,6 +353,23 @@ def test_site_tree_removes_what_a_host_repeats(spark, few, monkeypatch):
     assert {r["page_id"]: r["text"] for r in out} == {i: prose(i, 20) for i in range(20)}
 
 
+def test_site_tree_decides_inside_main(spark):
+    """Boxes a host repeats in main go; text beside a teaser, headers of the article and texts put up often stay."""
+    box = lambda i: f"<div class=zq><b>Read on</b> every day <i>{i % 2}</i></div><div>Plain box</div>"
+    pages = [(i, f"https://a.org/{i}", f"<main><div class=x1>{prose(i, 30)}</div>{box(i)}<p>{prose(100 + i, 30)}</p></main>") for i in range(30)]
+    want = {i: f"{prose(i, 30)} {prose(100 + i, 30)}" for i in range(30)}
+    pages += [(100 + i, f"https://b.org/{i}", f"<ul><li>Start<li>Shop</ul><article><h2>{prose(i, 3)}</h2></article><div><p>{prose(i, 60)}</p></div><div id=end>Imprint</div>") for i in range(30)]
+    want |= {100 + i: f"{prose(i, 3)} {prose(i, 60)}" for i in range(30)}
+    pages += [(200 + i, f"https://c.org/{i}", f"<article><div class='post-header'>{prose(i, 5)}</div><p class='share-price'>{prose(i, 40)}</p></article><nav>Home</nav>") for i in range(30)]
+    want |= {200 + i: f"{prose(i, 5)} {prose(i, 40)}" for i in range(30)}
+    pages += [(300 + i, f"https://d.org/{i}", f"<script>{i}</script><article><p>{prose(i // 20, 40)}</p></article>") for i in range(40)]
+    want |= {300 + i: prose(i // 20, 40) for i in range(40)}
+    pages += [(400, "https://e.org/", f"<article>{prose(1, 4)}</article><p>{prose(2, 60)}</p>")]
+    want |= {400: f"{prose(1, 4)} {prose(2, 60)}"}
+    out = html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in out} == want
+
+
 def test_blocks_hold_all_windows():
     texts = [prose(i, 80).encode() for i in range(5)] + [b"", b"short"]
     block = anchors.Block(np.arange(7), np.arange(7), texts, False)
