@@ -3,17 +3,17 @@
 1. Vectors are checked and copies become one class, so only distinct vectors are compared.
 2. On a bounded sample (``fit_rows``) coarse centres and, for the residuals, one codebook per subspace are fitted.
 3. Every vector lies in the inverted list of its nearest centre, as codes with the norm of what they leave out.
-   It is compared in every list that can hold a partner: if u lies nearer to centre b than to v's centre a and within the
-   largest distance r of v, then v is at most r from the plane between a and b. Probing all such lists (``margin`` 1) is
-   sufficient whatever the data. But a difference of length r points straight at a plane only by construction: for a
-   difference in any direction of d dimensions, its part across a plane is about r / sqrt(d), so the default margin of 0.6
-   stands for some 4.8 standard deviations at 64 dimensions, at a third of the probes.
+   It is also compared in every other list whose plane it is near. If u lies nearer to centre b and v nearer to centre a, and
+   they are at most the largest distance r apart, then their distances to the plane between a and b add up to at most r, so
+   one of the two is within r / 2 of it. Each vector therefore probes, among all lists, those whose plane is within r / 2;
+   a pair that both probes find counts in the list of the larger number. This is sufficient whatever the data.
+   ``margin`` below 1 narrows the probes and can lose links.
 4. In a list, table look-ups give the distance from a query to each decoded vector. If it exceeds r by more than the
    part that the codes leave out, the vectors cannot be linked; all others are ranked by exact cosine in double precision.
 5. Counts per vector and a spanning forest of the links leave a task, never all pairs. Long lists are split by a salt.
 
-With margin 1 no link is lost; with the default, recall against brute force is measured in the tests. Vectors that are null, zero, hold null or
-non-finite components, or have another dimension than most link with nothing. Rows that share an id count as one vector's
+Vectors of each dimension are a group of their own. Vectors that are null, zero, hold null or
+non-finite components link with nothing. Rows that share an id count as one vector's
 links; vectors with a null id keep their own component and are never its name unless all ids in it are null.
 """
 
@@ -79,10 +79,10 @@ class Quantiser:
         return codes, np.sqrt(rest)
 
     def probes(self, x: np.ndarray, home: np.ndarray, reach: float) -> list[np.ndarray]:
-        """Per vector its home list and each later one that can hold a vector within reach of it."""
+        """Per vector its home list and each other one whose plane to the home list is within reach."""
         d = self.distances(x)
         slack = d - d[np.arange(len(x)), home][:, None] - 2 * reach * self.gaps[home]
-        ok = (slack <= 1e-9) & (np.arange(d.shape[1])[None, :] >= home[:, None])
+        ok = slack <= 1e-9
         ok[np.arange(len(x)), home] = True
         return [np.flatnonzero(row) for row in ok]
 
@@ -98,12 +98,12 @@ class Quantiser:
 
 
 def _unit(raw: list[bytes], dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), "<f8").reshape(-1, dim)
+    x = np.array([np.frombuffer(v, "<f4" if len(v) == 4 * dim else "<f8") for v in raw], "<f8").reshape(-1, dim)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
 def _checked(batches):
-    """(id, vec, dim): vec is null for vectors that link with nothing."""
+    """(id, vec, dim): vec is null for vectors that link with nothing; single precision where that holds it exactly."""
     for batch in batches:
         vecs, dims = [], []
         for v in batch.column(1).to_pylist():
@@ -111,8 +111,9 @@ def _checked(batches):
             if v is not None and len(v) and None not in v:
                 x = np.array(v, "<f8")
                 top = np.abs(x).max()
-                x = x / top if np.isfinite(top) and top > 0 else None
-            vecs.append(None if x is None else (x + 0.0).tobytes())
+                x = np.ldexp(x, -int(np.frexp(top)[1])) + 0.0 if np.isfinite(top) and top > 0 else None
+            short = None if x is None else x.astype("<f4")
+            vecs.append(None if x is None else short.tobytes() if (short == x).all() else x.tobytes())
             dims.append(0 if x is None else len(x))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vecs, pa.binary()), pa.array(dims, pa.int32())], names=["id", "vec", "dim"])
 
@@ -126,13 +127,14 @@ def _forest_task(quantiser, least_cosine: float, reach: float, dim: int):
         pending: list[tuple] = []
 
         def load(rows):
-            node, copies, raw, codes, rest = zip(*rows)
+            node, copies, raw, codes, rest, probes = zip(*rows)
             coded = np.frombuffer(b"".join(codes), np.uint8).reshape(len(node), -1)
-            return {"node": np.array(node, np.int64), "copies": np.array(copies, np.int64), "x": _unit(list(raw), dim), "codes": coded, "rest": np.array(rest), "root": np.arange(len(node))}
+            return {"node": np.array(node, np.int64), "copies": np.array(copies, np.int64), "x": _unit(list(raw), dim), "codes": coded, "rest": np.array(rest), "root": np.arange(len(node)), "probes": [frozenset(p) for p in probes]}
 
         def compare(number: int, rows):
-            node, copies, raw, _, home = zip(*rows)
-            node, copies, home, x = np.array(node, np.int64), np.array(copies, np.int64), np.array(home) == 0, _unit(list(raw), dim)
+            node, copies, raw, _, origin, _ = zip(*rows)
+            node, copies, origin, x = np.array(node, np.int64), np.array(copies, np.int64), np.array(origin, np.int64), _unit(list(raw), dim)
+            home = origin == number
             near = q.lookup(x, number, stored["codes"]) <= ((reach + stored["rest"]) ** 2 + 1e-9)[None, :]
             near &= node[:, None] != stored["node"][None, :]
             a, b = np.nonzero(near)
@@ -140,6 +142,9 @@ def _forest_task(quantiser, least_cosine: float, reach: float, dim: int):
             for lo in range(0, len(a), 1 << 16):
                 part = slice(lo, lo + (1 << 16))
                 linked[part] = np.einsum("ij,ij->i", x[a[part]], stored["x"][b[part]]) >= least_cosine
+            # The list of the larger number counts a pair that both probes find.
+            for i in np.flatnonzero(linked & (origin[a] > number)).tolist():
+                linked[i] = int(origin[a[i]]) not in stored["probes"][b[i]]
             a, b = a[linked], b[linked]
             out = [(int(node[i]), int(n), None) for i, n in enumerate(np.bincount(a, stored["copies"][b], len(node))) if n]
             cross = ~home[a]
@@ -180,19 +185,26 @@ def _forest_task(quantiser, least_cosine: float, reach: float, dim: int):
     return run
 
 
-def near_vectors(vectors: DataFrame, least_cosine: float = 0.95, fit_rows: int = FIT_ROWS, lists: int | None = None, margin: float = 0.6,
+def near_vectors(vectors: DataFrame, least_cosine: float = 0.95, fit_rows: int = FIT_ROWS, lists: int | None = None, margin: float = 1.0,
                  id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept), one row per vector."""
     spark = ship(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = written(rows.mapInArrow(_checked, "id long, vec binary, dim int"), "vectors")
-    most = rows.filter("dim > 0").groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    alone = rows.select("id", "dim", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    if most is None:
-        return alone.drop("dim").withColumn("kept", F.lit(True))
-    dim, reach = most["dim"], float(np.sqrt(max(0.0, 2 - 2 * least_cosine)))
+    sizes = {r["dim"]: r["count"] for r in rows.filter("dim > 0").groupBy("dim").count().collect()}
+    dims = sorted(d for d, n in sizes.items() if n > 1)
+    out = rows.filter(~F.col("dim").isin(dims)).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    for dim in dims:
+        out = out.unionByName(_linked(rows.filter(F.col("dim") == dim), dim, least_cosine, fit_rows, lists, margin))
+    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+
+
+def _linked(rows: DataFrame, dim: int, least_cosine: float, fit_rows: int, lists: int | None, margin: float) -> DataFrame:
+    """(id, n_links, component_id) for vectors of one dimension."""
+    spark = rows.sparkSession
+    reach = float(np.sqrt(max(0.0, 2 - 2 * least_cosine)))
     nameless = -F.shiftrightunsigned(F.xxhash64("vec"), 1) - 1
-    classes = rows.filter(F.col("dim") == dim).groupBy("vec").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    classes = rows.groupBy("vec").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     classes = written(classes.select("vec", "copies", F.coalesce("least", nameless).alias("node")), "classes")
     n = classes.count()
     sample = classes.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(fit_rows).collect()
@@ -208,15 +220,15 @@ def near_vectors(vectors: DataFrame, least_cosine: float = 0.95, fit_rows: int =
             x = _unit(vec, dim)
             home = q.nearest(x)
             codes, rest = q.encode(x, home)
-            probes = [p.tolist() for p in q.probes(x, home, margin * reach)]
+            probes = [p.tolist() for p in q.probes(x, home, margin * reach / 2)]
             cols = [pa.array(node, pa.int64()), pa.array(copies, pa.int64()), pa.array(vec, pa.binary()), pa.array(home, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(rest), pa.array(probes, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(cols, names=["node", "copies", "vec", "home", "codes", "rest", "probes"])
 
     listed = written(classes.mapInArrow(assign, "node long, copies long, vec binary, home int, codes binary, rest double, probes array<int>"), "lists")
     salts = listed.groupBy("home").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("salts"))
-    stored = listed.join(F.broadcast(salts), "home").select(F.col("home").alias("list"), F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), F.lit(0).alias("kind"), "node", "copies", "vec", "codes", "rest")
+    stored = listed.join(F.broadcast(salts), "home").select(F.col("home").alias("list"), F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), F.lit(0).alias("kind"), "node", "copies", "vec", "codes", "rest", "probes")
     asked = listed.select("node", "copies", "vec", "home", F.explode("probes").alias("list")).join(F.broadcast(salts.withColumnRenamed("home", "list")), "list")
-    asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(1).alias("kind"), "node", "copies", "vec", F.lit(None).cast("binary").alias("codes"), (F.col("list") != F.col("home")).cast("double").alias("rest"))
+    asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(1).alias("kind"), "node", "copies", "vec", F.lit(None).cast("binary").alias("codes"), F.col("home").cast("double").alias("rest"), F.lit(None).cast("array<int>").alias("probes"))
     dealt = stored.unionByName(asked).repartition("list", "salt").sortWithinPartitions("list", "salt", "kind", "node")
     found = written(dealt.mapInArrow(_forest_task(quantiser, least_cosine, reach, dim), "node long, links long, other long"), "links")
     counts = found.filter("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
@@ -225,5 +237,4 @@ def near_vectors(vectors: DataFrame, least_cosine: float = 0.95, fit_rows: int =
     label = joined.join(named, "component").select("node", "least")
     per_class = classes.join(counts, "node", "left").join(label, "node", "left").select(
         "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", F.when(F.col("node") >= 0, F.col("node"))).alias("component_id"))
-    good = rows.filter(F.col("dim") == dim).join(per_class, "vec").select("id", "n_links", "component_id")
-    return good.unionByName(alone.filter(F.col("dim") != dim).drop("dim")).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+    return rows.join(per_class, "vec").select("id", "n_links", "component_id")

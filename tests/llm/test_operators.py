@@ -226,6 +226,32 @@ def test_vectors(spark):
         assert right >= (len(rows) - 1 if margin == 1 else 0.99 * (len(rows) - 1))
 
 
+def test_vectors_of_each_dimension_lose_no_link(spark):
+    """Groups that drift along one direction, several dimensions in one table: the default equals brute force."""
+    r = np.random.default_rng(4)
+    rows = []
+    for dim, n in ((8, 300), (64, 500), (3, 40)):
+        start, way = r.normal(size=dim), r.normal(size=dim)
+        drift = start / np.linalg.norm(start) + np.linspace(-2, 2, n)[:, None] * way / np.linalg.norm(way) + 0.1 / np.sqrt(dim) * r.normal(size=(n, dim))
+        other = r.normal(size=(n, dim))
+        rows += [v.astype("f4" if dim == 64 else "f8").tolist() for v in np.concatenate([drift, other])]
+    got = vector_links.near_vectors(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>"))
+    want = {}
+    for dim in {len(v) for v in rows}:
+        ids = [i for i, v in enumerate(rows) if len(v) == dim]
+        x = np.array([rows[i] for i in ids])
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        near = x @ x.T >= 0.95
+        label = np.arange(len(ids))
+        while True:
+            new = np.array([label[near[k]].min() for k in range(len(ids))])
+            if (new == label).all():
+                break
+            label = new
+        want |= {i: (int(near[k].sum()) - 1, ids[label[k]], label[k] == k) for k, i in enumerate(ids)}
+    assert {x["id"]: (x["n_links"], x["component_id"], x["kept"]) for x in got.collect()} == want
+
+
 def test_vectors_none(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert vector_links.near_vectors(empty).count() == 0
