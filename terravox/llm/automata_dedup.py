@@ -52,7 +52,8 @@ def _matches(runs: list[tuple[int, list[int]]]) -> list[list[int]]:
     """Per run (id, words), in ascending order of ids, the first words of windows that runs of smaller ids hold.
 
     The reference is cut into shards of at most SHARD_WORDS words. A shard's automaton grows while its own runs are streamed;
-    then all later runs are streamed through it, and it is given up for the next one.
+    then all later runs are streamed through it, and it is given up for the next one. A shard ends between two ids only, so
+    that no run meets its own id; an id whose runs alone exceed the limit makes the shard that much larger.
     """
     hits: list[set[int]] = [set() for _ in runs]
 
@@ -69,7 +70,7 @@ def _matches(runs: list[tuple[int, list[int]]]) -> list[list[int]]:
     lo = 0
     while lo < len(runs):
         auto, size, hi, waiting = SuffixAutomaton(), 0, lo, lo
-        while hi < len(runs) and (size < SHARD_WORDS or hi == lo):
+        while hi < len(runs) and (size < SHARD_WORDS or hi == lo or runs[hi][0] == runs[hi - 1][0]):
             while runs[waiting][0] < runs[hi][0]:
                 if len(hits[waiting]) < len(runs[waiting][1]) - WINDOW + 1:
                     auto.add(runs[waiting][1])

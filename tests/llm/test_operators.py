@@ -82,6 +82,24 @@ def test_shards_of_matches_agree(monkeypatch):
     assert whole == [[k for k in range(len(w) - 49) if min(seen[tuple(w[k : k + 50])]) < i] for i, w in runs]
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_shards_end_between_ids(seed, monkeypatch):
+    """A passage that stands twice in its first document stays there, whatever the size of the shards."""
+    r = random.Random(seed)
+    base = [r.randrange(9) for _ in range(400)]
+    runs = sorted((r.randrange(6), base[a : a + r.randrange(50, 120)]) for a in (r.randrange(270) for _ in range(40)))
+    passage = [100 + k for k in range(60)]
+    runs = [(-9, [500 + k for k in range(100)]), (-5, passage), (-5, passage), (-1, passage), *runs]
+    seen = {}
+    for i, w in runs:
+        for k in range(len(w) - 49):
+            seen.setdefault(tuple(w[k : k + 50]), []).append(i)
+    want = [[k for k in range(len(w) - 49) if min(seen[tuple(w[k : k + 50])]) < i] for i, w in runs]
+    for words in (60, 100, 300, 50_000):
+        monkeypatch.setattr(automata_dedup, "SHARD_WORDS", words)
+        assert automata_dedup._matches(runs) == want
+
+
 def test_merge_never_loses_order():
     r = random.Random(3)
     runs, every = [], []
