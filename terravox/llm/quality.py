@@ -28,7 +28,7 @@ from terravox.ship import ship
 
 WORDS, SHAPES, PAIRS, RATIOS, DIM = 1024, 256, 512, 16, 64
 WIDTH = WORDS + SHAPES + PAIRS + RATIOS
-PER_CLASS, NEIGHBOURS, BLOCK = 2500, 15, 512
+PER_CLASS, NEIGHBOURS, BLOCK, SLICE = 2500, 15, 512, 1 << 18
 _ENDS = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.DOTALL)
 
 
@@ -76,8 +76,8 @@ def features(text: str) -> np.ndarray:
     ratios[1] = (codes[2:] == codes[:-2]).mean() if n > 2 else 0
     distinct = len(np.unique(codes)) / n
     ratios[2], ratios[3] = distinct, 1 - distinct
-    letters = sum(map(str.isalpha, text)) if len(text) < 4096 else sum(map(str.isalpha, text[:: len(text) // 4096 + 1])) * (len(text) // 4096 + 1)
-    ratios[4] = min(1.0, letters / len(text))
+    letters = sum(sum(map(str.isalpha, text[lo : lo + SLICE])) for lo in range(0, len(text), SLICE))
+    ratios[4] = letters / len(text)
     ratios[5] = 1 - ratios[4]
     ratios[6 + min(9, int(np.log2(n)) // 2)] = 0.2
     return out

@@ -350,6 +350,14 @@ def test_quality_and_language_hold_out(spark):
     assert (held["lang"] == held["lang_pred"]).mean() > 0.97
 
 
+@pytest.mark.parametrize("text", ["ab12 " * 3000, "a1" * 4096, "a " + "1 " * 6000, "é9-" * 120_000, "abc d. 1"])
+def test_quality_counts_every_letter(text):
+    """Periodic texts of any length have the letter share of the whole text."""
+    share = sum(c.isalpha() for c in text) / len(text)
+    ratios = quality.features(text)[quality.WORDS + quality.SHAPES + quality.PAIRS :]
+    assert ratios[4] == pytest.approx(share, abs=1e-6) and ratios[5] == pytest.approx(1 - share, abs=1e-6)
+
+
 def test_classifiers_with_awkward_rows(spark, corpus):
     docs = frame(spark, corpus)
     labels = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(None, 1), (5, None), (999, 1)], "doc_id long, quality int")
