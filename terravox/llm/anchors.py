@@ -9,7 +9,8 @@ elements. Only segments are exchanged, as hashes:
   only the smallest id of a class matters, so copies are aggregated in their block before anything is sent;
 * a segment whose class has a smaller id elsewhere holds repeated windows only: status DUP;
 * a segment of the smallest id, whose anchor also occurs in classes of other content, has to be compared with
-  those, window by window: status COMPARE. How is up to the operator, which gets such segments by bucket;
+  those, window by window: status COMPARE or above. How is up to the operator, which gets such segments by bucket;
+  an anchor with over ``CROWD`` classes has the status COMPARE + n, which lets the operator deal its windows to 2**n parts;
 * all others have no equal anywhere.
 
 Documents are packed into blocks of some megabytes and written once, bucketed by block, so that later passes
@@ -34,6 +35,7 @@ from terravox.llm.common import LAST_ID, shared_dir, small, texts, written
 WINDOW, ANCHOR = 50, 25
 BLOCK_BYTES, CHUNK = 2 << 20, 1 << 18
 NONE, DUP, COMPARE = 0, 1, 2
+CROWD, MOST_PARTS = 4096, 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTES = np.array([xxhash.xxh3_64_intdigest(bytes([b]), 7) for b in range(256)], np.uint64)
@@ -177,17 +179,18 @@ def unpacked(batch, words: bool) -> Iterator[tuple[int, Block]]:
 class Exchange:
     """Blocks of a corpus and the status of their segments."""
 
-    def __init__(self, docs: DataFrame, words: bool, id_col: str = "doc_id", text_col: str = "text"):
+    def __init__(self, docs: DataFrame, words: bool, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD):
         self.spark, self.words = docs.sparkSession, words
         self.table = f"blocks_{uuid.uuid4().hex}"
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         packed = texts(docs, id_col, text_col).select(F.coalesce("id", F.lit(LAST_ID)).alias("id"), F.xxhash64("text").alias("row"), "text")
         packed = packed.mapInArrow(_pack, "block long, ids binary, rows binary, lengths binary, body binary")
-        packed.write.bucketBy(parts, "block").option("compression", "none").option("path", shared_dir(self.spark, "blocks")).format("parquet").saveAsTable(self.table)
+        # Dealt before writing, so that a bucket is one file and not one per block.
+        packed.repartition(parts, "block").write.bucketBy(parts, "block").option("compression", "none").option("path", shared_dir(self.spark, "blocks")).format("parquet").saveAsTable(self.table)
         self.blocks = self.spark.table(self.table)
         self.buckets = max(64, self.blocks.count() // 2)
         sent = self.blocks.mapInArrow(self._send, "bucket long, block long, ids binary, keys binary, contents binary, rows binary")
-        found = sent.groupBy("bucket").applyInArrow(_decide, "block long, bucket long, status binary")
+        found = sent.groupBy("bucket").applyInArrow(_decider(crowd), "block long, bucket long, status binary")
         found = written(found, "status")
         by_block = found.groupBy("block").agg(F.collect_list(F.struct("bucket", "status")).alias("status"))
         self.known = self.blocks.join(by_block, "block", "left")
@@ -202,10 +205,10 @@ class Exchange:
                     seg = segments(block)
                     order, first, bucket = _classes(block, seg, buckets)
                     head, at = order[first], bucket[first]
-                    cuts = np.searchsorted(at, np.arange(buckets + 1))
+                    used_buckets, cuts = np.unique(at, return_index=True)
                     rows: list[tuple] = []
-                    for b in np.unique(at).tolist():
-                        part = head[cuts[b] : cuts[b + 1]]
+                    for b, lo, hi in zip(used_buckets.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(at)]):
+                        part = head[lo:hi]
                         used, index = np.unique(block.ids[seg.row[part]], return_inverse=True)
                         rows.append((b, number, used.astype("<i8").tobytes(), _six(seg.key[part] & LOW48), _six(seg.content[part] & LOW48), zip_(index.astype("<u4"))))
                     kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 4
@@ -246,27 +249,32 @@ def _pack(batches):
         yield packed()
 
 
-def _decide(table: pa.Table) -> pa.Table:
+def _decider(crowd: int):
     """The status of every class of every block within one bucket."""
-    keys, contents, ids, sizes = [], [], [], []
-    for i, k, c, r in zip(*(table.column(x).to_pylist() for x in ("ids", "keys", "contents", "rows"))):
-        keys.append(_from_six(k))
-        contents.append(_from_six(c))
-        ids.append(np.frombuffer(i, "<i8")[unzip(r, "<u4")])
-        sizes.append(len(keys[-1]))
-    k, c, i = np.concatenate(keys), np.concatenate(contents), np.concatenate(ids)
-    order = np.lexsort((c, k))
-    k, c, i = k[order], c[order], i[order]
-    new_key = np.r_[True, k[1:] != k[:-1]]
-    new_class = new_key | np.r_[True, c[1:] != c[:-1]]
-    first = np.flatnonzero(new_class)
-    of_class = np.cumsum(new_class) - 1
-    least = np.minimum.reduceat(i, first)[of_class]
-    variants = np.add.reduceat(new_class.astype(np.int64), np.flatnonzero(new_key))[np.cumsum(new_key) - 1]
-    out = np.empty(len(k), np.uint8)
-    out[order] = np.where(i > least, DUP, np.where(variants > 1, COMPARE, NONE))
-    parts = np.split(out, np.cumsum(sizes)[:-1])
-    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "status": pa.array([zip_(p) for p in parts], pa.binary())})
+
+    def decide(table: pa.Table) -> pa.Table:
+        keys, contents, ids, sizes = [], [], [], []
+        for i, k, c, r in zip(*(table.column(x).to_pylist() for x in ("ids", "keys", "contents", "rows"))):
+            keys.append(_from_six(k))
+            contents.append(_from_six(c))
+            ids.append(np.frombuffer(i, "<i8")[unzip(r, "<u4")])
+            sizes.append(len(keys[-1]))
+        k, c, i = np.concatenate(keys), np.concatenate(contents), np.concatenate(ids)
+        order = np.lexsort((c, k))
+        k, c, i = k[order], c[order], i[order]
+        new_key = np.r_[True, k[1:] != k[:-1]]
+        new_class = new_key | np.r_[True, c[1:] != c[:-1]]
+        first = np.flatnonzero(new_class)
+        of_class = np.cumsum(new_class) - 1
+        least = np.minimum.reduceat(i, first)[of_class]
+        variants = np.add.reduceat(new_class.astype(np.int64), np.flatnonzero(new_key))[np.cumsum(new_key) - 1]
+        parts = np.ceil(np.log2(np.maximum(variants / crowd, 1))).astype(np.int64)
+        out = np.empty(len(k), np.uint8)
+        out[order] = np.where(i > least, DUP, np.where(variants > 1, COMPARE + np.minimum(parts, MOST_PARTS), NONE))
+        parts = np.split(out, np.cumsum(sizes)[:-1])
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "status": pa.array([zip_(p) for p in parts], pa.binary())})
+
+    return decide
 
 
 def statuses(block: Block, found, buckets: int) -> tuple[Segments, np.ndarray]:

@@ -118,7 +118,7 @@ def repeated(exchange: Exchange) -> DataFrame:
         for batch in batches:
             for (number, block), status in zip(unpacked(batch, True), batch.column("status").to_pylist()):
                 seg, found = statuses(block, status or [], buckets)
-                chosen = np.flatnonzero(found == COMPARE)
+                chosen = np.flatnonzero(found >= COMPARE)
                 need = sorted(set(seg.row[chosen].tolist()))
                 hashes = {r: block.hashes(range(r, r + 1))[0] for r in need}
                 bucket = bucket_of(seg.key[chosen], buckets)

@@ -1,11 +1,12 @@
 """Substring dedup by a distributed merge sort of suffixes that knows common prefixes.
 
-Each block sorts the suffixes that have to be compared (see ``anchors``) into one run per bucket and sends it
+Tasks sort the suffixes that have to be compared (see ``anchors``), some blocks at a time, into one run per bucket and send it
 front-coded: for each suffix the length of the prefix it shares with the one before, and the rest of its first
-``WINDOW`` bytes. Per bucket the runs are combined by a loser tree. Every candidate carries the length of its common prefix with the
-last winner; candidates that differ in it are ordered by it alone, and equal ones are compared only
-behind it, so no byte that is known to be equal is looked at again. Suffixes that share a whole window come out side by
-side, and all but those of the smallest id are repeated.
+``WINDOW`` bytes. Per bucket the runs are combined by a loser tree. A candidate carries its offset-value code: the length of its
+common prefix with the last winner and the byte behind it. Codes that differ order two candidates, and the loser's code holds for the
+new winner too; only equal codes ask for bytes, and only for those behind the known prefix, so no byte that is known to be equal is
+looked at again. Suffixes that share a whole window come out side by side, and all but those of the smallest id are repeated.
+Windows of an anchor that very many texts share are dealt to several parts by their hash, equal ones to the same part.
 
 Edge cases: a null or empty text has no bytes; texts shorter than a window keep all bytes; rows of one id never
 remove each other's bytes; a null id counts as the largest.
@@ -20,111 +21,97 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravox.llm.anchors import COMPARE, DUP, WINDOW, Block, Exchange, Segments, bucket_of, covered, statuses, unpacked, unzip, zip_
+from terravox.llm.anchors import COMPARE, CROWD, DUP, MOST_PARTS, WINDOW, Block, Exchange, bucket_of, covered, mix, statuses, unpacked, unzip, zip_
 from terravox.llm.common import LAST_ID, same_columns, written
 
-RUN = "bucket long, block long, shared binary, tails binary, ids binary, rows binary, starts binary"
+RUN = "bucket long, blocks binary, shared binary, tails binary, ids binary, which binary, rows binary, starts binary"
+#: Text of the blocks sorted together, suffixes that leave the tree before their groups are judged, and the code of an empty run.
+RUN_BYTES, FLUSH, END = 16 << 20, 1 << 18, 1 << 30
 
 
-def sorted_run(block: Block, seg: Segments, chosen: np.ndarray):
-    """The window suffixes of the chosen segments in order: shared prefix lengths, tails, ids, rows, starts."""
-    many = seg.windows[chosen]
-    row = np.repeat(seg.row[chosen], many)
-    inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    start = np.repeat(seg.start[chosen], many) + inner
-    lengths = np.fromiter(map(len, block.texts), np.int64, len(block.texts))
-    offsets = np.cumsum(lengths) - lengths
-    raw = np.frombuffer(b"".join(block.texts), np.uint8)
-    matrix = np.lib.stride_tricks.sliding_window_view(raw, WINDOW)[offsets[row] + start]
+def front_coded(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of windows, one per row, then in that order the prefix each shares with the one before, and what follows it."""
     order = np.argsort(np.ascontiguousarray(matrix).view(f"S{WINDOW}").ravel(), kind="stable")
     matrix = matrix[order]
     differ = matrix[1:] != matrix[:-1]
-    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), WINDOW)
-    shared = np.r_[0, shared].astype(np.uint8)
-    tails = matrix[np.arange(WINDOW)[None, :] >= shared[:, None]]
-    row, start = row[order], start[order]
-    return shared, tails, block.ids[row], row, start
+    shared = np.r_[0, np.where(differ.any(axis=1), differ.argmax(axis=1), WINDOW)].astype(np.uint8)
+    return order, shared, matrix[np.arange(WINDOW)[None, :] >= shared[:, None]]
+
+
+def offset_value_codes(shared: np.ndarray, tails: np.ndarray) -> list[int]:
+    """Codes against the suffix before: the smaller comes first, 0 means equal."""
+    left = WINDOW - shared.astype(np.int64)
+    at = np.minimum(np.cumsum(left) - left, max(0, len(tails) - 1))
+    return np.where(left > 0, left << 8 | tails[at], 0).tolist()
 
 
 class Run:
     """A front-coded run, decoded one suffix at a time."""
 
-    __slots__ = ("shared", "tails", "at", "pos", "head", "known")
+    __slots__ = ("shared", "tails", "codes", "at", "pos", "head")
 
     def __init__(self, shared: bytes, tails: bytes):
-        self.shared, self.tails, self.at, self.pos, self.head, self.known = shared, tails, -1, 0, b"", 0
-        self.advance()
+        self.shared, self.tails, self.at, self.pos, self.head = shared, tails, -1, 0, b""
+        self.codes = offset_value_codes(np.frombuffer(shared, np.uint8), np.frombuffer(tails, np.uint8)) if shared else []
 
-    def advance(self) -> bool:
-        """The next suffix as head; known: the prefix it shares with the one before."""
+    def advance(self) -> int:
+        """Goes to the next suffix and returns its code."""
         self.at += 1
-        if self.at >= len(self.shared):
-            self.head = None
-            return False
-        n = self.known = self.shared[self.at]
+        if self.at >= len(self.codes):
+            self.head = b""
+            return END
+        n = self.shared[self.at]
         if n < WINDOW:
             end = self.pos + WINDOW - n
             self.head = self.head[:n] + self.tails[self.pos : end]
             self.pos = end
-        return True
-
-
-def _mismatch(a: bytes, b: bytes, at: int) -> int:
-    """The first place from ``at`` on where two suffixes differ, or WINDOW."""
-    if a[at:] == b[at:]:
-        return WINDOW
-    while a[at] == b[at]:
-        at += 1
-    return at
+        return self.codes[self.at]
 
 
 def merge(runs: list[Run]):
-    """Yields (run, index, prefix shared with the one yielded before) in the order of all suffixes."""
+    """Yields (run, index, whether equal to the one yielded before) in the order of all suffixes."""
     k = len(runs)
-    if k == 1:
-        run = runs[0]
-        while run.head is not None:
-            yield 0, run.at, run.known
-            run.advance()
-        return
-    known = [0] * k
-    heads = [r.head for r in runs]
-    tree = [-1] * k
-
-    def play(a: int, b: int) -> tuple[int, int]:
-        """(winner, loser); the loser's known prefix becomes the one it shares with the winner."""
-        x, y = heads[a], heads[b]
-        if x is None:
-            return b, a
-        if y is None:
-            return a, b
-        p, q = known[a], known[b]
-        if p != q:
-            return (a, b) if p > q else (b, a)
-        m = _mismatch(x, y, p)
-        if m == WINDOW:
-            first, second = (a, b) if a < b else (b, a)
-        else:
-            first, second = (a, b) if x[m] < y[m] else (b, a)
-        known[second] = m
-        return first, second
+    code = [run.advance() for run in runs]
+    tree = [0] * k
+
+    def behind(a: int, b: int) -> bool:
+        """For candidates of equal code: whether b comes first. The later one's code becomes that against the earlier one."""
+        x, y, at = runs[a].head, runs[b].head, WINDOW - (code[a] >> 8) + 1
+        if x[at:] == y[at:]:
+            code[b] = 0
+            return False
+        while x[at] == y[at]:
+            at += 1
+        later = b if x[at] < y[at] else a
+        code[later] = WINDOW - at << 8 | runs[later].head[at]
+        return later == a
 
     def seed(node: int) -> int:
         if node >= k:
             return node - k
-        w, tree[node] = play(seed(2 * node), seed(2 * node + 1))
-        return w
-
-    winner = seed(1)
-    while heads[winner] is not None:
+        a, b = seed(2 * node), seed(2 * node + 1)
+        if code[b] < code[a] or (0 < code[a] == code[b] < END and behind(a, b)):
+            a, b = b, a
+        tree[node] = b
+        return a
+
+    winner = seed(1) if k > 1 else 0
+    while (now := code[winner]) < END:
         run = runs[winner]
-        yield winner, run.at, known[winner]
-        run.advance()
-        heads[winner] = run.head
-        known[winner] = run.known
-        node = (winner + k) >> 1
+        yield winner, run.at, not now
+        now = run.advance()
+        while not now:
+            yield winner, run.at, True
+            now = run.advance()
+        code[winner] = now
+        node = winner + k >> 1
         while node:
-            winner, tree[node] = play(winner, tree[node])
+            other = tree[node]
+            theirs = code[other]
+            if theirs < now:
+                tree[node], winner, now = winner, other, theirs
+            elif theirs == now and 0 < now < END and behind(winner, other):
+                tree[node], winner = winner, other
             node >>= 1
 
 
@@ -132,31 +119,77 @@ def _combine(table: pa.Table) -> pa.Table:
     """Repeated windows of one bucket: per block, rows and starts."""
     cols = {c: table.column(c).to_pylist() for c in table.column_names}
     runs = [Run(unzip(s), unzip(t)) for s, t in zip(cols["shared"], cols["tails"])]
-    ids = [unzip(x, "<i8").tolist() for x in cols["ids"]]
-    hits: list[list[int]] = [[] for _ in runs]
-    group: list[tuple[int, int]] = []
-
-    def close():
-        if len(group) > 1:
-            least = min(ids[r][i] for r, i in group)
-            for r, i in group:
-                if ids[r][i] > least:
-                    hits[r].append(i)
-
-    for r, i, shared in merge(runs):
-        if shared < WINDOW:
-            close()
-            group = []
-        group.append((r, i))
-    close()
-    out = [[], [], []]
-    for r, found in enumerate(hits):
-        if found:
-            at = np.array(found)
-            out[0].append(cols["block"][r])
-            out[1].append(zip_(unzip(cols["rows"][r], "<u4")[at]))
-            out[2].append(zip_(unzip(cols["starts"][r], "<u4")[at]))
-    return pa.table({"block": pa.array(out[0], pa.int64()), "rows": pa.array(out[1], pa.binary()), "starts": pa.array(out[2], pa.binary())})
+    ids = np.concatenate([unzip(x, "<i8") for x in cols["ids"]])
+    base = np.cumsum([0] + [len(r.codes) for r in runs]).tolist()
+    found: list[np.ndarray] = []
+    out: list[int] = []  # Places of suffixes in order; the first of each group of equal ones as its complement.
+
+    def judge():
+        if not out:
+            return
+        at = np.array(out)
+        new = at < 0
+        at = np.where(new, ~at, at)
+        least = np.minimum.reduceat(ids[at], np.flatnonzero(new))
+        found.append(at[ids[at] > least[np.cumsum(new) - 1]])
+        out.clear()
+
+    for r, i, same in merge(runs):
+        if same:
+            out.append(base[r] + i)
+        else:
+            if len(out) > FLUSH:
+                judge()
+            out.append(~(base[r] + i))
+    judge()
+    at = np.concatenate(found) if found else np.zeros(0, np.int64)
+    block, row, start = (np.concatenate(x) for x in zip(*((np.frombuffer(b, "<i8")[unzip(w, "<u4")], unzip(r, "<u4"), unzip(s, "<u4")) for b, w, r, s in zip(*(cols[c] for c in ("blocks", "which", "rows", "starts"))))))
+    at = at[np.argsort(block[at], kind="stable")]
+    numbers, cuts = np.unique(block[at], return_index=True)
+    parts = [at[lo:hi] for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)])]
+    return pa.table({"block": pa.array(numbers, pa.int64()), "rows": pa.array([zip_(row[p]) for p in parts], pa.binary()), "starts": pa.array([zip_(start[p]) for p in parts], pa.binary())})
+
+
+_SPREAD = np.cumprod(np.full(WINDOW, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def _runs(group: list[tuple[int, Block, list]], buckets: int) -> pa.RecordBatch:
+    """Sorted runs of the windows to compare in some blocks, one per bucket (and part, where the anchor is crowded)."""
+    parts: list[list[np.ndarray]] = [[] for _ in range(7)]
+    base = 0
+    for which, (_, block, status) in enumerate(group):
+        seg, state = statuses(block, status, buckets)
+        chosen = np.flatnonzero(state >= COMPARE)
+        many = seg.windows[chosen]
+        row = np.repeat(seg.row[chosen], many)
+        start = np.repeat(seg.start[chosen], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        lengths = np.fromiter(map(len, block.texts), np.int64, len(block.texts))
+        place = (np.cumsum(lengths) - lengths)[row] + start + base if len(row) else row
+        values = (np.repeat(bucket_of(seg.key[chosen], buckets), many), np.repeat(state[chosen] - COMPARE, many), np.full(len(row), which), row, start, place, block.ids[row])
+        for p, v in zip(parts, values):
+            p.append(v.astype(np.int64))
+        base += int(lengths.sum())
+    bucket, level, which, row, start, place, ids = (np.concatenate(p) for p in parts)
+    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(t for _, b, _ in group for t in b.texts), np.uint8), WINDOW) if len(bucket) else None
+    part = np.zeros(len(bucket), np.int64)
+    crowded = np.flatnonzero(level)
+    for lo in range(0, len(crowded), 1 << 16):
+        at = crowded[lo : lo + (1 << 16)]
+        with np.errstate(over="ignore"):
+            h = mix((windows[place[at]].astype(np.uint64) * _SPREAD).sum(axis=1))
+        part[at] = (h >> (64 - level[at]).astype(np.uint64)).astype(np.int64)
+    key = bucket << MOST_PARTS | part
+    order = np.argsort(key, kind="stable")
+    keys, cuts = np.unique(key[order], return_index=True)
+    numbers = np.array([n for n, _, _ in group], "<i8").tobytes()
+    rows = []
+    for k, lo, hi in zip(keys.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+        mine = order[lo:hi]
+        inner, shared, tails = front_coded(windows[place[mine]])
+        mine = mine[inner]
+        rows.append((k, numbers, zip_(shared), zip_(tails), zip_(ids[mine].astype("<i8")), *(zip_(x[mine].astype("<u4")) for x in (which, row, start))))
+    kinds = [pa.int64()] + [pa.binary()] * 7
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*rows)) or [()] * 8, kinds)], names=[x.split()[0] for x in RUN.split(", ")])
 
 
 def repeated(exchange: Exchange) -> DataFrame:
@@ -164,18 +197,16 @@ def repeated(exchange: Exchange) -> DataFrame:
     words, buckets = exchange.words, exchange.buckets
 
     def send(batches):
+        group, size = [], 0
         for batch in batches:
             for (number, block), status in zip(unpacked(batch, words), batch.column("status").to_pylist()):
-                seg, found = statuses(block, status or [], buckets)
-                chosen = np.flatnonzero(found == COMPARE)
-                bucket = bucket_of(seg.key[chosen], buckets)
-                rows = []
-                for b in np.unique(bucket).tolist():
-                    shared, tails, ids, row, start = sorted_run(block, seg, chosen[bucket == b])
-                    rows.append((b, number, zip_(shared), zip_(tails), zip_(ids.astype("<i8")), zip_(row.astype("<u4")), zip_(start.astype("<u4"))))
-                kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 5
-                cols = list(zip(*rows)) or [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in RUN.split(", ")])
+                group.append((number, block, status or []))
+                size += sum(map(len, block.texts))
+                if size >= RUN_BYTES:
+                    yield _runs(group, buckets)
+                    group, size = [], 0
+        if group:
+            yield _runs(group, buckets)
 
     runs = exchange.known.mapInArrow(send, RUN)
     return written(runs.groupBy("bucket").applyInArrow(_combine, "block long, rows binary, starts binary"), "repeats")
@@ -227,9 +258,12 @@ def removed(exchange: Exchange, found: DataFrame, keep_text: bool = False) -> Da
     return both.mapInArrow(apply, RESULT + ", text string" * keep_text)
 
 
-def substring_dedup(docs: DataFrame, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Takes every byte out that lies in a ``WINDOW``-byte string which also starts in a document of a smaller id."""
-    exchange = Exchange(docs, words=False, id_col=id_col, text_col=text_col)
+def substring_dedup(docs: DataFrame, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+    """Takes every byte out that lies in a ``WINDOW``-byte string which also starts in a document of a smaller id.
+
+    crowd: classes of one anchor beyond which its windows are dealt to several tasks.
+    """
+    exchange = Exchange(docs, words=False, id_col=id_col, text_col=text_col, crowd=crowd)
     out = removed(exchange, repeated(exchange), keep_text)
     exchange.drop()
     return out

@@ -67,6 +67,13 @@ def test_substring_dedup(spark, corpus, words, small_blocks, monkeypatch):
     assert sorted([tuple(r)[0:1] + tuple(r)[2:6] for r in got], key=str) == brute_dedup(corpus, split, join)
 
 
+def test_crowded_anchors_lose_no_window(spark, corpus):
+    """Windows of anchors with many texts are dealt to several tasks, with the same result."""
+    rows = corpus + [(600 + i, f"{prose(7, 9)} {prose(700 + i // 2, 12)} {prose(8, 9)}") for i in range(60)]
+    got = suffix_merge.substring_dedup(frame(spark, rows), crowd=2).collect()
+    assert sorted([tuple(r)[0:1] + tuple(r)[2:6] for r in got], key=str) == brute_dedup(rows, lambda b: b, lambda u, k: bytes(x for x, y in zip(u, k) if y))
+
+
 def test_shards_of_matches_agree(monkeypatch):
     """Cutting the reference into shards changes nothing."""
     r = random.Random(5)
@@ -100,10 +107,11 @@ def test_shards_end_between_ids(seed, monkeypatch):
         assert automata_dedup._matches(runs) == want
 
 
-def test_merge_never_loses_order():
+@pytest.mark.parametrize("n_runs", [1, 2, 3, 5, 17, 64])
+def test_merge_never_loses_order(n_runs):
     r = random.Random(3)
     runs, every = [], []
-    for _ in range(5):
+    for _ in range(n_runs):
         mine = sorted(bytes(r.choice(b"ab") for _ in range(50)) if r.random() < 0.5 else (b"ab" * 25)[r.randrange(2) :][:49] + b"z" for _ in range(r.randrange(0, 40)))
         every += mine
         shared, tails, last = [], b"", b""
@@ -114,9 +122,9 @@ def test_merge_never_loses_order():
             last = s
         runs.append((mine, suffix_merge.Run(bytes(shared), tails)))
     got, last = [], b""
-    for k, i, shared in suffix_merge.merge([x for _, x in runs]):
+    for k, i, same in suffix_merge.merge([x for _, x in runs]):
         s = runs[k][0][i]
-        assert shared == (next((j for j in range(50) if j >= len(last) or s[j] != last[j]), 50) if got else 0)
+        assert same == (s == last)
         got.append(s)
         last = s
     assert got == sorted(every)
