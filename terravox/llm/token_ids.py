@@ -2,6 +2,8 @@
 
 ``IdEncoder.encode`` returns exactly what the tokenizers library returns for the whole text. Texts are
 cut only where the tokenizer itself always cuts, and each distinct piece is encoded once per worker.
+As in the library's default, the written form of an added token (such as an end mark) becomes that token;
+texts that hold one go through the library whole. ``plain`` makes such strings ordinary text.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ _RUNS = [" " + chr(c) for c in range(0x3001) if chr(c).isspace()]
 #: Latin letters, then one run of ASCII signs (no apostrophe): two pieces to every tokenizer handled here.
 _SIGNED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_ENCODERS: dict[tuple[str, int], IdEncoder] = {}
+_ENCODERS: dict[tuple, IdEncoder] = {}
 
 
 def byte_letters() -> dict[int, str]:
@@ -51,14 +53,16 @@ class _Memo(dict):
 
 
 class IdEncoder:
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 400_000, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.kind = self._kind(spec)
+        added = [t for t in spec.get("added_tokens") or [] if not (plain and t.get("special"))]
+        self.added = [t["content"] for t in added]
+        self.kind = "whole" if any(t.get("normalized") for t in added) else self._kind(spec)
         letters = byte_letters()
         self.stand_in = str.maketrans({chr(b): c for b, c in letters.items()})
         self.space = letters[32]
@@ -107,6 +111,8 @@ class IdEncoder:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if any(token in text for token in self.added):
+            return self.whole(text)
         if self.kind == "word":
             return b"".join(map(self.first.__getitem__, text.replace("\n", " ").split(" ")))
         if self.kind == "byte" and not any(run in text for run in _RUNS):
@@ -115,9 +121,9 @@ class IdEncoder:
         return self.whole(text)
 
 
-def encoder(path: str, memo: int = 400_000) -> IdEncoder:
+def encoder(path: str, memo: int = 400_000, plain: bool = False) -> IdEncoder:
     """One encoder per worker process and file."""
-    key = (path, memo)
+    key = (path, memo, plain)
     if key not in _ENCODERS:
-        _ENCODERS[key] = IdEncoder(path, memo)
+        _ENCODERS[key] = IdEncoder(path, memo, plain)
     return _ENCODERS[key]
