@@ -1,12 +1,14 @@
 """Raw token-id shards with keyed access through a minimal perfect hash.
 
 Format of a store (a folder): ``<shard>.ids`` holds the ids of the shard's documents one after the other,
-little-endian, 2 or 4 bytes each; ``<shard>.idx`` is a NumPy archive of
+little-endian, 2 or 4 bytes each; ``<shard>.idx`` is a header of HEADER 64-bit integers (levels of the hash function, 512-bit
+blocks, slots, documents; then the bits of each level) and four sections of fixed-width records, so that any one is read by its place:
 
-* keys: the document keys in ascending order (null last, as 2**63 - 1), lengths: ids of each document,
-* bits, levels: the bit arrays of the hash function, level after level, and the bits of each,
-* ranks: set bits before each 512-bit block, so that a rank takes constant time,
-* slot_offset, slot_length, slot_print: per slot of the hash, where the document lies and its key's fingerprint;
+* blocks: set bits before the block (8 bytes), then the block's part of the bit arrays of the hash function (64 bytes);
+* slots: per slot of the hash the offset and length, in ids, of a document and the fingerprint of its key;
+* keys: the document keys in ascending order (null last, as 2**63 - 1); lengths: ids of each document.
+
+Looking a key up reads the header, one block for each level tried (1.6 on average), one slot and the ids, whatever the size of the shard.
 
 ``manifest`` is a Parquet table: shard, first, n_docs, n_ids, width. The hash places a key on each level by one
 mix; keys that are alone at their bit stay there, the rest go to the next level. Repeated keys share the slot of their
@@ -19,7 +21,6 @@ writes an empty manifest.
 
 from __future__ import annotations
 
-import io
 import uuid
 import zlib
 
@@ -32,7 +33,11 @@ from pyspark.sql import functions as F
 from terravox.llm.common import LAST_ID, shared_dir, small, texts
 from terravox.llm.token_ids import encoder
 
-GAMMA, BLOCK = 1.5, 512
+GAMMA, BLOCK, HEADER = 1.5, 512, 128
+BLOCK_KIND = np.dtype([("before", "<i8"), ("bits", "u1", BLOCK // 8)])
+SLOT_KIND = np.dtype([("offset", "<i8"), ("length", "<i8"), ("print", "<u4")])
+#: Ids read at a time when whole shards are read.
+READ_IDS = 1 << 20
 MANIFEST = "part int, shard string, first_key long, n_docs long, n_ids long, width int"
 
 
@@ -45,13 +50,17 @@ def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
 
 
 class PerfectHash:
-    """Minimal perfect hash of distinct 64-bit keys: each key gets its own slot in 0 .. n-1."""
+    """Minimal perfect hash of distinct 64-bit keys: each key gets its own slot in 0 .. n-1.
 
-    def __init__(self, bits: np.ndarray, levels: np.ndarray, ranks: np.ndarray):
-        self.bits, self.levels, self.ranks = bits, levels, ranks
+    blocks: function from block numbers to (bits set before each, its 64 bytes).
+    """
 
-    @classmethod
-    def build(cls, keys: np.ndarray) -> PerfectHash:
+    def __init__(self, levels: list[int], blocks):
+        self.levels, self.blocks = levels, blocks
+
+    @staticmethod
+    def build(keys: np.ndarray) -> tuple[list[int], np.ndarray]:
+        """Bits of each level, and the records of all blocks."""
         left, arrays, levels = keys, [], []
         while len(left):
             size = max(8, int(GAMMA * len(left)))
@@ -61,28 +70,34 @@ class PerfectHash:
             levels.append(size)
             left = left[~alone[at]]
         bits = np.concatenate(arrays) if arrays else np.zeros(0, bool)
-        bits = np.concatenate([bits, np.zeros(-len(bits) % BLOCK, bool)])
-        ranks = np.concatenate([[0], np.cumsum(bits.reshape(-1, BLOCK).sum(axis=1))]).astype(np.int64)
-        return cls(np.packbits(bits), np.array(levels, np.int64), ranks)
+        bits = np.concatenate([bits, np.zeros(-len(bits) % BLOCK, bool)]).reshape(-1, BLOCK)
+        out = np.zeros(len(bits), BLOCK_KIND)
+        out["before"] = np.cumsum(bits.sum(axis=1)) - bits.sum(axis=1)
+        out["bits"] = np.packbits(bits, axis=1)
+        return levels, out
+
+    @classmethod
+    def of(cls, keys: np.ndarray) -> PerfectHash:
+        levels, records = cls.build(keys)
+        return cls(levels, lambda numbers: records[numbers])
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key; for a key that was not built in, any slot or -1."""
         out, todo, base = np.full(len(keys), -1, np.int64), np.arange(len(keys)), 0
-        for level, size in enumerate(self.levels.tolist()):
-            at = base + (_mix(keys[todo], level) % np.uint64(size)).astype(np.int64)
-            hit = (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-            out[todo[hit]] = self._rank(at[hit])
-            todo, base = todo[~hit], base + size
+        for level, size in enumerate(self.levels):
+            for lo in range(0, len(todo), 1 << 14):
+                mine = todo[lo : lo + (1 << 14)]
+                at = base + (_mix(keys[mine], level) % np.uint64(size)).astype(np.int64)
+                record, inner = self.blocks(at // BLOCK), at % BLOCK
+                bits = np.unpackbits(record["bits"], axis=1)
+                hit = bits[np.arange(len(at)), inner] == 1
+                before = (bits[hit] * (np.arange(BLOCK)[None, :] < inner[hit][:, None])).sum(axis=1)
+                out[mine[hit]] = record["before"][hit] + before
+            todo, base = todo[out[todo] < 0], base + size
+            if not len(todo):
+                break
         return out
 
-    def _rank(self, at: np.ndarray) -> np.ndarray:
-        block = at // BLOCK
-        rows = self.bits.reshape(-1, BLOCK // 8)[block]
-        before = np.arange(BLOCK)[None, :] < (at % BLOCK)[:, None] if len(at) < 4096 else None
-        if before is not None:
-            return self.ranks[block] + (np.unpackbits(rows, axis=1).astype(bool) & before).sum(axis=1)
-        return np.concatenate([self._rank(at[i : i + 4095]) for i in range(0, len(at), 4095)])
-
 
 def fingerprint(keys: np.ndarray) -> np.ndarray:
     return (_mix(keys, 1_000) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -128,15 +143,14 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | No
         keys, lengths = np.array(keys, np.int64), np.array(lengths, np.int64)
         firsts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         offsets = np.cumsum(lengths) - lengths
-        found = PerfectHash.build(keys[firsts])
-        slot = found.slots(keys[firsts])
-        index = {"keys": keys, "lengths": lengths, "bits": found.bits, "levels": found.levels, "ranks": found.ranks}
-        for what, values, kind in (("slot_offset", offsets[firsts], np.int64), ("slot_length", np.add.reduceat(lengths, firsts), np.int64), ("slot_print", fingerprint(keys[firsts]), np.uint32)):
-            index[what] = np.empty(len(firsts), kind)
-            index[what][slot] = values
-        data = io.BytesIO()
-        np.savez(data, **index)
-        _put(f"{path}/{name}.idx", data.getvalue())
+        levels, blocks = PerfectHash.build(keys[firsts])
+        slot = PerfectHash(levels, lambda numbers: blocks[numbers]).slots(keys[firsts])
+        slots = np.empty(len(firsts), SLOT_KIND)
+        for what, values in (("offset", offsets[firsts]), ("length", np.add.reduceat(lengths, firsts)), ("print", fingerprint(keys[firsts]))):
+            slots[what][slot] = values
+        header = np.zeros(HEADER, "<i8")
+        header[: 4 + len(levels)] = [len(levels), len(blocks), len(slots), len(keys), *levels]
+        _put(f"{path}/{name}.idx", b"".join(x.tobytes() for x in (header, blocks, slots, keys.astype("<i8"), lengths.astype("<i8"))))
         row = [[part], [name], [int(keys[0])], [len(keys)], [int(lengths.sum())], [width]]
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=[x.split()[0] for x in MANIFEST.split(", ")])
 
@@ -154,43 +168,80 @@ def shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 class Shard:
-    """One shard, opened for keyed access."""
+    """One shard, opened for keyed access; ``touched`` counts the bytes read from it."""
 
     def __init__(self, path: str, name: str, width: int):
         files, at = pafs.FileSystem.from_uri(f"{path}/{name}.idx")
-        with files.open_input_file(at) as f:
-            index = np.load(io.BytesIO(f.read()))
-            self.index = {k: index[k] for k in index.files}
-        self.hash = PerfectHash(self.index["bits"], self.index["levels"], self.index["ranks"])
-        self.files, self.at, self.width = files, at[:-4] + ".ids", width
+        self.index, self.ids, self.width, self.touched = files.open_input_file(at), files.open_input_file(f"{at[:-4]}.ids"), width, 0
+        n_levels, n_blocks, n_slots, self.n_docs, *levels = self._records(self.index, "<i8", 0, HEADER).tolist()
+        kinds, sizes, at = (BLOCK_KIND, SLOT_KIND, np.dtype("<i8"), np.dtype("<i8")), (n_blocks, n_slots, self.n_docs, self.n_docs), 8 * HEADER
+        self.sections = {}
+        for what, kind, n in zip(("blocks", "slots", "keys", "lengths"), kinds, sizes):
+            self.sections[what] = kind, at, n
+            at += kind.itemsize * n
+        self.hash = PerfectHash(levels[:n_levels], lambda numbers: self.some("blocks", numbers))
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.index.close()
+        self.ids.close()
+
+    def _records(self, file, kind, at: int, n: int) -> np.ndarray:
+        kind = np.dtype(kind)
+        self.touched += kind.itemsize * n
+        return np.frombuffer(file.read_at(kind.itemsize * n, at), kind)
+
+    def some(self, what: str, numbers: np.ndarray) -> np.ndarray:
+        """Records of a section: each by its place while they are few, else out of the whole section, read once."""
+        kind, at, n = self.sections[what]
+        if len(numbers) > 64 and not isinstance(at, np.ndarray):
+            at = self._records(self.index, kind, at, n)
+            self.sections[what] = kind, at, n
+        if isinstance(at, np.ndarray):
+            return at[numbers]
+        return np.concatenate([self._records(self.index, kind, at + kind.itemsize * int(i), 1) for i in numbers]) if len(numbers) else np.zeros(0, kind)
+
+    def whole(self, what: str) -> np.ndarray:
+        kind, at, n = self.sections[what]
+        return self._records(self.index, kind, at, n)
 
     def ranges(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Offset and length, in ids, of all records of each key; length -1 where the key is not stored."""
         slot = self.hash.slots(keys)
-        known = slot >= 0
-        known[known] = self.index["slot_print"][slot[known]] == fingerprint(keys[known])
-        slot = np.where(known, slot, 0)
-        return self.index["slot_offset"][slot], np.where(known, self.index["slot_length"][slot], -1)
+        out = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
+        held = np.flatnonzero(slot >= 0)
+        found = self.some("slots", slot[held])
+        same = found["print"] == fingerprint(keys[held])
+        out[0][held[same]], out[1][held[same]] = found["offset"][same], found["length"][same]
+        return out
 
     def read(self, offset: int, length: int) -> np.ndarray:
-        with self.files.open_input_file(self.at) as f:
-            return np.frombuffer(f.read_at(length * self.width, offset * self.width), f"<u{self.width}")
+        return self._records(self.ids, f"<u{self.width}", offset * self.width, length)
 
 
 def lookup(spark: SparkSession, path: str, keys: list[int]) -> dict[int, list[int]]:
-    """The ids stored for a few keys, by constant-time access to the shards whose key range holds them."""
-    out: dict[int, list[int]] = {}
-    rows = shards(spark, path).orderBy("part").select("shard", "width", "first_key", F.lead("first_key").over(Window.orderBy("part")).alias("next_key"))
-    for key in keys:
-        got: list[int] = []
-        for r in rows.filter((F.col("first_key") <= key) & F.coalesce(F.col("next_key") >= key, F.lit(True))).collect():
-            shard = Shard(path, r["shard"], r["width"])
-            (offset,), (length,) = shard.ranges(np.array([key], np.int64))
-            if length > 0:
-                got += shard.read(int(offset), int(length)).tolist()
-        if got:
-            out[key] = got
-    return out
+    """The ids stored for a list of keys, in one job, by constant-time access to the shards whose key range holds them."""
+    rows = shards(spark, path).select("shard", "width", "part", "first_key", F.lead("first_key").over(Window.orderBy("part")).alias("next_key"))
+    asked = spark.createDataFrame([(int(k),) for k in keys], "key long").distinct()
+    pairs = rows.join(F.broadcast(asked), (F.col("first_key") <= F.col("key")) & F.coalesce(F.col("next_key") >= F.col("key"), F.lit(True)))
+
+    def find(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for part, name, width, key in zip(*(batch.column(c).to_pylist() for c in ("part", "shard", "width", "key"))):
+                with Shard(path, name, width) as shard:
+                    (offset,), (length,) = shard.ranges(np.array([key], np.int64))
+                    if length > 0:
+                        out.append((key, part, shard.read(int(offset), int(length)).astype(np.int64)))
+            cols = list(zip(*out)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.list_(pa.int64())))], names=["key", "part", "ids"])
+
+    got: dict[int, list[int]] = {}
+    for r in pairs.mapInArrow(find, "key long, part int, ids array<long>").orderBy("key", "part").collect():
+        got.setdefault(r["key"], []).extend(r["ids"])
+    return got
 
 
 def read_store(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
@@ -200,23 +251,30 @@ def read_store(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFr
     def open_shards(batches):
         for batch in batches:
             for name, width, first in zip(*(batch.column(c).to_pylist() for c in ("shard", "width", "first"))):
-                shard = Shard(path, name, width)
-                keys, lengths = shard.index["keys"], shard.index["lengths"]
-                new = np.r_[True, keys[1:] != keys[:-1]]
-                group = np.flatnonzero(new)
-                inner = np.cumsum(lengths) - lengths
-                base, span = shard.ranges(keys[group])
-                if (span < 0).any():
-                    raise ValueError(f"shard {name}: a key is missing from its index")
-                run = np.cumsum(new) - 1
-                starts = base[run] + inner - inner[group][run]
-                with shard.files.open_input_file(shard.at) as f:
-                    for lo in range(0, len(keys), 2000):
-                        at = range(lo, min(len(keys), lo + 2000))
-                        ids = [np.frombuffer(f.read_at(int(lengths[i]) * width, int(starts[i]) * width), f"<u{width}").astype("<u4") for i in at]
-                        key = pa.array([None if keys[i] == LAST_ID else int(keys[i]) for i in at], pa.int64())
-                        cols = [key, pa.array(first + starts[lo : lo + 2000]), pa.array(lengths[lo : lo + 2000]), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())]
-                        yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.list_(pa.int64()))] * keep_ids, names=names)
+                with Shard(path, name, width) as shard:
+                    keys, lengths = shard.whole("keys"), shard.whole("lengths")
+                    new = np.r_[True, keys[1:] != keys[:-1]]
+                    group = np.flatnonzero(new)
+                    inner = np.cumsum(lengths) - lengths
+                    base, span = shard.ranges(keys[group])
+                    if (span < 0).any():
+                        raise ValueError(f"shard {name}: a key is missing from its index")
+                    run = np.cumsum(new) - 1
+                    starts = base[run] + inner - inner[group][run]
+                    # Records lie side by side in key order, so some are read at once.
+                    lo = 0
+                    while lo < len(keys):
+                        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + READ_IDS)))
+                        ids = shard.read(int(starts[lo]), int(starts[hi - 1] + lengths[hi - 1] - starts[lo])).astype("<u4")
+                        cuts = (starts[lo : hi] - starts[lo]).tolist() + [len(ids)]
+                        raw = memoryview(ids).cast("B")
+                        crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(cuts, cuts[1:])]
+                        key = pa.array([None if k == LAST_ID else k for k in keys[lo:hi].tolist()], pa.int64())
+                        cols = [key, pa.array(first + starts[lo:hi]), pa.array(lengths[lo:hi]), pa.array(crc, pa.int64())]
+                        if keep_ids:
+                            cols.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int64))))
+                        yield pa.RecordBatch.from_arrays(cols, names=names)
+                        lo = hi
 
     rows = shards(spark, path).select("shard", "width", "first")
     kind = "id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * keep_ids
