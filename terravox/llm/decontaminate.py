@@ -4,11 +4,12 @@ The items' words make one automaton per shard of bounded size; training words ar
 the longest matching length is tracked. Where it reaches the window, the window's last ``window`` words are hit and the
 state names the items that hold them. An item shorter than a window is one window of its own.
 
-A shard holds at most ``shard_words`` words (the shards are counted before anything is sent out), so the size of one
-broadcast automaton is bounded; larger benchmarks run shard after shard and their hits are united per document.
+A shard holds at most ``shard_words`` words, or one longer item (the words are counted before anything is sent out), so the size of one
+broadcast automaton is bounded; larger benchmarks run round after round: a shard is built, sent, streamed against and dropped before
+the next one, and the hits of all rounds are united per document.
 
-Edge cases: null and wordless texts have no words and no hits; items without words hit nothing; a null item id is
-left out; items of one id count once; an empty benchmark leaves every document clean.
+Edge cases: null and wordless texts have no words and no hits; items without words hit nothing; an item without an id hits as
+any other but is not named among the items; items of one id count once; an empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
@@ -88,12 +89,13 @@ class Index:
                     found = self.full.get(self.shrink(state, window))
                     if found:
                         reach = window
-                        items |= found
+                        items |= found - {None}
                 if self.short:
                     for n, name in self.shorts(state):
                         if n <= matched:
                             reach = max(reach, n)
-                            items.add(name)
+                            if name is not None:
+                                items.add(name)
                 if reach:
                     start = i + 1 - reach
                     while runs and runs[-1][0] >= start:
@@ -124,26 +126,46 @@ def _pass(keyed: DataFrame, index, every: bool) -> DataFrame:
     return keyed.mapInArrow(run, HITS)
 
 
+def _index(items: DataFrame, window: int):
+    """The automaton of one shard, broadcast."""
+    rows = items.select("item", "text").collect()
+    return items.sparkSession.sparkContext.broadcast(Index([(r["item"], r["text"]) for r in rows], window))
+
+
 def hits(docs: DataFrame, items: DataFrame, window: int = 10, shard_words: int = 500_000,
          id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per row: id, row (a hash of id and text), n_words, hits (runs of word positions), items (sorted ids)."""
     spark = docs.sparkSession
-    known = items.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).filter("item IS NOT NULL")
-    total = known.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 2
-    n = max(1, -(-total // shard_words))
+    n_words = F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+    known = items.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+    known = known.withColumns({"words": n_words, "h": F.xxhash64("item", "text")})
+    total, longest = known.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.max("words"), F.lit(0))).first()
     keyed = texts(docs, id_col, text_col).select("id", F.xxhash64("id", "text").alias("row"), "text")
-    passes = []
-    for shard in range(n):
-        rows = known.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == shard).collect()
-        index = spark.sparkContext.broadcast(Index([(r["item"], r["text"]) for r in rows], window))
-        passes.append(_pass(keyed, index, every=not shard))
-    if n == 1:
-        return passes[0]
-    rest = passes[1]
-    for more in passes[2:]:
+    if total <= shard_words:
+        return _pass(keyed, _index(known, window), every=True)
+    # Groups of about a quarter of a shard by hash; whole groups make up a shard.
+    groups = -(-4 * total // max(1, shard_words - min(longest, shard_words // 2)))
+    grouped = known.withColumn("g", F.pmod("h", F.lit(groups)))
+    sizes = sorted((r["g"], r["n"]) for r in grouped.groupBy("g").agg(F.sum("words").alias("n")).collect())
+    shards, size = [[]], 0
+    for g, n in sizes:
+        if shards[-1] and size + n > shard_words:
+            shards.append([])
+            size = 0
+        shards[-1].append(g)
+        size += n
+    rounds = []
+    for mine in shards:
+        index = _index(grouped.filter(F.col("g").between(mine[0], mine[-1])), window)
+        rounds.append(written(_pass(keyed, index, every=not rounds), "hits"))
+        index.unpersist(blocking=False)
+    if len(rounds) == 1:
+        return rounds[0]
+    rest = rounds[1]
+    for more in rounds[2:]:
         rest = rest.unionByName(more)
     rest = rest.dropDuplicates(["row", "items", "hits"]).groupBy("row").agg(F.flatten(F.collect_list("hits")).alias("more_hits"), F.flatten(F.collect_list("items")).alias("more_items"))
-    both = passes[0].join(rest, "row", "left")
+    both = rounds[0].join(rest, "row", "left")
     all_runs = F.array_sort(F.concat("hits", F.coalesce("more_hits", F.array())))
     merged = F.aggregate(
         all_runs, F.slice("hits", 1, 0),

@@ -2,9 +2,10 @@
 
 A word's n-grams of one to four characters, with a space at its ends, are hashed to ``BUCKETS`` embeddings. A text is the
 average of the embeddings of all n-grams of all its words; a linear softmax on it names the language. Both layers are trained by
-stochastic gradient descent on a bounded sample (``per_language`` rows of each language), and a temperature fitted on a fifth
-of it, kept out of training, makes the probability of the best language a calibrated confidence. Below ``least`` the text is rejected as
-``und``; ``threshold`` gives the ``least`` that reaches an accuracy on that fifth.
+stochastic gradient descent on a bounded sample (``per_language`` rows of each language, ``most_rows`` in all), and a temperature
+fitted on a fifth of it, kept out of training, makes the probability of the best language a calibrated confidence. ``threshold``
+gives the confidence that reaches an accuracy on that fifth; texts below it are marked as not accepted. Below ``least`` the text is
+rejected as ``und`` altogether.
 
 As the model is linear after the average, a text's bucket counts times one table of logits give its prediction.
 
@@ -20,10 +21,10 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terravox.llm.common import small, texts
+from terravox.llm.common import small, texts, written
 from terravox.ship import ship
 
-BUCKETS, DIM, PER_LANGUAGE, EPOCHS, SLICE = 8192, 16, 400, 12, 1 << 18
+BUCKETS, DIM, PER_LANGUAGE, MOST_ROWS, EPOCHS, SLICE = 8192, 16, 400, 16_000, 12, 1 << 18
 _STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 UNKNOWN = "und"
 
@@ -116,14 +117,19 @@ class Model:
         return 1.0
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id"):
-    """A broadcast Model of the texts' languages; at most ``per_language`` rows of each, by a hash of id and text."""
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most_rows: int = MOST_ROWS):
+    """A broadcast Model of the texts' languages.
+
+    At most ``per_language`` ids of each are chosen by their hash, fewer where there are so many languages that ``most_rows`` would be
+    exceeded; of several texts under one id and language the smallest is learned from.
+    """
     ship(docs.sparkSession)
-    known = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("long").alias("id")).filter("lang IS NOT NULL")
-    pick = known.select("lang", "id", F.xxhash64("id").alias("h"))
-    ranked = pick.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("n") <= per_language)
-    bound = ranked.groupBy("lang").agg(F.max("h").alias("top"))
-    sample = known.join(F.broadcast(bound), "lang").filter(F.xxhash64("id") <= F.col("top")).select("text", "lang")
+    known = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("long")).alias("h")).filter("lang IS NOT NULL")
+    ranked = known.groupBy("lang", "h").count().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= per_language)
+    bounds = written(ranked.groupBy("lang").agg(F.sort_array(F.collect_list("h")).alias("hs")), "languages")
+    each = max(1, min(per_language, most_rows // max(1, bounds.count())))
+    bound = bounds.select("lang", F.element_at("hs", F.least(F.lit(each), F.size("hs"))).alias("top"))
+    sample = known.join(F.broadcast(bound), "lang").filter("h <= top").groupBy("lang", "h").agg(F.min("text").alias("text")).select("text", "lang")
 
     def run(batches):
         for batch in small(batches):
@@ -135,8 +141,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, text_col: str = "text
     return docs.sparkSession.sparkContext.broadcast(Model(x, [r["lang"] for r in got]))
 
 
-def predict(docs: DataFrame, model, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) per row, for the whole text."""
+def predict(docs: DataFrame, model, least: float = 0.0, accuracy: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score, accepted) per row, for the whole text.
+
+    accepted: the confidence is one above which held-back rows reach ``accuracy``; never true where lang_pred is ``und``.
+    """
+    sure_from = max(least, model.value.threshold(accuracy))
 
     def run(batches):
         known = model.value
@@ -152,6 +162,7 @@ def predict(docs: DataFrame, model, least: float = 0.0, id_col: str = "doc_id",
                 best = int(p.argmax())
                 out.append(names[best] if p[best] >= least else UNKNOWN)
                 sure.append(float(p[best]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(sure, pa.float64())], names=["id", "lang_pred", "score"])
+            accepted = [s >= sure_from and o != UNKNOWN for o, s in zip(out, sure)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(sure, pa.float64()), pa.array(accepted, pa.bool_())], names=["id", "lang_pred", "score", "accepted"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "id long, lang_pred string, score double")
+    return texts(docs, id_col, text_col).mapInArrow(run, "id long, lang_pred string, score double, accepted boolean")

@@ -7,8 +7,8 @@ each label, are broadcast: ``2 * per_class * DIM`` floats, whatever the corpus.
 by exact cosine products, block by block, and its nearest ``neighbours`` vote with the square of their similarity. Votes are
 weighted back to the labels' true shares, since the sample holds both labels alike.
 
-Edge cases: an empty text or one that resembles no labelled text scores 0; labels that are null or have no document are left out; of
-several labels for one id the largest counts; with no labels of one kind, all scores are the other kind's label. A null id is scored as any other.
+Edge cases: an empty text or one that resembles no labelled text scores 0; labels that are null or have no document are left out before the
+sample is bounded; of several labels for one id the largest counts; with no labels of one kind, all scores are the other kind's label. A null id is scored as any other.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravox.llm.common import texts
+from terravox.llm.common import texts, written
 from terravox.ship import ship
 
 WORDS, SHAPES, PAIRS, RATIOS, DIM = 1024, 256, 512, 16, 64
@@ -84,14 +84,18 @@ def features(text: str) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"):
-    """(features, labels, shares): at most ``per_class`` documents of each label, chosen by a hash of their id."""
+    """(features, labels, shares): at most ``per_class`` documents of each label, chosen by a hash of their id.
+
+    Only labels of documents that exist are counted and chosen; of several texts under one id the smallest is learned from.
+    """
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("label IN (0, 1) AND id IS NOT NULL").groupBy("id").agg(F.max("label").alias("label"))
+    marks = written(marks.join(docs.select(F.col(id_col).cast("long").alias("id")), "id", "left_semi"), "labelled")
     shares = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
     chosen = None
     for label in (0, 1):
         part = marks.filter(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    sample = texts(docs, id_col, text_col).join(F.broadcast(chosen), "id").select("text", "label")
+    sample = texts(docs, id_col, text_col).join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label")).select("text", "label")
 
     def run(batches):
         for batch in batches:

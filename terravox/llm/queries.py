@@ -31,7 +31,7 @@ def op2_language_id(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     model = language.fit(docs.filter(_crc("doc_id") % 5 != 0))
     held = F.coalesce(_crc("id") % 5 == 0, F.lit(False))
-    return language.predict(docs, model).select(F.col("id").alias("doc_id"), held.alias("held_out"), "lang_pred", "score")
+    return language.predict(docs, model).select(F.col("id").alias("doc_id"), held.alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def op3_benchmark_decontamination(spark, sf_dir):

@@ -196,15 +196,15 @@ def test_decontamination(spark, corpus):
     for name, text in items:
         w = word.findall((text or "").translate(low))
         n = min(10, len(w))
-        for k in range(len(w) - n + 1 if n and name else 0):
-            windows.setdefault(tuple(w[k : k + n]), set()).add(name)
+        for k in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(tuple(w[k : k + n]), set()).update({name} - {None})
     want = []
     for i, text in rows:
         w = word.findall((text or "").translate(low))
         hit, names = np.zeros(len(w), bool), set()
         for n in {len(x) for x in windows}:
             for k in range(len(w) - n + 1):
-                if found := windows.get(tuple(w[k : k + n])):
+                if (found := windows.get(tuple(w[k : k + n]))) is not None:
                     hit[k : k + n] = True
                     names |= found
         want.append((i, len(w), int(hit.sum()), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit.any())))
@@ -288,7 +288,6 @@ def test_packing(spark, corpus):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     want = []
     for i, t in corpus:
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
@@ -324,7 +323,6 @@ def test_id_store(spark, corpus):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     path = id_store.write_store(frame(spark, corpus), tokenizer("byte_bpe_50k.json"))
     got = id_store.read_store(spark, path, keep_ids=True).orderBy("start").collect()
     keys = [2**63 if r["id"] is None else r["id"] for r in got]
@@ -341,10 +339,45 @@ def test_id_store(spark, corpus):
 
 def test_perfect_hash_has_no_gaps():
     keys = np.unique(np.random.default_rng(1).integers(-(2**62), 2**62, 5000))
-    got = id_store.PerfectHash.build(keys)
+    got = id_store.PerfectHash.of(keys)
     assert sorted(got.slots(keys).tolist()) == list(range(len(keys)))
 
 
+def test_keyed_access_reads_little(spark):
+    """One key costs the header, some blocks, a slot and its own ids, whatever the size of the shard."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("number "), F.col("id").cast("string")).alias("text")).coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        path = id_store.write_store(docs, tokenizer("byte_bpe_50k.json"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    (row,) = id_store.shards(spark, path).collect()
+    for key in (0, 7, 19_999):
+        with id_store.Shard(path, row["shard"], row["width"]) as shard:
+            (offset,), (length,) = shard.ranges(np.array([key]))
+            shard.read(int(offset), int(length))
+            assert length > 0 and shard.touched < 8 * id_store.HEADER + 20 * 72 + 20 + 4 * length
+    with id_store.Shard(path, row["shard"], row["width"]) as shard:
+        assert shard.ranges(np.array([-5]))[1].tolist() == [-1]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_library(name):
+    from tokenizers import Tokenizer
+
+    from terravox.llm.token_ids import IdEncoder
+
+    tok = Tokenizer.from_file(tokenizer(name))
+    r = random.Random(4)
+    bits = ["hello", " ", "  ", "\n", "\t", "World's", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "é", "e\u0301", "ß", "日本", "1234", "a.b", "!?", "\u00a0", "-", "x" * 40, "it's", "'ll", "\r\n", "<|", "|>"]
+    for plain in (False, True):
+        enc = IdEncoder(tokenizer(name), plain=plain)
+        tok.encode_special_tokens = plain
+        for _ in range(400):
+            text = "".join(r.choice(bits) + r.choice(["", "", " "]) for _ in range(r.randrange(0, 12)))
+            assert np.frombuffer(enc.encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
+
+
 def test_quality_and_language_hold_out(spark):
     """Accuracy on held-out rows, and that all rows get a score."""
     from terravox.llm import queries
@@ -382,6 +415,77 @@ def test_classifiers_with_awkward_rows(spark, corpus):
     assert quality.scores(empty, quality.fit(empty, labels)).count() == 0
 
 
+def test_labels_without_documents_are_not_chosen(spark, corpus):
+    """The bound of the sample counts documents, not labels; a repeated id does not exceed it."""
+    docs = frame(spark, corpus[:12] + [corpus[3]] * 50)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(1000 + i, i % 2) for i in range(3000)], "doc_id long, quality int")
+    x, label, shares = quality.labelled(docs, labels, per_class=5)
+    assert len(x) == 10 and sorted(label.tolist()) == [0] * 5 + [1] * 5 and shares == {0: 6, 1: 6}
+
+
+def test_votes_equal_brute_force(spark, corpus):
+    """Scores by the operator's blocks equal votes counted one text at a time, in plain loops."""
+    docs = frame(spark, corpus)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(20, 1), (21, 0), (47, 0)], "doc_id long, quality int")
+    voters = quality.fit(docs, labels)
+    known = voters.value
+    got = sorted((str(r["id"]), round(r["score"], 5)) for r in quality.scores(docs, voters, neighbours=5).collect())
+    want = []
+    for i, t in corpus:
+        z = known.latent(quality.features(t or "")[None, :])[0].astype(float)
+        cosine = [(-float(z @ v.astype(float)), k) for k, v in enumerate(known.vectors)]
+        votes = [0.0, 0.0]
+        for c, k in sorted(cosine)[:5]:
+            votes[known.label[k]] += max(-c, 0) ** 2 * known.weight[known.label[k]]
+        want.append((str(i), round(votes[1] / sum(votes), 5) if sum(votes) else 0.0))
+    assert [i for i, _ in got] == [i for i, _ in sorted(want)]
+    assert np.allclose([s for _, s in got], [s for _, s in sorted(want)], atol=1e-3)
+
+
+def test_language_sample_is_bounded(spark):
+    """One id repeated thousands of times and many languages stay within the documented rows."""
+    rows = [(1, f"copy {prose(1, 5)}", "aa")] * 3000 + [(i, prose(i, 8), "aa") for i in range(2, 60)] + [(100 + i, prose(i, 5), f"l{i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    made, language_model = language.Model, language.Model.__init__
+
+    def spy(self, x, names, seed=0):
+        seen.append(list(names))
+        language_model(self, x, names, seed)
+
+    made.__init__ = spy
+    try:
+        language.fit(docs, per_language=20)
+        language.fit(docs, per_language=20, most_rows=62)
+    finally:
+        made.__init__ = language_model
+    assert seen[0].count("aa") == 20 and len(seen[0]) == 50
+    assert seen[1].count("aa") == 2 and len(seen[1]) == 32
+
+
+def test_language_equals_brute_force(spark, corpus):
+    """Counts equal a plain enumeration of n-grams; predictions equal the averaged embeddings times the softmax layer."""
+    def grams(text):
+        marked = f" {' '.join(text.lower().split())} "
+        for a in range(len(marked)):
+            for n in range(1, 5):
+                g = marked[a : a + n]
+                if len(g) == n and " " not in g[1:-1] and g != " " and not (n == 2 and g == "  "):
+                    yield g
+
+    for _, t in corpus[:20] + [(0, "É ü"), (0, "a")]:
+        assert language.counts(t).sum() == sum(1 for _ in grams(t))
+    docs = frame(spark, corpus).withColumn("lang", F.when(F.col("doc_id") < 12, F.when(F.col("doc_id") % 2 == 0, "aa").otherwise("bb")))
+    model = language.fit(docs)
+    known = model.value
+    for r in language.predict(docs, model).collect():
+        texts = [t for i, t in corpus if i == r["id"] and t]
+        if r["id"] in (3, 47):
+            p = known._softmax((language.shares(texts[0])[None, :] @ known.table + known.bias) / known.temperature)[0]
+            assert r["lang_pred"] == known.languages[int(p.argmax())] and r["score"] == pytest.approx(float(p.max()), abs=1e-5)
+            assert r["accepted"] == (r["score"] >= known.threshold(0.99))
+
+
 PAGES = [
     ("<p>One &amp; two<br>three</p><script>var a='</p>';</script><nav>menu</nav>", "One & two three"),
     ("<body><div class='ad'>buy</div><article><h1>T</h1><p>a<b>b</b>c<p>d\n  e<aside>x</aside></article><footer>f</footer>", "T abc d e"),
