@@ -1,12 +1,14 @@
-"""Ordered folds: filters that compare a row with the last one accepted, which no window function expresses."""
+"""Ordered folds: filters that compare a row with the last one accepted, and running sums over a global order."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
+from terravox.shared import written
 from terravox.ship import ship
 
 
@@ -31,3 +33,23 @@ def accepted(rows: DataFrame, key: str, order: list[str], value: str, accept: Ca
             yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)][columns]
 
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, rows.schema)
+
+
+def running(rows: DataFrame, order: list[str], **sums) -> DataFrame:
+    """rows with running sums in a global order, name=column, without gathering them in one task.
+
+    Rows are dealt by ranges of the order and written; only one total per range is added up in one place.
+    """
+    parts = rows.withColumns({f"__{name}": value for name, value in sums.items()}).repartitionByRange(*order)
+    dealt = written(parts.withColumn("__part", F.spark_partition_id()), "ordered")
+    upto = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("__part").agg(*[F.sum(f"__{name}").alias(f"__{name}") for name in sums])
+    totals = totals.select("__part", *[F.coalesce(F.sum(f"__{name}").over(before), F.lit(0)).alias(f"__b_{name}") for name in sums])
+    inside = dealt.select(*rows.columns, "__part", *[F.sum(f"__{name}").over(upto).alias(f"__{name}") for name in sums])
+    return inside.join(F.broadcast(totals), "__part").select(*rows.columns, *[(F.col(f"__{name}") + F.col(f"__b_{name}")).alias(name) for name in sums])
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "n") -> DataFrame:
+    """rows with their place, from 1, in a global order that ends in a unique column."""
+    return running(rows, order, **{name: F.lit(1).cast("long")})

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravox.functions.geometry import voxel_index
+from terravox.shared import written
 from terravox.ship import ship
 
 
@@ -43,46 +44,123 @@ def radius_pairs(points: DataFrame, radius: float, dims: Sequence[str] = ("x", "
     return pairs.select(F.col("l.pid").alias("src"), F.col("r.pid").alias("dst"), "d2")
 
 
+def _blocks(queries: DataFrame, columns: list, key: str, block: int):
+    """The queries' columns, the first an id, as lists of rows: blocks of about ``block`` rows by the id's hash, one at a time."""
+    ids = queries.select(*columns)
+    blocks = max(1, -(-ids.count() // block))
+    for b in range(blocks):
+        rows = ids.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).collect()
+        if rows:
+            yield rows
+
+
+def _rounds(spark, blocks, run) -> DataFrame | None:
+    """run(broadcast block) for each block in turn, each result written before the next block is sent."""
+    found = None
+    for rows in blocks:
+        sent = spark.sparkContext.broadcast(rows)
+        got = written(run(sent), "block")
+        sent.unpersist(blocking=False)
+        found = got if found is None else found.unionByName(got)
+    return found
+
+
 def nearest(targets: DataFrame, queries: DataFrame, k: int, vector: str = "vector", key: str = "id", block: int = 4096) -> DataFrame:
     """(query, target, d2, rank): for each query the k nearest other targets by Euclidean distance.
 
-    Queries go out in blocks of at most ``block`` rows, so what a task holds is bounded; each block passes over
-    the targets once, keeps its k best per task, and a window ranks what the tasks found.
+    Queries go out in blocks of about ``block`` rows, one block at a time, so what the driver and a task hold is bounded; each block
+    passes over the targets once, keeps its k best per task, and a window ranks what the tasks found.
     """
     spark = ship(targets.sparkSession)
-    ids = queries.select(F.col(key).alias("q"), F.col(vector).alias("v"))
-    n = ids.count()
-    blocks = max(1, -(-n // block))
-    found = None
-    for b in range(blocks):
-        rows = ids.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect()
-        if not rows:
-            continue
-        sent = spark.sparkContext.broadcast((np.array([r["q"] for r in rows]), np.array([r["v"] for r in rows], "f8")))
 
-        def best(batches, sent=sent):
-            q, x = sent.value
+    def run(sent):
+        def best(batches):
+            rows = sent.value
+            q, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], "f8")
             top_d = np.full((len(q), k), np.inf)
             top_i = np.zeros((len(q), k), np.int64)
             for pdf in batches:
                 t, y = pdf["t"].to_numpy(), np.array(pdf["v"].tolist(), "f8")
                 for lo in range(0, len(t), 1024):
-                    part, ids_ = y[lo : lo + 1024], t[lo : lo + 1024]
+                    part, ids = y[lo : lo + 1024], t[lo : lo + 1024]
                     d = (x**2).sum(1)[:, None] - 2 * x @ part.T + (part**2).sum(1)[None, :]
-                    d[q[:, None] == ids_[None, :]] = np.inf
+                    d[q[:, None] == ids[None, :]] = np.inf
                     d = np.concatenate([top_d, d], axis=1)
-                    i = np.concatenate([top_i, np.broadcast_to(ids_, (len(q), len(ids_)))], axis=1)
+                    i = np.concatenate([top_i, np.broadcast_to(ids, (len(q), len(ids)))], axis=1)
                     order = np.lexsort((i, d), axis=1)[:, :k]
                     top_d, top_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
             ok = np.isfinite(top_d)
             yield pd.DataFrame({"query": np.repeat(q, k).reshape(ok.shape)[ok], "target": top_i[ok]})
 
-        got = targets.select(F.col(key).alias("t"), F.col(vector).alias("v")).mapInPandas(best, "query long, target long")
-        found = got if found is None else found.unionByName(got)
+        return targets.select(F.col(key).alias("t"), F.col(vector).alias("v")).mapInPandas(best, "query long, target long")
+
+    found = _rounds(spark, _blocks(queries, [F.col(key).alias("q"), F.col(vector).alias("v")], "q", block), run)
     if found is None:
         return spark.createDataFrame([], "query long, target long, d2 double, rank int")
-    a = ids.select(F.col("q").alias("query"), F.col("v").alias("a"))
+    a = queries.select(F.col(key).alias("query"), F.col(vector).alias("a"))
     c = targets.select(F.col(key).alias("target"), F.col(vector).alias("b"))
     exact = found.join(a, "query").join(c, "target").withColumn("d2", F.aggregate(F.zip_with("a", "b", lambda p, q: (p.cast("double") - q) * (p.cast("double") - q)), F.lit(0.0), lambda s, t: s + t))
     order = Window.partitionBy("query").orderBy("d2", "target")
     return exact.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", "target", "d2", "rank")
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances, summed dimension by dimension: a pair's sum never depends on the rows around it."""
+    out = np.zeros((len(x), len(y)))
+    for i in range(x.shape[1]):
+        gap = x[:, i, None] - y[None, :, i]
+        out += gap * gap
+    return out
+
+
+def first_of_class(targets: DataFrame, queries: DataFrame, label: str = "label", vector: str = "vector", key: str = "id", block: int = 1024) -> DataFrame:
+    """(query, rank): the place of the first other target of a query's class among all other targets by distance; ties by id.
+
+    One pass over the targets finds the nearest of the class, a second counts what lies before it. Queries alone in their class have no row.
+    """
+    spark = ship(targets.sparkSession)
+    slim = targets.select(F.col(key).alias("t"), F.col(label).cast("long").alias("label"), F.col(vector).alias("v"))
+    columns = [F.col(key).alias("q"), F.col(vector).alias("v"), F.col(label).cast("long").alias("label")]
+
+    def closest(sent):
+        def run(batches):
+            rows = sent.value
+            q, x, mine = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], "f8"), np.array([r[2] for r in rows])
+            for pdf in batches:
+                t, y, theirs = pdf["t"].to_numpy(), np.array(pdf["v"].tolist(), "f8"), pdf["label"].to_numpy()
+                for lo in range(0, len(t), 1024):
+                    ids = t[lo : lo + 1024]
+                    d = _distances(x, y[lo : lo + 1024])
+                    d[(mine[:, None] != theirs[None, lo : lo + 1024]) | (q[:, None] == ids[None, :])] = np.inf
+                    at = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, 0]
+                    best = d[np.arange(len(q)), at]
+                    ok = np.isfinite(best)
+                    yield pd.DataFrame({"q": q[ok], "d": best[ok], "t": ids[at][ok]})
+
+        return slim.mapInPandas(run, "q long, d double, t long")
+
+    found = _rounds(spark, _blocks(queries, columns, "q", block), closest)
+    if found is None:
+        return spark.createDataFrame([], "query long, rank long")
+    best = found.groupBy("q").agg(F.min(F.struct("d", "t")).alias("b"))
+    known = written(queries.select(*columns).join(best, "q").select("q", "v", F.col("b.d").alias("d"), F.col("b.t").alias("t")), "closest")
+
+    def before(sent):
+        def run(batches):
+            rows = sent.value
+            q, x, limit, last = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], "f8"), np.array([r[2] for r in rows])[:, None], np.array([r[3] for r in rows])[:, None]
+            n = np.zeros(len(q), np.int64)
+            for pdf in batches:
+                t, y = pdf["t"].to_numpy(), np.array(pdf["v"].tolist(), "f8")
+                for lo in range(0, len(t), 1024):
+                    ids = t[None, lo : lo + 1024]
+                    d = _distances(x, y[lo : lo + 1024])
+                    n += (((d < limit) | ((d == limit) & (ids < last))) & (ids != q[:, None])).sum(axis=1)
+            yield pd.DataFrame({"query": q, "n": n})
+
+        return slim.mapInPandas(run, "query long, n long")
+
+    counted = _rounds(spark, _blocks(known, ["q", "v", "d", "t"], "q", block), before)
+    if counted is None:
+        return spark.createDataFrame([], "query long, rank long")
+    return counted.groupBy("query").agg((F.sum("n") + 1).alias("rank"))

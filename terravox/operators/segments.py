@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terravox.operators.folds import running
 from terravox.operators.graph import labelled
 from terravox.operators.neighbours import radius_pairs
+from terravox.shared import written
 from terravox.ship import ship
 
 #: A cluster without a segment, and one that may never become a segment again.
@@ -17,10 +19,10 @@ NO_ID, INVALID = -1, -2
 
 
 def euclidean(points: DataFrame, radius: float, least: int, most: int) -> DataFrame:
-    """(pid, segment): connected components of the radius graph whose size lies in the bounds."""
+    """(pid, segment, n): connected components of the radius graph whose size n lies in the bounds."""
     found = labelled(points.select("pid"), radius_pairs(points, radius).select("src", "dst"), "pid")
-    sized = found.withColumn("n", F.count("*").over(Window.partitionBy("component")))
-    return sized.filter(F.col("n").between(least, most)).select("pid", F.col("component").alias("segment"))
+    sizes = found.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n").between(least, most))
+    return found.join(sizes, "component").select("pid", F.col("component").alias("segment"), "n")
 
 
 def incremental(points: DataFrame, prior: DataFrame, radius: float, least: int, most: int, next_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -36,17 +38,18 @@ def incremental(points: DataFrame, prior: DataFrame, radius: float, least: int,
     fresh = points.select("pid", (F.col("cluster_id") == 0).alias("new"))
     a, b = fresh.withColumnRenamed("pid", "src"), fresh.select(F.col("pid").alias("dst"), F.col("new").alias("new2"))
     grown = radius_pairs(points, radius).join(a, "src").join(b, "dst").filter("new OR new2").select("src", "dst")
-    old = points.filter("cluster_id <> 0")
-    held = old.withColumn("src", F.min("pid").over(Window.partitionBy("cluster_id"))).filter("src < pid").select("src", F.col("pid").alias("dst"))
+    old = points.filter("cluster_id <> 0").select("pid", "cluster_id")
+    first = old.groupBy("cluster_id").agg(F.min("pid").alias("src"))
+    held = old.join(first, "cluster_id").filter("src < pid").select("src", F.col("pid").alias("dst"))
     found = labelled(points.select("pid", "cluster_id"), grown.unionByName(held), "pid")
     ids = found.join(prior.filter("cluster_id <> 0"), "cluster_id", "left").select("component", "pid", F.coalesce("segment_id", F.lit(NO_ID)).alias("id"))
     known = F.min(F.when(F.col("id") >= 0, F.col("id")))
     n = F.count("*")
     merged = ids.groupBy("component").agg(n.alias("n"), known.alias("known"), (F.min("id") == INVALID).alias("bad"), F.collect_set(F.when(F.col("id") >= 0, F.col("id"))).alias("all_ids"))
     settled = F.when(F.col("bad") | (F.col("n") > most), INVALID).when(F.col("known").isNotNull(), F.col("known")).when(F.col("n") >= least, F.lit(None)).otherwise(NO_ID)
-    numbered = merged.withColumn("cluster_id", F.row_number().over(Window.orderBy("component")).cast("long")).withColumn("settled", settled)
-    order = F.sum(F.when(F.col("settled").isNull(), 1).otherwise(0)).over(Window.orderBy("component"))
-    clusters = numbered.withColumn("segment_id", F.coalesce("settled", order - 1 + next_id).cast("long"))
+    places = {"cluster_id": F.lit(1).cast("long"), "place": F.when(F.col("settled").isNull(), 1).otherwise(0).cast("long")}
+    clusters = running(merged.withColumn("settled", settled), ["component"], **places)
+    clusters = clusters.withColumn("segment_id", F.coalesce("settled", F.col("place") - 1 + next_id).cast("long"))
     renamed = clusters.filter("known IS NOT NULL").select(F.explode("all_ids").alias("old_id"), F.col("known").alias("new_id")).filter("old_id <> new_id")
     return found.join(clusters.select("component", "cluster_id"), "component").select("pid", clusters["cluster_id"]), clusters.select("cluster_id", "n", "segment_id"), renamed
 
@@ -64,7 +67,8 @@ def smooth(points: DataFrame, radius: float, angle_cos: float, most_curved: floa
     dot = F.abs(F.expr("a.nx * b.nx + a.ny * b.ny + a.nz * b.nz"))
     agree = near.join(a, "src").join(b, "dst").filter(dot >= angle_cos).select("src", "dst")
     parts = labelled(points.select("pid", "curvature"), agree, "pid")
-    parts = parts.withColumn("size", F.count("*").over(Window.partitionBy("component"))).filter(F.col("size") >= least)
+    sizes = parts.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
+    parts = parts.join(sizes, "component")
     edges = agree.groupBy(F.col("src").alias("pid")).agg(F.collect_list("dst").alias("to"))
     rows = parts.join(edges, "pid", "left").select("component", "pid", "curvature", "to")
 
@@ -93,4 +97,5 @@ def smooth(points: DataFrame, radius: float, angle_cos: float, most_curved: floa
 
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(8 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     grown = dealt.groupBy("bucket").applyInPandas(grow, "pid long, segment long")
-    return grown.withColumn("n", F.count("*").over(Window.partitionBy("segment"))).filter(F.col("n") >= least).select("pid", "segment")
+    grown = written(grown, "grown")
+    return grown.join(grown.groupBy("segment").agg(F.count("*").alias("n")).filter(F.col("n") >= least), "segment").select("pid", "segment")

@@ -34,3 +34,13 @@ def in_cylinder(x: float, y: float, radius: float, low: float, high: float) -> C
     """Inside a vertical cylinder: at most ``radius`` away in the plane, between two heights."""
     dx, dy = F.col("x") - x, F.col("y") - y
     return (dx * dx + dy * dy <= radius * radius) & F.col("z").between(low, high)
+
+
+def moved(axes, turn, shift) -> list[Column]:
+    """Coordinates after turn * p + shift, named as before."""
+    return [(sum((F.lit(r) * F.col(a) for r, a in zip(row, axes)), F.lit(0.0)) + F.lit(s)).alias(name) for row, s, name in zip(turn, shift, axes)]
+
+
+def moved_back(axes, turn, shift) -> list[Column]:
+    """Coordinates before that: the inverse of a turn is its transpose."""
+    return [sum((F.lit(turn[j][i]) * (F.col(a) - F.lit(shift[j])) for j, a in enumerate(axes)), F.lit(0.0)).alias(name) for i, name in enumerate(axes)]

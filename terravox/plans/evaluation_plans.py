@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from terravox.operators.neighbours import nearest
+from terravox.operators.folds import numbered, running
+from terravox.operators.neighbours import first_of_class
 from terravox.plans.match_plans import SQL_D2
 from terravox.sources.tables import PTS_LI, descriptors, lineitem_points, table
 
@@ -13,7 +14,7 @@ from terravox.sources.tables import PTS_LI, descriptors, lineitem_points, table
 def normalize_classes(spark, sf_dir):
     """Classes of two members or more, renumbered without gaps."""
     labels = descriptors(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n")).filter("n >= 2")
-    return labels.select("label", "n", (F.dense_rank().over(Window.orderBy("label")) - 1).cast("long").alias("class"))
+    return numbered(labels, ["label"], "class").withColumn("class", F.col("class") - 1)
 
 
 def class_size_histogram(spark, sf_dir):
@@ -40,15 +41,20 @@ def _scored(spark, sf_dir):
     return docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
 
 
+def _steps(spark, sf_dir):
+    """Positives and negatives of each distinct score."""
+    return _scored(spark, sf_dir).groupBy("score").agg(F.sum(F.col("quality").cast("long")).alias("p"), F.sum(1 - F.col("quality").cast("long")).alias("n"))
+
+
 def roc_curve(spark, sf_dir):
     """True and false positive rates at every distinct score, from the highest down.
 
     Rows are summed per score first; the running sums then cover distinct scores alone.
     """
-    steps = _scored(spark, sf_dir).groupBy("score").agg(F.sum(F.col("quality").cast("long")).alias("p"), F.sum(1 - F.col("quality").cast("long")).alias("n"))
-    w, every = Window.orderBy(F.desc("score")), Window.partitionBy()
-    rate = lambda c: F.round(F.sum(c).over(w) / F.sum(c).over(every), 6)
-    return steps.select("score", rate("p").alias("tpr"), rate("n").alias("fpr"))
+    steps = _steps(spark, sf_dir).withColumn("down", -F.col("score"))
+    upto = running(steps, ["down"], tp=F.col("p"), fp=F.col("n"))
+    total = upto.agg(F.max("tp").alias("all_p"), F.max("fp").alias("all_n"))
+    return upto.crossJoin(F.broadcast(total)).select("score", F.round(F.col("tp") / F.col("all_p"), 6).alias("tpr"), F.round(F.col("fp") / F.col("all_n"), 6).alias("fpr"))
 
 
 SQL_SCORED = "s AS (SELECT n_chars score, CAST(sum(quality) AS BIGINT) p, CAST(sum(1 - quality) AS BIGINT) n FROM documents JOIN labels USING (doc_id) GROUP BY 1)"
@@ -57,9 +63,8 @@ ROC = f"WITH {SQL_SCORED} SELECT score, round(sum(p) OVER (ORDER BY score DESC)
 
 def roc_auc(spark, sf_dir):
     """Area under that curve by trapezoids: pairs ranked right, half of the ties."""
-    steps = _scored(spark, sf_dir).groupBy("score").agg(F.sum(F.col("quality").cast("long")).alias("p"), F.sum(1 - F.col("quality").cast("long")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return steps.withColumn("right", F.col("p") * (below + F.col("n") / 2)).agg(F.round(F.sum("right") / (F.sum("p") * F.sum("n")), 6).alias("auc"))
+    steps = running(_steps(spark, sf_dir), ["score"], upto=F.col("n"))
+    return steps.withColumn("right", F.col("p") * (F.col("upto") - F.col("n") / 2)).agg(F.round(F.sum("right") / (F.sum("p") * F.sum("n")), 6).alias("auc"))
 
 
 AUC = f"WITH {SQL_SCORED}, r AS (SELECT p, n, p * (coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2) ok FROM s) SELECT round(sum(ok) / (sum(p) * sum(n)), 6) auc FROM r"
@@ -81,17 +86,14 @@ SELECT *, round((tp + tn) / (tp + fp + fn + tn), 6) acc, round(tp / (tp + fn), 6
 
 
 def rank_first_match(spark, sf_dir):
-    """Rank, among the 50 nearest descriptors of each query, of the first of its class."""
+    """Rank, among all other descriptors by distance from each query, of the first of its class."""
     found = descriptors(spark, sf_dir)
-    near = nearest(found, found.filter("id % 50 = 0"), 50)
-    q, t = found.select(F.col("id").alias("query"), F.col("label").alias("lq")), found.select(F.col("id").alias("target"), F.col("label").alias("lt"))
-    same = near.join(q, "query").join(t, "target").filter("lq = lt")
-    return same.groupBy("query").agg(F.min("rank").cast("long").alias("rank"))
+    return first_of_class(found, found.filter("id % 50 = 0"))
 
 
 RANK = f"""
 WITH k AS (SELECT a.vec_id AS query, a.label lq, b.label lt, row_number() OVER (PARTITION BY a.vec_id ORDER BY {SQL_D2}, b.vec_id) rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % 50 = 0)
-SELECT query, min(rank) rank FROM k WHERE rank <= 50 AND lq = lt GROUP BY 1
+SELECT query, min(rank) rank FROM k WHERE lq = lt GROUP BY 1
 """
 
 

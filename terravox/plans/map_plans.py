@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terravox.functions.geometry import AXES
-from terravox.operators.folds import accepted
+from terravox.operators.folds import accepted, numbered
 from terravox.operators.graph import components
+from terravox.shared import written
 from terravox.sources.tables import PTS_EV, PTS_LI, event_points, lineitem_points, table
 
 BY_ROBOT = "PARTITION BY robot ORDER BY sec, pid"
@@ -29,13 +30,13 @@ LAST_VIEW = f"WITH {PTS_LI}, {SQL_VIEWS} SELECT segment, view, n, round(x, 4) x,
 
 
 def remove_irrelevant(spark, sf_dir):
-    """Views smaller than half the last view of their segment."""
+    """Views without those smaller than half the last view of their segment."""
     views = _views(spark, sf_dir)
     last = F.max_by("n", "view").over(Window.partitionBy("segment"))
-    return views.withColumn("ratio", F.col("n") / last).filter("ratio < 0.5").select("segment", "view", F.round("ratio", 6).alias("ratio"))
+    return views.withColumn("ratio", F.col("n") / last).filter("ratio >= 0.5").select("segment", "view", F.round("ratio", 6).alias("ratio"))
 
 
-IRRELEVANT = f"WITH {PTS_LI}, {SQL_VIEWS} SELECT segment, view, round(ratio, 6) ratio FROM (SELECT segment, view, n / arg_max(n, view) OVER (PARTITION BY segment) ratio FROM vw) WHERE ratio < 0.5"
+IRRELEVANT = f"WITH {PTS_LI}, {SQL_VIEWS} SELECT segment, view, round(ratio, 6) ratio FROM (SELECT segment, view, n / arg_max(n, view) OVER (PARTITION BY segment) ratio FROM vw) WHERE ratio >= 0.5"
 
 
 def remove_unchanged(spark, sf_dir):
@@ -143,16 +144,16 @@ def log_prefix(spark, sf_dir):
 
 
 def merge_chain_resolve(spark, sf_dir):
-    """Merge events replayed: ids that were merged, directly or not, take the smallest id."""
-    merges = table(spark, sf_dir, "orders").filter("o_custkey % 7 = 0").select((F.col("o_custkey") % 1000).alias("src"), (F.col("o_orderkey") % 1000).alias("dst"))
+    """Merge events replayed: ids that were merged, directly or not, take the smallest id. An order merges its id into its customer's."""
+    merges = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
     return components(merges.filter("src <> dst"))
 
 
+#: The label of a node is lowered until nothing changes; one row per node is kept.
 MERGES = """
-WITH RECURSIVE m AS (SELECT DISTINCT o_custkey % 1000 s, o_orderkey % 1000 d FROM orders WHERE o_custkey % 7 = 0 AND o_custkey % 1000 <> o_orderkey % 1000),
-u AS (SELECT s, d FROM m UNION SELECT d, s FROM m), nodes AS (SELECT DISTINCT s id FROM u),
-r(n, l) AS (SELECT id, id FROM nodes UNION SELECT u.d, r.l FROM r JOIN u ON u.s = r.n WHERE r.l < u.d)
-SELECT n node, min(l) component FROM r GROUP BY 1
+WITH RECURSIVE u AS (SELECT o_custkey s, o_orderkey d FROM orders WHERE o_custkey <> o_orderkey UNION SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey <> o_orderkey),
+r(n, l) USING KEY (n) AS (SELECT s, min(s) FROM u GROUP BY 1 UNION SELECT u.d, min(r.l) FROM r JOIN u ON u.s = r.n JOIN recurring.r k ON k.n = u.d WHERE r.l < k.l GROUP BY 1)
+SELECT n node, l component FROM r
 """
 
 
@@ -191,7 +192,7 @@ def reproject_segments(spark, sf_dir):
     views = _views(spark, sf_dir)
     last = views.groupBy("segment").agg(F.max_by(F.struct("view", *AXES), "view").alias("l")).select("segment", "l.*")
     poses = views.groupBy("view").agg(F.round(F.avg("x"), 2).alias("px"), F.round(F.avg("y"), 2).alias("py"))
-    moved = last.join(F.broadcast(poses), "view")
+    moved = last.join(poses, "view")
     return moved.select("segment", "view", F.round(F.col("x") - F.col("px") + 1, 4).alias("x"), F.round(F.col("y") - F.col("py") - 1, 4).alias("y"), F.round("z", 4).alias("z"))
 
 
@@ -225,15 +226,86 @@ SELECT robot, source, target, d2 FROM (SELECT robot, source, pid target, d2, row
 
 
 def combine_sequences(spark, sf_dir):
-    """Views of merged segments shifted behind those of the segment that takes them in: a running count in merge order."""
-    views = _views(spark, sf_dir).select("segment", "view", "n").withColumn("family", F.floor(F.col("segment") / 10).cast("long"))
+    """Views of merged segments behind those of the segment that takes them in, with a running count of their points.
+
+    The merge log is that of the returned orders: the customer's segment goes into the order's, along whole chains.
+    """
+    views = _views(spark, sf_dir).select("segment", "view", "n")
+    log = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P' AND o_custkey <> o_orderkey").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
+    family = components(log).withColumnRenamed("node", "segment")
+    joined = views.join(family, "segment", "left").withColumn("family", F.coalesce("component", "segment"))
     w = Window.partitionBy("family").orderBy("segment", "view")
-    return views.select("family", "segment", "view", F.row_number().over(w).cast("long").alias("new_view"), F.sum("n").over(w).alias("points_so_far"))
+    return joined.select("family", "segment", "view", F.row_number().over(w).cast("long").alias("new_view"), F.sum("n").over(w).alias("points_so_far"))
+
+
+COMBINE = f"""
+WITH RECURSIVE {PTS_LI}, {SQL_VIEWS}, m AS (SELECT o_custkey s, o_orderkey d FROM orders WHERE o_orderstatus = 'P' AND o_custkey <> o_orderkey), u AS (SELECT s, d FROM m UNION SELECT d, s FROM m),
+r(n, l) USING KEY (n) AS (SELECT s, min(s) FROM u GROUP BY 1 UNION SELECT u.d, min(r.l) FROM r JOIN u ON u.s = r.n JOIN recurring.r k ON k.n = u.d WHERE r.l < k.l GROUP BY 1)
+SELECT family, segment, view, row_number() OVER w new_view, CAST(sum(n) OVER w AS BIGINT) points_so_far FROM (SELECT vw.segment, vw.view, vw.n, coalesce(r.l, vw.segment) family FROM vw LEFT JOIN r ON r.n = vw.segment) WINDOW w AS (PARTITION BY family ORDER BY segment, view)
+"""
+
+
+def centroids_within_radius(spark, sf_dir):
+    """Last-view centroids of segments whose pose then lay within a distance of a place."""
+    views = _views(spark, sf_dir)
+    poses = views.groupBy("view").agg(F.round(F.avg("x"), 2).alias("px"), F.round(F.avg("y"), 2).alias("py"))
+    last = views.groupBy("segment").agg(F.max_by(F.struct("view", *AXES), "view").alias("l")).select("segment", "l.*").join(poses, "view")
+    near = last.filter("(px - 25.4) * (px - 25.4) + (py - 19.1) * (py - 19.1) <= 0.25")
+    return near.select("segment", "view", *[F.round(a, 4).alias(a) for a in AXES])
+
+
+WITHIN = f"""
+WITH {PTS_LI}, {SQL_VIEWS}, p AS (SELECT view, round(avg(x), 2) px, round(avg(y), 2) py FROM vw GROUP BY 1), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY view DESC) r FROM vw) WHERE r = 1)
+SELECT segment, view, round(x, 4) x, round(y, 4) y, round(z, 4) z FROM l JOIN p USING (view) WHERE (px - 25.4::DOUBLE) * (px - 25.4::DOUBLE) + (py - 19.1::DOUBLE) * (py - 19.1::DOUBLE) <= 0.25::DOUBLE
+"""
+
 
+def log_without_frame(spark, sf_dir):
+    """Messages, each a robot's list of transforms of a day, without those of one frame; messages left empty go."""
+    messages = event_points(spark, sf_dir).groupBy("robot", F.floor(F.col("sec") / 86400).alias("day")).agg(F.sort_array(F.collect_list("kind")).alias("frames"))
+    left = messages.withColumn("left", F.filter("frames", lambda f: f != "purchase")).filter(F.size("left") > 0)
+    return left.select("robot", "day", F.array_join("left", ",").alias("frames"))
 
-COMBINE = f"WITH {PTS_LI}, {SQL_VIEWS} SELECT family, segment, view, row_number() OVER w new_view, CAST(sum(n) OVER w AS BIGINT) points_so_far FROM (SELECT *, segment // 10 family FROM vw) WINDOW w AS (PARTITION BY family ORDER BY segment, view)"
+
+WITHOUT = f"WITH {PTS_EV} SELECT robot, sec // 86400 AS day, string_agg(kind, ',' ORDER BY kind) frames FROM pts WHERE kind <> 'purchase' GROUP BY 1, 2"
+
+
+def dataset_load(spark, sf_dir):
+    """A data set in its fixed order of steps: views, without irrelevant and unchanged ones, classes of two views or more numbered without gaps."""
+    views = remove_irrelevant(spark, sf_dir).join(_views(spark, sf_dir).select("segment", "view", "n"), ["segment", "view"]).select("segment", "view", "n")
+    kept = written(accepted(views, "segment", ["view"], "n", lambda n, last: n >= 1.1 * last), "views")
+    classes = numbered(kept.groupBy("segment").agg(F.count("*").alias("views")).filter("views >= 2").select("segment"), ["segment"], "class")
+    return kept.join(classes, "segment").select("segment", "view", "n", (F.col("class") - 1).alias("class"))
+
+
+DATASET = f"""
+WITH RECURSIVE {PTS_LI}, {SQL_VIEWS}, i AS (SELECT segment, view, n, n / arg_max(n, view) OVER (PARTITION BY segment) ratio FROM vw), o AS (SELECT segment, view, n, row_number() OVER (PARTITION BY segment ORDER BY view) r FROM i WHERE ratio >= 0.5),
+f AS (SELECT segment, view, n, r, n last, TRUE kept FROM o WHERE r = 1 UNION ALL
+      SELECT o.segment, o.view, o.n, o.r, CASE WHEN o.n >= CAST(1.1 AS DOUBLE) * f.last THEN o.n ELSE f.last END, o.n >= CAST(1.1 AS DOUBLE) * f.last FROM f JOIN o ON o.segment = f.segment AND o.r = f.r + 1),
+c AS (SELECT segment, row_number() OVER (ORDER BY segment) - 1 AS class FROM f WHERE kept GROUP BY 1 HAVING count(*) >= 2)
+SELECT segment, view, n, class FROM f JOIN c USING (segment) WHERE kept
+"""
+
+
+def map_union(spark, sf_dir):
+    """One map upserted into another: a segment of both keeps the views of both, the incoming map's in place of equal ones."""
+    views = _views(spark, sf_dir).select("segment", "view", "n")
+    left, right = views.filter("view <= 4 AND segment % 3 <> 0"), views.filter("view >= 4 AND segment % 5 <> 0").withColumn("n", -F.col("n"))
+    rest = left.join(right.select("segment", "view"), ["segment", "view"], "left_anti")
+    return rest.unionByName(right).groupBy("segment").agg(F.count("*").alias("views"), F.sum("n").alias("n"), F.max("view").alias("last"))
+
+
+MAP_UNION = f"""
+WITH {PTS_LI}, {SQL_VIEWS}, a AS (SELECT * FROM vw WHERE view <= 4 AND segment % 3 <> 0), b AS (SELECT segment, view, -n n FROM vw WHERE view >= 4 AND segment % 5 <> 0),
+u AS (SELECT segment, view, n FROM a ANTI JOIN b USING (segment, view) UNION ALL SELECT segment, view, n FROM b)
+SELECT segment, count(*) AS views, CAST(sum(n) AS BIGINT) n, max(view) AS last FROM u GROUP BY 1
+"""
 
 PACK = {
+    "centroids_within_radius": (centroids_within_radius, WITHIN),
+    "log_without_frame": (log_without_frame, WITHOUT),
+    "dataset_load": (dataset_load, DATASET),
+    "map_union": (map_union, MAP_UNION),
     "loop_closure_endpoints": (loop_closure_endpoints, CLOSURES),
     "combine_sequences": (combine_sequences, COMBINE),
     "last_view": (last_view, LAST_VIEW),

@@ -7,10 +7,12 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from terravox.operators.folds import numbered
 from terravox.operators.graph import cliques, components, degrees
 from terravox.operators.neighbours import nearest
+from terravox.shared import written
 from terravox.ship import ship
-from terravox.sources.tables import PTS_EV, descriptors, event_points
+from terravox.sources.tables import PTS_EV, PTS_LI, descriptors, event_points, lineitem_points
 
 K = 5
 SQL_D2 = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]) * (a.embedding[i]::DOUBLE - b.embedding[i])))"
@@ -62,38 +64,73 @@ def _hard() -> str:
       FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % 50 = 0) WHERE rank <= 20 AND d2 <= 1.8"""
 
 
-def histogram_intersection(spark, sf_dir):
-    """Sum of the smaller bins of two neighbouring descriptors."""
+def _compared(spark, sf_dir):
+    """Candidate matches with the descriptors of both sides: query, target, a, b."""
     found = descriptors(spark, sf_dir)
-    later = found.select((F.col("id") - 1).alias("id"), F.col("vector").alias("b"))
-    both = found.select("id", F.col("vector").alias("a")).join(later, "id")
+    pairs = nearest(found, _queries(found), K).select("query", "target")
+    a, b = (found.select(F.col("id").alias(n), F.col("vector").alias(v)) for n, v in (("query", "a"), ("target", "b")))
+    return pairs.join(a, "query").join(b, "target")
+
+
+SQL_COMPARED = f"k AS ({_knn_sql()}), c AS (SELECT k.query, k.target, a.embedding a, b.embedding b FROM k JOIN embeddings a ON a.vec_id = k.query JOIN embeddings b ON b.vec_id = k.target)"
+
+
+def histogram_intersection(spark, sf_dir):
+    """Sum of the smaller bins of both descriptors of each candidate match."""
     score = F.aggregate(F.zip_with("a", "b", lambda p, q: F.least(F.abs(p.cast("double")), F.abs(q.cast("double")))), F.lit(0.0), lambda s, t: s + t)
-    return both.select("id", F.round(score, 5).alias("score"))
+    return _compared(spark, sf_dir).select("query", "target", F.round(score, 5).alias("score"))
 
 
-HISTOGRAM = "SELECT a.vec_id id, round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: least(abs(a.embedding[i]::DOUBLE), abs(b.embedding[i]::DOUBLE)))), 5) score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
+HISTOGRAM = f"WITH {SQL_COMPARED} SELECT query, target, round(list_sum(list_transform(range(1, len(a) + 1), lambda i: least(abs(a[i]::DOUBLE), abs(b[i]::DOUBLE)))), 5) score FROM c"
 
 
 def feature_distance(spark, sf_dir):
-    """Absolute differences of two neighbouring descriptors, one row per dimension."""
-    found = descriptors(spark, sf_dir)
-    later = found.select((F.col("id") - 1).alias("id"), F.col("vector").alias("b"))
-    gaps = F.zip_with("vector", "b", lambda p, q: F.abs(p.cast("double") - q))
-    flat = found.join(later, "id").select("id", F.posexplode(gaps).alias("dim", "gap"))
-    return flat.select("id", F.col("dim").cast("long").alias("dim"), F.round("gap", 6).alias("gap"))
+    """Absolute differences of both descriptors of each candidate match, one row per dimension."""
+    gaps = F.zip_with("a", "b", lambda p, q: F.abs(p.cast("double") - q))
+    flat = _compared(spark, sf_dir).select("query", "target", F.posexplode(gaps).alias("dim", "gap"))
+    return flat.select("query", "target", F.col("dim").cast("long").alias("dim"), F.round("gap", 6).alias("gap"))
 
 
-FEATURE_DISTANCE = "SELECT id, dim, round(gap, 6) gap FROM (SELECT a.vec_id id, unnest(range(0, len(a.embedding))) dim, unnest(list_transform(range(1, len(a.embedding) + 1), lambda i: abs(a.embedding[i]::DOUBLE - b.embedding[i]))) gap FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
+FEATURE_DISTANCE = f"WITH {SQL_COMPARED} SELECT query, target, unnest(range(0, len(a))) dim, round(unnest(list_transform(range(1, len(a) + 1), lambda i: abs(a[i]::DOUBLE - b[i]))), 6) gap FROM c"
 
 
 def match_time_filter(spark, sf_dir):
-    """Pairs of events seven apart, kept if their tracks differ or their times are far apart."""
-    points = event_points(spark, sf_dir).select("pid", "track", "sec")
-    later = points.select((F.col("pid") - 7).alias("pid"), F.col("pid").alias("other"), F.col("track").alias("t2"), F.col("sec").alias("s2"))
-    return points.join(later, "pid").filter("track <> t2 OR abs(sec - s2) >= 1800").select("pid", "other")
+    """Candidate matches kept if their tracks differ or their times are far apart; a segment was seen at the event of its id."""
+    found = descriptors(spark, sf_dir)
+    pairs = nearest(found, _queries(found), 20).select("query", "target")
+    seen = event_points(spark, sf_dir).select("pid", "track", "sec")
+    a, b = (seen.select(F.col("pid").alias(n), F.col("track").alias(f"{n}_track"), F.col("sec").alias(f"{n}_sec")) for n in ("query", "target"))
+    return pairs.join(a, "query").join(b, "target").filter("query_track <> target_track OR abs(query_sec - target_sec) >= 864000").select("query", "target")
+
+
+MATCH_TIME = f"WITH {PTS_EV}, k AS ({_knn_sql(k=20)}) SELECT k.query, k.target FROM k JOIN pts a ON a.pid = k.query JOIN pts b ON b.pid = k.target WHERE a.track <> b.track OR abs(a.sec - b.sec) >= 864000"
+
+
+def recognize_lookups(spark, sf_dir):
+    """Candidate matches with the source and target segments they name; a missing segment is an error."""
+    found = descriptors(spark, sf_dir)
+    pairs = written(nearest(found, _queries(found), K).select("query", "target", "rank"), "pairs")
+    a, b = (found.select(F.col("id").alias(n), F.col("label").alias(f"{n}_label"), F.round(F.col("vector")[0].cast("double"), 6).alias(f"{n}_first")) for n in ("query", "target"))
+    both = written(pairs.join(a, "query").join(b, "target"), "looked-up")
+    if both.count() != pairs.count():
+        raise ValueError("a match names a segment that is not there")
+    return both.select("query", "target", F.col("rank").cast("long").alias("rank"), "query_label", "target_label", "query_first", "target_first")
+
 
+LOOKUPS = f"WITH k AS ({_knn_sql()}) SELECT query, target, rank, a.label::BIGINT query_label, b.label::BIGINT target_label, round(a.embedding[1]::DOUBLE, 6) query_first, round(b.embedding[1]::DOUBLE, 6) target_first FROM k JOIN embeddings a ON a.vec_id = query JOIN embeddings b ON b.vec_id = target"
 
-MATCH_TIME = f"WITH {PTS_EV} SELECT a.pid, b.pid other FROM pts a JOIN pts b ON b.pid = a.pid + 7 WHERE a.track <> b.track OR abs(a.sec - b.sec) >= 1800"
+
+def update_match_centroids(spark, sf_dir):
+    """Matches with their segments' new places; one whose segment is gone keeps the place it had."""
+    cen = lineitem_points(spark, sf_dir).groupBy("segment").agg(F.round(F.avg("x"), 3).alias("x"))
+    matches = cen.select(F.col("segment").alias("source"), (F.pmod(F.col("segment") * 31, F.lit(200)) + 1).alias("target"), F.lit(-1.0).alias("old"))
+    fresh = cen.filter("segment % 3 <> 0").select("segment", (F.col("x") + 1).alias("new"))
+    for side in ("source", "target"):
+        matches = matches.join(fresh.withColumnsRenamed({"segment": side, "new": f"{side}_new"}), side, "left")
+    return matches.select("source", "target", *[F.round(F.coalesce(f"{s}_new", "old"), 3).alias(f"{s}_x") for s in ("source", "target")])
+
+
+UPDATE_MATCHES = f"WITH {PTS_LI}, c AS (SELECT segment, round(avg(x), 3) x FROM pts GROUP BY 1), m AS (SELECT segment source, segment * 31 % 200 + 1 target FROM c), f AS (SELECT segment, x + 1 n FROM c WHERE segment % 3 <> 0) SELECT source, target, round(coalesce(a.n, -1.0::DOUBLE), 3) source_x, round(coalesce(b.n, -1.0::DOUBLE), 3) target_x FROM m LEFT JOIN f a ON a.segment = source LEFT JOIN f b ON b.segment = target"
 
 
 def _matches(spark, sf_dir):
@@ -140,9 +177,8 @@ CAPPED = f"WITH {PTS_EV}, {SQL_MATCHES} SELECT a.robot, a.pid src, b.pid dst FRO
 
 
 def vertex_degrees(spark, sf_dir):
-    found = degrees(_edges(spark, sf_dir, capped=True))
-    top = F.max("degree").over(Window.partitionBy())
-    return found.withColumn("max_degree", top)
+    found = written(degrees(_edges(spark, sf_dir, capped=True)), "degrees")
+    return found.crossJoin(F.broadcast(found.agg(F.max("degree").alias("max_degree"))))
 
 
 DEGREES = f"WITH e AS ({CAPPED}), n AS (SELECT src node FROM e UNION ALL SELECT dst FROM e) SELECT node, count(*) degree, max(count(*)) OVER () max_degree FROM n GROUP BY 1"
@@ -185,10 +221,56 @@ SELECT n node, min(l) component FROM r GROUP BY 1
 """
 
 
+def ids_matching(spark, sf_dir):
+    """Whether each id and the next one known to the groups are in one group."""
+    groups = written(relabel_components(spark, sf_dir), "groups")
+    later = groups.select((F.col("node") - 1).alias("node"), F.col("component").alias("other"))
+    return groups.join(later, "node").select(F.col("node").alias("id"), (F.col("component") == F.col("other")).alias("same"))
+
+
+IDS_MATCHING = f"WITH g AS ({RELABEL}) SELECT a.node id, a.component = b.component same FROM g a JOIN g b ON b.node = a.node + 1"
+
+
+def front_cluster(spark, sf_dir):
+    """The first of the candidate clusters: the largest clique, the one of the smallest component among equals."""
+    found = written(cliques(_edges(spark, sf_dir, capped=True).select("src", "dst"), 3), "cliques")
+    first = found.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    return found.join(F.broadcast(first), "component")
+
+
+def roc_pairs(spark, sf_dir):
+    """Labelled pairs for a ROC curve: always one against the last of a sequence.
+
+    Positives join each member of a class to the last ones of its other sequences, so they grow with the members times the
+    sequences (three); as many negatives of other classes, at least a distance apart, come in a shuffled order.
+    """
+    found = descriptors(spark, sf_dir).select("id", "label", F.pmod("id", F.lit(3)).alias("seq"), "vector")
+    last = written(found.groupBy("label", "seq").agg(F.max_by(F.struct("id", "vector"), "id").alias("l")).select(F.col("label").alias("l_label"), F.col("seq").alias("l_seq"), F.col("l.id").alias("last"), F.col("l.vector").alias("l_vector")), "last")
+    if last.count() > 10_000:
+        raise ValueError("the last samples of all sequences are sent to every task: choose fewer sequences")
+    pairs = found.join(F.broadcast(last), (F.col("label") == F.col("l_label")) & (F.col("seq") != F.col("l_seq")))
+    positive = written(pairs.select(F.least("id", "last").alias("a"), F.greatest("id", "last").alias("b")).distinct(), "positive")
+    d2 = F.aggregate(F.zip_with("vector", "l_vector", lambda p, q: (p.cast("double") - q) * (p.cast("double") - q)), F.lit(0.0), lambda s, t: s + t)
+    other = found.join(F.broadcast(last), F.col("label") != F.col("l_label")).filter(d2 >= 2.0).select(F.least("id", "last").alias("a"), F.greatest("id", "last").alias("b")).distinct()
+    order = other.withColumn("h", F.pmod(F.col("a") * 7919 + F.col("b") * 104729, F.lit(1000003)))
+    chosen = numbered(order, ["h", "a", "b"]).crossJoin(F.broadcast(positive.agg(F.count("*").alias("many")))).filter("n <= many")
+    return positive.select("a", "b", F.lit(1).cast("long").alias("same")).unionByName(chosen.select("a", "b", F.lit(0).cast("long").alias("same")))
+
+
+ROC_PAIRS = """
+WITH f AS (SELECT vec_id id, label, vec_id % 3 seq, embedding v FROM embeddings), l AS (SELECT label, seq, max(id) AS last, arg_max(v, id) lv FROM f GROUP BY 1, 2),
+p AS (SELECT DISTINCT least(id, last) a, greatest(id, last) b FROM f JOIN l ON f.label = l.label AND f.seq <> l.seq),
+o AS (SELECT DISTINCT least(id, last) a, greatest(id, last) b FROM f JOIN l ON f.label <> l.label WHERE list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i]::DOUBLE - lv[i]) * (v[i]::DOUBLE - lv[i]))) >= 2.0),
+n AS (SELECT a, b, row_number() OVER (ORDER BY (a * 7919 + b * 104729) % 1000003, a, b) n FROM o)
+SELECT a, b, 1::BIGINT same FROM p UNION ALL SELECT a, b, 0 FROM n WHERE n <= (SELECT count(*) FROM p)
+"""
+
+
 def greedy_grouping(spark, sf_dir):
     """Consensus groups of three or more: seeds in order of degree take all unused matches consistent with the whole group."""
     ship(spark)
-    edges = _edges(spark, sf_dir, capped=True)
+    edges = written(_edges(spark, sf_dir, capped=True), "edges")
+    parts = components(edges.select("src", "dst")).withColumnRenamed("node", "src")
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, set[int]] = {}
@@ -209,7 +291,8 @@ def greedy_grouping(spark, sf_dir):
                 rows += [(int(pdf["robot"].iloc[0]), int(seed), int(m)) for m in members]
         return pd.DataFrame(rows, columns=["robot", "grp", "member"]).astype("int64")
 
-    return edges.groupBy("robot").applyInPandas(group, "robot long, grp long, member long")
+    # Groups never reach beyond a connected part, so a part is a task's unit.
+    return edges.join(parts, "src").groupBy("component").applyInPandas(group, "robot long, grp long, member long")
 
 
 PACK = {
@@ -219,6 +302,11 @@ PACK = {
     "histogram_intersection": (histogram_intersection, HISTOGRAM),
     "feature_distance": (feature_distance, FEATURE_DISTANCE),
     "match_time_filter": (match_time_filter, MATCH_TIME),
+    "recognize_lookups": (recognize_lookups, LOOKUPS),
+    "update_match_centroids": (update_match_centroids, UPDATE_MATCHES),
+    "ids_matching": (ids_matching, IDS_MATCHING),
+    "front_cluster": (front_cluster, None),
+    "roc_pairs": (roc_pairs, ROC_PAIRS),
     "consistency_edges_cell8": (consistency_edges_cell8, CELL8),
     "consistency_edges_capped": (consistency_edges_capped, CAPPED),
     "vertex_degrees": (vertex_degrees, DEGREES),

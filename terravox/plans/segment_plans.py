@@ -6,12 +6,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terravox.functions.geometry import AXES, EIGEN_SCALE, covariance, eigenvalues_sql
-from terravox.operators.graph import labelled
 from terravox.operators.neighbours import radius_pairs, range_join
-from terravox.operators.segments import smooth
+from terravox.operators.folds import running
+from terravox.operators.normals import crosses_sql, neighbour_moments, normals, normals_sql
+from terravox.operators.segments import euclidean, smooth
+from terravox.shared import written
 from terravox.sources.tables import PTS_EV, PTS_LI, event_points, lineitem_points
 
 RADIUS = 0.5
+#: Where the nearest neighbours are looked for first.
+CLOSE = 0.3
 #: Moves values that lie on a rounding boundary off it, so that the order of summation cannot show.
 TIE = 1e-7
 CENTROIDS = "cen AS (SELECT segment, avg(x) x, avg(y) y, avg(z) z, count(*) n FROM pts GROUP BY 1)"
@@ -40,12 +44,12 @@ FEATURES = f"""
 SELECT segment, round((l1 - l2) / l1 / {S['linearity']}, 6) + 0.0 AS linearity, round((l2 - l3) / l1 / {S['planarity']}, 6) + 0.0 AS planarity, round(l3 / l1 / {S['scattering']}, 6) AS scattering,
        round(power(abs(l1 * l2 * l3), 1e0 / 3e0) / {S['omnivariance']}, 6) AS omnivariance, round((l1 - l3) / l1 / {S['anisotropy']}, 6) + 0.0 AS anisotropy,
        round(l1 * ln(l1) + l2 * ln(l2) + l3 * ln(l3) / {S['entropy']}, 6) AS eigen_entropy, round(l3 / (l1 + l2 + l3) / {S['change_of_curvature']}, 6) AS change_of_curvature, pointing_up
-FROM (SELECT segment, pointing_up, e1 / (e1 + e2 + e3) AS l1, e2 / (e1 + e2 + e3) AS l2, e3 / (e1 + e2 + e3) AS l3 FROM ({eigenvalues_sql()}) WHERE e1 > 0.000001)
+FROM (SELECT segment, pointing_up, CASE WHEN e1 > 0.000001 THEN e1 / (e1 + e2 + e3) END AS l1, e2 / (e1 + e2 + e3) AS l2, e3 / (e1 + e2 + e3) AS l3 FROM (SELECT segment, pointing_up, CASE WHEN e1 > 0.000001 THEN e1 END AS e1, e2, e3 FROM ({eigenvalues_sql()})))
 """
 
 
 def eigen_features(spark, sf_dir):
-    """Eight shape features of the ascending eigenvalues of a segment's covariance; flat segments have none."""
+    """Eight shape features of the ascending eigenvalues of a segment's covariance; flat segments have none (nulls)."""
     extent = {a: F.max(a) - F.min(a) for a in AXES}
     up = F.when((extent["z"] < extent["x"]) & (extent["z"] < extent["y"]), F.lit(0.2)).otherwise(F.lit(0.0))
     moments = lineitem_points(spark, sf_dir).groupBy("segment").agg(*covariance(), up.alias("pointing_up"))
@@ -74,9 +78,9 @@ def pca2d_alignment(spark, sf_dir):
     axes = points.groupBy("segment").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("cxx"), F.var_pop("y").alias("cyy"), F.covar_pop("x", "y").alias("cxy"))
     axes = axes.withColumn("theta", F.round(0.5 * F.atan2(2 * F.col("cxy"), F.col("cxx") - F.col("cyy")), 5))
     turned = points.join(axes, "segment").withColumn("v", F.round(-F.sin("theta") * (F.col("x") - F.col("mx")) + F.cos("theta") * (F.col("y") - F.col("my")), 6))
-    mid = turned.groupBy("segment", "theta").agg(((F.min("v") + F.max("v")) / 2).alias("mid"), F.count("*").alias("n"), F.array_agg("v").alias("vs"))
-    below = F.size(F.filter("vs", lambda v: v < F.col("mid")))
-    return mid.select("segment", "theta", below.cast("long").alias("below"), (2 * below < F.col("n")).alias("turned"))
+    mid = turned.groupBy("segment").agg(((F.min("v") + F.max("v")) / 2).alias("mid"))
+    counted = turned.join(mid, "segment").groupBy("segment", "theta").agg(F.count_if(F.col("v") < F.col("mid")).alias("below"), F.count("*").alias("n"))
+    return counted.select("segment", "theta", "below", (2 * F.col("below") < F.col("n")).alias("turned"))
 
 
 PCA2D = f"""
@@ -148,10 +152,7 @@ NORMALS = f"WITH {PTS_EV}, {SQL_NEAR}, moments AS (SELECT p AS pid, count(*) n,
 
 def euclidean_segments(spark, sf_dir):
     """Connected components of the radius graph, of three to a thousand points."""
-    points = event_points(spark, sf_dir).select("pid")
-    found = labelled(points, radius_pairs(event_points(spark, sf_dir), RADIUS).select("src", "dst"), "pid")
-    size = F.count("*").over(Window.partitionBy("component"))
-    return found.withColumn("n", size).filter("n BETWEEN 3 AND 1000").select("pid", F.col("component").alias("segment"), "n")
+    return euclidean(event_points(spark, sf_dir), RADIUS, 3, 1000)
 
 
 SQL_COMPONENTS = "r(n, l) AS (SELECT id, id FROM nodes UNION SELECT u.d, r.l FROM r JOIN u ON u.s = r.n WHERE r.l < u.d), lab AS (SELECT n AS id, min(l) AS component FROM r GROUP BY 1)"
@@ -162,14 +163,28 @@ SELECT pid, segment, n FROM sized WHERE n BETWEEN 3 AND 1000
 """
 
 
-def smoothness_segments(spark, sf_dir):
-    """Segments grown over neighbours of like normals; a point's normal is that of the plane through its neighbourhood's moments.
+NORMAL_RADIUS = 1.2
+SQL_WIDE = f"near AS (SELECT a.pid p, b.x, b.y, b.z FROM pts a JOIN pts b ON abs(a.x - b.x) <= {NORMAL_RADIUS} AND abs(a.y - b.y) <= {NORMAL_RADIUS} AND abs(a.z - b.z) <= {NORMAL_RADIUS} WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= {NORMAL_RADIUS} * {NORMAL_RADIUS})"
+#: Where the two smallest eigenvalues all but agree, a normal has no direction.
+TOLD = "n >= 4 AND e2 - e1 > 0.02 * e3"
+SHOWN = f"SELECT pid, n, CASE WHEN {TOLD} THEN round(nx, 3) + 0.0 END nx, CASE WHEN {TOLD} THEN round(ny, 3) + 0.0 END ny, CASE WHEN {TOLD} THEN round(nz, 3) + 0.0 END nz"
+
+
+def surface_normal_vectors(spark, sf_dir):
+    """Normals of neighbourhoods that reach into the next layers, pointing up the diagonal of the axes."""
+    found = normals(neighbour_moments(event_points(spark, sf_dir), NORMAL_RADIUS))
+    return spark.sql(SHOWN + " FROM {found}", found=found)
 
-    In these flat layers every normal points up, so growth follows distance and curvature alone.
-    """
-    points = event_points(spark, sf_dir).select("pid", *AXES).join(surface_normals(spark, sf_dir).select("pid", "curvature"), "pid")
-    points = points.withColumns({"nx": F.lit(0.0), "ny": F.lit(0.0), "nz": F.lit(1.0)})
-    return smooth(points, RADIUS, 0.9, 0.05, 3)
+
+SQL_MOMENTS = "moments AS (SELECT p AS pid, count(*) n, " + ", ".join(f"sum({a} * {b}) / count(*) - sum({a}) / count(*) * (sum({b}) / count(*)) c{a}{b}" for i, a in enumerate(AXES) for b in AXES[i:]) + " FROM near GROUP BY 1)"
+NORMAL_VECTORS = f"WITH {PTS_EV}, {SQL_WIDE}, {SQL_MOMENTS} {SHOWN} FROM ({normals_sql(f'({crosses_sql()})')})"
+
+
+def smoothness_segments(spark, sf_dir):
+    """Segments grown over neighbours of like normals, from the least curved seed on."""
+    found = normals(neighbour_moments(event_points(spark, sf_dir), NORMAL_RADIUS))
+    told = found.filter(TOLD).select("pid", *[F.round(c, 4).alias(c) for c in ("nx", "ny", "nz", "curvature")])
+    return smooth(event_points(spark, sf_dir).select("pid", *AXES).join(told, "pid"), RADIUS, 0.9, 0.2, 3)
 
 
 def close_segment_pairs(spark, sf_dir):
@@ -183,12 +198,18 @@ CLOSE_PAIRS = f"WITH {PTS_LI}, {CENTROIDS}, d AS (SELECT (a.x - b.x) * (a.x - b.
 
 def nearest_k_segments(spark, sf_dir):
     """The three nearest other centroids of each segment within a distance, found through a grid."""
-    cen = centroids(lineitem_points(spark, sf_dir)).select("segment", *AXES)
-    pairs = range_join(cen, cen, 1.5).filter("l.segment <> r.segment")
-    d = F.round(F.sqrt("d2"), 4)
-    flat = pairs.select(F.col("l.segment").alias("segment"), F.col("r.segment").alias("other"), d.alias("distance"))
+    cen = written(centroids(lineitem_points(spark, sf_dir)).select("segment", *AXES), "centroids")
     w = Window.partitionBy("segment").orderBy("distance", "other")
-    return flat.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 3")
+
+    def best(asked, reach):
+        pairs = range_join(asked, cen, reach).filter("l.segment <> r.segment")
+        flat = pairs.select(F.col("l.segment").alias("segment"), F.col("r.segment").alias("other"), F.round(F.sqrt("d2"), 4).alias("distance"))
+        return flat.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 3")
+
+    # Most find all three close by; only the others look as far as they may.
+    close = written(best(cen, CLOSE), "close")
+    done = close.filter(f"rank = 3 AND distance < {CLOSE - 0.001}").select("segment")
+    return close.join(done, "segment", "left_semi").unionByName(best(cen.join(done, "segment", "left_anti"), 1.5))
 
 
 NEAREST_K = f"""
@@ -216,10 +237,9 @@ WHERE (l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y) + (l.z - r.z) * (l.z
 def extent_cdf(spark, sf_dir):
     """Cumulative share of segments by extent along x, in unit bins."""
     extent = lineitem_points(spark, sf_dir).groupBy("segment").agg(F.floor(F.max("x") - F.min("x")).cast("long").alias("bin"))
-    bins = extent.groupBy("bin").agg(F.count("*").alias("n"))
-    w = Window.orderBy("bin")
-    total = F.sum("n").over(Window.partitionBy())
-    return bins.select("bin", "n", F.round(F.sum("n").over(w) / total, 6).alias("share"))
+    bins = running(extent.groupBy("bin").agg(F.count("*").alias("n")), ["bin"], upto=F.col("n"))
+    total = bins.agg(F.max("upto").alias("total"))
+    return bins.crossJoin(F.broadcast(total)).select("bin", "n", F.round(F.col("upto") / F.col("total"), 6).alias("share"))
 
 
 EXTENT_CDF = f"WITH {PTS_LI}, b AS (SELECT bin, count(*) n FROM (SELECT CAST(floor(max(x) - min(x)) AS BIGINT) bin FROM pts GROUP BY segment) GROUP BY 1) SELECT bin, n, round(sum(n) OVER (ORDER BY bin) / sum(n) OVER (), 6) share FROM b"
@@ -247,6 +267,7 @@ PACK = {
     "normal_moments": (normal_moments, MOMENTS),
     "surface_normals": (surface_normals, NORMALS),
     "euclidean_segments": (euclidean_segments, EUCLIDEAN),
+    "surface_normal_vectors": (surface_normal_vectors, NORMAL_VECTORS),
     "smoothness_segments": (smoothness_segments, None),
     "close_segment_pairs": (close_segment_pairs, CLOSE_PAIRS),
     "nearest_k_segments": (nearest_k_segments, NEAREST_K),

@@ -123,7 +123,7 @@ FROM n a JOIN n b ON a.segment = b.segment AND b.view = a.view + 1 LEFT JOIN i O
 
 
 def remove_similar(spark, sf_dir):
-    """Views of which a later one differs in fewer than six voxels, by Hamming distance of the occupied sets."""
+    """Views without those of which a later one differs in fewer than six voxels, by Hamming distance of the occupied sets."""
     cells = V.keyed(lineitem_points(spark, sf_dir), 5.0).select("segment", "view", *CELL).distinct()
     size = cells.groupBy("segment", "view").agg(F.count("*").alias("k"))
     a, b = size.alias("a"), size.alias("b")
@@ -132,14 +132,15 @@ def remove_similar(spark, sf_dir):
     later = cells.withColumnRenamed("view", "later")
     common = cells.join(later, ["segment", *CELL]).filter("view < later").groupBy("segment", "view", "later").agg(F.count("*").alias("both"))
     differ = F.col("ka") + F.col("kb") - 2 * F.coalesce("both", F.lit(0))
-    return pairs.join(common, ["segment", "view", "later"], "left").filter(differ < 6).select("segment", "view").distinct()
+    similar = pairs.join(common, ["segment", "view", "later"], "left").filter(differ < 6).select("segment", "view")
+    return size.join(similar, ["segment", "view"], "left_anti").select("segment", "view", "k")
 
 
 REMOVE_SIMILAR = f"""
 WITH {PTS_LI}, c AS (SELECT DISTINCT segment, view, floor(x / 5) ix, floor(y / 5) iy, floor(z / 5) iz FROM pts),
 n AS (SELECT segment, view, count(*) k FROM c GROUP BY 1, 2)
-SELECT DISTINCT a.segment, a.view FROM n a JOIN n b ON a.segment = b.segment AND a.view < b.view
-WHERE a.k + b.k - 2 * (SELECT count(*) FROM c p JOIN c q ON p.segment = q.segment AND p.ix = q.ix AND p.iy = q.iy AND p.iz = q.iz WHERE p.segment = a.segment AND p.view = a.view AND q.view = b.view) < 6
+SELECT segment, view, k FROM n ANTI JOIN (SELECT DISTINCT a.segment, a.view FROM n a JOIN n b ON a.segment = b.segment AND a.view < b.view
+WHERE a.k + b.k - 2 * (SELECT count(*) FROM c p JOIN c q ON p.segment = q.segment AND p.ix = q.ix AND p.iy = q.iy AND p.iz = q.iz WHERE p.segment = a.segment AND p.view = a.view AND q.view = b.view) < 6) USING (segment, view)
 """
 
 PACK = {
