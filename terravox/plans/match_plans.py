@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from terravox.operators.folds import numbered
 from terravox.operators.graph import cliques, components, degrees
-from terravox.operators.neighbours import nearest
+from terravox.operators.hulls import convex_hull, overlap
+from terravox.operators.neighbours import nearest, range_join
+from terravox.operators.rigid import fitted
 from terravox.shared import written
 from terravox.ship import ship
 from terravox.sources.tables import PTS_EV, PTS_LI, descriptors, event_points, lineitem_points
@@ -190,21 +192,22 @@ def max_clique_size(spark, sf_dir):
 
 
 def rigid_fit(spark, sf_dir):
-    """Turn and shift, without scale, that map each clique's scene positions best onto its model positions."""
+    """Turn and shift, without scale, in three dimensions, that map each clique's scene positions best onto its model positions.
+
+    A match lies at the heights of its events. The turn comes back as its quaternion (w >= 0), the rest as shift and mean error.
+    """
     ship(spark)
     members = cliques(_edges(spark, sf_dir, capped=True).select("src", "dst"), 3)
-    rows = members.join(_matches(spark, sf_dir), members["member"] == F.col("pid")).select("component", "pid", "sx", "sy", "mx", "my")
+    w = Window.partitionBy("robot").orderBy("sec", "pid")
+    heights = event_points(spark, sf_dir).select("pid", (F.col("z") + F.pmod("pid", F.lit(3))).alias("sz"), F.col("z").alias("mz"), F.lead("pid").over(w).alias("next"))
+    rows = members.join(_matches(spark, sf_dir), members["member"] == F.col("pid")).join(heights, "pid").select("component", "pid", "sx", "sy", "sz", "mx", "my", "mz")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pid")
-        s, m = pdf[["sx", "sy"]].to_numpy(), pdf[["mx", "my"]].to_numpy()
-        u, _, v = np.linalg.svd((m - m.mean(0)).T @ (s - s.mean(0)))
-        turn = u @ np.diag([1.0, np.sign(np.linalg.det(u @ v))]) @ v
-        shift = m.mean(0) - turn @ s.mean(0)
-        error = float(np.sqrt((((s @ turn.T + shift) - m) ** 2).sum(1).mean()))
-        return pd.DataFrame([(int(pdf["component"].iloc[0]), len(pdf), float(np.arctan2(turn[1, 0], turn[0, 0])), *map(float, shift), error)], columns=["component", "n", "angle", "dx", "dy", "error"])
+        found = fitted(pdf[["sx", "sy", "sz"]].to_numpy("f8"), pdf[["mx", "my", "mz"]].to_numpy("f8"))
+        return pd.DataFrame([(int(pdf["component"].iloc[0]), len(pdf), *map(float, found))], columns=["component", "n", "qw", "qx", "qy", "qz", "dx", "dy", "dz", "error"])
 
-    return rows.groupBy("component").applyInPandas(fit, "component long, n long, angle double, dx double, dy double, error double")
+    return rows.groupBy("component").applyInPandas(fit, "component long, n long, qw double, qx double, qy double, qz double, dx double, dy double, dz double, error double")
 
 
 def relabel_components(spark, sf_dir):
@@ -266,6 +269,47 @@ SELECT a, b, 1::BIGINT same FROM p UNION ALL SELECT a, b, 0 FROM n WHERE n <= (S
 """
 
 
+HULL_DISTANCE, HULL_RATIO, HULL_GAP = 0.3, 0.33, 100
+
+
+def hull_matches(spark, sf_dir):
+    """Segments that fill the same space: close centroids, ids far enough apart, and hulls that share at least a third of both.
+
+    Queries are the segments whose id is divisible by 50, against all segments of larger id. A range join of centroids finds the candidates;
+    then only candidates get points: each pair is one row with both point lists, so no task holds more than a pair at a time.
+    """
+    ship(spark)
+    points = lineitem_points(spark, sf_dir)
+    cen = points.groupBy("segment").agg(*[F.avg(a).alias(a) for a in "xyz"])
+    pairs = range_join(cen.filter("segment % 50 = 0"), cen, HULL_DISTANCE).filter(f"r.segment - l.segment > {HULL_GAP}")
+    pairs = written(pairs.select(F.col("l.segment").alias("a"), F.col("r.segment").alias("b")), "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("segment")).distinct()
+    lists = points.join(asked, "segment", "left_semi").groupBy("segment").agg(F.sort_array(F.collect_list(F.array("x", "y", "z"))).alias("points"))
+    left, right = (lists.select(F.col("segment").alias(n), F.col("points").alias(f"p{n}")) for n in "ab")
+
+    def judge(batches):
+        known: dict[int, tuple] = {}
+
+        def hull(segment, rows):
+            if segment not in known:
+                if len(known) > 2000:
+                    known.clear()
+                cloud = np.array([list(p) for p in rows], "f8")
+                known[segment] = cloud, convex_hull(cloud)
+            return known[segment]
+
+        for pdf in batches:
+            rows = []
+            for a, b, pa_, pb in zip(pdf["a"], pdf["b"], pdf["pa"], pdf["pb"]):
+                (left_points, left_hull), (right_points, right_hull) = hull(a, pa_), hull(b, pb)
+                rows.append((a, b, *overlap(left_points, right_points, left_hull, right_hull)))
+            yield pd.DataFrame(rows, columns=["a", "b", "a_in_b", "b_in_a", "ratio_a", "ratio_b"]).astype({"a": "int64", "b": "int64", "a_in_b": "int64", "b_in_a": "int64"})
+
+    joined = pairs.join(left, "a").join(right, "b").repartition("a", "b").select("a", "b", "pa", "pb")
+    judged = joined.mapInPandas(judge, "a long, b long, a_in_b long, b_in_a long, ratio_a double, ratio_b double")
+    return judged.filter(f"ratio_a > {HULL_RATIO} AND ratio_b > {HULL_RATIO}").select("a", "b", "a_in_b", "b_in_a", F.round("ratio_a", 6).alias("ratio_a"), F.round("ratio_b", 6).alias("ratio_b"))
+
+
 def greedy_grouping(spark, sf_dir):
     """Consensus groups of three or more: seeds in order of degree take all unused matches consistent with the whole group."""
     ship(spark)
@@ -307,6 +351,7 @@ PACK = {
     "ids_matching": (ids_matching, IDS_MATCHING),
     "front_cluster": (front_cluster, None),
     "roc_pairs": (roc_pairs, ROC_PAIRS),
+    "hull_matches": (hull_matches, None),
     "consistency_edges_cell8": (consistency_edges_cell8, CELL8),
     "consistency_edges_capped": (consistency_edges_capped, CAPPED),
     "vertex_degrees": (vertex_degrees, DEGREES),

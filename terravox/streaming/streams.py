@@ -14,10 +14,13 @@ from terravox.shared import shared_dir
 from terravox.ship import ship
 
 
-def points_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The table ``name`` of a folder as a stream of rows."""
+def points_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+    """The table ``name`` of a folder (a file, or a folder of files) as a stream of rows; files_per_batch bounds a micro-batch."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{folder}/{name}.parquet*")
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{folder}/{name}.parquet*")
 
 
 def _finish(writer, path: str) -> None:
@@ -26,19 +29,25 @@ def _finish(writer, path: str) -> None:
 
 
 def voxel_state(points: DataFrame, size: float) -> DataFrame:
-    """Counts and sums per voxel after all batches: state lives in Spark's store, each batch's full table is one version."""
+    """Counts and sums per voxel after all batches.
+
+    State lives in Spark's store. Each batch writes the voxels it changed under its own number, so a batch that runs again overwrites
+    itself; the state is the row of the largest number of each voxel.
+    """
     spark = points.sparkSession
     path = shared_dir(spark, "voxel-stream")
     cell = [F.floor(F.col(a) / size).cast("long").alias(f"i{a}") for a in "xyz"]
     state = points.groupBy(*cell).agg(F.count("*").alias("n"), *[F.sum(a).alias(f"s{a}") for a in "xyz"])
-    versions: list[int] = []
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={number}")
-        versions.append(number)
-
-    _finish(state.writeStream.outputMode("complete").foreachBatch(put), path)
-    return spark.read.schema(state.schema).parquet(f"{path}/version={max(versions)}") if versions else spark.createDataFrame([], state.schema)
+        batch.write.mode("overwrite").parquet(f"{path}/voxels/version={number}")
+
+    # An empty version, so that the table exists whatever comes.
+    spark.createDataFrame([], state.schema).write.parquet(f"{path}/voxels/version=-1")
+    _finish(state.writeStream.outputMode("update").foreachBatch(put), path)
+    every = spark.read.option("basePath", f"{path}/voxels").schema(state.schema.add("version", "long")).parquet(f"{path}/voxels")
+    last = every.groupBy("ix", "iy", "iz").agg(F.max_by(F.struct("n", "sx", "sy", "sz"), "version").alias("v"))
+    return last.select("ix", "iy", "iz", "v.*")
 
 
 def gate(poses: DataFrame, apart: float) -> DataFrame:
