@@ -250,13 +250,13 @@ def centroids_within_radius(spark, sf_dir):
     views = _views(spark, sf_dir)
     poses = views.groupBy("view").agg(F.round(F.avg("x"), 2).alias("px"), F.round(F.avg("y"), 2).alias("py"))
     last = views.groupBy("segment").agg(F.max_by(F.struct("view", *AXES), "view").alias("l")).select("segment", "l.*").join(poses, "view")
-    near = last.filter("(px - 25.4) * (px - 25.4) + (py - 19.1) * (py - 19.1) <= 0.25")
+    near = last.filter("(px - 25.4) * (px - 25.4) + (py - 26.5) * (py - 26.5) <= 0.09")
     return near.select("segment", "view", *[F.round(a, 4).alias(a) for a in AXES])
 
 
 WITHIN = f"""
 WITH {PTS_LI}, {SQL_VIEWS}, p AS (SELECT view, round(avg(x), 2) px, round(avg(y), 2) py FROM vw GROUP BY 1), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY view DESC) r FROM vw) WHERE r = 1)
-SELECT segment, view, round(x, 4) x, round(y, 4) y, round(z, 4) z FROM l JOIN p USING (view) WHERE (px - 25.4::DOUBLE) * (px - 25.4::DOUBLE) + (py - 19.1::DOUBLE) * (py - 19.1::DOUBLE) <= 0.25::DOUBLE
+SELECT segment, view, round(x, 4) x, round(y, 4) y, round(z, 4) z FROM l JOIN p USING (view) WHERE (px - 25.4::DOUBLE) * (px - 25.4::DOUBLE) + (py - 26.5::DOUBLE) * (py - 26.5::DOUBLE) <= 0.09::DOUBLE
 """
 
 

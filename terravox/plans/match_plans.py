@@ -187,8 +187,20 @@ DEGREES = f"WITH e AS ({CAPPED}), n AS (SELECT src node FROM e UNION ALL SELECT
 
 
 def max_clique_size(spark, sf_dir):
-    """Size of the largest clique of three or more mutually consistent matches, per connected part of the graph."""
-    return cliques(_edges(spark, sf_dir, capped=True).select("src", "dst"), 3).groupBy("component").agg(F.count("*").alias("size"))
+    """Size of the largest clique of three or more mutually consistent matches of each robot that has one."""
+    edges = written(_edges(spark, sf_dir, capped=True), "edges")
+    sizes = cliques(edges.select("src", "dst"), 3).groupBy("component").agg(F.count("*").alias("size"), F.min("member").alias("node"))
+    of = edges.select(F.explode(F.array("src", "dst")).alias("node"), "robot").distinct()
+    return sizes.join(of, "node").groupBy("robot").agg(F.max("size").alias("size"))
+
+
+#: Every clique grows from its smallest member on, in ascending order.
+MAX_CLIQUE = f"""
+WITH RECURSIVE e AS ({CAPPED}), u AS (SELECT robot, src s, dst d FROM e UNION SELECT robot, dst, src FROM e), adj AS (SELECT s n, list(d) ns FROM u GROUP BY 1),
+q(robot, members, last) AS (SELECT robot, [src, dst], dst FROM e UNION ALL
+  SELECT q.robot, list_append(q.members, u.d), u.d FROM q JOIN u ON u.s = q.last AND u.d > q.last JOIN adj ON adj.n = u.d WHERE len(list_intersect(q.members, adj.ns)) = len(q.members))
+SELECT robot, max(len(members)) AS size FROM q WHERE len(members) >= 3 GROUP BY 1
+"""
 
 
 def rigid_fit(spark, sf_dir):
@@ -355,7 +367,7 @@ PACK = {
     "consistency_edges_cell8": (consistency_edges_cell8, CELL8),
     "consistency_edges_capped": (consistency_edges_capped, CAPPED),
     "vertex_degrees": (vertex_degrees, DEGREES),
-    "max_clique_size": (max_clique_size, None),
+    "max_clique_size": (max_clique_size, MAX_CLIQUE),
     "rigid_fit": (rigid_fit, None),
     "relabel_components": (relabel_components, RELABEL),
     "greedy_grouping": (greedy_grouping, None),

@@ -85,10 +85,68 @@ def rescale_fit(spark, sf_dir):
 
 RESCALE = f"WITH {PTS_LI} SELECT segment, " + ", ".join(f"round({n} / greatest(max({a}) - min({a}), CAST({f} AS DOUBLE)) + {TIE}, 4) s{a}" for a, n, f in zip(AXES, (31, 31, 15), (3.2, 3.2, 1.6))) + " FROM pts GROUP BY 1"
 
+def align_robot(spark, sf_dir):
+    """Segments centred and turned so that the robot, which stood at (10, 20), lies along the first axis; second moments after the turn."""
+    w = Window.partitionBy("segment")
+    points = lineitem_points(spark, sf_dir).select("segment", *[F.col(a) for a in AXES], *[F.avg(a).over(w).alias(f"m{a}") for a in "xy"])
+    angle = F.atan2(20 - F.col("my"), 10 - F.col("mx"))
+    x, y = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
+    turned = points.select("segment", angle.alias("angle"), (x * F.cos(angle) + y * F.sin(angle)).alias("u"), (y * F.cos(angle) - x * F.sin(angle)).alias("v"))
+    return turned.groupBy("segment").agg(F.round(F.max("angle") + TIE, 4).alias("angle"), F.round(F.avg(F.col("u") * F.col("u")) + TIE, 3).alias("uu"), F.round(F.avg(F.col("v") * F.col("v")) + TIE, 3).alias("vv"))
+
+
+ALIGN = f"""
+WITH {PTS_LI}, m AS (SELECT segment, x - avg(x) OVER w x, y - avg(y) OVER w y, atan2(20 - avg(y) OVER w, 10 - avg(x) OVER w) t FROM pts WINDOW w AS (PARTITION BY segment)),
+r AS (SELECT segment, t, x * cos(t) + y * sin(t) u, y * cos(t) - x * sin(t) v FROM m)
+SELECT segment, round(max(t) + {TIE}, 4) angle, round(avg(u * u) + {TIE}, 3) uu, round(avg(v * v) + {TIE}, 3) vv FROM r GROUP BY 1
+"""
+
+
+def augment_jitter(spark, sf_dir):
+    """Segments moved by an offset drawn from their id, up to a tenth of half a grid of 32 x 32 x 16 voxels; their new centroids."""
+    offset = lambda k, n: (F.pmod(F.col("segment") * k, F.lit(2001)) / 1000.0 - 1) * (0.1 * n / 2)
+    cen = lineitem_points(spark, sf_dir).groupBy("segment").agg(*[F.avg(a).alias(a) for a in AXES])
+    return cen.select("segment", *[F.round(F.col(a) + offset(k, n) + TIE, 4).alias(a) for a, k, n in zip(AXES, (7919, 104729, 1299709), (32, 32, 16))])
+
+
+JITTER = f"WITH {PTS_LI} SELECT segment, " + ", ".join(f"round(avg({a}) + (segment * {k} % 2001 / 1000.0::DOUBLE - 1) * CAST({0.1 * n / 2} AS DOUBLE) + {TIE}, 4) {a}" for a, k, n in zip(AXES, (7919, 104729, 1299709), (32, 32, 16))) + " FROM pts GROUP BY 1"
+
+
+def preprocess_chain(spark, sf_dir):
+    """All steps in their order: a fifth of the points dropped, turned onto the main axis, scaled to fit a grid, jittered, voxelised, standardised.
+
+    Returns each segment's occupied voxels, the points that jitter left inside the grid, and its occupancy standardised over all segments.
+    """
+    points = lineitem_points(spark, sf_dir).filter(F.pmod(F.col("batch") * 31 + F.col("view") * 17 + F.col("segment"), F.lit(5)) > 0)
+    axes = points.groupBy("segment").agg(F.round(0.5 * F.atan2(2 * F.covar_pop("x", "y"), F.var_pop("x") - F.var_pop("y")), 5).alias("t"))
+    turned = points.join(axes, "segment").select("segment", F.round(F.cos("t") * F.col("x") + F.sin("t") * F.col("y"), 4).alias("x"), F.round(F.cos("t") * F.col("y") - F.sin("t") * F.col("x"), 4).alias("y"), F.round("z", 4).alias("z"))
+    box = turned.groupBy("segment").agg(*[F.min(a).alias(f"low_{a}") for a in AXES], *[F.greatest(F.max(a) - F.min(a), F.lit(f)).alias(f"size_{a}") for a, f in zip(AXES, (3.2, 3.2, 1.6))])
+    grid = turned.join(box, "segment")
+    for a, n, k in zip(AXES, (32, 32, 16), (7919, 104729, 1299709)):
+        moved = (F.col(a) - F.col(f"low_{a}")) / F.col(f"size_{a}") * (n - 1) + (F.pmod(F.col("segment") * k, F.lit(21)) / 10.0 - 1) * (0.1 * n / 2)
+        grid = grid.withColumn(f"i{a}", F.floor(F.round(moved, 6)).cast("long"))
+    inside = grid.filter(" AND ".join(f"i{a} BETWEEN 0 AND {n - 1}" for a, n in zip(AXES, (32, 32, 16))))
+    filled = inside.groupBy("segment").agg(F.count_distinct("ix", "iy", "iz").alias("occupied"), F.count("*").alias("inside"))
+    scale = filled.agg(F.avg("occupied").alias("m"), F.stddev_pop("occupied").alias("d"))
+    return filled.crossJoin(F.broadcast(scale)).select("segment", "occupied", "inside", (F.round((F.col("occupied") - F.col("m")) / F.col("d"), 4) + F.lit(0.0)).alias("standard"))
+
+
+PROCESS = f"""
+WITH {PTS_LI}, k AS (SELECT * FROM pts WHERE (batch * 31 + view * 17 + segment) % 5 > 0), a AS (SELECT segment, round(0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)), 5) t FROM k GROUP BY 1),
+r AS (SELECT segment, round(cos(t) * x + sin(t) * y, 4) x, round(cos(t) * y - sin(t) * x, 4) y, round(z, 4) z FROM k JOIN a USING (segment)),
+b AS (SELECT segment, """ + ", ".join(f"min({a}) l{a}, greatest(max({a}) - min({a}), CAST({f} AS DOUBLE)) s{a}" for a, f in zip(AXES, (3.2, 3.2, 1.6))) + """ FROM r GROUP BY 1),
+g AS (SELECT segment, """ + ", ".join(f"floor(round(({a} - l{a}) / s{a} * {n - 1} + (segment * {k} % 21 / 10.0::DOUBLE - 1) * CAST({0.1 * n / 2} AS DOUBLE), 6)) i{a}" for a, n, k in zip(AXES, (32, 32, 16), (7919, 104729, 1299709))) + """ FROM r JOIN b USING (segment)),
+f AS (SELECT segment, count(DISTINCT (ix, iy, iz)) occupied, count(*) inside FROM g WHERE ix BETWEEN 0 AND 31 AND iy BETWEEN 0 AND 31 AND iz BETWEEN 0 AND 15 GROUP BY 1)
+SELECT segment, occupied, inside, round((occupied - (SELECT avg(occupied) FROM f)) / (SELECT stddev_pop(occupied) FROM f), 4) + 0.0 standard FROM f
+"""
+
 PACK = {
     "shape_histogram": (shape_histogram, SHAPE),
     "augment_rotation": (augment_rotation, ROTATION),
     "augment_remove_random": (augment_remove_random, f"WITH {PTS_LI} SELECT segment, count(*) n FROM pts WHERE (batch * 31 + view * 17 + segment) % 5 > 0 GROUP BY 1"),
     "augment_remove_plane": (augment_remove_plane, PLANE),
+    "align_robot": (align_robot, ALIGN),
+    "augment_jitter": (augment_jitter, JITTER),
+    "preprocess_chain": (preprocess_chain, PROCESS),
     "rescale_fit": (rescale_fit, RESCALE),
 }

@@ -73,6 +73,41 @@ def read_merges(spark: SparkSession, path: str) -> DataFrame:
     return _columns(lines(spark, path), [("timestamp_ns", "bigint"), ("id_before", "bigint"), ("id_after", "bigint")])
 
 
+def read_classes(spark: SparkSession, path: str) -> DataFrame:
+    """(line, segment_id, classes): an id and its numbers; what is no number is null."""
+    numbers = F.transform(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))), lambda c: c.try_cast("double"))
+    return lines(spark, path).select("line", _cell(0, "bigint").alias("segment_id"), numbers.alias("classes"))
+
+
+def read_trajectory(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
+    """(line, values): comma-separated poses, one per line; ``header`` drops the first line."""
+    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.trim("value").alias("value")).filter("value <> ''")
+    if header:
+        first = raw.agg(F.min("line")).first()[0]
+        raw = raw.filter(F.col("line") > (first if first is not None else -1))
+    return raw.select("line", F.transform(F.split("value", r"\s*,\s*"), lambda c: c.try_cast("double")).alias("values"))
+
+
+def read_timestamps(spark: SparkSession, path: str) -> DataFrame:
+    return _columns(lines(spark, path), [("segment_id", "bigint"), ("view_id", "int"), ("timestamp_ns", "bigint")])
+
+
+def joined_features(segments: DataFrame, features: DataFrame, how: str = "concatenate", missing: str = "ignore") -> DataFrame:
+    """segments (segment_id, view_id, features) with the features read for them.
+
+    how: "concatenate" puts them behind those held, "replace" in place of them. missing: what to do with rows that name a segment
+    and view that are not there: "ignore" them, or "abort" with an error.
+    """
+    if how not in ("concatenate", "replace") or missing not in ("ignore", "abort"):
+        raise ValueError(f"{how}, {missing}: unknown way of joining features")
+    if missing == "abort" and features.join(segments, ["segment_id", "view_id"], "left_anti").limit(1).count():
+        raise ValueError("features name a segment and view that are not there")
+    more = features.select("segment_id", "view_id", F.col("features").alias("more"))
+    held, none = F.coalesce("features", F.array().cast(segments.schema["features"].dataType)), F.col("more").isNull()
+    out = F.when(none, F.col("features")).otherwise(F.concat(held, "more") if how == "concatenate" else F.col("more"))
+    return segments.join(more, ["segment_id", "view_id"], "left").withColumn("features", out).drop("more")
+
+
 def read_matches(spark: SparkSession, path: str) -> DataFrame:
     """(line, ids): one ragged group of ids per line; ids may be written as floats."""
     return lines(spark, path).select("line", F.transform("cells", lambda c: c.cast("double").cast("bigint")).alias("ids"))
@@ -90,6 +125,75 @@ def write_features(rows: DataFrame, path: str) -> None:
     write_lines(rows.withColumn("flat", flat), ["segment_id", "view_id", "flat"], path)
 
 
+def last_views(rows: DataFrame) -> DataFrame:
+    """The rows of each segment's last view."""
+    last = rows.groupBy("segment_id").agg(F.max("view_id").alias("view_id"))
+    return rows.join(last, ["segment_id", "view_id"], "left_semi")
+
+
+def write_segments(points: DataFrame, path: str, all_views: bool = False) -> None:
+    """id, view (if all are written) and place of every point; else those of the last view alone."""
+    rows = points if all_views else last_views(points)
+    write_lines(rows, ["segment_id", *(["view_id"] if all_views else []), "x", "y", "z"], path)
+
+
+def write_positions(rows: DataFrame, path: str, all_views: bool = False) -> None:
+    write_lines(rows if all_views else last_views(rows), ["segment_id", *(["view_id"] if all_views else []), "px", "py", "pz"], path)
+
+
+def write_timestamps(rows: DataFrame, path: str, all_views: bool = False) -> None:
+    write_lines(rows if all_views else last_views(rows), ["segment_id", *(["view_id"] if all_views else []), "timestamp_ns"], path)
+
+
+def write_merges(rows: DataFrame, path: str) -> None:
+    write_lines(rows, ["timestamp_ns", "id_before", "id_after"], path)
+
+
+def write_matches(rows: DataFrame, path: str) -> None:
+    write_lines(rows, ["ids"], path)
+
+
+def write_classes(rows: DataFrame, path: str) -> None:
+    write_lines(rows, ["segment_id", "classes"], path)
+
+
+def write_session(segments: DataFrame, positions: DataFrame, features: DataFrame, merges: DataFrame, matches: DataFrame, path: str) -> None:
+    """All tables of a session below one folder, as ``read_session`` reads them."""
+    write_segments(segments, f"{path}/segments", all_views=True)
+    write_positions(positions, f"{path}/positions", all_views=True)
+    write_features(features, f"{path}/features")
+    write_merges(merges, f"{path}/merge_events")
+    write_matches(matches, f"{path}/matches")
+
+
+def read_session(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {"segments": read_segments(spark, f"{path}/segments"), "positions": read_positions(spark, f"{path}/positions"), "features": read_features(spark, f"{path}/features"),
+            "merge_events": read_merges(spark, f"{path}/merge_events"), "matches": read_matches(spark, f"{path}/matches")}
+
+
+def read_cloud(spark: SparkSession, path: str) -> DataFrame:
+    """An ASCII cloud, its fields as columns of doubles: a file, a folder of files of the same fields, or what ``write_cloud`` wrote.
+
+    Lines are read as text, so a large file is split among tasks; header lines are those that begin with a word of the format.
+    """
+    every = spark.read.option("recursiveFileLookup", "true").text(path).select(F.trim("value").alias("value"))
+    head = every.filter("value RLIKE '^(FIELDS|DATA) '").distinct().collect()
+    fields = {tuple(r["value"].split()[1:]) for r in head if r["value"].startswith("FIELDS")}
+    kinds = {r["value"].split()[1] for r in head if r["value"].startswith("DATA")}
+    if len(fields) != 1 or kinds != {"ascii"}:
+        raise ValueError(f"{path}: one set of fields and ascii data are read, not {fields} and {kinds}")
+    body = every.filter("value RLIKE '^[-+0-9.nN]'").select(F.split("value", r"\s+").alias("cells"))
+    return body.select(*[_cell(i, "double").alias(name) for i, name in enumerate(fields.pop())])
+
+
+def read_labelled_clouds(spark: SparkSession, path: str, names: str = r"([ab])(\d+)\.pcd$") -> DataFrame:
+    """(group, number, x, y, z) of all files of a folder whose name matches; the pattern's two parts name the group and number."""
+    raw = spark.read.option("pathGlobFilter", "*.pcd").text(path).select(F.trim("value").alias("value"), F.input_file_name().alias("file"))
+    found = raw.withColumns({"group": F.regexp_extract("file", "/" + names, 1), "number": F.regexp_extract("file", "/" + names, 2).try_cast("long")})
+    body = found.filter("number IS NOT NULL AND value RLIKE '^[-+0-9.]'").withColumn("cells", F.split("value", r"\s+"))
+    return body.select("group", "number", *[_cell(i, "double").alias(a) for i, a in enumerate("xyz")])
+
+
 class PointCloud(DataSource):
     """ASCII point clouds: ``spark.dataSource.register(PointCloud)``, then ``spark.read.format("pcd").load(path)``."""
 
@@ -130,7 +234,7 @@ class _CloudReader(DataSourceReader):
 
 
 def write_cloud(points: DataFrame, path: str) -> None:
-    """Points as text lines below a folder, with the count in the header file; both together make an ASCII cloud."""
+    """x, y, z of all points as text lines below a folder, in parallel, beside a header that holds their count; ``read_cloud`` reads it."""
     n = points.count()
     head = ["# .PCD v0.7", "VERSION 0.7", "FIELDS x y z", "SIZE 8 8 8", "TYPE F F F", "COUNT 1 1 1", f"WIDTH {n}", "HEIGHT 1", "VIEWPOINT 0 0 0 1 0 0 0", f"POINTS {n}", "DATA ascii"]
     points.sparkSession.createDataFrame([(h,) for h in head], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")

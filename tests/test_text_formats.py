@@ -40,3 +40,54 @@ def test_point_cloud(spark, tmp_path):
     spark.dataSource.register(T.PointCloud)
     path = put(tmp_path / "c.pcd", "VERSION 0.7\nFIELDS x y z\nPOINTS 2\nDATA ascii\n1 2 3\n4 5 6\n")
     assert sorted(map(tuple, spark.read.format("pcd").load(path).collect())) == [(1, 2, 3), (4, 5, 6)]
+
+
+def test_classes_and_trajectory(spark, tmp_path):
+    rows = T.read_classes(spark, put(tmp_path / "c.csv", "1 2 \n3 4.5 x\n")).orderBy("line").collect()
+    assert [(r["segment_id"], r["classes"]) for r in rows] == [(1, [2.0]), (3, [4.5, None])]
+    T.write_classes(T.read_classes(spark, str(tmp_path / "c.csv")).limit(1), str(tmp_path / "cc"))
+    assert T.read_classes(spark, str(tmp_path / "cc")).first()["classes"] == [2.0]
+    path = put(tmp_path / "t.csv", "time, x, y\n1, 2.5, 3\n4,5,6\n")
+    assert [r["values"] for r in T.read_trajectory(spark, path, header=True).orderBy("line").collect()] == [[1.0, 2.5, 3.0], [4.0, 5.0, 6.0]]
+    assert T.read_trajectory(spark, path).count() == 3
+
+
+def test_session_round_trip(spark, tmp_path):
+    points = spark.createDataFrame([(1, 0, 0.0, 1.0, 2.0), (1, 1, 3.0, 4.0, 5.0), (2, 0, 6.0, 7.0, 8.0)], "segment_id long, view_id int, x double, y double, z double")
+    places = points.withColumnsRenamed({"x": "px", "y": "py", "z": "pz"})
+    features = spark.createDataFrame([(1, 1, [("a", 0.5)])], "segment_id long, view_id int, features array<struct<name: string, value: double>>")
+    merges = spark.createDataFrame([(10, 2, 1)], "timestamp_ns long, id_before long, id_after long")
+    matches = spark.createDataFrame([([1, 2, 3],)], "ids array<long>")
+    T.write_session(points, places, features, merges, matches, str(tmp_path / "s"))
+    back = T.read_session(spark, str(tmp_path / "s"))
+    plain = lambda df: sorted(map(tuple, df.drop("line").collect()))
+    assert plain(back["segments"]) == plain(points) and plain(back["positions"]) == plain(places)
+    assert plain(back["merge_events"]) == [(10, 2, 1)] and plain(back["matches"]) == [([1, 2, 3],)]
+    T.write_segments(points, str(tmp_path / "last"))
+    assert sorted(tuple(r["cells"]) for r in T.lines(spark, str(tmp_path / "last")).collect()) == [("1", "3.0", "4.0", "5.0"), ("2", "6.0", "7.0", "8.0")]
+    T.write_timestamps(points.selectExpr("segment_id", "view_id", "cast(7 as long) timestamp_ns"), str(tmp_path / "times"), all_views=True)
+    assert T.read_timestamps(spark, str(tmp_path / "times")).count() == 3
+
+
+def test_features_join_their_segments(spark):
+    kind = "segment_id long, view_id int, features array<struct<name: string, value: double>>"
+    held = spark.createDataFrame([(1, 0, [("a", 1.0)]), (2, 0, None)], kind)
+    read = spark.createDataFrame([(1, 0, [("b", 2.0)]), (9, 0, [("c", 3.0)])], kind)
+    names = lambda df: {r["segment_id"]: [f["name"] for f in r["features"] or []] for r in df.collect()}
+    assert names(T.joined_features(held, read)) == {1: ["a", "b"], 2: []}
+    assert names(T.joined_features(held, read, how="replace")) == {1: ["b"], 2: []}
+    with pytest.raises(ValueError):
+        T.joined_features(held, read, missing="abort")
+
+
+def test_clouds_written_and_read(spark, tmp_path):
+    points = spark.createDataFrame([(float(i), -1e-7, 2.5) for i in range(50)], "x double, y double, z double").repartition(3)
+    T.write_cloud(points, str(tmp_path / "cloud"))
+    assert sorted(map(tuple, T.read_cloud(spark, str(tmp_path / "cloud")).collect())) == sorted(map(tuple, points.collect()))
+    path = put(tmp_path / "a12.pcd", "VERSION 0.7\nFIELDS x y z label\nPOINTS 2\nDATA ascii\n1 2 3 9\n4 5 6 nan\n")
+    assert T.read_cloud(spark, path).columns == ["x", "y", "z", "label"] and T.read_cloud(spark, path).count() == 2
+    put(tmp_path / "DON_b3.pcd", "FIELDS x y z\nDATA ascii\n7 8 9\n")
+    assert [tuple(r) for r in T.read_labelled_clouds(spark, str(tmp_path)).filter("x = 1").collect()] == [("a", 12, 1.0, 2.0, 3.0)]
+    assert [tuple(r) for r in T.read_labelled_clouds(spark, str(tmp_path), r"DON_([ab])(\d+)\.pcd$").collect()] == [("b", 3, 7.0, 8.0, 9.0)]
+    with pytest.raises(ValueError):
+        T.read_cloud(spark, put(tmp_path / "x.pcd", "FIELDS x y z\nDATA binary\n"))
