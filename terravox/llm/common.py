@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from terravox.shared import shared_dir, written
 from terravox.ship import ship
 
-__all__ = ["LAST_ID", "alnum_words", "lower_words", "read", "same_columns", "shared_dir", "small", "texts", "written"]
+__all__ = ["LAST_ID", "alnum_words", "free", "lower_words", "read", "same_columns", "shared_dir", "small", "texts", "written"]
 
 #: Stands for a null id where ids are ordered.
 LAST_ID = 2**63 - 1
@@ -35,6 +35,17 @@ def same_columns(docs: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in docs.columns]
 
 
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """Names for further columns that no column of docs has, whatever the case of its letters."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) alone; a null text becomes an empty one."""
     ship(docs.sparkSession)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravox.llm.automaton import SuffixAutomaton
-from terravox.llm.common import alnum_words, same_columns, small, texts, written
+from terravox.llm.common import alnum_words, free, same_columns, small, texts, written
 
 HITS = "id long, row long, n_words long, hits array<struct<start: long, end: long>>, items array<string>"
 
@@ -213,14 +213,15 @@ def clean(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: flo
     return keyed.mapInArrow(run, "id long, row long, text string, dropped boolean")
 
 
-
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5,
                    id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """The rows of docs, all columns, with hit runs taken out; rows covered by more than ``max_coverage`` go."""
-    changed = written(clean(docs, items, window, max_coverage, id_col, text_col).select("row", F.col("text").alias("__tv_text"), F.col("dropped").alias("__tv_dropped")).dropDuplicates(["row"]), "changed")
-    keyed = docs.withColumn("__tv_key", F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))))
-    both = keyed.join(changed.withColumnRenamed("row", "__tv_key"), "__tv_key", "left").filter("NOT coalesce(__tv_dropped, false)")
-    both = both.withColumn(text_col, F.coalesce("__tv_text", text_col))
+    key, left, dropped = free(docs, "tv_key", "tv_text", "tv_dropped")
+    changed = clean(docs, items, window, max_coverage, id_col, text_col).select(F.col("row").alias(key), F.col("text").alias(left), F.col("dropped").alias(dropped))
+    changed = written(changed.dropDuplicates([key]), "changed")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))))
+    both = keyed.join(changed, key, "left").filter(~F.coalesce(dropped, F.lit(False)))
+    both = both.withColumn(text_col, F.coalesce(left, text_col))
     if length_col:
         both = both.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
     return both.select(*same_columns(docs))

@@ -41,7 +41,9 @@ NAMED, OUTSIDE = 0.5, 0.5
 #: Paths that settle something are sent to all tasks up to this number (8 bytes each); beyond it pages are joined by host and salt.
 BROADCAST_PATHS, SALTS = 500_000, 32
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.DOTALL)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: The attributes of a tag up to its end; quoted values may hold ">". Nothing is tried twice, so a tag costs its own length.
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _MARK = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.IGNORECASE)
 _HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 
@@ -50,7 +52,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
+BARRIERS = frozenset("button table td th".split())
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)(?:[^>]*>|[^>]*\Z)", re.IGNORECASE) for tag in RAW}
 UNSEEN = frozenset("script style noscript template iframe select textarea svg canvas title head object audio video".split())
 FURNITURE_TAGS = frozenset("nav footer aside form button dialog menu".split())
 FURNITURE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
@@ -98,8 +102,19 @@ def walk(page: str, low: frozenset = frozenset(), high: frozenset = frozenset(),
                 blocks.append((" ".join(words), line_main))
             line.clear()
 
+    open_at: dict[str, list[int]] = {}
+
+    def deepest(tags) -> int:
+        """Where on the stack the innermost open element of these tags is; 0 if none is open."""
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+
+    def close_to(depth: int):
+        while depth and len(stack) > depth:
+            pop()
+
     def pop():
         node = stack.pop()
+        open_at[node.tag].pop()
         stack[-1].content += node.content
         if close:
             close(node)
@@ -117,42 +132,58 @@ def walk(page: str, low: frozenset = frozenset(), high: frozenset = frozenset(),
                 line_main = top.main
             line.append(said)
 
-    at, end = 0, len(page)
+    at, end, quotes = 0, len(page), True
     while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        begin = page.find("<", at)
+        if begin < 0:
             text(page[at:])
             break
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        slash, tag, rest = m.group(1, 2, 3) if m[2] else m.group(4, 5, 6)
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                text(m[0][9:-3] if m[0].endswith("]]>") else m[0][9:])
+        name = _NAME.match(page, begin)
+        if name is None:
+            after = page[begin + 1 : begin + 2]
+            if after not in ("!", "?"):
+                # A "<" that begins no tag is text; so is what comes before it.
+                text(page[at : begin + 1])
+                at = begin + 1
+                continue
+            if begin > at:
+                text(page[at:begin])
+            if page.startswith("<![CDATA[", begin):
+                stop = page.find("]]>", begin)
+                text(page[begin + 9 : stop if stop >= 0 else end])
+            else:
+                stop = page.find("-->", begin + 4) if page.startswith("<!--", begin) else page.find(">", begin)
+            at = end if stop < 0 else stop + (1 if page[stop] == ">" else 3)
             continue
+        rest = _REST.match(page, name.end()) if quotes else None
+        if rest is None:
+            # A quote that never closes: from here on tags end at the next ">", so that no later tag looks for its end again.
+            quotes = False
+            stop = page.find(">", name.end())
+            if stop < 0:
+                text(page[at:])
+                break
+            rest_text, then = page[name.end() : stop], stop + 1
+        else:
+            rest_text, then = rest[1], rest.end()
+        if begin > at:
+            text(page[at:begin])
+        at, slash, tag, rest = then, page[begin + 1] == "/", name[1], rest_text
         tag = tag.lower()
         if tag not in INLINE:
             flush()
         if slash:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            while depth and len(stack) > depth:
-                pop()
+            close_to(deepest((tag,)))
             continue
         if tag in CLOSES_P:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p"), 0)
-            if depth and not any(x.tag in ("button", "table", "td", "th") for x in stack[depth + 1 :]):
-                while len(stack) > depth:
-                    pop()
+            depth = deepest(("p",))
+            if depth > deepest(BARRIERS):
+                close_to(depth)
         elif tag in SIBLINGS:
             ends, stops = SIBLINGS[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in stops:
-                    break
-                if stack[i].tag in ends:
-                    while len(stack) > i:
-                        pop()
-                    break
+            depth = deepest(ends)
+            if depth > deepest(stops):
+                close_to(depth)
         top = stack[-1]
         label, names, others = marks(rest) if rest else ("", (), False)
         top.style = (top.style * 31 + zlib.crc32(tag.encode())) & 0x7FFFFFFF
@@ -166,13 +197,11 @@ def walk(page: str, low: frozenset = frozenset(), high: frozenset = frozenset(),
         furniture = not page_itself and (tag in FURNITURE_TAGS or (tag == "header" and not top.main) or any(n in FURNITURE_NAMES and not (main and n in HEADERS) for n in names))
         gone = top.gone or tag in UNSEEN or (others and not page_itself) or path in low or (furniture and path not in high)
         node = Node(tag, path, gone, main, furniture)
+        open_at.setdefault(tag, []).append(len(stack))
         stack.append(node)
         if tag in RAW:
-            m = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-            if m is None:
-                at = end
-            else:
-                at = m.end()
+            m = _RAW_END[tag].search(page, at)
+            at = end if m is None else m.end()
             pop()
         elif rest.endswith("/") and tag in ("svg", "path"):
             pop()

@@ -24,10 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravox.llm.common import LAST_ID, lower_words, same_columns, small, texts, written
+from terravox.llm.common import LAST_ID, free, lower_words, same_columns, small, texts, written
 from terravox.operators.graph import components
 
 PIVOTS, SEED, CROWD = 32, 42, 4096
+#: How often crowded keys are dealt on, and how many ways of choosing blocks a plan may hold.
+LEVELS, MOST_PATHS = 2, 300
 
 
 def fingerprint(words: list[bytes], shingle: int = 4) -> int:
@@ -80,21 +82,36 @@ def _bits(fp, part: list[tuple[int, int]]) -> list:
     return [F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1)) for first, width in part]
 
 
-def _dealt(classes: DataFrame, bits: int) -> DataFrame:
-    """(key, fp) such that fingerprints at up to ``bits`` differences meet under some key."""
-    blocks, fp = _cut([(0, 64)], bits + 2), F.col("fp")
-    pairs = list(combinations(range(bits + 2), 2))
-    keys = [F.struct(F.lit(i).alias("pair"), F.xxhash64(F.lit(i), *_bits(fp, blocks[a] + blocks[b])).alias("key")) for i, (a, b) in enumerate(pairs)]
-    dealt = classes.select("fp", F.inline(F.array(*keys)))
-    crowds = dealt.groupBy("key").count().filter(F.col("count") > CROWD).select("key", F.lit(True).alias("crowd"))
-    dealt = dealt.join(crowds, "key", "left")
-    again = F.array().cast("array<bigint>")
-    for i, pair in enumerate(pairs):
-        rest = _cut([x for k, part in enumerate(blocks) if k not in pair for x in part], bits + 2)
-        finer = [F.xxhash64(F.lit(j), F.col("key"), *_bits(fp, rest[a] + rest[b])) for j, (a, b) in enumerate(pairs)]
-        again = F.when(F.col("pair") == i, F.array(*finer)).otherwise(again)
-    calm = dealt.filter("crowd IS NULL").select("key", "fp")
-    return calm.unionByName(dealt.filter("crowd").select(F.explode(again).alias("key"), "fp"))
+def _dealt(classes: DataFrame, bits: int, crowd: int = CROWD) -> DataFrame:
+    """(key, fp) such that fingerprints at up to ``bits`` differences meet under some key.
+
+    Keys that more than ``crowd`` fingerprints share are dealt out again by blocks of the bits that their own blocks leave, level
+    after level, until no such key or too few bits are left.
+    """
+    pairs, fp = list(combinations(range(bits + 2), 2)), F.col("fp")
+    calm = None
+    # The bits that are left depend on the pairs chosen before; those of each path are known when the plan is made.
+    todo = classes.select("fp", F.lit(0).cast("long").alias("key"), F.lit(0).alias("path"))
+    paths = {0: [(0, 64)]}
+    for _ in range(LEVELS):
+        dealt, following = F.array().cast("array<struct<key: bigint, path: int>>"), {}
+        for path, spans in paths.items():
+            blocks = _cut(spans, bits + 2)
+            keys = []
+            for i, (a, b) in enumerate(pairs):
+                number = path * len(pairs) + i
+                following[number] = [x for k, part in enumerate(blocks) if k not in (a, b) for x in part]
+                keys.append(F.struct(F.xxhash64(F.lit(number), F.col("key"), *_bits(fp, blocks[a] + blocks[b])).alias("key"), F.lit(number).alias("path")))
+            dealt = F.when(F.col("path") == path, F.array(*keys)).otherwise(dealt)
+        todo = todo.select("fp", F.inline(dealt))
+        crowds = todo.groupBy("key").count().filter(F.col("count") > crowd).select("key", F.lit(True).alias("crowd"))
+        told = todo.join(crowds, "key", "left")
+        settled = told.filter("crowd IS NULL").select("key", "fp")
+        calm = settled if calm is None else calm.unionByName(settled)
+        if len(following) > MOST_PATHS:
+            break
+        todo, paths = told.filter("crowd").select("fp", "key", "path"), following
+    return calm.unionByName(told.filter("crowd").select("key", "fp"))
 
 
 def pivot_table(fp: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
@@ -139,7 +156,7 @@ def forest(key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.n
     return pairs[:, 0], pairs[:, 1]
 
 
-def links(classes: DataFrame, bits: int = 4) -> DataFrame:
+def links(classes: DataFrame, bits: int = 4, crowd: int = CROWD) -> DataFrame:
     """(src, dst): links that connect all distinct fingerprints at up to ``bits`` differences."""
     bits = int(bits)
 
@@ -160,7 +177,7 @@ def links(classes: DataFrame, bits: int = 4) -> DataFrame:
         if len(held_k):
             yield edges(held_k, held_f)
 
-    dealt = _dealt(classes, bits).repartition("key").sortWithinPartitions("key", "fp")
+    dealt = _dealt(classes, bits, crowd).repartition("key").sortWithinPartitions("key", "fp")
     return dealt.mapInArrow(run, "src long, dst long")
 
 
@@ -184,8 +201,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, id_col: st
 
 
 def deduplicated(docs: DataFrame, shingle: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, of which one per component stays."""
+    """The rows of docs, all columns, of which one per component stays.
+
+    Of rows with the same id and text but other values elsewhere, the one whose other values have the smallest hash stays.
+    """
     found = near_duplicates(docs, shingle, bits, id_col, text_col).filter("kept")
-    keep = found.select(F.coalesce("id", F.lit(LAST_ID)).alias("__tv_id"), F.col("row").alias("__tv_row")).distinct()
-    keyed = docs.withColumns({"__tv_id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), "__tv_row": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    return keyed.join(keep, ["__tv_id", "__tv_row"]).dropDuplicates(["__tv_id", "__tv_row"]).select(*same_columns(docs))
+    key, row, tie = free(docs, "tv_id", "tv_row", "tv_tie")
+    keep = found.select(F.coalesce("id", F.lit(LAST_ID)).alias(key), F.col("row").alias(row)).distinct()
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    rest = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
+    keyed = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), row: F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), tie: rest})
+    kept = keyed.join(keep, [key, row]).groupBy(key, row).agg(F.min_by(F.struct(*same_columns(docs)), tie).alias("r"))
+    return kept.select("r.*")

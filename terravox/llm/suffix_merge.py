@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravox.llm.anchors import COMPARE, CROWD, DUP, MOST_PARTS, WINDOW, Block, Exchange, bucket_of, covered, mix, statuses, unpacked, unzip, zip_
-from terravox.llm.common import LAST_ID, same_columns, written
+from terravox.llm.common import LAST_ID, free, same_columns, written
 
 RUN = "bucket long, blocks binary, shared binary, tails binary, ids binary, which binary, rows binary, starts binary"
 #: Text of the blocks sorted together, suffixes that leave the tree before their groups are judged, and the code of an empty run.
@@ -274,10 +274,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     length_col: a column of docs that counts the text's characters, to be counted again.
     """
+    key, row, kept = free(docs, "tv_id", "tv_row", "tv_text")
     left = substring_dedup(docs, keep_text=True, id_col=id_col, text_col=text_col).filter("n_removed = 0 OR n_removed < n_units")
-    left = left.select(F.coalesce("id", F.lit(LAST_ID)).alias("__tv_id"), F.col("row").alias("__tv_row"), F.col("text").alias("__tv_text")).dropDuplicates(["__tv_id", "__tv_row"])
-    keyed = docs.withColumns({"__tv_id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), "__tv_row": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}).drop(text_col)
-    both = left.join(keyed, ["__tv_id", "__tv_row"]).withColumnRenamed("__tv_text", text_col)
+    left = left.select(F.coalesce("id", F.lit(LAST_ID)).alias(key), F.col("row").alias(row), F.col("text").alias(kept)).dropDuplicates([key, row])
+    keyed = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), row: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}).drop(text_col)
+    both = left.join(keyed, [key, row]).withColumnRenamed(kept, text_col)
     if length_col:
         both = both.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
     return both.select(*same_columns(docs))

@@ -163,13 +163,12 @@ def test_simhash_components(spark, corpus):
 
 
 @pytest.mark.parametrize("crowd", [2, 4096])
-def test_crowded_keys_lose_no_link(spark, crowd, monkeypatch):
-    monkeypatch.setattr(simhash, "CROWD", crowd)
+def test_crowded_keys_lose_no_link(spark, crowd):
     r = random.Random(7)
     bases = [r.getrandbits(64) for _ in range(20)]
     fps = sorted({b ^ sum(1 << k for k in r.sample(range(64), r.randrange(0, 5))) for b in bases for _ in range(15)})
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
-    links = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()
+    links = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), crowd=crowd).collect()
     root = {f: f for f in signed}
 
     def find(x):
@@ -217,6 +216,18 @@ def test_decontamination(spark, corpus):
     assert decontaminate.hits(frame(spark, rows), bench.limit(0)).filter(F.size("hits") > 0).count() == 0
 
 
+def test_pipeline_forms_with_clashing_names(spark, corpus):
+    """Columns of the names that the operators would use come back as they were; ties have a defined result."""
+    docs = frame(spark, corpus).selectExpr("doc_id", "text", "'a' AS tv_id", "'b' AS TV_ROW", "'c' AS tv_text", "'d' AS tv_key", "'e' AS tv_dropped", "'f' AS tv_tie")
+    bench = spark.createDataFrame([("b", corpus[2][1])], "item_id string, text string")
+    for out in (suffix_merge.deduplicated(docs), decontaminate.decontaminated(docs, bench), simhash.deduplicated(docs)):
+        assert out.columns == docs.columns
+        assert {tuple(r)[2:] for r in out.collect()} == {tuple("abcdef")}
+    tied = spark.createDataFrame([(1, "one two three", k) for k in "xyzw"], "doc_id long, text string, more string")
+    first = simhash.deduplicated(tied).collect()
+    assert len(first) == 1 and first == simhash.deduplicated(tied.orderBy(F.desc("more")).repartition(3)).collect()
+
+
 def test_vectors(spark):
     r = np.random.default_rng(0)
     base = r.normal(size=(40, 16))
@@ -509,6 +520,23 @@ def test_pages(spark):
     assert got[None]["text"] == "x" and all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+HOSTILE = {"nested": "<div>", "paragraphs": "<p>", "open quotes": '<a "', "quotes and ends": '<a "> "', "signs": "<", "list items": "<li><div>", "cells": "<table><td>", "strays": "<b></i>", "buttons": "<p><button><div>", "comments": "<!--", "scripts": "<script>", "spaces": "<a \t"}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_take_linear_time(name):
+    """A page of one megabyte, and twice that takes about twice the time."""
+    import time
+
+    def took(n):
+        began = time.process_time()
+        html_text.walk(HOSTILE[name] * (n // len(HOSTILE[name])), close=lambda node: None)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(1_000_000) < 30 and took(1_000_000) < 6 * took(500_000) + 0.5
+
+
 @pytest.mark.parametrize("few", [500_000, -1])
 def test_site_tree_removes_what_a_host_repeats(spark, few, monkeypatch):
     monkeypatch.setattr(html_text, "BROADCAST_PATHS", few)
