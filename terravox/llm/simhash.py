@@ -28,8 +28,8 @@ from terravox.llm.common import LAST_ID, free, lower_words, same_columns, small,
 from terravox.operators.graph import components
 
 PIVOTS, SEED, CROWD = 32, 42, 4096
-#: How often crowded keys are dealt on, and how many ways of choosing blocks a plan may hold.
-LEVELS, MOST_PATHS = 2, 300
+#: How often fingerprints are dealt at most. Each level multiplies the ways of choosing blocks that a plan holds by 15.
+LEVELS = 2
 
 
 def fingerprint(words: list[bytes], shingle: int = 4) -> int:
@@ -85,15 +85,15 @@ def _bits(fp, part: list[tuple[int, int]]) -> list:
 def _dealt(classes: DataFrame, bits: int, crowd: int = CROWD) -> DataFrame:
     """(key, fp) such that fingerprints at up to ``bits`` differences meet under some key.
 
-    Keys that more than ``crowd`` fingerprints share are dealt out again by blocks of the bits that their own blocks leave, level
-    after level, until no such key or too few bits are left.
+    Keys that more than ``crowd`` fingerprints share are dealt out again by blocks of the bits that their own blocks leave, LEVELS
+    times in all.
     """
     pairs, fp = list(combinations(range(bits + 2), 2)), F.col("fp")
     calm = None
     # The bits that are left depend on the pairs chosen before; those of each path are known when the plan is made.
     todo = classes.select("fp", F.lit(0).cast("long").alias("key"), F.lit(0).alias("path"))
     paths = {0: [(0, 64)]}
-    for _ in range(LEVELS):
+    for level in range(1, LEVELS + 1):
         dealt, following = F.array().cast("array<struct<key: bigint, path: int>>"), {}
         for path, spans in paths.items():
             blocks = _cut(spans, bits + 2)
@@ -104,14 +104,14 @@ def _dealt(classes: DataFrame, bits: int, crowd: int = CROWD) -> DataFrame:
                 keys.append(F.struct(F.xxhash64(F.lit(number), F.col("key"), *_bits(fp, blocks[a] + blocks[b])).alias("key"), F.lit(number).alias("path")))
             dealt = F.when(F.col("path") == path, F.array(*keys)).otherwise(dealt)
         todo = todo.select("fp", F.inline(dealt))
+        if level == LEVELS:
+            # Unchecked, so that the plan does not hold the widest expressions many times over.
+            return calm.unionByName(todo.select("key", "fp")) if calm is not None else todo.select("key", "fp")
         crowds = todo.groupBy("key").count().filter(F.col("count") > crowd).select("key", F.lit(True).alias("crowd"))
         told = todo.join(crowds, "key", "left")
         settled = told.filter("crowd IS NULL").select("key", "fp")
         calm = settled if calm is None else calm.unionByName(settled)
-        if len(following) > MOST_PATHS:
-            break
         todo, paths = told.filter("crowd").select("fp", "key", "path"), following
-    return calm.unionByName(told.filter("crowd").select("key", "fp"))
 
 
 def pivot_table(fp: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
