@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terravox.llm import automata_dedup, decontaminate, html_text, id_store, language, packing, quality, simhash, suffix_merge, vector_links
+from terravox.llm import automata_dedup, decontaminate, html_text, id_store, language, packing, quality, simhash, sql, suffix_merge, vector_links
 from terravox.llm.common import read
 
 
@@ -76,4 +76,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_benchmark_decontamination": sql.DECONTAMINATION,
+        "op4_embedding_near_dedup": sql.VECTORS,
+        "op7_substring_dedup": sql.PASSAGES,
+        "op9_suffix_array_dedup": sql.SUBSTRINGS,
+    }
