@@ -8,6 +8,8 @@ match that ends at every word (the matching statistics). Where a match reaches t
 Sending every shard to every document, as a plain broadcast would, costs shards times corpus. Instead each
 shard's automaton is built where the segments that can match in it arrive, which is the same comparison.
 
+The windows of an anchor that occurs with very many different texts are dealt to several tasks by their hashes: equal windows meet.
+
 Edge cases: as in ``suffix_merge``, with words (no ASCII white space in them) instead of bytes.
 """
 
@@ -17,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from terravox.llm.anchors import COMPARE, WINDOW, Exchange, bucket_of, statuses, unpacked, unzip, window_hashes, zip_
+from terravox.llm.anchors import COMPARE, CROWD, MOST_PARTS, WINDOW, Exchange, Segments, bucket_of, statuses, unpacked, unzip, window_hashes, zip_
 from terravox.llm.automaton import SuffixAutomaton
 from terravox.llm.common import written
 from terravox.llm.suffix_merge import removed
@@ -110,6 +112,24 @@ def _stream(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(list(out[0]), pa.int64()), "rows": pa.array(list(out[1]), pa.binary()), "starts": pa.array(list(out[2]), pa.binary())})
 
 
+def _dealt(seg: Segments, chosen: np.ndarray, found: np.ndarray, hashes: dict[int, np.ndarray]) -> list[np.ndarray]:
+    """(segment, first window, windows, part) of the runs to send.
+
+    A segment is sent whole unless its anchor is crowded: then each of its windows goes to the part that its hash names, and
+    neighbours of one part stay together.
+    """
+    level, none = found[chosen].astype(np.int64) - COMPARE, np.zeros
+    calm = chosen[level == 0]
+    out = [(calm, none(len(calm)), seg.windows[calm], none(len(calm)))]
+    for s, p in zip(chosen[level > 0].tolist(), level[level > 0].tolist()):
+        first, n = int(seg.start[s]), int(seg.windows[s])
+        with np.errstate(over="ignore"):
+            part = (window_hashes(hashes[int(seg.row[s])][first : first + n + WINDOW - 1]) >> np.uint64(64 - p)).astype(np.int64)
+        at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        out.append((np.full(len(at), s), at, np.diff(np.append(at, n)), part[at]))
+    return [np.concatenate(c).astype(np.int64) for c in zip(*out)]
+
+
 def repeated(exchange: Exchange) -> DataFrame:
     """(block, rows, starts): the windows of compared segments that repeat a smaller id's."""
     buckets = exchange.buckets
@@ -119,15 +139,18 @@ def repeated(exchange: Exchange) -> DataFrame:
             for (number, block), status in zip(unpacked(batch, True), batch.column("status").to_pylist()):
                 seg, found = statuses(block, status or [], buckets)
                 chosen = np.flatnonzero(found >= COMPARE)
-                need = sorted(set(seg.row[chosen].tolist()))
-                hashes = {r: block.hashes(range(r, r + 1))[0] for r in need}
-                bucket = bucket_of(seg.key[chosen], buckets)
+                hashes = {r: block.hashes(range(r, r + 1))[0] for r in sorted(set(seg.row[chosen].tolist()))}
+                segment, offset, windows, part = _dealt(seg, chosen, found, hashes)
+                bucket = bucket_of(seg.key[segment], buckets) << MOST_PARTS | part
+                order = np.argsort(bucket, kind="stable")
+                used, cuts = np.unique(bucket[order], return_index=True)
                 rows = []
-                for b in np.unique(bucket).tolist():
-                    at = chosen[bucket == b]
-                    size = seg.windows[at] + WINDOW - 1
-                    parts = [hashes[r][s : s + n] for r, s, n in zip(seg.row[at].tolist(), seg.start[at].tolist(), size.tolist())]
-                    data = (seg.key[at].astype("<u8"), block.ids[seg.row[at]].astype("<i8"), seg.row[at].astype("<u4"), seg.start[at].astype("<u4"), size.astype("<u4"), np.concatenate(parts).astype("<u8"))
+                for b, lo, hi in zip(used.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+                    mine = order[lo:hi]
+                    at = segment[mine]
+                    start, size = seg.start[at] + offset[mine], windows[mine] + WINDOW - 1
+                    parts = [hashes[r][s : s + n] for r, s, n in zip(seg.row[at].tolist(), start.tolist(), size.tolist())]
+                    data = (seg.key[at].astype("<u8"), block.ids[seg.row[at]].astype("<i8"), seg.row[at].astype("<u4"), start.astype("<u4"), size.astype("<u4"), np.concatenate(parts).astype("<u8"))
                     rows.append((b, number, *map(zip_, data)))
                 kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 6
                 cols = list(zip(*rows)) or [()] * 8
@@ -137,9 +160,12 @@ def repeated(exchange: Exchange) -> DataFrame:
     return written(sent.groupBy("bucket").applyInArrow(_stream, "block long, rows binary, starts binary"), "repeats")
 
 
-def passage_dedup(docs: DataFrame, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Takes every word out that lies in a ``WINDOW``-word passage which also starts in a document of a smaller id."""
-    exchange = Exchange(docs, words=True, id_col=id_col, text_col=text_col)
+def passage_dedup(docs: DataFrame, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+    """Takes every word out that lies in a ``WINDOW``-word passage which also starts in a document of a smaller id.
+
+    crowd: classes of one anchor beyond which its windows are dealt to several tasks.
+    """
+    exchange = Exchange(docs, words=True, id_col=id_col, text_col=text_col, crowd=crowd)
     out = removed(exchange, repeated(exchange), keep_text)
     exchange.drop()
     return out

@@ -67,11 +67,16 @@ def test_substring_dedup(spark, corpus, words, small_blocks, monkeypatch):
     assert sorted([tuple(r)[0:1] + tuple(r)[2:6] for r in got], key=str) == brute_dedup(corpus, split, join)
 
 
-def test_crowded_anchors_lose_no_window(spark, corpus):
+@pytest.mark.parametrize("words", [False, True])
+def test_crowded_anchors_lose_no_window(spark, corpus, words):
     """Windows of anchors with many texts are dealt to several tasks, with the same result."""
-    rows = corpus + [(600 + i, f"{prose(7, 9)} {prose(700 + i // 2, 12)} {prose(8, 9)}") for i in range(60)]
-    got = suffix_merge.substring_dedup(frame(spark, rows), crowd=2).collect()
-    assert sorted([tuple(r)[0:1] + tuple(r)[2:6] for r in got], key=str) == brute_dedup(rows, lambda b: b, lambda u, k: bytes(x for x, y in zip(u, k) if y))
+    n = 60 if words else 9
+    rows = corpus + [(600 + i, f"{prose(7, n)} {prose(700 + i // 2, 12)} {prose(8, n)}") for i in range(60)]
+    if words:
+        got, split, join = automata_dedup.passage_dedup(frame(spark, rows), crowd=2), bytes.split, lambda u, k: b" ".join(x for x, y in zip(u, k) if y)
+    else:
+        got, split, join = suffix_merge.substring_dedup(frame(spark, rows), crowd=2), lambda b: b, lambda u, k: bytes(x for x, y in zip(u, k) if y)
+    assert sorted([tuple(r)[0:1] + tuple(r)[2:6] for r in got.collect()], key=str) == brute_dedup(rows, split, join)
 
 
 def test_shards_of_matches_agree(monkeypatch):
