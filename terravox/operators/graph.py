@@ -66,7 +66,8 @@ def largest_clique(pairs: list[tuple[int, int]], least: int) -> list[int]:
     """A largest clique of at least ``least`` nodes, the smallest as a sorted list of all; empty if there is none.
 
     Branch and bound: nodes are tried in order, candidates shrink to common neighbours, and a branch that cannot
-    exceed the best so far is left.
+    exceed the best so far is left. Of nodes that share a colour, no two are neighbours, so a clique among the
+    candidates has at most as many nodes as they have colours.
     """
     near: dict[int, set[int]] = {}
     for a, b in pairs:
@@ -75,12 +76,26 @@ def largest_clique(pairs: list[tuple[int, int]], least: int) -> list[int]:
             near.setdefault(b, set()).add(a)
     best: list[int] = []
 
+    def colours(candidates: list[int]) -> list[int]:
+        """For each place, how many colours the nodes from there on need when each takes the first that is free."""
+        groups: list[set[int]] = []
+        counts = []
+        for node in reversed(candidates):
+            for group in groups:
+                if group.isdisjoint(near[node]):
+                    group.add(node)
+                    break
+            else:
+                groups.append({node})
+            counts.append(len(groups))
+        return counts[::-1]
+
     def grow(chosen: list[int], candidates: list[int]) -> None:
         nonlocal best
         if len(chosen) > len(best):
             best = chosen
-        for i, node in enumerate(candidates):
-            if len(chosen) + len(candidates) - i <= max(len(best), least - 1):
+        for i, (node, most) in enumerate(zip(candidates, colours(candidates))):
+            if len(chosen) + most <= max(len(best), least - 1):
                 return
             grow([*chosen, node], [c for c in candidates[i + 1 :] if c in near[node]])
 
