@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,14 +12,66 @@ from terravox.shared import written
 from terravox.ship import ship
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(src, dst) long -> (node, component) for every node that has an edge; component: its smallest node.
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges (node, smallest node of its component) of the graph with edges u, v; smallest nodes have none."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(ids))
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    moved = root != np.arange(len(ids))
+    return ids[moved], ids[root[moved]]
+
+
+def contracted(edges: DataFrame, at_once: int) -> DataFrame:
+    """Edges (u, v) with the same components: each task gives stars for its own, and holds some ``at_once`` of them."""
+    ship(edges.sparkSession)
 
-    Alternating large-star and small-star steps; each round is one written table, and only a count and a
-    checksum of its edges reach the driver.
+    def contract(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append((batch.column("u").to_numpy(), batch.column("v").to_numpy()))
+            n += batch.num_rows
+            if n > at_once:
+                u, v = stars(*map(np.concatenate, zip(*held)))
+                held, n = [(u, v)], len(u)
+                if 2 * n > at_once:
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                    held, n = [], 0
+        if held:
+            u, v = stars(*map(np.concatenate, zip(*held)))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return edges.mapInArrow(contract, "u long, v long")
+
+
+def components(edges: DataFrame, max_rounds: int = 60, at_once: int = 500_000) -> DataFrame:
+    """(src, dst) integers -> (node, component) for every node that has an edge; component: its smallest node.
+
+    Tasks first contract what edges they have, without a shuffle. Should at most ``at_once`` edges be left in all, one
+    task contracts those. Else large-star and small-star steps alternate; each round is one written table, and only
+    a count and a checksum of its edges reach the driver. Edges of a node to itself or to null count for nothing.
     """
-    now = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u > v").distinct()
-    now = written(now, "edges")
+    kind = edges.schema["src"].dataType
+    ends = [F.col(c).cast("long") for c in ("src", "dst")]
+    now = edges.filter("src <> dst").select(F.greatest(*ends).alias("u"), F.least(*ends).alias("v"))
+    now = written(contracted(now, at_once), "edges")
+    if now.count() <= at_once:
+        now = written(contracted(now.coalesce(1), at_once), "edges")
+    else:
+        now = _settled(now, max_rounds)
+    found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+    return found.select(*[F.col(c).cast(kind).alias(c) for c in found.columns])
+
+
+def _settled(now: DataFrame, max_rounds: int) -> DataFrame:
+    """Edges (u, v), u > v, as stars around the smallest node of each component."""
     seen = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -32,8 +86,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         seen = state
     else:
         raise RuntimeError("components did not settle")
-    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    return now
 
 
 def labelled(nodes: DataFrame, edges: DataFrame, node_col: str = "node") -> DataFrame:

@@ -1,5 +1,6 @@
 """Golden cases of voxels, segmentation and graphs."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,32 @@ def test_cliques(spark, text, least, clique):
     assert sorted(r["member"] for r in got.collect()) == clique
 
 
+@pytest.mark.parametrize("at_once", [1, 40, 500_000])
+def test_components_by_rounds_and_by_contraction(spark, at_once):
+    rng = np.random.default_rng(at_once)
+    # Sparse random parts, a long path in shuffled order, a star around a large id, loops, repeats and nulls.
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-300, 300, (250, 2))]
+    path = rng.permutation(np.arange(1000, 1150))
+    pairs += [(int(a), int(b)) for a, b in zip(path, path[1:])]
+    pairs += [(9000, 5000 + i) for i in range(60)] * 2 + [(7, 7), (20_000, 20_000)]
+    top = {n: n for p in pairs for n in p}
+
+    def root(n):
+        while top[n] != n:
+            n = top[n]
+        return n
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        top[b] = a
+    want = {n: root(n) for a, b in pairs if a != b for n in (a, b)}
+    edges = spark.createDataFrame([*pairs, (None, 5), (5, None)], "src int, dst int").repartition(5)
+    found = graph.components(edges, at_once=at_once)
+    assert found.schema.simpleString() == "struct<node:int,component:int>"
+    rows = found.collect()
+    assert len(rows) == len(want) and {r["node"]: r["component"] for r in rows} == want
+
+
 def test_components_of_a_path(spark):
     edges = spark.range(200).selectExpr("id AS src", "id + 1 AS dst").union(spark.createDataFrame([(1000, 1001)], "src long, dst long"))
     got = {r["node"]: r["component"] for r in graph.components(edges).collect()}
