@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,6 +103,23 @@ def _unit(raw: list[bytes], dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def _matrix(column: pa.Array, kind: str, width: int) -> np.ndarray:
+    """The values of a binary column without nulls, each of ``width`` numbers."""
+    if not len(column):
+        return np.empty((0, width), kind)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(-1, width)
+
+
+def _unit_column(column: pa.Array, dim: int) -> np.ndarray:
+    """As ``_unit``, for a whole column at a time."""
+    x = np.empty((len(column), dim))
+    short = pc.equal(pc.binary_length(column), 4 * dim)
+    x[short.to_numpy(zero_copy_only=False)] = _matrix(column.filter(short), "<f4", dim)
+    x[~short.to_numpy(zero_copy_only=False)] = _matrix(column.filter(pc.invert(short)), "<f8", dim)
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
 def _checked(batches):
     """(id, vec, dim): vec is null for vectors that link with nothing; single precision where that holds it exactly."""
     for batch in batches:
@@ -124,16 +142,14 @@ def _forest_task(quantiser, least_cosine: float, reach: float, dim: int):
     def run(batches):
         q = quantiser.value
         at, stored = None, None
-        pending: list[tuple] = []
 
-        def load(rows):
-            node, copies, raw, codes, rest, probes = zip(*rows)
-            coded = np.frombuffer(b"".join(codes), np.uint8).reshape(len(node), -1)
-            return {"node": np.array(node, np.int64), "copies": np.array(copies, np.int64), "x": _unit(list(raw), dim), "codes": coded, "rest": np.array(rest), "root": np.arange(len(node)), "probes": [frozenset(p) for p in probes]}
+        def load(parts):
+            node, copies, vec, codes, rest, probes = (pa.concat_arrays(c) for c in zip(*(p.columns[3:] for p in parts)))
+            return {"node": node.to_numpy(), "copies": copies.to_numpy(), "x": _unit_column(vec, dim), "codes": _matrix(codes, "u1", len(q.spans)), "rest": rest.to_numpy(), "root": np.arange(len(node)), "probes": [frozenset(p) for p in probes.to_pylist()]}
 
         def compare(number: int, rows):
-            node, copies, raw, _, origin, _ = zip(*rows)
-            node, copies, origin, x = np.array(node, np.int64), np.array(copies, np.int64), np.array(origin, np.int64), _unit(list(raw), dim)
+            node, copies, origin = rows.column("node").to_numpy(), rows.column("copies").to_numpy(), rows.column("rest").to_numpy().astype(np.int64)
+            x = _unit_column(rows.column("vec"), dim)
             home = origin == number
             near = q.lookup(x, number, stored["codes"]) <= ((reach + stored["rest"]) ** 2 + 1e-9)[None, :]
             near &= node[:, None] != stored["node"][None, :]
@@ -162,25 +178,23 @@ def _forest_task(quantiser, least_cosine: float, reach: float, dim: int):
             cols = list(zip(*out)) or [(), (), ()]
             return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=["node", "links", "other"])
 
-        fresh: list[tuple] = []
+        fresh: list[pa.RecordBatch] = []
         for batch in batches:
-            for number, salt, kind, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if not len(batch):
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("list", "salt", "kind")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)]):
+                number, salt, kind = keys[:, lo].tolist()
                 if (number, salt) != at:
-                    if pending and stored is not None:
-                        yield emit(compare(at[0], pending))
-                    at, stored, pending, fresh = (number, salt), None, [], []
+                    at, stored, fresh = (number, salt), None, []
                 if kind == 0:
-                    fresh.append(tuple(row))
+                    fresh.append(batch.slice(lo, hi - lo))
                     continue
                 if fresh:
                     stored, fresh = load(fresh), []
-                if stored is not None:
-                    pending.append(tuple(row))
-                    if len(pending) >= QUERY_ROWS:
-                        yield emit(compare(number, pending))
-                        pending = []
-        if pending and stored is not None:
-            yield emit(compare(at[0], pending))
+                for some in range(lo, hi, QUERY_ROWS) if stored is not None else ():
+                    yield emit(compare(number, batch.slice(some, min(QUERY_ROWS, hi - some))))
 
     return run
 
