@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -574,3 +575,11 @@ def test_blocks_hold_all_windows():
     for r, t in enumerate(texts):
         mine = seg.row == r
         assert seg.windows[mine].sum() == max(0, len(t) - 49)
+
+
+def test_unit_columns_of_mixed_width():
+    rng = np.random.default_rng(5)
+    raw = [x.astype("<f4" if i % 3 else "<f8").tobytes() for i, x in enumerate(rng.normal(size=(20, 6)))]
+    for lo, n in ((0, 20), (4, 9), (1, 1), (7, 0)):
+        got = vector_links._unit_column(pa.array(raw, pa.binary()).slice(lo, n), 6)
+        assert (got == vector_links._unit(raw[lo : lo + n], 6)).all() and got.shape == (n, 6)
