@@ -1,10 +1,10 @@
-"""The registered queries of the ten operators: each applies one to its whole table."""
+"""The registered queries of the thirteen operators: each applies one to its whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terravox.llm import automata_dedup, decontaminate, html_text, id_store, language, packing, quality, simhash, sql, suffix_merge, vector_links
+from terravox.llm import automata_dedup, decontaminate, filter_audit, html_text, id_store, language, mixing, packing, quality, simhash, sql, suffix_merge, vector_links, whitening
 from terravox.llm.common import read
 
 
@@ -71,8 +71,22 @@ def op10_token_id_output(spark, sf_dir):
     return id_store.read_store(spark, path).withColumnRenamed("id", "doc_id")
 
 
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", read(spark, sf_dir, "labels"))
+
+
+def op12_embedding_whitening(spark, sf_dir):
+    out = whitening.whitened(read(spark, sf_dir, "embeddings"))
+    # The exact sum is a decimal; it fits in 64 bits up to some millions of unit vectors.
+    return out.select(F.col("id").alias("vec_id"), "component", "n", F.col("deviation").cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def op13_source_mixing(spark, sf_dir):
+    return mixing.mix(read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_benchmark_decontamination, op4_embedding_near_dedup, op5_simhash_near_dedup, op6_html_extraction, op7_substring_dedup, op8_best_fit_packing, op9_suffix_array_dedup, op10_token_id_output)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_benchmark_decontamination, op4_embedding_near_dedup, op5_simhash_near_dedup, op6_html_extraction, op7_substring_dedup, op8_best_fit_packing, op9_suffix_array_dedup, op10_token_id_output, op11_filter_audit, op12_embedding_whitening, op13_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -81,4 +95,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_embedding_near_dedup": sql.VECTORS,
         "op7_substring_dedup": sql.PASSAGES,
         "op9_suffix_array_dedup": sql.SUBSTRINGS,
+        "op11_filter_audit": sql.FILTER_AUDIT,
+        "op13_source_mixing": sql.MIX,
     }

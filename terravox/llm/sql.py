@@ -59,3 +59,34 @@ k AS (SELECT doc_id, string_agg(CASE WHEN lo > start THEN hex(b[start : lo - 1])
 n AS (SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) n_removed, count(*) n_spans FROM r GROUP BY 1)
 SELECT doc_id, CAST(l.n AS BIGINT) n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(kept)) kept_sha256 FROM l JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+#: Words that documents give to a mix: whole passes over a source, and the documents of the smallest keys for the rest.
+MIX = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, source, CAST(len({_words('text', 'word')}) AS BIGINT) size, CAST('0x' || substr(md5(concat_ws(' ', CAST(doc_id AS VARCHAR), text)), 1, 15) AS BIGINT) k FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) source_size, row_number() OVER (ORDER BY source NULLS LAST) n FROM d GROUP BY 1),
+w AS (SELECT *, 2 * source_size cap, CASE (n - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END weight FROM s),
+r AS (SELECT *, row_number() OVER o place, CAST(sum(cap) OVER o AS BIGINT) - cap caps, CAST(sum(weight) OVER o AS BIGINT) - weight shares, CAST(sum(source_size) OVER () AS BIGINT) total, CAST(sum(weight) OVER () AS BIGINT) every FROM w
+  WINDOW o AS (ORDER BY cap::DOUBLE / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+v AS (SELECT *, (1.5::DOUBLE * total - caps) / (every - shares) AS level FROM r),
+l AS (SELECT arg_min(level, place) AS level FROM v WHERE level * weight <= cap),
+t AS (SELECT source, source_size, least(cap::DOUBLE, coalesce(l.level * weight, cap::DOUBLE)) target FROM r, l),
+b AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END passes FROM t),
+c AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY k RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) upto, CAST(sum(size) OVER (PARTITION BY source, k) AS BIGINT) tied FROM d),
+e AS (SELECT c.*, b.source_size, b.target, b.passes, CAST(floor(b.target + 0.5) AS BIGINT) - b.passes * b.source_size rest FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, passes * size + CASE WHEN upto <= rest THEN size WHEN upto - tied < rest THEN size * (rest - upto + tied) // tied ELSE 0 END taken FROM e
+"""
+
+#: Every document's failures, every order of the filters, and in it which filter is the first that a document fails.
+FILTER_AUDIT = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') part, coalesce(text, '') t, {_words('text', 'word')} w FROM documents),
+f AS (SELECT doc_id, part, CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+  || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN coalesce(doc_id, 9223372036854775807) > min(coalesce(doc_id, 9223372036854775807)) OVER (PARTITION BY t) THEN 'E' ELSE '' END fails FROM d),
+g AS (SELECT doc_id, bool_or(quality = 1) good, bool_or(toxic = 1) toxic FROM labels GROUP BY 1),
+m AS MATERIALIZED (SELECT part, fails, count(*) n, count(*) FILTER (good) good, count(*) FILTER (toxic) toxic FROM f LEFT JOIN g USING (doc_id) GROUP BY 1, 2),
+o(filter_order) AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) UNION ALL SELECT filter_order || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) x) WHERE NOT contains(filter_order, x)),
+s AS (SELECT filter_order, step, filter_order[step] own, filter_order[1 : step - 1] AS earlier FROM o, (SELECT unnest(range(1, 6)) step) WHERE length(filter_order) = 5),
+e AS (SELECT part, filter_order, step, own, fails, n, good, toxic, contains(fails, own) failing, translate(fails, earlier, '') <> fails gone FROM m, s),
+r AS (SELECT part, filter_order, CAST(step AS INTEGER) step, own, sum(n) FILTER (NOT failing AND NOT gone) kept, sum(n) FILTER (failing AND NOT gone) removed, sum(n) FILTER (failing AND gone) redundant, sum(n) FILTER (fails = own) unique_fails,
+  sum(good) FILTER (failing AND NOT gone) good_lost, sum(toxic) FILTER (failing AND NOT gone) toxic_lost FROM e GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, {', '.join(f'CAST(coalesce({c}, 0) AS BIGINT) {c}' for c in ('kept', 'removed', 'redundant', 'unique_fails', 'good_lost', 'toxic_lost'))}, CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) shapley FROM r
+"""
