@@ -29,7 +29,16 @@ from terravox.ship import ship
 WORDS, SHAPES, PAIRS, RATIOS, DIM = 1024, 256, 512, 16, 64
 WIDTH = WORDS + SHAPES + PAIRS + RATIOS
 PER_CLASS, NEIGHBOURS, BLOCK, SLICE = 2500, 15, 512, 1 << 18
-_ENDS = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.DOTALL)
+_LETTER = re.compile(r"\w")
+
+
+def ends(word: str) -> tuple[str, str, str]:
+    """A word as the signs before its first letter or digit, what lies between, and the signs behind its last, in linear time."""
+    first = _LETTER.search(word)
+    if first is None:
+        return word, "", ""
+    lo, hi = first.start(), len(word) - _LETTER.search(word[::-1]).start()
+    return word[:lo], word[lo:hi], word[hi:]
 
 
 class _Memo(dict):
@@ -38,7 +47,7 @@ class _Memo(dict):
     LIMIT = 100_000
 
     def __missing__(self, word: str) -> int:
-        head, core, tail = _ENDS.match(word).groups()
+        head, core, tail = ends(word)
         first, rest = core[:1], core[1:]
         kind = ("U" if first.isupper() else "l" if first.islower() else "d" if first.isdigit() else "x") + ("U" if rest.isupper() else "l" if rest.islower() else "d" if rest.isdigit() else "" if not rest else "m")
         shape = f"{kind}{min(len(core), 18) // 4}{head[:3]}|{tail[:4]}"

@@ -583,3 +583,15 @@ def test_unit_columns_of_mixed_width():
     for lo, n in ((0, 20), (4, 9), (1, 1), (7, 0)):
         got = vector_links._unit_column(pa.array(raw, pa.binary()).slice(lo, n), 6)
         assert (got == vector_links._unit(raw[lo : lo + n], 6)).all() and got.shape == (n, 6)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ends_of_words(seed):
+    """As the plain pattern says, and in linear time: a megabyte of signs inside one word."""
+    r = random.Random(seed)
+    plain = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.DOTALL)
+    for _ in range(3000):
+        word = "".join(r.choice("aé_9.,-\u00b7\u0301\u4e2d") for _ in range(r.randrange(9)))
+        assert quality.ends(word) == plain.match(word).groups()
+    long = "(a" + "." * 1_000_000 + "b)."
+    assert quality.ends(long) == ("(", long[1:-2], ").") and quality.features(f"{long} x {long}").any()
