@@ -23,7 +23,8 @@ def points_stream(spark: SparkSession, folder: str, name: str, files_per_batch:
     return reader.parquet(f"{folder}/{name}.parquet*")
 
 
-def _finish(writer, path: str) -> None:
+def finish(writer, path: str) -> None:
+    """Runs a stream over all that there is."""
     query = writer.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
 
@@ -44,7 +45,7 @@ def voxel_state(points: DataFrame, size: float) -> DataFrame:
 
     # An empty version, so that the table exists whatever comes.
     spark.createDataFrame([], state.schema).write.parquet(f"{path}/voxels/version=-1")
-    _finish(state.writeStream.outputMode("update").foreachBatch(put), path)
+    finish(state.writeStream.outputMode("update").foreachBatch(put), path)
     every = spark.read.option("basePath", f"{path}/voxels").schema(state.schema.add("version", "long")).parquet(f"{path}/voxels")
     last = every.groupBy("ix", "iy", "iz").agg(F.max_by(F.struct("n", "sx", "sy", "sz"), "version").alias("v"))
     return last.select("ix", "iy", "iz", "v.*")
@@ -70,5 +71,5 @@ def gate(poses: DataFrame, apart: float) -> DataFrame:
         yield pd.DataFrame({"robot": [key[0]] * len(kept), "pid": kept}).astype("int64")
 
     passed = poses.groupBy("robot").applyInPandasWithState(step, "robot long, pid long", "last double", "append", "NoTimeout")
-    _finish(passed.writeStream.outputMode("append").format("parquet").option("path", f"{path}/passed"), path)
+    finish(passed.writeStream.outputMode("append").format("parquet").option("path", f"{path}/passed"), path)
     return spark.read.schema("robot long, pid long").parquet(f"{path}/passed")
