@@ -7,10 +7,11 @@ documents come as available-now micro-batches:
    one with a count. Labels are joined to these slim rows, not to texts.
 2. Each task then holds, per text, only what stands at the smallest id it has seen. Everything else has certainly failed E and
    goes straight to the counters, so a text that a third of all documents share is a row per task when it is shuffled.
-3. The state of a text is its smallest id so far and what stands there. If a smaller id arrives in a later batch, what was counted without E
-   is retracted and counted with it. Ids of one size do not fail E.
-4. The counters of parts (part, mask, label) change by signed rows; each batch writes its sums under its own number, so a batch
-   that runs again overwrites itself. The sum over batches is the state of all files read, whatever their order.
+3. The state of a text is its smallest id so far and what stands there: a table keyed by digest, one version per batch, that the next
+   batch joins. If a smaller id arrives in a later batch, what was counted without E is retracted and counted with it. Ids of one size do not fail E.
+4. The counters of parts (part, mask, label) change by signed rows. A batch writes state and changes under its own number and
+   reads only those of the number before, so one that runs again overwrites itself. The sum over batches stands for all files
+   read, whatever their order.
 
 From the 32 masks of each part every order of the filters follows without a look at documents.
 
@@ -26,12 +27,11 @@ import re
 from collections import Counter
 from itertools import permutations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravox.llm.common import LAST_ID, shared_dir
+from terravox.llm.common import LAST_ID, shared_dir, written
 from terravox.ship import ship
 
 FILTERS = "ABCDE"
@@ -46,7 +46,7 @@ CHUNK, HELD = 1 << 20, 200_000
 DELTA = "part string, mask int, good boolean, toxic boolean, change long"
 SLIM = "id long, part string, mask int, digest binary, n long"
 #: Rows for the counters, and rows for the state of a text (``digest`` is not null).
-MIXED = "digest binary, spread int, id long, part string, mask int, good boolean, toxic boolean, n long"
+MIXED = "digest binary, id long, part string, mask int, good boolean, toxic boolean, n long"
 
 
 def mask(text: bytes) -> int:
@@ -82,14 +82,14 @@ def _judged(batches):
 def _settled(batches):
     """Joined slim rows to MIXED: one row per text, part and label at the smallest id seen; all others as changes of counters."""
     held: dict[bytes, tuple[int, list]] = {}
-    changes: Counter = Counter()
+    counts: Counter = Counter()
 
     def emit():
-        rows = [(d, 0, i, part, m, good, toxic, n) for d, (i, at) in held.items() for part, m, good, toxic, n in at]
-        rows += [(None, k, None, *what, n) for k, (what, n) in enumerate(changes.items())]
+        rows = [(d, i, part, m, good, toxic, n) for d, (i, at) in held.items() for part, m, good, toxic, n in at]
+        rows += [(None, None, *what, n) for what, n in counts.items()]
         held.clear()
-        changes.clear()
-        types = [pa.binary(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64()]
+        counts.clear()
+        types = [pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64()]
         columns = list(zip(*rows)) or [()] * len(types)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[f.split()[0] for f in MIXED.split(", ")])
 
@@ -104,36 +104,28 @@ def _settled(batches):
             if key < before[0]:
                 held[digest], gone = (key, [row]), before[1]
             for p, b, g, t, k in gone:
-                changes[p, b | BITS["E"], g, t] += k
+                counts[p, b | BITS["E"], g, t] += k
         if len(held) >= HELD:
             yield emit()
     yield emit()
 
 
-def _retracted(key, frames, state):
-    """A text's rows of one batch against its state; key: (digest, spread). Changes of counters pass through."""
-    rows = [r for f in frames for r in f[["id", "part", "mask", "good", "toxic", "n"]].itertuples(index=False, name=None)]
-    out = []
-    if key[0] is None:
-        out = [(part, m, good, toxic, n) for _, part, m, good, toxic, n in rows]
-    else:
-        least = min(r[0] for r in rows)
-        held = state.get if state.exists else None
-        late = BITS["E"]
-        if held is not None and held[0] > least:
-            for part, n in zip(held[3], held[4]):
-                m = int(rows[0][2])
-                out += [(part, m, held[1], held[2], -n), (part, m | late, held[1], held[2], n)]
-            held = None
-        first = held[0] if held is not None else least
-        parts = Counter(dict(zip(held[3], held[4]))) if held is not None else Counter()
-        good, toxic = (held[1], held[2]) if held is not None else next((bool(r[3]), bool(r[4])) for r in rows if r[0] == least)
-        for i, part, m, g, t, n in rows:
-            out.append((part, m if i == first else m | late, g, t, n))
-            if i == first:
-                parts[part] += int(n)
-        state.update((int(first), bool(good), bool(toxic), list(parts), list(parts.values())))
-    yield pd.DataFrame(out, columns=["part", "mask", "good", "toxic", "change"])
+def _stepped(rows: DataFrame) -> DataFrame:
+    """Rows of texts, ``held`` ones from the state and new ones, with the smallest id of their text now."""
+    at = rows.groupBy("digest").agg(F.min("id").alias("least"))
+    return rows.join(at, "digest")
+
+
+def changes(step: DataFrame) -> DataFrame:
+    """(part, mask, good, toxic, change) of one batch: new rows count, held rows that a smaller id has overtaken move under E."""
+    late = F.col("mask").bitwiseOR(F.lit(BITS["E"]))
+    over = F.col("id") > F.col("least")
+    once = lambda mask, n: F.struct(mask.cast("int").alias("mask"), n.alias("change"))
+    moved = F.array(once(F.col("mask"), -F.col("n")), once(late, F.col("n")))
+    settled = F.col("digest").isNull()
+    signed = F.when(settled, F.array(once(F.col("mask"), F.col("n")))).when(~F.col("held"), F.array(once(F.when(over, late).otherwise(F.col("mask")), F.col("n")))).when(over, moved)
+    flat = step.withColumn("signed", F.explode(signed)).select("part", "signed.mask", "good", "toxic", "signed.change")
+    return flat.groupBy("part", "mask", "good", "toxic").agg(F.sum("change").alias("change"))
 
 
 def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = 4, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
@@ -151,16 +143,23 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = 4
     slim = slim.withColumn("known", named).withColumn("of", F.when(named, F.col("id")).otherwise(F.xxhash64("digest")))
     joined = slim.join(flags, ["of", "known"], "left").select("digest", "id", "part", "mask", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")], "n")
     mixed = joined.mapInArrow(_settled, MIXED)
-    changes = mixed.groupBy("digest", "spread").applyInPandasWithState(_retracted, DELTA, "id long, good boolean, toxic boolean, parts array<string>, counts array<long>", "append", "NoTimeout")
     top = shared_dir(spark, "audit")
-    what = ["part", "mask", "good", "toxic"]
+    step = lambda number: f"{top}/texts/batch={number}"
+    what, kept = ["part", "mask", "good", "toxic"], f"{MIXED}, held boolean, least long"
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.groupBy(*what).agg(F.sum("change").alias("change")).write.mode("overwrite").parquet(f"{top}/counters/batch={number}")
-
-    # A first, empty one, so that the table exists whatever comes.
+        # What the batch before left at the smallest ids is the state; steps are never changed, so a batch can run again.
+        state = spark.read.schema(kept).parquet(step(number - 1)).filter("digest IS NOT NULL AND id = least").groupBy("digest", "id", *what).agg(F.sum("n").alias("n"))
+        new = written(batch, "batch")
+        texts = new.filter("digest IS NOT NULL").select("digest", "id", *what, "n", F.lit(False).alias("held")).unionByName(state.withColumn("held", F.lit(True)))
+        settled = new.filter("digest IS NULL").select("digest", "id", *what, "n", F.lit(False).alias("held"), F.lit(None).cast("long").alias("least"))
+        _stepped(texts).unionByName(settled).write.mode("overwrite").parquet(step(number))
+        changes(spark.read.schema(kept).parquet(step(number))).write.mode("overwrite").parquet(f"{top}/counters/batch={number}")
+
+    # First, empty ones, so that the tables exist whatever comes.
+    spark.createDataFrame([], kept).write.parquet(step(-1))
     spark.createDataFrame([], DELTA).write.parquet(f"{top}/counters/batch=-1")
-    query = changes.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).start()
+    query = mixed.writeStream.foreachBatch(put).option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     every = spark.read.schema(DELTA).option("basePath", f"{top}/counters").parquet(f"{top}/counters")
     return every.groupBy(*what).agg(F.sum("change").alias("n")).filter("n <> 0")
