@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravox.functions.geometry import voxel_index
+from terravox.operators.pivots import Best, nearest_join
 from terravox.shared import written
 from terravox.ship import ship
 
@@ -66,42 +67,33 @@ def _rounds(spark, blocks, run) -> DataFrame | None:
 
 
 def nearest(targets: DataFrame, queries: DataFrame, k: int, vector: str = "vector", key: str = "id", block: int = 4096) -> DataFrame:
-    """(query, target, d2, rank): for each query the k nearest other targets by Euclidean distance.
+    """(query, target, d2, rank): for each query the k nearest other targets by Euclidean distance; ties go to the smaller id.
 
-    Queries go out in blocks of about ``block`` rows, one block at a time, so what the driver and a task hold is bounded; each block
-    passes over the targets once, keeps its k best per task, and a window ranks what the tasks found.
+    Up to ``block`` queries go out at once and pass over the targets once: each task keeps its k best, a window ranks what the tasks found.
+    More queries are joined by pivots, whose work does not grow with passes. Both are exact.
     """
+    if queries.count() > block:
+        return nearest_join(targets, queries, k, vector, key).neighbours
     spark = ship(targets.sparkSession)
 
     def run(sent):
         def best(batches):
             rows = sent.value
-            q, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], "f8")
-            top_d = np.full((len(q), k), np.inf)
-            top_i = np.zeros((len(q), k), np.int64)
+            kept = Best(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], "f8"), k)
             for pdf in batches:
                 t, y = pdf["t"].to_numpy(), np.array(pdf["v"].tolist(), "f8")
                 for lo in range(0, len(t), 1024):
-                    part, ids = y[lo : lo + 1024], t[lo : lo + 1024]
-                    d = (x**2).sum(1)[:, None] - 2 * x @ part.T + (part**2).sum(1)[None, :]
-                    d[q[:, None] == ids[None, :]] = np.inf
-                    d = np.concatenate([top_d, d], axis=1)
-                    i = np.concatenate([top_i, np.broadcast_to(ids, (len(q), len(ids)))], axis=1)
-                    order = np.lexsort((i, d), axis=1)[:, :k]
-                    top_d, top_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-            ok = np.isfinite(top_d)
-            yield pd.DataFrame({"query": np.repeat(q, k).reshape(ok.shape)[ok], "target": top_i[ok]})
-
-        return targets.select(F.col(key).alias("t"), F.col(vector).alias("v")).mapInPandas(best, "query long, target long")
+                    kept.offer(t[lo : lo + 1024], y[lo : lo + 1024])
+            query, target, d2 = kept.rows()
+            yield pd.DataFrame({"query": query, "target": target, "d2": d2})
+
+        return targets.select(F.col(key).alias("t"), F.col(vector).alias("v")).mapInPandas(best, "query long, target long, d2 double")
 
     found = _rounds(spark, _blocks(queries, [F.col(key).alias("q"), F.col(vector).alias("v")], "q", block), run)
     if found is None:
         return spark.createDataFrame([], "query long, target long, d2 double, rank int")
-    a = queries.select(F.col(key).alias("query"), F.col(vector).alias("a"))
-    c = targets.select(F.col(key).alias("target"), F.col(vector).alias("b"))
-    exact = found.join(a, "query").join(c, "target").withColumn("d2", F.aggregate(F.zip_with("a", "b", lambda p, q: (p.cast("double") - q) * (p.cast("double") - q)), F.lit(0.0), lambda s, t: s + t))
     order = Window.partitionBy("query").orderBy("d2", "target")
-    return exact.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", "target", "d2", "rank")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", "target", "d2", "rank")
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:

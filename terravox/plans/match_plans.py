@@ -11,6 +11,7 @@ from terravox.operators.folds import numbered
 from terravox.operators.graph import cliques, components, degrees
 from terravox.operators.hulls import convex_hull, overlap
 from terravox.operators.neighbours import nearest, range_join
+from terravox.operators.pivots import nearest_join
 from terravox.operators.rigid import fitted
 from terravox.shared import written
 from terravox.ship import ship
@@ -25,11 +26,11 @@ def _queries(found):
     return found.filter("id % 50 = 0")
 
 
-def _knn_sql(where: str = "TRUE", k: int = K) -> str:
+def _knn_sql(where: str = "TRUE", k: int = K, asked: str = "a.vec_id % 50 = 0") -> str:
     return f"""
     SELECT query, target, round(d2, 5) d2, rank FROM (
       SELECT a.vec_id query, b.vec_id target, {SQL_D2} d2, row_number() OVER (PARTITION BY a.vec_id ORDER BY {SQL_D2}, b.vec_id) rank
-      FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % 50 = 0 WHERE {where}) WHERE rank <= {k}"""
+      FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND {asked} WHERE {where}) WHERE rank <= {k}"""
 
 
 def _rounded(found):
@@ -42,6 +43,12 @@ def knn_candidates(spark, sf_dir):
     return _rounded(nearest(found, _queries(found), K))
 
 
+def knn_join(spark, sf_dir):
+    """The k nearest other descriptors of every descriptor, by pivots and cells."""
+    found = descriptors(spark, sf_dir)
+    return _rounded(nearest_join(found, found, K).neighbours)
+
+
 def knn_exclude_class(spark, sf_dir):
     """The same with an excluded class on both sides."""
     found = descriptors(spark, sf_dir).filter("label <> 1")
@@ -353,6 +360,7 @@ def greedy_grouping(spark, sf_dir):
 
 PACK = {
     "knn_candidates": (knn_candidates, _knn_sql()),
+    "knn_join": (knn_join, _knn_sql(asked="TRUE")),
     "knn_exclude_class": (knn_exclude_class, _knn_sql("a.label <> 1 AND b.label <> 1")),
     "knn_hard_threshold": (knn_hard_threshold, _hard()),
     "histogram_intersection": (histogram_intersection, HISTOGRAM),
