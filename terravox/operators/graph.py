@@ -156,19 +156,118 @@ def largest_clique(pairs: list[tuple[int, int]], least: int) -> list[int]:
     return best if len(best) >= least else []
 
 
-def cliques(edges: DataFrame, least: int = 3) -> DataFrame:
-    """(component, member): one largest clique per connected component that has one of ``least`` nodes.
+def peeled(edges: DataFrame, least: int, at_once: int = 500_000, slack: float = 0.5) -> DataFrame:
+    """(node, place): an order in which no node has many later neighbours, for the nodes of the (least - 1)-core.
 
-    The graph is cut to its (least - 1)-core first, so that the exact search, one task per component, sees only dense parts.
+    Up to ``at_once`` edges are peeled in one task, always the node of fewest neighbours left: no node then has more later ones than the
+    graph's degeneracy. More are peeled in rounds, each of which takes all nodes of at most (1 + slack) times the mean degree, a share of
+    slack / (1 + slack) of them or more; places count rounds, ties go by id, and no node has over 2 (1 + slack) times the degeneracy.
     """
     ship(edges.sparkSession)
-    dense = core(edges, least - 1)
-    grouped = dense.join(components(dense).withColumnRenamed("node", "src"), "src")
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = largest_clique(list(zip(pdf["src"], pdf["dst"])), least)
-        return pd.DataFrame({"component": [int(pdf["component"].iloc[0])] * len(found), "member": found}).astype("int64")
-
-    return grouped.groupBy("component").applyInPandas(search, "component long, member long")
-
+    now = written(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).filter("src <> dst").distinct(), "edges")
+    if now.count() <= at_once:
 
+        def peel(batches):
+            near: dict[int, set[int]] = {}
+            for pdf in batches:
+                for a, b in zip(pdf["src"].tolist(), pdf["dst"].tolist()):
+                    near.setdefault(a, set()).add(b)
+                    near.setdefault(b, set()).add(a)
+            bins: list[set[int]] = []
+            for node, others in near.items():
+                bins += [set() for _ in range(len(others) + 1 - len(bins))]
+                bins[len(others)].add(node)
+            low, core, out = 0, 0, []
+            for _ in range(len(near)):
+                low = max(0, low - 1)
+                while not bins[low]:
+                    low += 1
+                core = max(core, low)
+                node = bins[low].pop()
+                if core >= least - 1:
+                    out.append(node)
+                for other in near.pop(node):
+                    mine = near[other]
+                    bins[len(mine)].discard(other)
+                    mine.discard(node)
+                    bins[len(mine)].add(other)
+            yield pd.DataFrame({"node": out, "place": range(len(out))}).astype("int64")
+
+        return written(now.coalesce(1).mapInPandas(peel, "node long, place long"), "peeled")
+    now, done, number = core(now, least - 1), None, 0
+    while True:
+        of = written(degrees(now), "degrees")
+        nodes, ends = of.agg(F.count("*"), F.sum("degree")).first()
+        if not nodes:
+            break
+        gone = written(of.filter(F.col("degree") <= (1 + slack) * ends / nodes).select("node", F.lit(number).cast("long").alias("place")), "peeled")
+        done = gone if done is None else done.unionByName(gone)
+        for name in ("src", "dst"):
+            now = now.join(gone.select(F.col("node").alias(name)), name, "left_anti")
+        now, number = written(now.select("src", "dst"), "edges"), number + 1
+        # Nodes whose last neighbours went are left out of the edges: they have no later neighbour, so they are needed as such only.
+        last = of.join(gone, "node", "left_anti").join(written(degrees(now), "degrees"), "node", "left_anti").select("node", F.lit(number).cast("long").alias("place"))
+        done = done.unionByName(written(last, "peeled"))
+    return done if done is not None else edges.sparkSession.createDataFrame([], "node long, place long")
+
+
+def cliques(edges: DataFrame, least: int = 3, at_once: int = 500_000) -> DataFrame:
+    """(component, member): one largest clique per connected component that has one of ``least`` nodes: the smallest as a sorted list.
+
+    Nodes are put in an order in which each has few later neighbours. A clique lies among the later neighbours of its first node, so each
+    node is a search of its own, of a size that the degeneracy bounds, whatever the component's. A first round takes one greedy clique
+    per node; the second searches only nodes with enough later neighbours to match the best of their component.
+    """
+    ship(edges.sparkSession)
+    order = peeled(edges, least, at_once)
+    end = lambda name, n: order.select(F.col("node").alias(name), F.col("place").alias(n))
+    first = F.col("a") < F.col("b")
+    kept = edges.filter("src <> dst").join(end("src", "a"), "src").join(end("dst", "b"), "dst")
+    first = first | ((F.col("a") == F.col("b")) & (F.col("src") < F.col("dst")))
+    later = written(kept.select(F.when(first, F.col("src")).otherwise(F.col("dst")).alias("v"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("u")).distinct(), "later")
+    # Lists are as long as a node has later neighbours, at most.
+    lists = later.groupBy(F.col("v").alias("u")).agg(F.sort_array(F.collect_list("u")).alias("to"))
+    around = later.join(lists, "u", "left").join(components(later.select(F.col("v").alias("src"), F.col("u").alias("dst"))).select(F.col("node").alias("v"), "component"), "v")
+    around = written(around.repartition("v").sortWithinPartitions("v", "u").select("component", "v", "u", "to"), "around")
+
+    def found(batches, judge):
+        """judge(component, v, its later neighbours, their later neighbours, wanted size) for each node; batches are in order of nodes."""
+        v, rows, out = None, [], []
+        for pdf in batches:
+            for component, node, u, to, wanted in zip(pdf["component"], pdf["v"], pdf["u"], pdf["to"], pdf["wanted"]):
+                if node != v:
+                    out += [judge(*rows[0][:2], rows)] if rows else []
+                    v, rows = node, []
+                rows.append((component, node, u, to, wanted))
+            yield pd.DataFrame([o for o in out if o], columns=["component", "members"])
+            out = []
+        yield pd.DataFrame([o for o in [judge(*rows[0][:2], rows)] if o] if rows else [], columns=["component", "members"])
+
+    def greedy(component, v, rows):
+        near = {u: set(() if to is None else to) for _, _, u, to, _ in rows}
+        members, left = [v], set(near)
+        while left:
+            best = max(left, key=lambda u: (len(near[u] & left), -u))
+            members.append(best)
+            left = {u for u in left if u in near[best] or best in near[u]}
+        return (component, sorted(members)) if len(members) >= least else None
+
+    def search(component, v, rows):
+        wanted = rows[0][4]
+        near = {u: to for _, _, u, to, _ in rows}
+        if len(near) + 1 < wanted:
+            return None
+        pairs = [(u, w) for u, to in near.items() if to is not None for w in to if w in near]
+        members = largest_clique(pairs, wanted - 1) if wanted > 2 or pairs else [min(near)]
+        return (component, sorted([v, *members])) if members else None
+
+    # Batches must not be dealt anew: a node's rows follow each other in what was written.
+    run = lambda rows, judge: rows.repartition("v").sortWithinPartitions("v", "u").mapInPandas(lambda batches: found(batches, judge), "component long, members array<long>")
+    quick = written(run(around.withColumn("wanted", F.lit(least)), greedy), "greedy")
+    known = quick.groupBy("component").agg(F.max(F.size("members")).alias("known"))
+    # Without a greedy clique there may still be a larger one: the component is searched with the least size.
+    counts = later.groupBy("v").agg(F.count("*").alias("n"))
+    asked = around.join(known, "component", "left").withColumn("wanted", F.coalesce("known", F.lit(least))).join(counts, "v").filter("n + 1 >= wanted")
+    every = written(run(asked.select("component", "v", "u", "to", "wanted"), search), "found")
+    best = every.groupBy("component").agg(F.min(F.struct((-F.size("members")).alias("size"), "members")).alias("best"))
+    return best.select("component", F.explode("best.members").alias("member"))

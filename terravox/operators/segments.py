@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +9,6 @@ from terravox.operators.folds import running
 from terravox.operators.graph import labelled
 from terravox.operators.neighbours import radius_pairs
 from terravox.shared import written
-from terravox.ship import ship
 
 #: A cluster without a segment, and one that may never become a segment again.
 NO_ID, INVALID = -1, -2
@@ -55,47 +51,24 @@ def incremental(points: DataFrame, prior: DataFrame, radius: float, least: int,
 
 
 def smooth(points: DataFrame, radius: float, angle_cos: float, most_curved: float, least: int) -> DataFrame:
-    """(pid, segment) grown over neighbours whose normals agree, from the least curved seed on.
+    """(pid, segment) grown over neighbours whose normals agree, from the least curved seed on; segments of under ``least`` points are dropped.
 
-    points: pid, x, y, z, nx, ny, nz, curvature. Components of the relaxed graph (neighbours that agree) are found first;
-    whole components are dealt to buckets and grown there in the order of curvature; only flat points extend the frontier.
+    points: pid, x, y, z, nx, ny, nz, curvature. Seeds start in the order of (curvature, pid); only flat points are seeds and extend the
+    frontier. So what a seed takes is known without growing it: flat points that agreeing neighbours connect all fall to the first seed
+    among them, and a curved point, where growth ends, to the first seed that has a flat point beside it. Flat parts are components of
+    an edge table, seeds are minima over them, and no part is one task's work.
     """
-    ship(points.sparkSession)
     near = radius_pairs(points, radius).select("src", "dst")
-    a = points.select(F.col("pid").alias("src"), F.struct("nx", "ny", "nz").alias("a"))
-    b = points.select(F.col("pid").alias("dst"), F.struct("nx", "ny", "nz").alias("b"))
+    flat = F.coalesce(F.col("curvature") <= most_curved, F.lit(False))
+    end = lambda name, n: points.select(F.col("pid").alias(name), F.struct("nx", "ny", "nz").alias(n), flat.alias(f"{n}_flat"))
     dot = F.abs(F.expr("a.nx * b.nx + a.ny * b.ny + a.nz * b.nz"))
-    agree = near.join(a, "src").join(b, "dst").filter(dot >= angle_cos).select("src", "dst")
-    parts = labelled(points.select("pid", "curvature"), agree, "pid")
-    sizes = parts.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
-    parts = parts.join(sizes, "component")
-    edges = agree.groupBy(F.col("src").alias("pid")).agg(F.collect_list("dst").alias("to"))
-    rows = parts.join(edges, "pid", "left").select("component", "pid", "curvature", "to")
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        curved = dict(zip(pdf["pid"], pdf["curvature"]))
-        around: dict[int, list[int]] = {p: [] for p in curved}
-        for p, to in zip(pdf["pid"], pdf["to"]):
-            for q in to if to is not None else ():
-                around[p].append(q)
-                around[q].append(p)
-        flat = {p for p, c in curved.items() if c is not None and c == c and c <= most_curved}
-        segment: dict[int, int] = {}
-        for seed in sorted(flat, key=lambda p: (curved[p], p)):
-            if seed in segment:
-                continue
-            queue = deque([seed])
-            segment[seed] = seed
-            while queue:
-                p = queue.popleft()
-                for q in sorted(around[p]):
-                    if q not in segment:
-                        segment[q] = seed
-                        if q in flat:
-                            queue.append(q)
-        return pd.DataFrame({"pid": list(segment), "segment": list(segment.values())}).astype("int64")
-
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(8 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
-    grown = dealt.groupBy("bucket").applyInPandas(grow, "pid long, segment long")
-    grown = written(grown, "grown")
-    return grown.join(grown.groupBy("segment").agg(F.count("*").alias("n")).filter(F.col("n") >= least), "segment").select("pid", "segment")
+    agree = near.join(end("src", "a"), "src").join(end("dst", "b"), "dst").filter((dot >= angle_cos) & (F.col("a_flat") | F.col("b_flat")))
+    agree = written(agree.select("src", "dst", "a_flat", "b_flat"), "agreeing")
+    cores = labelled(points.filter(flat).select("pid", "curvature"), agree.filter("a_flat AND b_flat").select("src", "dst"), "pid")
+    seeds = cores.groupBy("component").agg(F.min(F.struct("curvature", F.col("pid").alias("segment"))).alias("seed"))
+    cores = written(cores.join(seeds, "component").select("pid", "seed"), "cores")
+    rim = agree.filter("NOT (a_flat AND b_flat)").select(F.when(F.col("a_flat"), F.col("src")).otherwise(F.col("dst")).alias("pid"), F.when(F.col("a_flat"), F.col("dst")).otherwise(F.col("src")).alias("to"))
+    rim = rim.join(cores, "pid").groupBy(F.col("to").alias("pid")).agg(F.min("seed").alias("seed"))
+    grown = cores.unionByName(rim).select("pid", "seed.segment")
+    sizes = grown.groupBy("segment").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return grown.join(sizes, "segment").select("pid", "segment")

@@ -254,29 +254,68 @@ IDS_MATCHING = f"WITH g AS ({RELABEL}) SELECT a.node id, a.component = b.compone
 
 
 def front_cluster(spark, sf_dir):
-    """The first of the candidate clusters: the largest clique, the one of the smallest component among equals."""
-    found = written(cliques(_edges(spark, sf_dir, capped=True).select("src", "dst"), 3), "cliques")
-    first = found.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
-    return found.join(F.broadcast(first), "component")
+    """The first of the candidate clusters: the largest clique, the smallest as a sorted list among equals."""
+    found = cliques(_edges(spark, sf_dir, capped=True).select("src", "dst"), 3)
+    lists = found.groupBy("component").agg(F.sort_array(F.collect_list("member")).alias("members"))
+    first = lists.agg(F.min(F.struct((-F.size("members")).alias("size"), "members")).alias("first"))
+    return first.select(F.explode("first.members").alias("member"), (-F.col("first.size")).cast("long").alias("n"))
+
+
+FRONT_CLUSTER = MAX_CLIQUE.rsplit("SELECT robot,", 1)[0] + "SELECT unnest(members) AS member, len(members) n FROM (SELECT members FROM q WHERE len(members) >= 3 ORDER BY len(members) DESC, members LIMIT 1)"
 
 
 def roc_pairs(spark, sf_dir):
     """Labelled pairs for a ROC curve: always one against the last of a sequence.
 
     Positives join each member of a class to the last ones of its other sequences, so they grow with the members times the
-    sequences (three); as many negatives of other classes, at least a distance apart, come in a shuffled order.
+    sequences (three). As many negatives of other classes, at least a distance apart, are taken in the order of a hash of the pair. The
+    hash adds up what each side brings, modulo a prime, so the pairs of a small hash are found by a range of the last ones' shares: pairs are
+    made slice by slice of the hash until there are enough, never all of them.
     """
     found = descriptors(spark, sf_dir).select("id", "label", F.pmod("id", F.lit(3)).alias("seq"), "vector")
     last = written(found.groupBy("label", "seq").agg(F.max_by(F.struct("id", "vector"), "id").alias("l")).select(F.col("label").alias("l_label"), F.col("seq").alias("l_seq"), F.col("l.id").alias("last"), F.col("l.vector").alias("l_vector")), "last")
-    if last.count() > 10_000:
-        raise ValueError("the last samples of all sequences are sent to every task: choose fewer sequences")
-    pairs = found.join(F.broadcast(last), (F.col("label") == F.col("l_label")) & (F.col("seq") != F.col("l_seq")))
+    pairs = found.select("id", "label", "seq").join(last.select(F.col("l_label").alias("label"), "l_seq", "last"), "label").filter("seq <> l_seq")
     positive = written(pairs.select(F.least("id", "last").alias("a"), F.greatest("id", "last").alias("b")).distinct(), "positive")
+    wanted, (members, ends) = positive.count(), (found.count(), last.count())
+    negative, upto, held = None, 0, 0
+    # Some more than wanted at first: a pair can turn out near, of one class, or the same from both sides.
+    width = -(-2 * PRIME * wanted // max(1, members * ends))
+    while held < wanted and upto < PRIME:
+        to = min(PRIME, upto + max(1, width))
+        fresh = written(_negatives(found, last, upto, to), "negative")
+        negative, held, upto, width = (fresh if negative is None else negative.unionByName(fresh)), held + fresh.count(), to, 2 * width
+    positive = positive.select("a", "b", F.lit(1).cast("long").alias("same"))
+    if negative is None:
+        return positive
+    chosen = numbered(negative, ["h", "a", "b"]).filter(F.col("n") <= wanted)
+    return positive.unionByName(chosen.select("a", "b", F.lit(0).cast("long").alias("same")))
+
+
+#: The hash of a pair a < b is (7919 a + 104729 b) modulo this prime.
+PRIME, FACTORS = 1_000_003, (7919, 104_729)
+
+
+def _negatives(found, last, lo: int, hi: int):
+    """(a, b, h): pairs of a member and a last one of other classes, far enough apart, whose hash h lies in [lo, hi).
+
+    Whichever of the two is the smaller, h less the member's share, modulo the prime, is the last one's share, so members meet the last
+    ones of a range of shares: the range is cut into buckets of its width, of which it touches two or, where it wraps, three.
+    """
+    width = hi - lo
     d2 = F.aggregate(F.zip_with("vector", "l_vector", lambda p, q: (p.cast("double") - q) * (p.cast("double") - q)), F.lit(0.0), lambda s, t: s + t)
-    other = found.join(F.broadcast(last), F.col("label") != F.col("l_label")).filter(d2 >= 2.0).select(F.least("id", "last").alias("a"), F.greatest("id", "last").alias("b")).distinct()
-    order = other.withColumn("h", F.pmod(F.col("a") * 7919 + F.col("b") * 104729, F.lit(1000003)))
-    chosen = numbered(order, ["h", "a", "b"]).crossJoin(F.broadcast(positive.agg(F.count("*").alias("many")))).filter("n <= many")
-    return positive.select("a", "b", F.lit(1).cast("long").alias("same")).unionByName(chosen.select("a", "b", F.lit(0).cast("long").alias("same")))
+    out = None
+    for small, order in ((0, "id < last"), (1, "last < id")):
+        mine, theirs = FACTORS[small], FACTORS[1 - small]
+        start = F.pmod(F.lit(lo) - F.col("id") * mine, F.lit(PRIME))
+        bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
+        buckets = F.array_distinct(F.array(bucket(start), bucket(F.pmod(start + F.least(F.lit(width - 1), PRIME - 1 - start), F.lit(PRIME))), bucket(F.pmod(start + (width - 1), F.lit(PRIME))), F.when(start + width > PRIME, F.lit(0)).otherwise(bucket(start))))
+        members = found.withColumn("bucket", F.explode(buckets))
+        ends = last.withColumn("bucket", bucket(F.pmod(F.col("last") * theirs, F.lit(PRIME))))
+        h = F.pmod(F.col("id") * mine + F.col("last") * theirs, F.lit(PRIME))
+        met = members.join(ends, "bucket").filter(order).filter("label <> l_label").withColumn("h", h).filter((F.col("h") >= lo) & (F.col("h") < hi)).filter(d2 >= 2.0)
+        met = met.select(F.least("id", "last").alias("a"), F.greatest("id", "last").alias("b"), "h")
+        out = met if out is None else out.unionByName(met)
+    return out.distinct()
 
 
 ROC_PAIRS = """
@@ -369,7 +408,7 @@ PACK = {
     "recognize_lookups": (recognize_lookups, LOOKUPS),
     "update_match_centroids": (update_match_centroids, UPDATE_MATCHES),
     "ids_matching": (ids_matching, IDS_MATCHING),
-    "front_cluster": (front_cluster, None),
+    "front_cluster": (front_cluster, FRONT_CLUSTER),
     "roc_pairs": (roc_pairs, ROC_PAIRS),
     "hull_matches": (hull_matches, None),
     "consistency_edges_cell8": (consistency_edges_cell8, CELL8),

@@ -187,6 +187,18 @@ def smoothness_segments(spark, sf_dir):
     return smooth(event_points(spark, sf_dir).select("pid", *AXES).join(told, "pid"), RADIUS, 0.9, 0.2, 3)
 
 
+SMOOTHNESS = f"""
+WITH RECURSIVE {PTS_EV}, {SQL_WIDE}, {SQL_MOMENTS}, told AS (SELECT pid, {', '.join(f'round({c}, 4) {c}' for c in ('nx', 'ny', 'nz', 'curvature'))} FROM ({normals_sql(f'({crosses_sql()})')}) WHERE {TOLD}),
+p AS MATERIALIZED (SELECT pid, x, y, z, nx, ny, nz, curvature, curvature <= 0.2 flat FROM pts JOIN told USING (pid)),
+agree AS MATERIALIZED (SELECT a.pid s, b.pid d, a.flat sf, b.flat df FROM p a JOIN p b ON a.z = b.z AND abs(a.x - b.x) <= {RADIUS}
+  WHERE a.pid <> b.pid AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= {RADIUS * RADIUS} AND abs(a.nx * b.nx + a.ny * b.ny + a.nz * b.nz) >= 0.9),
+u AS (SELECT s, d FROM agree WHERE sf AND df), nodes AS (SELECT pid id FROM p WHERE flat), {SQL_COMPONENTS},
+seeds AS (SELECT component, min({{'c': curvature, 'p': pid}}) seed FROM lab JOIN p ON p.pid = lab.id GROUP BY 1), core AS (SELECT id pid, seed FROM lab JOIN seeds USING (component)),
+grown AS (SELECT pid, seed.p segment FROM core UNION ALL SELECT s, min(seed).p FROM agree JOIN core ON core.pid = agree.d WHERE NOT sf GROUP BY 1)
+SELECT pid, segment FROM grown QUALIFY count(*) OVER (PARTITION BY segment) >= 3
+"""
+
+
 def close_segment_pairs(spark, sf_dir):
     """Pairs of segments whose centroids are close, and the smallest distance."""
     cen = centroids(lineitem_points(spark, sf_dir)).withColumnRenamed("segment", "pid")
@@ -268,7 +280,7 @@ PACK = {
     "surface_normals": (surface_normals, NORMALS),
     "euclidean_segments": (euclidean_segments, EUCLIDEAN),
     "surface_normal_vectors": (surface_normal_vectors, NORMAL_VECTORS),
-    "smoothness_segments": (smoothness_segments, None),
+    "smoothness_segments": (smoothness_segments, SMOOTHNESS),
     "close_segment_pairs": (close_segment_pairs, CLOSE_PAIRS),
     "nearest_k_segments": (nearest_k_segments, NEAREST_K),
     "dedup_segments": (dedup_segments, DEDUP),

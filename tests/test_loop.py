@@ -5,7 +5,7 @@ from itertools import combinations
 
 import pytest
 
-from terravox.operators.graph import largest_clique
+from terravox.operators.graph import cliques, largest_clique, peeled
 from terravox.plans.loop_plans import local_map_loop
 from terravox.plans.shape_plans import ensemble
 
@@ -67,3 +67,51 @@ def test_shapes_of_few_points(spark):
     assert [b for _, b, _ in kinds["d2"]] == [27, 36, 46]
     assert [b for _, b, _ in kinds["d3"]] == [39]
     assert sum(r["share"] for r in got if r["segment"] == 1) == pytest.approx(1, abs=1e-4)
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("at_once", [0, 500_000])
+def test_cliques_by_later_neighbours(spark, seed, at_once):
+    """One task or rounds of peeling: the same clique per component, the smallest of the largest; loops and repeated edges count for nothing."""
+    r = random.Random(seed)
+    pairs, n = [], 0
+    for size, share in ((9, 0.8), (7, 0.5), (12, 0.6), (3, 1.0), (2, 1.0), (5, 0.5)):
+        pairs += [(n + a, n + b) for a, b in combinations(range(size), 2) if r.random() < share]
+        n += size
+    edges = spark.createDataFrame([(b, a) if r.random() < 0.5 else (a, b) for a, b in pairs] + pairs[:5] + [(1, 1)], "src long, dst long")
+    for least in (2, 3, 4):
+        got = {}
+        for row in cliques(edges, least, at_once).collect():
+            got.setdefault(row["component"], []).append(row["member"])
+        held, want = set(pairs), {}
+        # Components of what is left when nodes of too few neighbours are gone.
+        left = set(range(n))
+        while weak := {v for v in left if sum((min(u, v), max(u, v)) in held for u in left) < least - 1}:
+            left -= weak
+        while left:
+            part, new = set(), {min(left)}
+            while new:
+                part |= new
+                new = {u for u in left - part if any((min(u, v), max(u, v)) in held for v in new)}
+            left -= part
+            best = largest_clique([(a, b) for a, b in pairs if a in part and b in part], least)
+            if best:
+                want[min(part)] = best
+        assert {k: sorted(v) for k, v in got.items()} == want
+
+
+@pytest.mark.parametrize("at_once", [0, 500_000])
+def test_peeling_bounds_later_neighbours(spark, at_once):
+    """A hub of a thousand neighbours and a clique of twelve: no node has many later neighbours, and a component is many searches."""
+    r = random.Random(1)
+    pairs = {(0, v) for v in range(1, 1001)} | {tuple(sorted(r.sample(range(1, 1001), 2))) for _ in range(3000)} | set(combinations(range(2000, 2012), 2)) | {(1, 2000)}
+    edges = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    place = {p["node"]: (p["place"], p["node"]) for p in peeled(edges, 2, at_once).collect()}
+    assert set(place) == {v for e in pairs for v in e}
+    later = {}
+    for a, b in pairs:
+        first = min(a, b, key=place.get)
+        later[first] = later.get(first, 0) + 1
+    # The graph's degeneracy is 11: each member of the clique has 11 neighbours in it.
+    assert max(later.values()) <= (11 if at_once else 33)
+    assert sorted(m["member"] for m in cliques(edges, 3, at_once).collect()) == list(range(2000, 2012))
