@@ -23,25 +23,26 @@ def squared(dims: Sequence[str], left: str, right: str) -> Column:
     return out
 
 
-def range_join(left: DataFrame, right: DataFrame, radius: float, dims: Sequence[str] = ("x", "y", "z")) -> DataFrame:
-    """Pairs (l, r, d2) of rows at most ``radius`` apart, as structs.
+def range_join(left: DataFrame, right: DataFrame, radius: float, dims: Sequence[str] = ("x", "y", "z"), on: Sequence[str] = ()) -> DataFrame:
+    """Pairs (l, r, d2) of rows at most ``radius`` apart, as structs; only rows equal in the columns ``on`` meet.
 
     Cells of the radius's size make it an equi-join: each left row is dealt to the 3^n cells around it, each
     right row to its own, and the exact distance is checked on what meets. Nothing is broadcast or crossed.
     """
     cell = [voxel_index(F.col(d), radius) for d in dims]
-    near = left.select(F.struct(*left.columns).alias("l"), *[c.alias(f"c{i}") for i, c in enumerate(cell)])
+    keys = [F.col(c).alias(f"k{i}") for i, c in enumerate(on)]
+    near = left.select(F.struct(*left.columns).alias("l"), *keys, *[c.alias(f"c{i}") for i, c in enumerate(cell)])
     for i in range(len(dims)):
         near = near.withColumn(f"c{i}", F.explode(F.sequence(F.col(f"c{i}") - 1, F.col(f"c{i}") + 1)))
-    own = right.select(F.struct(*right.columns).alias("r"), *[c.alias(f"c{i}") for i, c in enumerate(cell)])
-    pairs = near.join(own, [f"c{i}" for i in range(len(dims))])
+    own = right.select(F.struct(*right.columns).alias("r"), *keys, *[c.alias(f"c{i}") for i, c in enumerate(cell)])
+    pairs = near.join(own, [f"k{i}" for i in range(len(on))] + [f"c{i}" for i in range(len(dims))])
     return pairs.withColumn("d2", squared(dims, "l", "r")).filter(F.col("d2") <= radius * radius).select("l", "r", "d2")
 
 
-def radius_pairs(points: DataFrame, radius: float, dims: Sequence[str] = ("x", "y", "z"), key: str = "pid") -> DataFrame:
+def radius_pairs(points: DataFrame, radius: float, dims: Sequence[str] = ("x", "y", "z"), key: str = "pid", on: Sequence[str] = ()) -> DataFrame:
     """(src, dst, d2): unordered pairs of distinct points within the radius, src < dst."""
-    slim = points.select(F.col(key).alias("pid"), *dims)
-    pairs = range_join(slim, slim, radius, dims).filter("l.pid < r.pid")
+    slim = points.select(F.col(key).alias("pid"), *dims, *on)
+    pairs = range_join(slim, slim, radius, dims, on).filter("l.pid < r.pid")
     return pairs.select(F.col("l.pid").alias("src"), F.col("r.pid").alias("dst"), "d2")
 
 

@@ -36,10 +36,10 @@ def remapped(state: DataFrame, mapping: DataFrame) -> DataFrame:
     return state.join(kept, state["pid"] == kept["old_pid"]).select(F.col("new_pid").alias("pid"), "n", *SUMS)
 
 
-def updated(state: DataFrame, old: DataFrame, new: DataFrame, radius: float) -> DataFrame:
+def updated(state: DataFrame, old: DataFrame, new: DataFrame, radius: float, on: Sequence[str] = ()) -> DataFrame:
     """The state after new points have come to old ones, with ``affected``: whether a point's normal has to be computed again."""
-    slim_old, slim_new = old.select("pid", *AXES, F.lit(False).alias("fresh")), new.select("pid", *AXES, F.lit(True).alias("fresh"))
-    pairs = range_join(slim_new, slim_old.unionByName(slim_new), radius)
+    slim_old, slim_new = old.select("pid", *AXES, *on, F.lit(False).alias("fresh")), new.select("pid", *AXES, *on, F.lit(True).alias("fresh"))
+    pairs = range_join(slim_new, slim_old.unionByName(slim_new), radius, on=on)
     given = pairs.select(F.col("r.pid").alias("pid"), *[F.col(f"l.{a}").alias(a) for a in AXES])
     taken = pairs.filter("NOT r.fresh").select(F.col("l.pid").alias("pid"), *[F.col(f"r.{a}").alias(a) for a in AXES])
     more = given.unionByName(taken).groupBy("pid").agg(*_sums())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +23,11 @@ def euclidean(points: DataFrame, radius: float, least: int, most: int) -> DataFr
     return found.join(sizes, "component").select("pid", F.col("component").alias("segment"), "n")
 
 
-def incremental(points: DataFrame, prior: DataFrame, radius: float, least: int, most: int, next_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def incremental(points: DataFrame, prior: DataFrame, radius: float, least: int, most: int, next_id: int, on: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One step of a segmenter whose clusters and segment ids persist.
 
     points: pid, x, y, z, cluster_id (0: not yet clustered); prior: cluster_id, segment_id.
-    Only unclustered points seed growth, so two clusters are linked only through one of them. A joined cluster takes
+    Points grow together only if they are equal in the columns ``on``. Only unclustered points seed growth, so two clusters are linked only through one of them. A joined cluster takes
     the smallest id of its parts, INVALID if any part is; too large ones turn INVALID; those that had an id, or
     reach ``least`` points, have one.
 
@@ -33,7 +35,7 @@ def incremental(points: DataFrame, prior: DataFrame, radius: float, least: int,
     """
     fresh = points.select("pid", (F.col("cluster_id") == 0).alias("new"))
     a, b = fresh.withColumnRenamed("pid", "src"), fresh.select(F.col("pid").alias("dst"), F.col("new").alias("new2"))
-    grown = radius_pairs(points, radius).join(a, "src").join(b, "dst").filter("new OR new2").select("src", "dst")
+    grown = radius_pairs(points, radius, on=on).join(a, "src").join(b, "dst").filter("new OR new2").select("src", "dst")
     old = points.filter("cluster_id <> 0").select("pid", "cluster_id")
     first = old.groupBy("cluster_id").agg(F.min("pid").alias("src"))
     held = old.join(first, "cluster_id").filter("src < pid").select("src", F.col("pid").alias("dst"))

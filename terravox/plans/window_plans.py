@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terravox.plans.segment_plans import TIE
-from terravox.sources.tables import PTS_EV, points_of_events
+from terravox.shared import shared_dir
+from terravox.sources.tables import PTS_EV, event_points, points_of_events
+from terravox.streaming.map_loop import Settings, latest, run_loop
 from terravox.streaming.streams import points_stream
 from terravox.streaming.window import sliding_window, snapshot
 
@@ -62,4 +64,18 @@ WINDOW_STATE = f"""{SQL_WINDOW}
 SELECT robot, sector, ix, iy, iz, n, {', '.join(f'round(s{a} / n + {TIE}, 4) c{a}' for a in 'xyz')} FROM v QUALIFY nth = max(nth) OVER (PARTITION BY robot) AND n > 0
 """
 
-PACK = {"stream_window": (stream_window, STREAM_WINDOW), "window_state": (window_state, WINDOW_STATE)}
+def map_loop(spark, sf_dir):
+    """The target map after the events came in by thirds of their month: tracks segmented, recognised or transferred, duplicates removed."""
+    events = event_points(spark, sf_dir).select("track", F.col("sec").cast("double").alias("sec"), F.explode(F.array(F.lit(True), F.lit(False))).alias("pose"), F.col("pid").alias("at"), "x", "y", "z")
+    folder = shared_dir(spark, "scans")
+    third = F.floor(F.pmod(F.col("sec") / DAY, F.lit(31)) / 11)
+    for k in range(3):
+        events.filter(third == k).write.mode("append").parquet(f"{folder}/third={k}")
+    files = max(1, max(len(spark.read.parquet(f"{folder}/third={k}").inputFiles()) for k in range(3)))
+    scans = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(folder)
+    state = run_loop(scans, Settings(size=1.0, near=1.5, drive=1.0, largest=100_000, apart=86_400.0))
+    target = state.table("target", latest(state))
+    return target.select("segment", "track", "n", *[F.round(F.col(a) + TIE, 4).alias(a) for a in "xyz"])
+
+
+PACK = {"stream_window": (stream_window, STREAM_WINDOW), "window_state": (window_state, WINDOW_STATE), "map_loop": (map_loop, None)}

@@ -25,3 +25,9 @@ def written(df: DataFrame, what: str, **options: str) -> DataFrame:
     path = shared_dir(df.sparkSession, what)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file is there, wherever Spark can look."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
