@@ -25,8 +25,9 @@ from terravox.llm.anchors import COMPARE, CROWD, DUP, MOST_PARTS, WINDOW, Block,
 from terravox.llm.common import LAST_ID, free, same_columns, written
 
 RUN = "bucket long, blocks binary, shared binary, tails binary, ids binary, which binary, rows binary, starts binary"
-#: Text of the blocks sorted together, suffixes that leave the tree before their groups are judged, and the code of an empty run.
-RUN_BYTES, FLUSH, END = 16 << 20, 1 << 18, 1 << 30
+#: Windows, and text of the blocks they stand in, that are sorted together; suffixes that leave the tree before their groups are
+#: judged; the code of an empty run.
+RUN_WINDOWS, RUN_BYTES, FLUSH, END = 1 << 20, 16 << 20, 1 << 18, 1 << 30
 
 
 def front_coded(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,43 +154,76 @@ def _combine(table: pa.Table) -> pa.Table:
 _SPREAD = np.cumprod(np.full(WINDOW, 0x9E3779B97F4A7C15, np.uint64))
 
 
-def _runs(group: list[tuple[int, Block, list]], buckets: int) -> pa.RecordBatch:
-    """Sorted runs of the windows to compare in some blocks, one per bucket (and part, where the anchor is crowded)."""
-    parts: list[list[np.ndarray]] = [[] for _ in range(7)]
+def _stretches(block: Block, status: list, buckets: int):
+    """(row, start, windows, bucket, level) of the segments of a block to compare, in turn as many as ``RUN_WINDOWS`` windows; a longer segment is cut."""
+    seg, state = statuses(block, status, buckets)
+    chosen = np.flatnonzero(state >= COMPARE)
+    many = seg.windows[chosen]
+    cuts = -(-many // RUN_WINDOWS)
+    of = np.repeat(np.arange(len(chosen)), cuts)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    chosen, many = chosen[of], np.minimum(many[of] - nth * RUN_WINDOWS, RUN_WINDOWS)
+    columns = seg.row[chosen], seg.start[chosen] + nth * RUN_WINDOWS, many, bucket_of(seg.key[chosen], buckets), state[chosen].astype(np.int64) - COMPARE
+    lo = 0
+    while lo < len(many):
+        hi = lo + max(1, int(np.searchsorted(np.cumsum(many[lo : lo + RUN_WINDOWS]), RUN_WINDOWS, side="right")))
+        yield [c[lo:hi] for c in columns]
+        lo = hi
+
+
+def _sorted(group: list[tuple[int, Block, list[np.ndarray]]]) -> pa.RecordBatch:
+    """Sorted runs of some stretches, one per bucket (and part, where the anchor is crowded)."""
+    parts: list[list[np.ndarray]] = [[] for _ in range(6)]
     base = 0
-    for which, (_, block, status) in enumerate(group):
-        seg, state = statuses(block, status, buckets)
-        chosen = np.flatnonzero(state >= COMPARE)
-        many = seg.windows[chosen]
-        row = np.repeat(seg.row[chosen], many)
-        start = np.repeat(seg.start[chosen], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    for which, (_, block, (row, start, many, bucket, level)) in enumerate(group):
         lengths = np.fromiter(map(len, block.texts), np.int64, len(block.texts))
-        place = (np.cumsum(lengths) - lengths)[row] + start + base if len(row) else row
-        values = (np.repeat(bucket_of(seg.key[chosen], buckets), many), np.repeat(state[chosen] - COMPARE, many), np.full(len(row), which), row, start, place, block.ids[row])
+        begin = np.cumsum(lengths) - lengths
+        inner = np.arange(many.sum(), dtype=np.int32) - np.repeat((np.cumsum(many) - many).astype(np.int32), many)
+        at = np.repeat(start.astype(np.int32), many) + inner
+        values = (np.repeat(bucket << MOST_PARTS, many), np.repeat(level.astype(np.int8), many), np.full(len(at), which, np.int32), np.repeat(row.astype(np.int32), many), at, np.repeat(begin[row] + base, many) + at)
         for p, v in zip(parts, values):
-            p.append(v.astype(np.int64))
+            p.append(v)
         base += int(lengths.sum())
-    bucket, level, which, row, start, place, ids = (np.concatenate(p) for p in parts)
-    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(t for _, b, _ in group for t in b.texts), np.uint8), WINDOW) if len(bucket) else None
-    part = np.zeros(len(bucket), np.int64)
+    key, level, which, row, start, place = (np.concatenate(p) for p in parts)
+    parts.clear()
+    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(t for _, b, _ in group for t in b.texts), np.uint8), WINDOW)
     crowded = np.flatnonzero(level)
     for lo in range(0, len(crowded), 1 << 16):
         at = crowded[lo : lo + (1 << 16)]
         with np.errstate(over="ignore"):
             h = mix((windows[place[at]].astype(np.uint64) * _SPREAD).sum(axis=1))
-        part[at] = (h >> (64 - level[at]).astype(np.uint64)).astype(np.int64)
-    key = bucket << MOST_PARTS | part
+        key[at] |= (h >> (64 - level[at].astype(np.int64)).astype(np.uint64)).astype(np.int64)
     order = np.argsort(key, kind="stable")
-    keys, cuts = np.unique(key[order], return_index=True)
+    key = key[order]
+    cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]).tolist()
     numbers = np.array([n for n, _, _ in group], "<i8").tobytes()
+    first = np.cumsum([0] + [len(b.ids) for _, b, _ in group])
+    every = np.concatenate([b.ids for _, b, _ in group])
     rows = []
-    for k, lo, hi in zip(keys.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+    for lo, hi in zip(cuts, [*cuts[1:], len(order)]):
         mine = order[lo:hi]
         inner, shared, tails = front_coded(windows[place[mine]])
         mine = mine[inner]
-        rows.append((k, numbers, zip_(shared), zip_(tails), zip_(ids[mine].astype("<i8")), *(zip_(x[mine].astype("<u4")) for x in (which, row, start))))
+        ids = every[first[which[mine]] + row[mine]]
+        rows.append((int(key[lo]), numbers, zip_(shared), zip_(tails), zip_(ids.astype("<i8")), *(zip_(x[mine].astype("<u4")) for x in (which, row, start))))
     kinds = [pa.int64()] + [pa.binary()] * 7
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*rows)) or [()] * 8, kinds)], names=[x.split()[0] for x in RUN.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in RUN.split(", ")])
+
+
+def _runs(blocks, buckets: int):
+    """Runs of (number, block, status): as many windows, or as much text, as a task sorts at a time."""
+    group: list = []
+    windows = size = 0
+    for number, block, status in blocks:
+        for stretch in _stretches(block, status, buckets):
+            n = int(stretch[2].sum())
+            if group and (windows + n > RUN_WINDOWS or size >= RUN_BYTES):
+                yield _sorted(group)
+                group, windows, size = [], 0, 0
+            group.append((number, block, stretch))
+            windows, size = windows + n, size + sum(map(len, block.texts))
+    if group:
+        yield _sorted(group)
 
 
 def repeated(exchange: Exchange) -> DataFrame:
@@ -197,16 +231,8 @@ def repeated(exchange: Exchange) -> DataFrame:
     words, buckets = exchange.words, exchange.buckets
 
     def send(batches):
-        group, size = [], 0
-        for batch in batches:
-            for (number, block), status in zip(unpacked(batch, words), batch.column("status").to_pylist()):
-                group.append((number, block, status or []))
-                size += sum(map(len, block.texts))
-                if size >= RUN_BYTES:
-                    yield _runs(group, buckets)
-                    group, size = [], 0
-        if group:
-            yield _runs(group, buckets)
+        blocks = ((number, block, status or []) for batch in batches for (number, block), status in zip(unpacked(batch, words), batch.column("status").to_pylist()))
+        yield from _runs(blocks, buckets)
 
     runs = exchange.known.mapInArrow(send, RUN)
     return written(runs.groupBy("bucket").applyInArrow(_combine, "block long, rows binary, starts binary"), "repeats")

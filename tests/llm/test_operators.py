@@ -68,6 +68,32 @@ def test_substring_dedup(spark, corpus, words, small_blocks, monkeypatch):
     assert sorted([tuple(r)[0:1] + tuple(r)[2:6] for r in got], key=str) == brute_dedup(corpus, split, join)
 
 
+def test_short_runs_lose_no_window(spark, corpus, monkeypatch):
+    """Runs of thirty windows: segments, and the longest of them, are cut, and what is in different runs still meets."""
+    monkeypatch.setattr(suffix_merge, "RUN_WINDOWS", 30)
+    blocks = [(n, anchors.Block(np.array([i for i, _ in part]), np.zeros(len(part), np.int64), [t for _, t in part], False), []) for n, part in enumerate(([(1, b"x" * 400), (2, b"ab" * 90)], [(3, b"x" * 300), (4, bytes(range(120))), (5, b"y" + b"ab" * 40)]))]
+    monkeypatch.setattr(suffix_merge, "statuses", lambda block, status, buckets: (seg := anchors.segments(block), np.full(len(seg.row), anchors.COMPARE)))
+    runs = list(suffix_merge._runs(blocks, 1))
+    assert len(runs) > 10 and all(len(suffix_merge.unzip(r.column("rows")[0].as_py(), "<u4")) <= 30 for r in runs)
+    found = set()
+    for row in suffix_merge._combine(pa.Table.from_batches(runs)).to_pylist():
+        found |= {(row["block"], int(r), int(s)) for r, s in zip(suffix_merge.unzip(row["rows"], "<u4"), suffix_merge.unzip(row["starts"], "<u4"))}
+    assert found == {(1, 0, s) for s in range(251)} | {(1, 2, s) for s in range(1, 32)}
+
+
+def test_very_long_texts_are_sorted_in_bounded_memory(monkeypatch):
+    """Two texts of four million equal bytes: a run's memory does not grow with its text's windows."""
+    import tracemalloc
+
+    blocks = [(n, anchors.Block(np.array([n]), np.zeros(1, np.int64), [b"x" * 4_000_000], False), []) for n in range(2)]
+    monkeypatch.setattr(suffix_merge, "statuses", lambda block, status, buckets: (anchors.Segments(np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([len(block.texts[0]) - 49])), np.full(1, anchors.COMPARE)))
+    tracemalloc.start()
+    n = sum(len(suffix_merge.unzip(r, "<u4")) for batch in suffix_merge._runs(iter(blocks), 1) for r in batch.column("rows").to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 2 * (4_000_000 - 49) and peak < 500e6
+
+
 @pytest.mark.parametrize("words", [False, True])
 def test_crowded_anchors_lose_no_window(spark, corpus, words):
     """Windows of anchors with many texts are dealt to several tasks, with the same result."""
