@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terravox.operators.folds import numbered
 from terravox.operators.graph import cliques, components, degrees
+from terravox.operators.grouping import consensus_groups, greedy_groups
 from terravox.operators.hulls import convex_hull, overlap
 from terravox.operators.neighbours import nearest, range_join
 from terravox.operators.pivots import nearest_join
@@ -370,31 +371,33 @@ def hull_matches(spark, sf_dir):
 
 def greedy_grouping(spark, sf_dir):
     """Consensus groups of three or more: seeds in order of degree take all unused matches consistent with the whole group."""
-    ship(spark)
     edges = written(_edges(spark, sf_dir, capped=True), "edges")
-    parts = components(edges.select("src", "dst")).withColumnRenamed("node", "src")
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set[int]] = {}
-        for a, b in zip(pdf["src"], pdf["dst"]):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        used: set[int] = set()
-        rows = []
-        for seed in sorted(near, key=lambda n: (-len(near[n]), n)):
-            if seed in used:
-                continue
-            members = [seed]
-            for n in sorted(near[seed] - used):
-                if all(n in near[m] for m in members):
-                    members.append(n)
-            if len(members) >= 3:
-                used.update(members)
-                rows += [(int(pdf["robot"].iloc[0]), int(seed), int(m)) for m in members]
-        return pd.DataFrame(rows, columns=["robot", "grp", "member"]).astype("int64")
-
-    # Groups never reach beyond a connected part, so a part is a task's unit.
-    return edges.join(parts, "src").groupBy("component").applyInPandas(group, "robot long, grp long, member long")
+    of = edges.select(F.explode(F.array("src", "dst")).alias("member"), "robot").distinct()
+    return greedy_groups(edges.select("src", "dst")).join(of, "member").select("robot", "grp", "member")
+
+
+#: Seeds take their turns in a recursion that carries what is used; neighbours join in the order of their ids.
+GREEDY = f"""
+WITH RECURSIVE e AS ({CAPPED}), u AS MATERIALIZED (SELECT robot, src s, dst d FROM e UNION SELECT robot, dst, src FROM e),
+adj AS MATERIALIZED (SELECT robot, s, list(d ORDER BY d) ns FROM u GROUP BY 1, 2), turn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY robot ORDER BY len(ns) DESC, s) i FROM adj),
+g(robot, i, k, used, members, seed) AS (
+  SELECT DISTINCT robot, 0::BIGINT, 0::BIGINT, []::BIGINT[], []::BIGINT[], 0::BIGINT FROM turn UNION ALL
+  SELECT robot, CASE WHEN k = 0 THEN i + 1 ELSE i END, CASE WHEN k = 0 THEN (CASE WHEN off THEN 0 ELSE 1 END) WHEN k >= len(ns) THEN 0 ELSE k + 1 END,
+    CASE WHEN k > 0 AND k >= len(ns) AND len(grown) >= 3 THEN used || grown ELSE used END, CASE WHEN k = 0 THEN [t] ELSE grown END, CASE WHEN k = 0 THEN t ELSE seed END
+  FROM (SELECT g.robot, g.i, g.k, g.used, g.seed, turn.s t, turn.ns, list_contains(g.used, turn.s) off,
+      CASE WHEN g.k = 0 OR list_contains(g.used, turn.ns[g.k]) OR len(list_intersect(g.members, a.ns)) < len(g.members) THEN g.members ELSE list_append(g.members, turn.ns[g.k]) END grown
+    FROM g JOIN turn ON turn.robot = g.robot AND turn.i = CASE WHEN g.k = 0 THEN g.i + 1 ELSE g.i END LEFT JOIN adj a ON g.k > 0 AND a.robot = g.robot AND a.s = turn.ns[g.k]))
+SELECT robot, seed grp, unnest(members) AS member FROM (
+  SELECT robot, seed, members, used, lag(len(used), 1, 0) OVER (PARTITION BY robot ORDER BY i, CASE WHEN k = 0 THEN 1e9 ELSE k END, len(used)) was FROM g) WHERE len(used) > was
+"""
+
+
+def consensus_rejection(spark, sf_dir):
+    """The same groups without the matches that do not agree on their group's motion, and that motion."""
+    w = Window.partitionBy("robot").orderBy("sec", "pid")
+    heights = event_points(spark, sf_dir).select("pid", (F.col("z") + F.pmod("pid", F.lit(3))).alias("sz"), F.col("z").alias("mz"), F.lead("pid").over(w).alias("next"))
+    groups = greedy_grouping(spark, sf_dir).join(_matches(spark, sf_dir).drop("robot"), F.col("member") == F.col("pid")).join(heights, "pid")
+    return consensus_groups(groups.select("grp", "member", "sx", "sy", "sz", "mx", "my", "mz"), RES)
 
 
 PACK = {
@@ -417,5 +420,6 @@ PACK = {
     "max_clique_size": (max_clique_size, MAX_CLIQUE),
     "rigid_fit": (rigid_fit, None),
     "relabel_components": (relabel_components, RELABEL),
-    "greedy_grouping": (greedy_grouping, None),
+    "greedy_grouping": (greedy_grouping, GREEDY),
+    "consensus_rejection": (consensus_rejection, None),
 }
