@@ -17,7 +17,6 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -28,7 +27,7 @@ from terravox.ship import ship
 
 WORDS, SHAPES, PAIRS, RATIOS, DIM = 1024, 256, 512, 16, 64
 WIDTH = WORDS + SHAPES + PAIRS + RATIOS
-PER_CLASS, NEIGHBOURS, BLOCK, SLICE = 2500, 15, 512, 1 << 18
+PER_CLASS, NEIGHBOURS, BLOCK, SLICE = 2500, 15, 256, 1 << 18
 _LETTER = re.compile(r"\w")
 
 
@@ -152,8 +151,8 @@ class Voters:
         z = self.latent(x)
         cosine = z @ self.vectors.T
         k = min(neighbours, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** 2 * self.weight[self.label[near]]
+        near = np.argpartition(np.negative(cosine, out=cosine), k - 1, axis=1)[:, :k]
+        weight = np.maximum(-np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** 2 * self.weight[self.label[near]]
         total = weight.sum(axis=1)
         return np.divide((weight * self.label[near]).sum(axis=1), total, out=np.zeros(len(x)), where=total > 0)
 
@@ -161,11 +160,17 @@ class Voters:
 def scorer(voters, neighbours: int = NEIGHBOURS):
     """A column function text -> score, for whole texts; ``voters`` is a broadcast Voters."""
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        known, words = voters.value, text.tolist()
-        out = [known.score(np.array([features(t) for t in words[i : i + BLOCK]]).reshape(-1, WIDTH), neighbours) for i in range(0, len(words), BLOCK)]
-        return pd.Series(np.clip(np.concatenate(out), 0, 1) if out else np.zeros(0))
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        # Texts become Python strings a block at a time.
+        out = [np.zeros(0)]
+        for lo in range(0, len(text), BLOCK):
+            words = text.slice(lo, BLOCK).to_pylist()
+            x = np.empty((len(words), WIDTH), np.float32)
+            for i, t in enumerate(words):
+                x[i] = features(t)
+            out.append(voters.value.score(x, neighbours))
+        return pa.array(np.clip(np.concatenate(out), 0, 1))
 
     return score
 

@@ -27,7 +27,7 @@ from terravox.llm.common import LAST_ID, free, same_columns, written
 RUN = "bucket long, blocks binary, shared binary, tails binary, ids binary, which binary, rows binary, starts binary"
 #: Windows, and text of the blocks they stand in, that are sorted together; suffixes that leave the tree before their groups are
 #: judged; the code of an empty run.
-RUN_WINDOWS, RUN_BYTES, FLUSH, END = 1 << 20, 16 << 20, 1 << 18, 1 << 30
+RUN_WINDOWS, RUN_BYTES, FLUSH, END = 1 << 18, 8 << 20, 1 << 18, 1 << 30
 
 
 def front_coded(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
