@@ -302,6 +302,8 @@ class _Writer(DataSourceArrowWriter):
 
         if not self.overwrite and store.get_file_info(at).type != fs.FileType.NotFound:
             raise ValueError(f"{self.path} is there already")
+        # Made here and not by tasks: one that is still at work when a write is given up cannot bring it back.
+        store.create_dir(f"{at}.parts-{self.run}", recursive=True)
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> _Part:
         from pyspark import TaskContext
@@ -309,7 +311,6 @@ class _Writer(DataSourceArrowWriter):
         store, at = store_of(self.path)
         place = TaskContext.get().partitionId()
         where, n = f"{at}.parts-{self.run}/{place}-{uuid.uuid4().hex}", 0
-        store.create_dir(f"{at}.parts-{self.run}", recursive=True)
         dtype = np.dtype([(f"f{i}", KINDS[k][0]) for i, k in enumerate(self.kinds)])
         with store.open_output_stream(where) as f:
             for batch in batches:

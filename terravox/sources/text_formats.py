@@ -5,10 +5,13 @@ Lines are numbered in file order, since runs of equal ids and "first one wins" d
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
+
+from terravox.shared import written
+from terravox.ship import ship
 
 
 def lines(spark: SparkSession, path: str, drop_first_row: bool = False) -> DataFrame:
@@ -28,23 +31,52 @@ def _columns(found: DataFrame, spec: list[tuple[str, str]]) -> DataFrame:
     return found.select("line", *[_cell(i, kind).alias(name) for i, (name, kind) in enumerate(spec)])
 
 
+def numbered_runs(rows: DataFrame, keys: list[str], split: list[str], order: str) -> DataFrame:
+    """rows with ``run``, which counts runs of equal keys in the order of (split, order), and grows by one where a key changes.
+
+    rows come as they were read: the rows of a split in their order, in one task. Runs are counted inside each split without a shuffle; of a
+    split only its first and last key and its number of runs go on, and a scan over splits says where each goes on counting.
+    """
+    ship(rows.sparkSession)
+
+    def count(batches):
+        at = last = None
+        n = 0
+        for batch in batches:
+            runs = []
+            for here, key in zip(zip(*(batch.column(c).to_pylist() for c in split)), zip(*(batch.column(c).to_pylist() for c in keys))):
+                n = 1 if here != at else n if key == last else n + 1
+                at, last = here, key
+                runs.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(runs, pa.int64())], names=[*batch.schema.names, "inner"])
+
+    inside = written(rows.mapInArrow(count, StructType([*rows.schema.fields, StructField("inner", LongType())])), "runs")
+    key = F.struct(*keys)
+    ends = inside.groupBy(*split).agg(F.min_by(key, order).alias("head"), F.max_by(key, order).alias("tail"), F.max("inner").alias("many"))
+    # One row per split.
+    every = Window.orderBy(*split)
+    joins = F.coalesce(F.col("head").eqNullSafe(F.lag("tail").over(every)) & F.lag("many").over(every).isNotNull(), F.lit(False)).cast("int")
+    new = ends.withColumn("joins", joins).withColumn("upto", F.sum(F.col("many") - F.col("joins")).over(every.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    offset = new.select(*split, (F.col("upto") - F.col("many")).alias("offset"))
+    return inside.join(offset, split).withColumn("run", F.col("inner") + F.col("offset")).drop("inner", "offset")
+
+
 def read_segments(spark: SparkSession, path: str, views: bool = True, repeated: str = "first") -> DataFrame:
-    """(segment_id, view_id, x, y, z) in runs of equal (id, view).
+    """(segment_id, view_id, x, y, z, line) in runs of equal (id, view).
 
-    repeated: "first" keeps the first run of an id and view, "error" raises where there is a second one.
+    repeated: "first" keeps the first run of an id and view, "error" raises where there is a second one. Files are taken in the order of their names.
     """
     spec = [("segment_id", "bigint"), *([("view_id", "int")] if views else []), ("x", "double"), ("y", "double"), ("z", "double")]
-    rows = _columns(lines(spark, path), spec)
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.split(F.trim("value"), r"\s+").alias("cells"))
+    rows = raw.filter("cells[0] <> ''").select("file", "block", "line", *[_cell(i, kind).alias(name) for i, (name, kind) in enumerate(spec)])
     if not views:
         rows = rows.withColumn("view_id", F.lit(0))
-    order = Window.orderBy("line")
-    key = F.struct("segment_id", "view_id")
-    runs = rows.withColumn("run", F.sum(F.when(key.eqNullSafe(F.lag(key).over(order)), 0).otherwise(1)).over(order))
-    first = F.min("run").over(Window.partitionBy("segment_id", "view_id"))
-    marked = runs.withColumn("first_run", first)
-    if repeated == "error" and marked.filter("run <> first_run").limit(1).count():
+    runs = written(numbered_runs(rows, ["segment_id", "view_id"], ["file", "block"], "line"), "segments")
+    first = runs.groupBy("segment_id", "view_id").agg(F.min("run").alias("first_run"), F.max("run").alias("last_run"))
+    if repeated == "error" and not first.filter("first_run < last_run").isEmpty():
         raise ValueError(f"{path}: a segment and view occur in two runs")
-    return marked.filter("run = first_run").select("segment_id", "view_id", "x", "y", "z", "line")
+    kept = runs.join(first.select(F.col("segment_id").alias("s"), F.col("view_id").alias("v"), "first_run"), F.col("segment_id").eqNullSafe(F.col("s")) & F.col("view_id").eqNullSafe(F.col("v"))).filter("run = first_run")
+    return kept.select("segment_id", "view_id", "x", "y", "z", "line")
 
 
 def read_positions(spark: SparkSession, path: str) -> DataFrame:
@@ -194,45 +226,6 @@ def read_labelled_clouds(spark: SparkSession, path: str, names: str = r"([ab])(\
     return body.select("group", "number", *[_cell(i, "double").alias(a) for i, a in enumerate("xyz")])
 
 
-class PointCloud(DataSource):
-    """ASCII point clouds: ``spark.dataSource.register(PointCloud)``, then ``spark.read.format("pcd").load(path)``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "pcd"
-
-    def schema(self) -> str:
-        return "x double, y double, z double"
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _CloudReader(self.options["path"], schema)
-
-
-class _CloudReader(DataSourceReader):
-    def __init__(self, path: str, schema: StructType):
-        self.path, self.names = path, [f.name for f in schema.fields]
-
-    def read(self, partition):
-        from pyarrow import fs
-
-        store, at = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
-        fields: list[str] = []
-        with store.open_input_stream(at) as f:
-            text = f.read().decode("utf-8")
-        body = False
-        for line in text.splitlines():
-            cells = line.split()
-            if body:
-                got = dict(zip(fields, map(float, cells)))
-                yield tuple(got.get(n) for n in self.names)
-            elif cells and cells[0] == "FIELDS":
-                fields = cells[1:]
-            elif cells and cells[0] == "DATA":
-                if cells[1:] != ["ascii"]:
-                    raise ValueError(f"{self.path}: only ascii data is read")
-                body = True
-
-
 def write_cloud(points: DataFrame, path: str) -> None:
     """x, y, z of all points as text lines below a folder, in parallel, beside a header that holds their count; ``read_cloud`` reads it."""
     n = points.count()

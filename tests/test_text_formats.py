@@ -1,5 +1,7 @@
+import numpy as np
 import pytest
 
+from terravox.sources import clouds as C
 from terravox.sources import text_formats as T
 from terravox.ship import ship
 
@@ -35,11 +37,90 @@ def test_ragged_matches(spark, tmp_path):
     assert [r["ids"] for r in rows] == [[1, 2], [3, 4, 5]]
 
 
-def test_point_cloud(spark, tmp_path):
+@pytest.mark.parametrize("blocks", [None, 600])
+def test_runs_across_splits(spark, tmp_path, blocks):
+    """However a file is split among tasks, a run that crosses the cut is one, and a later one of the same key is another."""
+    ids = [7] * 50 + [8] * 10 + [9] * 220 + [7] * 30 + [8] * 20 + [10] * 90 + [9]
+    path = put(tmp_path / "s.csv", "\n".join(f"{i} 0 {n} 0 0" for n, i in enumerate(ids)) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(blocks) if blocks else before)
+    try:
+        got = sorted((r["segment_id"], int(r["x"])) for r in T.read_segments(spark, path).collect())
+        raw = spark.read.text(path).selectExpr("_metadata.file_path file", "_metadata.file_block_start block", "monotonically_increasing_id() line", "cast(split(value, ' ')[0] as int) id")
+        runs = [r["run"] for r in T.numbered_runs(raw, ["id"], ["file", "block"], "line").orderBy("file", "block", "line").collect()]
+        if blocks:
+            assert raw.select("block").distinct().count() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [1] * 50 + [2] * 10 + [3] * 220 + [4] * 30 + [5] * 20 + [6] * 90 + [7]
+    assert runs == want
+    first = {i: w for i, w in reversed(list(zip(ids, want)))}
+    assert got == sorted((i, n) for n, (i, w) in enumerate(zip(ids, want)) if w == first[i])
+
+
+def cloud(spark):
     ship(spark)
-    spark.dataSource.register(T.PointCloud)
-    path = put(tmp_path / "c.pcd", "VERSION 0.7\nFIELDS x y z\nPOINTS 2\nDATA ascii\n1 2 3\n4 5 6\n")
-    assert sorted(map(tuple, spark.read.format("pcd").load(path).collect())) == [(1, 2, 3), (4, 5, 6)]
+    spark.dataSource.register(C.PointCloud)
+    return spark.read.format("pcd")
+
+
+def test_ascii_cloud_in_ranges(spark, tmp_path):
+    path = put(tmp_path / "c.pcd", "# made\nVERSION 0.7\nFIELDS x y id\nSIZE 4 8 8\nTYPE F F I\nCOUNT 1 1 1\nPOINTS 40\nDATA ascii\n" + "".join(f"{i}.5 nan {2**60 + i}\n" for i in range(40)))
+    for size in (1, 7, 60, 1 << 20):
+        rows = cloud(spark).option("bytes", size).load(path)
+        assert rows.dtypes == [("x", "float"), ("y", "double"), ("id", "bigint")] and rows.rdd.getNumPartitions() >= min(40, 900 // size)
+        assert sorted((r["id"], r["x"]) for r in rows.collect()) == [(2**60 + i, i + 0.5) for i in range(40)]
+
+
+def test_binary_cloud_in_ranges(spark, tmp_path):
+    """All kinds of numbers, a field of two values, rows dealt to tasks; columns that are not wanted are not made."""
+    kinds = {"a": "<f4", "b": "<f8", "c": "<i1", "d": "<u1", "e": "<i2", "f": "<u2", "g": "<i4", "h": "<u4", "i": "<i8", "j": "<u8", "k_0": "<f4", "k_1": "<f4"}
+    r = np.random.default_rng(1)
+    rows = np.zeros(1000, list(kinds.items()))
+    for n, k in kinds.items():
+        rows[n] = r.standard_normal(1000) if "f" in k else r.integers(*((0, 2**7) if k[2] == "1" else (0, 2 ** (8 * int(k[2]) - 1))), 1000)
+    rows["j"][0] = 2**64 - 1
+    head = "VERSION 0.7\nFIELDS a b c d e f g h i j k\nSIZE 4 8 1 1 2 2 4 4 8 8 4\nTYPE F F I U I U I U I U F\nCOUNT 1 1 1 1 1 1 1 1 1 1 2\nWIDTH 500\nHEIGHT 2\nDATA "
+    plain = tmp_path / "b.pcd"
+    plain.write_bytes(head.encode() + b"binary\n" + rows.tobytes())
+    body = b"".join(np.ascontiguousarray(rows[n]).tobytes() for n in kinds)
+    tight = tmp_path / "c.pcd"
+    small = C.packed(body)
+    tight.write_bytes(head.encode() + b"binary_compressed\n" + np.array([len(small), len(body)], "<u4").tobytes() + small)
+    want = sorted(zip(*(rows[n].tolist() for n in kinds)))
+    for path, many in ((plain, 8), (tight, 1)):
+        got = cloud(spark).option("rows", 130).load(str(path))
+        assert got.columns == list(kinds) and got.rdd.getNumPartitions() == many
+        assert sorted(tuple(int(v) if n == "j" else v for n, v in zip(kinds, g)) for g in got.collect()) == want
+    assert got.select("h").agg({"h": "sum"}).first()[0] == int(rows["h"].astype(object).sum())
+    plain.write_bytes(plain.read_bytes()[:-1])
+    with pytest.raises(Exception, match="999 points of 1000"):
+        cloud(spark).load(str(plain)).count()
+
+
+@pytest.mark.parametrize("data", ["binary", "ascii", "compressed"])
+def test_cloud_written_in_one_commit(spark, tmp_path, data):
+    """One file of one header, whatever the number of tasks; nothing is left beside it, not even when a task fails."""
+    points = spark.createDataFrame([(float(i) / 3, -1e-7, i, 2**40 + i) for i in range(500)], "x double, y float, id int, far long").repartition(5)
+    path = tmp_path / "out.pcd"
+    cloud(spark)
+    for _ in range(2):
+        points.write.format("pcd").option("data", data).mode("overwrite").save(str(path))
+    assert [p.name for p in tmp_path.iterdir()] == ["out.pcd"]
+    assert sorted(map(tuple, cloud(spark).load(str(path)).collect())) == sorted(map(tuple, points.collect()))
+    kept = path.read_bytes()
+    broken = points.selectExpr("x", "y", "CASE WHEN id = 77 THEN raise_error('lost')::int ELSE id END id", "far")
+    with pytest.raises(Exception, match="lost"):
+        broken.write.format("pcd").option("data", data).mode("overwrite").save(str(path))
+    assert path.read_bytes() == kept and [p.name for p in tmp_path.iterdir()] == ["out.pcd"]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_packed_bytes_come_back(seed):
+    r = np.random.default_rng(seed)
+    for data in (b"", b"a", b"ab" * 5000, bytes(r.integers(0, 256, 3000, dtype=np.uint8)), bytes(r.integers(0, 3, 20_000, dtype=np.uint8)), b"x" * 100_000, bytes(range(256)) * 40):
+        assert C.unpacked(C.packed(data), len(data)) == data
+    assert C.unpacked(bytes([2]) + b"abc" + bytes([7 << 5, 1, 2]), 13) == b"abcabcabcabca"
 
 
 def test_classes_and_trajectory(spark, tmp_path):
