@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from terravox.functions.geometry import AXES
 from terravox.operators.folds import numbered
+from terravox.operators import classifier
+from terravox.shared import written
 from terravox.sources.tables import PTS_EV, PTS_LI, descriptors, event_points, lineitem_points
 
 CLASSES, SIDE, BATCH = 10, 4, 64
@@ -185,6 +187,13 @@ def semantics_split(spark, sf_dir):
 SEMANTICS = f"WITH {SQL_SHUFFLED} SELECT id, CASE WHEN n <= floor((SELECT count(*) FROM o) * 0.7::DOUBLE) THEN 'train' ELSE 'test' END part FROM o"
 
 
+def semantics_model(spark, sf_dir):
+    """Classes of the test part as a perceptron learned on the training part takes them: one row per class and what it is taken for."""
+    parts = written(semantics_split(spark, sf_dir).join(descriptors(spark, sf_dir), "id"), "parts")
+    model = classifier.trained(parts.filter("part = 'train'"), 10)
+    return classifier.confusion(classifier.predicted(model, parts.filter("part = 'test'")))
+
+
 def trim_data(spark, sf_dir):
     """One mask applied to all parallel values of a data set: descriptors of odd classes longer than one in their first values."""
     norm = F.aggregate(F.slice("vector", 1, 32), F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
@@ -220,6 +229,7 @@ PACK = {
     "describe_all": (describe_all, DESCRIBE),
     "generator_batches": (generator_batches, BATCHES),
     "semantics_split": (semantics_split, SEMANTICS),
+    "semantics_model": (semantics_model, None),
     "trim_data": (trim_data, TRIM),
     "multi_run_union": (multi_run_union, RUNS),
 }

@@ -9,7 +9,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terravox.functions.geometry import AXES
-from terravox.sources.tables import PTS_LI, lineitem_points
+from terravox.shared import written
+from terravox.sources.tables import PTS_LI, event_points, lineitem_points
 
 TIE = 1e-7
 STEPS = (1, 2, 3, 5, 8, 13, 21, 34)
@@ -61,20 +62,55 @@ def augment_remove_random(spark, sf_dir):
     return kept.groupBy("segment").agg(F.count("*").alias("n"))
 
 
+CANDIDATES, LEAST_CUT, MOST_CUT, REACH = 16, 0.1, 0.5, 25
+_DEGREE = "CAST(0.017453292519943295 AS DOUBLE)"
+
+
+def _keeps(k: int) -> str:
+    """Whether a centred point lies on the kept side of a segment's k-th plane, in both dialects: direction and offset come from the id and k."""
+    a, b = (f"CAST((segment * {f} + {k * g}) % {n} AS DOUBLE) * {_DEGREE}" for f, g, n in ((104729, 7919, 360), (31, 17, 180)))
+    side = f"round(cx * (cos({a}) * sin({b})) + cy * (sin({a}) * sin({b})) + cz * cos({b}), 6)"
+    return f"{side} + (CAST((segment * 13 + {k * 37}) % 100 AS DOUBLE) / 49.5 - 1) * {REACH} > 0"
+
+
+def _accepted(n: str = "n") -> str:
+    """The first plane that takes away a share between the bounds, in both dialects; -1 where none does."""
+    takes = lambda k: f"1 - CAST(k{k} AS DOUBLE) / {n} > {LEAST_CUT} AND 1 - CAST(k{k} AS DOUBLE) / {n} < {MOST_CUT}"
+    return "CASE " + " ".join(f"WHEN {takes(k)} THEN {k}" for k in range(CANDIDATES)) + " ELSE -1 END"
+
+
+def _kept(plane: str = "plane") -> str:
+    return f"CASE {plane} " + " ".join(f"WHEN {k} THEN {_keeps(k)}" for k in range(CANDIDATES)) + " ELSE TRUE END"
+
+
+def plane_cut(points):
+    """points (segment, x, y, z, ...) with ``plane``, without what the first acceptable plane of their segment cuts off.
+
+    All candidate planes of all segments are tried in one aggregation; a segment that none of them suits stays whole. What is known per
+    segment is written, so that it goes to the points and not they to it while it is small.
+    """
+    middle = written(points.groupBy("segment").agg(*[F.avg(a).alias(f"m{a}") for a in AXES]), "middles")
+    centred = points.join(middle, "segment").withColumns({f"c{a}": F.round(F.col(a) - F.col(f"m{a}"), 6) for a in AXES}).drop(*[f"m{a}" for a in AXES])
+    tried = centred.groupBy("segment").agg(F.count("*").alias("n"), *[F.count_if(F.expr(_keeps(k))).alias(f"k{k}") for k in range(CANDIDATES)])
+    planes = written(tried.select("segment", F.expr(_accepted()).alias("plane")), "planes")
+    return centred.join(planes, "segment").filter(F.expr(_kept())).drop(*[f"c{a}" for a in AXES])
+
+
 def augment_remove_plane(spark, sf_dir):
-    """The quarter of each segment's points farthest along a direction drawn from its id dropped: a cut by a half space."""
-    angle = F.pmod(F.col("segment") * 104729, F.lit(360)).cast("double") * 0.017453292519943295
-    side = F.round(F.cos(angle) * F.col("x") + F.sin(angle) * F.col("y"), 6)
-    w = Window.partitionBy("segment")
-    ranked = _centred(spark, sf_dir).withColumn("side", side).withColumn("r", F.row_number().over(w.orderBy("side", "batch", "view"))).withColumn("n", F.count("*").over(w))
-    return ranked.filter("4 * r <= 3 * n").groupBy("segment").agg(F.count("*").alias("n"), F.max("side").alias("cut"))
+    """What a plane through each segment leaves of it: the first of its random planes that takes between a tenth and a half."""
+    return plane_cut(lineitem_points(spark, sf_dir)).groupBy("segment").agg(F.count("*").alias("n"), F.max("plane").cast("long").alias("plane"))
 
 
-PLANE = f"""
-WITH {PTS_LI}, {SQL_CENTRED}, s AS (SELECT segment, batch, view, round(cos(CAST(segment * 104729 % 360 AS DOUBLE) * CAST(0.017453292519943295 AS DOUBLE)) * x + sin(CAST(segment * 104729 % 360 AS DOUBLE) * CAST(0.017453292519943295 AS DOUBLE)) * y, 6) side FROM c),
-r AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY side, batch, view) r, count(*) OVER (PARTITION BY segment) n FROM s)
-SELECT segment, count(*) n, max(side) cut FROM r WHERE 4 * r <= 3 * n GROUP BY 1
-"""
+def _plane_sql(points: str) -> str:
+    """Common table expressions from ``points`` to ``cut``."""
+    return f"""
+mid AS (SELECT segment, {', '.join(f'avg({a}) m{a}' for a in AXES)} FROM {points} GROUP BY 1),
+cen AS (SELECT p.*, {', '.join(f'round({a} - m{a}, 6) c{a}' for a in AXES)} FROM {points} p JOIN mid USING (segment)),
+tried AS (SELECT segment, count(*) n, {', '.join(f'count(*) FILTER ({_keeps(k)}) k{k}' for k in range(CANDIDATES))} FROM cen GROUP BY 1),
+cut AS (SELECT cen.*, plane FROM cen JOIN (SELECT segment, {_accepted()} plane FROM tried) USING (segment) WHERE {_kept()})"""
+
+
+PLANE = f"WITH {PTS_LI}, {_plane_sql('pts')} SELECT segment, count(*) n, CAST(max(plane) AS BIGINT) plane FROM cut GROUP BY 1"
 
 
 def rescale_fit(spark, sf_dir):
@@ -85,18 +121,24 @@ def rescale_fit(spark, sf_dir):
 
 RESCALE = f"WITH {PTS_LI} SELECT segment, " + ", ".join(f"round({n} / greatest(max({a}) - min({a}), CAST({f} AS DOUBLE)) + {TIE}, 4) s{a}" for a, n, f in zip(AXES, (31, 31, 15), (3.2, 3.2, 1.6))) + " FROM pts GROUP BY 1"
 
+
 def align_robot(spark, sf_dir):
-    """Segments centred and turned so that the robot, which stood at (10, 20), lies along the first axis; second moments after the turn."""
-    w = Window.partitionBy("segment")
-    points = lineitem_points(spark, sf_dir).select("segment", *[F.col(a) for a in AXES], *[F.avg(a).over(w).alias(f"m{a}") for a in "xy"])
-    angle = F.atan2(20 - F.col("my"), 10 - F.col("mx"))
-    x, y = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
-    turned = points.select("segment", angle.alias("angle"), (x * F.cos(angle) + y * F.sin(angle)).alias("u"), (y * F.cos(angle) - x * F.sin(angle)).alias("v"))
+    """Segments centred and turned so that the place from which each was seen lies along the first axis; second moments after the turn.
+
+    A segment was seen from the position of the event of its id; one without a position is left out.
+    """
+    seen = event_points(spark, sf_dir).select(F.col("pid").alias("segment"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+    points = lineitem_points(spark, sf_dir)
+    middle = points.groupBy("segment").agg(F.avg("x").alias("mx"), F.avg("y").alias("my")).join(seen, "segment")
+    middle = written(middle.select("segment", "mx", "my", F.atan2(F.col("ry") - F.col("my"), F.col("rx") - F.col("mx")).alias("angle")), "middles")
+    x, y, angle = F.col("x") - F.col("mx"), F.col("y") - F.col("my"), F.col("angle")
+    turned = points.join(middle, "segment").select("segment", "angle", (x * F.cos(angle) + y * F.sin(angle)).alias("u"), (y * F.cos(angle) - x * F.sin(angle)).alias("v"))
     return turned.groupBy("segment").agg(F.round(F.max("angle") + TIE, 4).alias("angle"), F.round(F.avg(F.col("u") * F.col("u")) + TIE, 3).alias("uu"), F.round(F.avg(F.col("v") * F.col("v")) + TIE, 3).alias("vv"))
 
 
 ALIGN = f"""
-WITH {PTS_LI}, m AS (SELECT segment, x - avg(x) OVER w x, y - avg(y) OVER w y, atan2(20 - avg(y) OVER w, 10 - avg(x) OVER w) t FROM pts WINDOW w AS (PARTITION BY segment)),
+WITH {PTS_LI}, e AS (SELECT event_id segment, value / 10 rx, (hour(ts) * 3600 + minute(ts) * 60 + second(ts)) / 1800.0 ry FROM events),
+m AS (SELECT segment, x - avg(x) OVER w x, y - avg(y) OVER w y, atan2(ry - avg(y) OVER w, rx - avg(x) OVER w) t FROM pts JOIN e USING (segment) WINDOW w AS (PARTITION BY segment)),
 r AS (SELECT segment, t, x * cos(t) + y * sin(t) u, y * cos(t) - x * sin(t) v FROM m)
 SELECT segment, round(max(t) + {TIE}, 4) angle, round(avg(u * u) + {TIE}, 3) uu, round(avg(v * v) + {TIE}, 3) vv FROM r GROUP BY 1
 """
@@ -112,32 +154,42 @@ def augment_jitter(spark, sf_dir):
 JITTER = f"WITH {PTS_LI} SELECT segment, " + ", ".join(f"round(avg({a}) + (segment * {k} % 2001 / 1000.0::DOUBLE - 1) * CAST({0.1 * n / 2} AS DOUBLE) + {TIE}, 4) {a}" for a, k, n in zip(AXES, (7919, 104729, 1299709), (32, 32, 16))) + " FROM pts GROUP BY 1"
 
 
+#: The turn that aligns a segment with its main axis, half a turn more if fewer points than half lie below its middle, less a random turn of up to 20 degrees.
+_TURN = f"t + CASE WHEN 2 * below < n THEN CAST(3.141592653589793 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END - CAST(segment * 7919 % 41 - 20 AS DOUBLE) * {_DEGREE}"
+
+
 def preprocess_chain(spark, sf_dir):
-    """All steps in their order: a fifth of the points dropped, turned onto the main axis, scaled to fit a grid, jittered, voxelised, standardised.
+    """All steps in their order: a fifth of the points dropped, a plane's cut, the turn onto the main axis and its flip, a random turn, the scale that fits a grid, jitter, voxels, standardisation.
 
     Returns each segment's occupied voxels, the points that jitter left inside the grid, and its occupancy standardised over all segments.
+    What a step finds per segment is written and joined to the points, which are not shuffled for it while it is small.
     """
-    points = lineitem_points(spark, sf_dir).filter(F.pmod(F.col("batch") * 31 + F.col("view") * 17 + F.col("segment"), F.lit(5)) > 0)
-    axes = points.groupBy("segment").agg(F.round(0.5 * F.atan2(2 * F.covar_pop("x", "y"), F.var_pop("x") - F.var_pop("y")), 5).alias("t"))
-    turned = points.join(axes, "segment").select("segment", F.round(F.cos("t") * F.col("x") + F.sin("t") * F.col("y"), 4).alias("x"), F.round(F.cos("t") * F.col("y") - F.sin("t") * F.col("x"), 4).alias("y"), F.round("z", 4).alias("z"))
-    box = turned.groupBy("segment").agg(*[F.min(a).alias(f"low_{a}") for a in AXES], *[F.greatest(F.max(a) - F.min(a), F.lit(f)).alias(f"size_{a}") for a, f in zip(AXES, (3.2, 3.2, 1.6))])
+    points = plane_cut(lineitem_points(spark, sf_dir).filter(F.pmod(F.col("batch") * 31 + F.col("view") * 17 + F.col("segment"), F.lit(5)) > 0).select("segment", *AXES)).select("segment", *AXES)
+    axes = written(points.groupBy("segment").agg(F.round(0.5 * F.atan2(2 * F.covar_pop("x", "y"), F.var_pop("x") - F.var_pop("y")), 5).alias("t"), F.round(F.avg("y"), 6).alias("my"), F.count("*").alias("n")), "axes")
+    below = written(points.join(axes.select("segment", "my"), "segment").groupBy("segment").agg(F.count_if(F.round("y", 6) < F.col("my")).alias("below")), "below")
+    turns = written(axes.join(below, "segment").select("segment", F.round(F.expr(_TURN), 5).alias("t")), "turns")
+    turned = points.join(turns, "segment").select("segment", F.round(F.cos("t") * F.col("x") + F.sin("t") * F.col("y"), 4).alias("x"), F.round(F.cos("t") * F.col("y") - F.sin("t") * F.col("x"), 4).alias("y"), F.round("z", 4).alias("z"))
+    box = written(turned.groupBy("segment").agg(*[F.min(a).alias(f"low_{a}") for a in AXES], *[F.greatest(F.max(a) - F.min(a), F.lit(f)).alias(f"size_{a}") for a, f in zip(AXES, (3.2, 3.2, 1.6))]), "boxes")
     grid = turned.join(box, "segment")
     for a, n, k in zip(AXES, (32, 32, 16), (7919, 104729, 1299709)):
         moved = (F.col(a) - F.col(f"low_{a}")) / F.col(f"size_{a}") * (n - 1) + (F.pmod(F.col("segment") * k, F.lit(21)) / 10.0 - 1) * (0.1 * n / 2)
         grid = grid.withColumn(f"i{a}", F.floor(F.round(moved, 6)).cast("long"))
     inside = grid.filter(" AND ".join(f"i{a} BETWEEN 0 AND {n - 1}" for a, n in zip(AXES, (32, 32, 16))))
-    filled = inside.groupBy("segment").agg(F.count_distinct("ix", "iy", "iz").alias("occupied"), F.count("*").alias("inside"))
+    voxels = inside.groupBy("segment", "ix", "iy", "iz").agg(F.count("*").alias("k"))
+    filled = written(voxels.groupBy("segment").agg(F.count("*").alias("occupied"), F.sum("k").alias("inside")), "filled")
     scale = filled.agg(F.avg("occupied").alias("m"), F.stddev_pop("occupied").alias("d"))
     return filled.crossJoin(F.broadcast(scale)).select("segment", "occupied", "inside", (F.round((F.col("occupied") - F.col("m")) / F.col("d"), 4) + F.lit(0.0)).alias("standard"))
 
 
 PROCESS = f"""
-WITH {PTS_LI}, k AS (SELECT * FROM pts WHERE (batch * 31 + view * 17 + segment) % 5 > 0), a AS (SELECT segment, round(0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)), 5) t FROM k GROUP BY 1),
-r AS (SELECT segment, round(cos(t) * x + sin(t) * y, 4) x, round(cos(t) * y - sin(t) * x, 4) y, round(z, 4) z FROM k JOIN a USING (segment)),
+WITH {PTS_LI}, k AS (SELECT segment, x, y, z FROM pts WHERE (batch * 31 + view * 17 + segment) % 5 > 0), {_plane_sql('k')},
+a AS (SELECT segment, round(0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)), 5) t, round(avg(y), 6) my, count(*) n FROM cut GROUP BY 1),
+f AS (SELECT segment, round({_TURN}, 5) t FROM (SELECT segment, any_value(t) t, any_value(n) n, count(*) FILTER (round(y, 6) < a.my) below FROM cut JOIN a USING (segment) GROUP BY 1)),
+r AS (SELECT segment, round(cos(t) * x + sin(t) * y, 4) x, round(cos(t) * y - sin(t) * x, 4) y, round(z, 4) z FROM cut JOIN f USING (segment)),
 b AS (SELECT segment, """ + ", ".join(f"min({a}) l{a}, greatest(max({a}) - min({a}), CAST({f} AS DOUBLE)) s{a}" for a, f in zip(AXES, (3.2, 3.2, 1.6))) + """ FROM r GROUP BY 1),
 g AS (SELECT segment, """ + ", ".join(f"floor(round(({a} - l{a}) / s{a} * {n - 1} + (segment * {k} % 21 / 10.0::DOUBLE - 1) * CAST({0.1 * n / 2} AS DOUBLE), 6)) i{a}" for a, n, k in zip(AXES, (32, 32, 16), (7919, 104729, 1299709))) + """ FROM r JOIN b USING (segment)),
-f AS (SELECT segment, count(DISTINCT (ix, iy, iz)) occupied, count(*) inside FROM g WHERE ix BETWEEN 0 AND 31 AND iy BETWEEN 0 AND 31 AND iz BETWEEN 0 AND 15 GROUP BY 1)
-SELECT segment, occupied, inside, round((occupied - (SELECT avg(occupied) FROM f)) / (SELECT stddev_pop(occupied) FROM f), 4) + 0.0 standard FROM f
+o AS (SELECT segment, count(DISTINCT (ix, iy, iz)) occupied, count(*) inside FROM g WHERE ix BETWEEN 0 AND 31 AND iy BETWEEN 0 AND 31 AND iz BETWEEN 0 AND 15 GROUP BY 1)
+SELECT segment, occupied, inside, round((occupied - (SELECT avg(occupied) FROM o)) / (SELECT stddev_pop(occupied) FROM o), 4) + 0.0 standard FROM o
 """
 
 PACK = {

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravox.functions.geometry import AXES
+from terravox.shared import written
 from terravox.sources.tables import PTS_LI, lineitem_points
 
 BINS, GRID, SAMPLES = 64, 16, 6
@@ -68,12 +69,19 @@ def ensemble(points: DataFrame, order: list[str]) -> DataFrame:
     triples = triples.select("segment", "r", *[f"{a}0" for a in AXES], F.inline(F.array(*turns))).filter("x2 IS NOT NULL")
     triples = triples.select("*", *[F.expr(SIDE.format(*e)).alias(f"d{i}") for i, e in enumerate(EDGES)])
 
-    occupied = scaled.select("segment", *[F.expr(_clamped(f"{a}0")).alias(a) for a in AXES]).select("segment", F.expr(CELL).alias("cell")).distinct().withColumn("hit", F.lit(1))
-    edges = F.array(*[F.struct(F.lit(i).alias("edge"), *[F.col(f"{a}{k}").alias(f"{a}{n}") for n, k in (("p", p), ("q", q)) for a in AXES]) for i, (p, q) in enumerate(EDGES)])
-    on_line = triples.select("segment", "r", "turn", "d0", "d1", "d2", F.inline(edges)).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(SAMPLES))))
-    cells = on_line.select("segment", "r", "turn", "d0", "d1", "d2", "edge", *[F.expr(_clamped(f"{a}p + ({a}q - {a}p) * k / {SAMPLES + 1}")).alias(a) for a in AXES])
-    met = cells.withColumn("cell", F.expr(CELL)).join(occupied, ["segment", "cell"], "left")
-    counted = met.groupBy("segment", "r", "turn", "d0", "d1", "d2").agg(*[F.sum(F.when(F.col("edge") == i, F.coalesce("hit", F.lit(0))).otherwise(0)).alias(f"h{i}") for i in range(3)])
+    # A segment's occupied cells are bits of GRID^3 / 64 words, one row per segment: the places on a triple's lines are looked up inside the triple's row.
+    cells = scaled.select("segment", *[F.expr(_clamped(f"{a}0")).alias(a) for a in AXES]).select("segment", F.expr(CELL).alias("cell"))
+    words = cells.groupBy("segment", F.expr("cell DIV 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(cell % 64 AS INT))")).alias("bits"))
+    bitmap = words.groupBy("segment").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bits"))
+    bitmap = written(bitmap.select("segment", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(GRID**3 // 64 - 1).cast("long")), lambda i: F.coalesce(F.col("bits")[i], F.lit(0).cast("long"))).alias("bits")), "cells")
+
+    def hits(p: int, q: int):
+        on = {a: _clamped(f"{a}{p} + ({a}{q} - {a}{p}) * k / {SAMPLES + 1}") for a in AXES}
+        cell = f"CAST(floor({on['x']}) * 256 + floor({on['y']}) * 16 + floor({on['z']}) AS INT)"
+        return F.expr(f"aggregate(transform(sequence(1, {SAMPLES}), k -> {cell}), 0L, (n, c) -> n + (shiftrightunsigned(bits[c DIV 64], c % 64) & 1L))")
+
+    met = triples.join(bitmap, "segment")
+    counted = met.select("segment", "d0", "d1", "d2", *[hits(p, q).alias(f"h{i}") for i, (p, q) in enumerate(EDGES)])
 
     named = F.array(*[F.struct(F.expr(f"concat('{family}_', {kind})").alias("histogram"), F.expr(_binned(value)).alias("bin")) for family, kind, value in VALUES])
     filled = counted.select("segment", F.inline(named)).groupBy("segment", "histogram", "bin").agg(F.count("*").alias("n"))

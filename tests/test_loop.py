@@ -27,10 +27,13 @@ def test_local_map_finds_its_place(spark, tmp_path):
     columns = "l_partkey long, l_linenumber int, l_orderkey long, l_quantity double, l_extendedprice double, l_discount double"
     spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "lineitem.parquet"))
 
-    got = {row["segment"]: row for row in local_map_loop(spark, str(tmp_path)).collect()}
+    rows = local_map_loop(spark, str(tmp_path)).collect()
+    assert len({row["segment"] for row in rows}) == len(rows) == 36 + 1
+    assert {row["segment"] for row in rows if row["action"] == "kept"} == {s for s in centre if s % 50}
+    got = {row["source"]: row for row in rows if row["action"] != "kept"}
     assert set(got) == {s for s in centre if s % 50 == 0}
     for segment, row in got.items():
-        assert (row["action"], row["target"]) == (("inserted", None) if segment == 50_000 else ("updated", segment))
+        assert (row["action"], row["segment"]) == (("inserted", max(s for s in centre if s < 50_000) + 1) if segment == 50_000 else ("updated", segment))
         assert [row[a] for a in "xyz"] == pytest.approx(centre[segment], abs=2e-3)
 
 
