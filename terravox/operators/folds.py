@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terravox.shared import written
+from terravox.shared import free, written
 from terravox.ship import ship
 
 
@@ -38,16 +38,20 @@ def accepted(rows: DataFrame, key: str, order: list[str], value: str, accept: Ca
 def running(rows: DataFrame, order: list[str], **sums) -> DataFrame:
     """rows with running sums in a global order, name=column, without gathering them in one task.
 
-    Rows are dealt by ranges of the order and written; only one total per range is added up in one place.
+    Rows are dealt by ranges of the order and written; only one total per range is added up in one place. A column of rows
+    that has the name of a sum gives way to it.
     """
-    parts = rows.withColumns({f"__{name}": value for name, value in sums.items()}).repartitionByRange(*order)
-    dealt = written(parts.withColumn("__part", F.spark_partition_id()), "ordered")
-    upto = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy("__part").agg(*[F.sum(f"__{name}").alias(f"__{name}") for name in sums])
-    totals = totals.select("__part", *[F.coalesce(F.sum(f"__{name}").over(before), F.lit(0)).alias(f"__b_{name}") for name in sums])
-    inside = dealt.select(*rows.columns, "__part", *[F.sum(f"__{name}").over(upto).alias(f"__{name}") for name in sums])
-    return inside.join(F.broadcast(totals), "__part").select(*rows.columns, *[(F.col(f"__{name}") + F.col(f"__b_{name}")).alias(name) for name in sums])
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in sums]
+    part, *own = free(rows, "part", *[f"own_{name}" for name in sums])
+    before = free(rows, *[f"before_{name}" for name in sums])
+    parts = rows.withColumns({o: value for o, value in zip(own, sums.values())}).repartitionByRange(*order)
+    dealt = written(parts.withColumn(part, F.spark_partition_id()), "ordered")
+    upto = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(part).agg(*[F.sum(o).alias(o) for o in own])
+    totals = totals.select(part, *[F.coalesce(F.sum(o).over(earlier), F.lit(0)).alias(b) for o, b in zip(own, before)])
+    inside = dealt.select(*kept, part, *[F.sum(o).over(upto).alias(o) for o in own])
+    return inside.join(F.broadcast(totals), part).select(*kept, *[(F.col(o) + F.col(b)).alias(name) for o, b, name in zip(own, before, sums)])
 
 
 def numbered(rows: DataFrame, order: list[str], name: str = "n") -> DataFrame:

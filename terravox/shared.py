@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only where that is unset, as in tests, a local one is set."""
+    """A new folder below ``spark.checkpoint.dir``; only where that is unset and Spark runs locally, as in tests, a local one is set."""
     sc = spark.sparkContext
     top = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not top:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="terravox-")
         sc.setCheckpointDir(top)
     if top.startswith("/"):
@@ -31,3 +33,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file is there, wherever Spark can look."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def free(rows: DataFrame, *names: str) -> list[str]:
+    """Names for further columns that no column of rows has, whatever the case of its letters."""
+    taken, out = {c.lower() for c in rows.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out

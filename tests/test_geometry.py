@@ -167,7 +167,9 @@ def test_greedy_groups_equal_brute_force(spark):
 
 
 def test_numbers_over_many_ranges(spark):
-    rows = spark.range(1000).selectExpr("id", "id * 7919 % 1009 AS h").repartition(7)
+    """Whatever the columns are called: those that the running sum would use itself, and one that it replaces."""
+    rows = spark.range(1000).selectExpr("id", "id * 7919 % 1009 AS h", "'x' AS part", "'y' AS own_n", "'z' AS BEFORE_N", "-1 AS n").repartition(7)
+    assert numbered(rows, ["h", "id"]).columns == ["id", "h", "part", "own_n", "BEFORE_N", "n"]
     got = sorted((x["h"], x["n"]) for x in numbered(rows, ["h", "id"]).collect())
     assert [n for _, n in got] == list(range(1, 1001))
 
