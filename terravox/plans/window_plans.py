@@ -65,13 +65,13 @@ SELECT robot, sector, ix, iy, iz, n, {', '.join(f'round(s{a} / n + {TIE}, 4) c{a
 """
 
 def map_loop(spark, sf_dir):
-    """The target map after the events came in by thirds of their month: tracks segmented, recognised or transferred, duplicates removed."""
+    """The target map after the events came in by halves of their month: tracks segmented, recognised or transferred, duplicates removed."""
     events = event_points(spark, sf_dir).select("track", F.col("sec").cast("double").alias("sec"), F.explode(F.array(F.lit(True), F.lit(False))).alias("pose"), F.col("pid").alias("at"), "x", "y", "z")
     folder = shared_dir(spark, "scans")
-    third = F.floor(F.pmod(F.col("sec") / DAY, F.lit(31)) / 11)
-    for k in range(3):
-        events.filter(third == k).write.mode("append").parquet(f"{folder}/third={k}")
-    files = max(1, max(len(spark.read.parquet(f"{folder}/third={k}").inputFiles()) for k in range(3)))
+    half = F.floor(F.pmod(F.col("sec") / DAY, F.lit(31)) / 16)
+    for k in range(2):
+        events.filter(half == k).write.mode("append").parquet(f"{folder}/half={k}")
+    files = max(1, max(len(spark.read.parquet(f"{folder}/half={k}").inputFiles()) for k in range(2)))
     scans = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(folder)
     state = run_loop(scans, Settings(size=1.0, near=1.5, drive=1.0, largest=100_000, apart=86_400.0))
     target = state.table("target", latest(state))
