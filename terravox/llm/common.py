@@ -10,13 +10,16 @@ Conventions of every operator of this package
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravox.shared import shared_dir, written
+from terravox.shared import free, shared_dir, written
 from terravox.ship import ship
 
-__all__ = ["LAST_ID", "alnum_words", "free", "lower_words", "read", "same_columns", "shared_dir", "small", "texts", "written"]
+__all__ = ["LAST_ID", "alnum_words", "begin", "free", "keeps", "lower_words", "read", "same_columns", "shared_dir", "small", "texts", "written"]
 
 #: Stands for a null id where ids are ordered.
 LAST_ID = 2**63 - 1
@@ -35,15 +38,23 @@ def same_columns(docs: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in docs.columns]
 
 
-def free(docs: DataFrame, *names: str) -> list[str]:
-    """Names for further columns that no column of docs has, whatever the case of its letters."""
-    taken, out = {c.lower() for c in docs.columns}, []
-    for name in names:
-        while name in taken:
-            name += "_"
-        taken.add(name)
-        out.append(name)
-    return out
+#: What operators keep in a worker process between tasks, as what drops it; and whose task ran there last.
+_KEPT: dict[str, Callable[[], None]] = {}
+_LAST = [""]
+
+
+def keeps(owner: str, drop: Callable[[], None]) -> None:
+    _KEPT[owner] = drop
+
+
+def begin(owner: str) -> None:
+    """Called by tasks: a worker that served another operator before gives up what that one kept, so that memory does not add up over the stages of a pipeline."""
+    if _LAST[0] != owner:
+        for name, drop in _KEPT.items():
+            if name != owner:
+                drop()
+        _LAST[0] = owner
+        gc.collect()
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

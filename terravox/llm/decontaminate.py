@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravox.llm.automaton import SuffixAutomaton
-from terravox.llm.common import alnum_words, free, same_columns, small, texts, written
+from terravox.llm.common import alnum_words, begin, free, same_columns, small, texts, written
 
 HITS = "id long, row long, n_words long, hits array<struct<start: long, end: long>>, items array<string>"
 
@@ -111,6 +111,7 @@ def _pass(keyed: DataFrame, index, every: bool) -> DataFrame:
     """Hits against one shard; only documents with hits, unless all are asked for."""
 
     def run(batches):
+        begin("decontamination")
         known = index.value
         for batch in small(batches):
             out: list[tuple] = []

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravox.llm.common import texts, written
+from terravox.llm.common import begin, keeps, texts, written
 from terravox.ship import ship
 
 WORDS, SHAPES, PAIRS, RATIOS, DIM = 1024, 256, 512, 16, 64
@@ -57,6 +57,7 @@ class _Memo(dict):
 
 
 _MEMO = _Memo()
+keeps("quality", _MEMO.clear)
 
 
 def _scaled(x: np.ndarray) -> np.ndarray:
@@ -162,6 +163,7 @@ def scorer(voters, neighbours: int = NEIGHBOURS):
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
+        begin("quality")
         # Texts become Python strings a block at a time.
         out = [np.zeros(0)]
         for lo in range(0, len(text), BLOCK):

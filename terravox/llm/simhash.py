@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravox.llm.common import LAST_ID, free, lower_words, same_columns, small, texts, written
+from terravox.llm.common import LAST_ID, begin, free, lower_words, same_columns, small, texts, written
 from terravox.operators.graph import components
 
 PIVOTS, SEED, CROWD = 32, 42, 4096
@@ -55,6 +55,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     """(id, row, fp): row is a hash of the text, fp the fingerprint as a signed long."""
 
     def run(batches):
+        begin("simhash")
         for batch in small(batches):
             fp = [fingerprint(lower_words(t), shingle) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["id", "row", "fp"])
@@ -161,6 +162,7 @@ def links(classes: DataFrame, bits: int = 4, crowd: int = CROWD) -> DataFrame:
     bits = int(bits)
 
     def run(batches):
+        begin("simhash")
         held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def edges(k, f):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravox.llm.anchors import COMPARE, CROWD, DUP, MOST_PARTS, WINDOW, Block, Exchange, bucket_of, covered, mix, statuses, unpacked, unzip, zip_
-from terravox.llm.common import LAST_ID, free, same_columns, written
+from terravox.llm.common import LAST_ID, begin, free, same_columns, written
 
 RUN = "bucket long, blocks binary, shared binary, tails binary, ids binary, which binary, rows binary, starts binary"
 #: Windows, and text of the blocks they stand in, that are sorted together; suffixes that leave the tree before their groups are
@@ -118,6 +118,7 @@ def merge(runs: list[Run]):
 
 def _combine(table: pa.Table) -> pa.Table:
     """Repeated windows of one bucket: per block, rows and starts."""
+    begin("suffixes")
     cols = {c: table.column(c).to_pylist() for c in table.column_names}
     runs = [Run(unzip(s), unzip(t)) for s, t in zip(cols["shared"], cols["tails"])]
     ids = np.concatenate([unzip(x, "<i8") for x in cols["ids"]])
@@ -231,6 +232,7 @@ def repeated(exchange: Exchange) -> DataFrame:
     words, buckets = exchange.words, exchange.buckets
 
     def send(batches):
+        begin("suffixes")
         blocks = ((number, block, status or []) for batch in batches for (number, block), status in zip(unpacked(batch, words), batch.column("status").to_pylist()))
         yield from _runs(blocks, buckets)
 
@@ -251,6 +253,7 @@ def removed(exchange: Exchange, found: DataFrame, keep_text: bool = False) -> Da
     names = [x.split()[0] for x in RESULT.split(", ")] + ["text"] * keep_text
 
     def apply(batches):
+        begin("suffixes")
         for batch in batches:
             for (number, block), status, more in zip(unpacked(batch, words), batch.column("status").to_pylist(), batch.column("more").to_pylist()):
                 seg, state = statuses(block, status or [], buckets)

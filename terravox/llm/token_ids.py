@@ -12,6 +12,8 @@ import json
 import os
 import re
 
+from terravox.llm.common import begin, keeps
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: A space before other white space: there the pieces of a byte-level tokenizer depend on each other.
@@ -20,6 +22,7 @@ _RUNS = [" " + chr(c) for c in range(0x3001) if chr(c).isspace()]
 _SIGNED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _ENCODERS: dict[tuple, IdEncoder] = {}
+keeps("tokens", _ENCODERS.clear)
 
 
 def byte_letters() -> dict[int, str]:
@@ -123,6 +126,7 @@ class IdEncoder:
 
 def encoder(path: str, memo: int = 400_000, plain: bool = False) -> IdEncoder:
     """One encoder per worker process and file."""
+    begin("tokens")
     key = (path, memo, plain)
     if key not in _ENCODERS:
         _ENCODERS[key] = IdEncoder(path, memo, plain)
