@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravox.llm.common import LAST_ID, shared_dir, small, texts, written
+from terravox.llm.common import LAST_ID, begin, shared_dir, small, texts, written
 
 WINDOW, ANCHOR = 50, 25
 BLOCK_BYTES, CHUNK = 2 << 20, 1 << 18
@@ -200,6 +200,7 @@ class Exchange:
         words, buckets = self.words, self.buckets
 
         def run(batches):
+            begin("anchors")
             for batch in batches:
                 for number, block in unpacked(batch, words):
                     seg = segments(block)
@@ -253,6 +254,7 @@ def _decider(crowd: int):
     """The status of every class of every block within one bucket."""
 
     def decide(table: pa.Table) -> pa.Table:
+        begin("anchors")
         keys, contents, ids, sizes = [], [], [], []
         for i, k, c, r in zip(*(table.column(x).to_pylist() for x in ("ids", "keys", "contents", "rows"))):
             keys.append(_from_six(k))

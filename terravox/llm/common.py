@@ -10,9 +10,12 @@ Conventions of every operator of this package
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import os
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,8 @@ def same_columns(docs: DataFrame) -> list:
 #: What operators keep in a worker process between tasks, as what drops it; and whose task ran there last.
 _KEPT: dict[str, Callable[[], None]] = {}
 _LAST = [""]
+#: Where the C library can give free pages of its heap back to the system.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
 
 
 def keeps(owner: str, drop: Callable[[], None]) -> None:
@@ -48,13 +53,19 @@ def keeps(owner: str, drop: Callable[[], None]) -> None:
 
 
 def begin(owner: str) -> None:
-    """Called by tasks: a worker that served another operator before gives up what that one kept, so that memory does not add up over the stages of a pipeline."""
+    """Called by tasks: a worker gives back what tasks before have freed, and if they were another operator's, what that one kept.
+
+    Workers live on from task to task; without this their memory adds up over the stages of a pipeline.
+    """
     if _LAST[0] != owner:
         for name, drop in _KEPT.items():
             if name != owner:
                 drop()
         _LAST[0] = owner
         gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
