@@ -75,3 +75,16 @@ def test_window_on_known_points(spark, tmp_path):
     assert got == [(1, 5, -1, 0, 2), (2, 0, -1, 0, 2), (2, 5, 0, 1, 2), (3, 0, 0, -1, 2), (3, 5, 1, 0, 2), (4, 5, 0, 0, 2), (4, 7, -1, 1, 2)]
     held = {r["ix"]: (r["n"], r["sx"]) for r in snapshot(spark, checkpoint).collect()}
     assert held == {0: (1, 0.4), 5: (2, pytest.approx(10.4)), 7: (2, 15.0)}
+
+
+def test_windows_share_calls_into_python(spark):
+    # 200 windows, and not a call for each: every bucket of windows is one.
+    calls = spark.range(100).selectExpr("id AS robot", "1L AS step", "id AS at", "explode(array(true, false)) AS pose", "1.0D AS x", "2.0D AS y", "0.0D AS z")
+    folder = shared_dir(spark, "scans")
+    calls.write.parquet(folder)
+    stream = spark.readStream.schema(calls.schema).parquet(folder)
+    moves, checkpoint = sliding_window(stream, 1.0, 1, 4.0, -2.0, 2.0, sectors=2, buckets=3)
+    assert moves.count() == 100 and {(r["n"], r["new_place"]) for r in moves.collect()} == {(1, 0)}
+    assert snapshot(spark, checkpoint).count() == 100
+    state = spark.read.format("statestore").option("stateVarName", "voxels").load(checkpoint)
+    assert state.select("key.*").distinct().count() <= 3
