@@ -54,8 +54,8 @@ def components(edges: DataFrame, max_rounds: int = 60, at_once: int = 500_000) -
     """(src, dst) integers -> (node, component) for every node that has an edge; component: its smallest node.
 
     Tasks first contract what edges they have, without a shuffle. Should at most ``at_once`` edges be left in all, one
-    task contracts those. Else large-star and small-star steps alternate; each round is one written table, and only
-    a count and a checksum of its edges reach the driver. Edges of a node to itself or to null count for nothing.
+    task contracts those. Else nodes give way to neighbours in rounds, each of which leaves a fraction of the edges, until one task
+    can contract them; only counts reach the driver. Edges of a node to itself or to null count for nothing.
     """
     kind = edges.schema["src"].dataType
     ends = [F.col(c).cast("long") for c in ("src", "dst")]
@@ -64,29 +64,42 @@ def components(edges: DataFrame, max_rounds: int = 60, at_once: int = 500_000) -
     if now.count() <= at_once:
         now = written(contracted(now.coalesce(1), at_once), "edges")
     else:
-        now = _settled(now, max_rounds)
+        now = _settled(now, max_rounds, at_once)
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
     return found.select(*[F.col(c).cast(kind).alias(c) for c in found.columns])
 
 
-def _settled(now: DataFrame, max_rounds: int) -> DataFrame:
-    """Edges (u, v), u > v, as stars around the smallest node of each component."""
-    seen = None
-    for _ in range(max_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).filter("u > v")
-        now = written(lowest.select("u", F.col("m").alias("v")).unionByName(small).distinct(), "edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
+def _settled(now: DataFrame, max_rounds: int, at_once: int) -> DataFrame:
+    """Edges (u, v), u > v, as stars around the smallest node of each component.
+
+    In each round every node gives way to the first of itself and its neighbours, and only edges between those that stay are left. First
+    are the smallest, in every other round those of the smallest hash: ids along a path may lie so that only its last node goes.
+    """
+    ways = []
+    for number in range(max_rounds):
+        order = (lambda c: F.struct(F.col(c).alias("id"))) if number % 2 == 0 else (lambda c, n=number: F.struct(F.xxhash64(c, F.lit(n)), F.col(c).alias("id")))
+        ends = now.select("u", order("v").alias("other")).unionByName(now.select(F.col("v").alias("u"), order("u").alias("other")))
+        way = ends.groupBy("u").agg(F.min("other").alias("other")).select("u", F.least("other", order("u"))["id"].alias("to"))
+        ways.append(written(way.filter("u <> to"), "ways"))
+        for c in ("u", "v"):
+            now = now.join(ways[-1].withColumnsRenamed({"u": c}), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+        now = now.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        now = written(contracted(now, at_once), "edges")
+        if now.count() <= at_once:
             break
-        seen = state
     else:
         raise RuntimeError("components did not settle")
-    return now
+    # (u, to): the node that is left where u was, round by round back to the first. One to which others gave way can give way itself and still be
+    # left: it is found again then, with the same end or as its own.
+    found = written(contracted(now.coalesce(1), at_once).withColumnRenamed("v", "to"), "found")
+    for way in reversed(ways):
+        last = found.select(F.col("u").alias("to"), F.col("to").alias("last"))
+        found = written(found.unionByName(way.join(last, "to", "left").select("u", F.coalesce("last", "to").alias("to")).filter("u <> to")).distinct(), "found")
+    # Which node is left is a matter of the rounds; a component is named by its smallest.
+    least = found.groupBy("to").agg(F.least(F.min("u"), F.col("to")).alias("v"))
+    named = found.join(least, "to").select("u", "v").unionByName(least.select(F.col("to").alias("u"), "v"))
+    return named.filter("u <> v")
 
 
 def labelled(nodes: DataFrame, edges: DataFrame, node_col: str = "node") -> DataFrame:

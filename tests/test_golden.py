@@ -106,6 +106,23 @@ def test_components_of_a_path(spark):
     assert got == {i: 0 for i in range(201)} | {1000: 1000, 1001: 1000}
 
 
+@pytest.mark.parametrize("ends", ["id AS src, id + 1 AS dst", "id AS src, id DIV 7 AS dst", "id * 3 % 601 AS src, id % 50 AS dst"])
+def test_component_rounds_shrink(spark, monkeypatch, ends):
+    edges, counts, write = spark.range(600).selectExpr(*ends.split(", ")), [], graph.written
+
+    def counted(df, what, **options):
+        out = write(df, what, **options)
+        counts.extend([out.count()] if what == "edges" else [])
+        return out
+
+    monkeypatch.setattr(graph, "written", counted)
+    rows = [(r["node"], r["component"]) for r in graph.components(edges.repartition(200), at_once=20).collect()]
+    want = {r["node"]: r["component"] for r in graph.components(edges).collect()}
+    assert len(rows) == len(want) and dict(rows) == want
+    # Rounds shrink, so that all together write a few times the edges.
+    assert len(counts) > 2 and sum(counts[:-1]) <= 5 * edges.count()
+
+
 def test_radius_pairs_include_the_border(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 1.0, 0.0, 0.0), (3, 2.5, 0.0, 0.0)], "pid long, " + XYZ)
     assert [(r["src"], r["dst"]) for r in radius_pairs(df, 1.0).collect()] == [(1, 2)]
