@@ -74,6 +74,28 @@ def test_cliques(spark, text, least, clique):
     assert sorted(r["member"] for r in got.collect()) == clique
 
 
+def test_cliques_of_components_write_no_lists(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    # A dense part, whose lists of later neighbours would be many times its edges, and a sparse one.
+    pairs = [(a, b) for a in range(60) for b in range(a) if rng.random() < 0.6] + [(1000 + int(a), 1000 + int(b)) for a, b in rng.integers(0, 40, (90, 2))]
+    cells, write = [], graph.written
+
+    def counted(df, what, **options):
+        out = write(df, what, **options)
+        lists = [c for c, kind in out.dtypes if kind.startswith("array") and what != "found"]
+        cells.append(sum(out.selectExpr(f"coalesce(sum(size({c})), 0)").first()[0] for c in lists))
+        return out
+
+    monkeypatch.setattr(graph, "written", counted)
+    edges = spark.createDataFrame(pairs, "src long, dst long").repartition(3)
+    got = sorted(map(tuple, graph.cliques(edges).collect()))
+    assert sum(cells) == 0
+    monkeypatch.undo()
+    assert got == sorted(map(tuple, graph.cliques(edges, part=100).collect())) == sorted(map(tuple, graph.cliques(edges, at_once=100).collect()))
+    for low in (0, 1000):
+        assert [m for c, m in got if c == low] == graph.largest_clique([p for p in pairs if (p[0] >= 1000) == (low == 1000)], 3)
+
+
 @pytest.mark.parametrize("at_once", [1, 40, 500_000])
 def test_components_by_rounds_and_by_contraction(spark, at_once):
     rng = np.random.default_rng(at_once)
