@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terravox.operators import classifier
+from terravox.plans import preprocess_plans as P
 from terravox.plans.preprocess_plans import LEAST_CUT, MOST_CUT, plane_cut
 
 
@@ -36,3 +37,19 @@ def test_plane_takes_a_share_between_the_bounds(spark):
     for s in range(30):
         gone = 1 - left[s][0] / (20 + s)
         assert LEAST_CUT < gone < MOST_CUT if left[s][1] >= 0 else gone == 0
+
+
+def test_planes_are_tried_as_the_sql_says(spark):
+    """Counts from batches agree with the rounded distance of every point, at points on a plane, without a coordinate and of negative ids as well."""
+    points = spark.range(3000).selectExpr("id % 40 - 5 AS segment", "CASE WHEN id % 97 > 0 THEN id % 7 * 3.0D END AS x", "id % 11 * 2.5D AS y", "CASE WHEN id % 501 = 0 THEN CAST('NaN' AS DOUBLE) ELSE id % 13 * 1.0D END AS z")
+    centred = points.selectExpr("segment", "x AS cx", "y AS cy", "z AS cz")
+    # A point on the first plane of its segment, to the last digit that counts.
+    on = "round(-(CAST((segment * 13) % 100 AS DOUBLE) / 49.5 - 1) * 25 / cos(CAST((segment * 31) % 180 AS DOUBLE) * 0.017453292519943295D), 6)"
+    centred = centred.unionByName(centred.select("segment").distinct().selectExpr("segment", "0.0D AS cx", "0.0D AS cy", f"{on} AS cz")).coalesce(1).sortWithinPartitions("segment")
+    schema = "segment long, n long, " + ", ".join(f"f{k} long" for k in range(P.CANDIDATES)) + ", cx double, cy double, cz double"
+    tried = centred.mapInArrow(P._tried, schema)
+    want = {r["segment"]: tuple(r)[1:] for r in centred.groupBy("segment").agg(F.count("*"), *[F.count_if(F.expr(P._keeps(k))) for k in range(P.CANDIDATES)]).collect()}
+    close = tried.filter("cx IS NOT NULL").groupBy("segment").agg(*[F.count_if(F.expr(P._keeps(k))).alias(f"e{k}") for k in range(P.CANDIDATES)])
+    sums = tried.groupBy("segment").agg(F.sum("n").alias("n"), *[F.sum(f"f{k}").alias(f"f{k}") for k in range(P.CANDIDATES)]).join(close, "segment", "left")
+    got = {r["segment"]: (r["n"], *[r[f"f{k}"] + (r[f"e{k}"] or 0) for k in range(P.CANDIDATES)]) for r in sums.collect()}
+    assert got == want and 0 < tried.filter("cx IS NOT NULL").count() < 200
