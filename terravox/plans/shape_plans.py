@@ -7,11 +7,15 @@ triple tell whether it runs inside the segment, outside of it or both.
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravox.functions.geometry import AXES
-from terravox.shared import written
+from terravox.ship import ship
 from terravox.sources.tables import PTS_LI, lineitem_points
 
 BINS, GRID, SAMPLES = 64, 16, 6
@@ -53,40 +57,132 @@ VALUES = [
 ]
 
 
+#: The kinds of the histograms in the order of their numbers; a place is a histogram's number times BINS, plus the bin.
+KINDS = [f"{family}_{kind}" for family in ("a3", "d3", "d2") for kind in ("in", "out", "mixed")] + ["ratio_all"]
+STEPS = sorted({s for t in TURNS for s in t})
+#: Rows of an Arrow batch that are worked on at a time.
+ROWS = 8192
+
+
+def _rounded(value: float) -> float:
+    return float(Decimal(repr(value)).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+
+
+def _floored(values: np.ndarray, times: int = 1) -> np.ndarray:
+    """floor(round(value, 6) * times): values that all but lie on a limit are rounded as SQL rounds them, the others need not be."""
+    moved = (values + 5e-7) * times
+    out = np.floor(moved)
+    for at in zip(*np.nonzero(np.abs(moved - np.rint(moved)) < 1e-9 * times)):
+        out[at] = np.floor(_rounded(float(values[at])) * times)
+    return out
+
+
+def _bins(share: np.ndarray, lost: np.ndarray) -> np.ndarray:
+    """As _binned; least() passes over what is null."""
+    return np.where(lost, BINS - 1, np.fmin(_floored(share, BINS), BINS - 1)).astype("i8")
+
+
+def _kinds(hits: np.ndarray, most: int) -> np.ndarray:
+    return np.where(hits == most, 0, np.where(hits == 0, 1, 2))
+
+
+def _places(at: np.ndarray, lost: np.ndarray, occupied: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Places (triple, value) in the histograms. at, lost: (triple, point, axis), lost where null; occupied: (segment, cell); of: the segments."""
+    sides, hits = [], []
+    steps = np.arange(1, SAMPLES + 1)[None, :, None]
+    for p, q in EDGES:
+        gap = at[:, p] - at[:, q]
+        sides.append(np.sqrt(gap[:, 0] * gap[:, 0] + gap[:, 1] * gap[:, 1] + gap[:, 2] * gap[:, 2]))
+        on = _floored(at[:, p, None] + (at[:, q] - at[:, p])[:, None] * steps / (SAMPLES + 1))
+        on = np.fmin(np.maximum(on, 0), GRID - 1)
+        on[np.broadcast_to((lost[:, p] | lost[:, q])[:, None], on.shape)] = 0
+        cell = (on @ np.array([GRID * GRID, GRID, 1.0])).astype("i8")
+        hits.append(occupied[of[:, None], cell].sum(axis=1))
+    d, h = np.stack(sides, axis=1), np.stack(hits, axis=1)
+    gone = np.stack([(lost[:, p] | lost[:, q]).any(axis=1) for p, q in EDGES], axis=1)
+    out = []
+    # As in Spark, what is not a number is above all numbers.
+    long = ~gone & ((d > 0) | np.isnan(d))
+    for i, (j, k) in enumerate(EDGES):
+        a, b, c = d[:, i], d[:, j], d[:, k]
+        cosine = np.where(gone[:, i], -1.0, np.fmin(np.maximum((b * b + c * c - a * a) / (2 * b * c), -1.0), 1.0))
+        angle = np.where(long[:, j] & long[:, k], np.arccos(cosine) / 3.141592653589793, 0.0)
+        out.append(_kinds(h[:, i], SAMPLES) * BINS + _bins(angle, np.zeros(len(d), bool)))
+    d0, d1, d2 = d.T
+    area = np.sqrt(np.sqrt(np.where(gone.any(axis=1), 0.0, np.maximum((d0 + d1 + d2) * (d1 + d2 - d0) * (d0 + d2 - d1) * (d0 + d1 - d2), 0.0))) / 4)
+    out.append((3 + _kinds(h.sum(axis=1), 3 * SAMPLES)) * BINS + _bins(area / GRID, np.zeros(len(d), bool)))
+    out += [(6 + _kinds(h[:, i], SAMPLES)) * BINS + _bins(d[:, i] / (GRID * 1.7320508075688772), gone[:, i]) for i in range(3)]
+    out += [9 * BINS + _bins(h[:, i] / SAMPLES, np.zeros(len(d), bool)) for i in range(3)]
+    return np.stack(out, axis=1)
+
+
+def _counted(batches):
+    """(segment, place, n, total) of rows that come segment by segment, in a segment's first row the bits of its occupied cells."""
+    most = len(KINDS) * BINS
+    held, occupied, counts = None, np.zeros((0, GRID**3), "u1"), np.zeros((0, most), "i8")
+
+    def rows(ids, counts):
+        of, place = np.nonzero(counts)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array(place), pa.array(counts[of, place]), pa.array(counts.sum(axis=1)[of])], names=["segment", "place", "n", "total"])
+
+    def numbers(batch, names):
+        found = [batch.column(c) for c in names]
+        return np.stack([c.to_numpy(zero_copy_only=False).astype("f8") for c in found], axis=1), np.stack([c.is_null().to_numpy(zero_copy_only=False) for c in found], axis=1)
+
+    for whole in batches:
+        for lo in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(lo, ROWS)
+            bits = batch.column("bits")
+            starts = np.flatnonzero(bits.is_valid().to_numpy(zero_copy_only=False))
+            fresh = np.unpackbits(np.frombuffer(b"".join(b.as_py() for b in bits.take(pa.array(starts))), "u1").reshape(len(starts), GRID**3 // 8), axis=1, bitorder="little")
+            # The last segment of the rows before may go on.
+            occupied, before = np.concatenate([occupied[-1:], fresh]), len(counts)
+            ids = batch.column("segment").take(pa.array(starts))
+            ids = pa.concat_arrays([held, ids]) if before else ids
+            begun = np.zeros(batch.num_rows, "i8")
+            begun[starts] = 1
+            of = np.cumsum(begun) - (0 if before else 1)
+            (low, no_low), (size, _) = numbers(batch, [f"low_{a}" for a in AXES]), numbers(batch, ["size"])
+            at, lost = zip(*[numbers(batch, [f"{a}_{s}" for a in AXES]) for s in (0, *STEPS)])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                scaled = dict(zip((0, *STEPS), [(x - low) / size * GRID for x in at]))
+                lost = dict(zip((0, *STEPS), [n | no_low for n in lost]))
+                found = np.zeros(len(ids) * most, "i8")
+                for first, second in TURNS:
+                    ok = ~lost[second][:, 0]
+                    three = lambda of_step: np.stack([of_step[s][ok] for s in (0, first, second)], axis=1)
+                    places = _places(three(scaled), three(lost), occupied, of[ok])
+                    found += np.bincount((of[ok][:, None] * most + places).ravel(), minlength=len(found))
+            found = found.reshape(len(ids), most)
+            found[:before] += counts
+            yield rows(ids[:-1], found[:-1])
+            held, occupied, counts = ids[-1:], occupied[-1:], found[-1:]
+    if held is not None:
+        yield rows(held, counts)
+
+
 def ensemble(points: DataFrame, order: list[str]) -> DataFrame:
     """(segment, histogram, bin, n, share) of points (segment, x, y, z, and the columns of order); empty bins have no row.
 
     share is n over all values of the segment. Segments of fewer than three points have no row; those without extent fall into one cell.
     """
-    box = points.groupBy("segment").agg(*[F.min(a).alias(f"low_{a}") for a in AXES], F.greatest(*[F.max(a) - F.min(a) for a in AXES]).alias("size"))
-    size = F.when(F.col("size") > 0, F.col("size")).otherwise(F.lit(1.0))
-    w = Window.partitionBy("segment").orderBy(*order)
-    scaled = points.join(box, "segment").withColumn("r", F.row_number().over(w))
-    scaled = scaled.select("segment", "r", *order, *[((F.col(a) - F.col(f"low_{a}")) / size * GRID).alias(f"{a}0") for a in AXES])
-    ahead = [F.lead(f"{a}0", s).over(Window.partitionBy("segment").orderBy("r")).alias(f"{a}_{s}") for s in sorted({s for t in TURNS for s in t}) for a in AXES]
-    triples = scaled.select("segment", "r", *[f"{a}0" for a in AXES], *ahead)
-    turns = [F.struct(F.lit(t).alias("turn"), *[F.col(f"{a}_{s}").alias(f"{a}{k}") for k, s in ((1, first), (2, second)) for a in AXES]) for t, (first, second) in enumerate(TURNS)]
-    triples = triples.select("segment", "r", *[f"{a}0" for a in AXES], F.inline(F.array(*turns))).filter("x2 IS NOT NULL")
-    triples = triples.select("*", *[F.expr(SIDE.format(*e)).alias(f"d{i}") for i, e in enumerate(EDGES)])
-
-    # A segment's occupied cells are bits of GRID^3 / 64 words, one row per segment: the places on a triple's lines are looked up inside the triple's row.
-    cells = scaled.select("segment", *[F.expr(_clamped(f"{a}0")).alias(a) for a in AXES]).select("segment", F.expr(CELL).alias("cell"))
-    words = cells.groupBy("segment", F.expr("cell DIV 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(cell % 64 AS INT))")).alias("bits"))
-    bitmap = words.groupBy("segment").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bits"))
-    bitmap = written(bitmap.select("segment", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(GRID**3 // 64 - 1).cast("long")), lambda i: F.coalesce(F.col("bits")[i], F.lit(0).cast("long"))).alias("bits")), "cells")
-
-    def hits(p: int, q: int):
-        on = {a: _clamped(f"{a}{p} + ({a}{q} - {a}{p}) * k / {SAMPLES + 1}") for a in AXES}
-        cell = f"CAST(floor({on['x']}) * 256 + floor({on['y']}) * 16 + floor({on['z']}) AS INT)"
-        return F.expr(f"aggregate(transform(sequence(1, {SAMPLES}), k -> {cell}), 0L, (n, c) -> n + (shiftrightunsigned(bits[c DIV 64], c % 64) & 1L))")
-
-    met = triples.join(bitmap, "segment")
-    counted = met.select("segment", "d0", "d1", "d2", *[hits(p, q).alias(f"h{i}") for i, (p, q) in enumerate(EDGES)])
-
-    named = F.array(*[F.struct(F.expr(f"concat('{family}_', {kind})").alias("histogram"), F.expr(_binned(value)).alias("bin")) for family, kind, value in VALUES])
-    filled = counted.select("segment", F.inline(named)).groupBy("segment", "histogram", "bin").agg(F.count("*").alias("n"))
-    share = F.round(F.col("n") / F.sum("n").over(Window.partitionBy("segment")), 6)
-    return filled.withColumn("share", share)
+    ship(points.sparkSession)
+    # One shuffle and one sort by segment: all windows share them, and what follows takes the rows as they come.
+    w, whole = Window.partitionBy("segment").orderBy(*order), Window.partitionBy("segment")
+    ahead = [F.lead(a, s).over(w).alias(f"{a}_{s}") for s in STEPS for a in AXES]
+    all_of = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    extent = [f(a).over(all_of).alias(f"{n}_{a}") for n, f in (("low", F.min), ("high", F.max)) for a in AXES]
+    boxed = points.filter("segment IS NOT NULL").select("segment", *AXES, F.row_number().over(w).alias("r"), *ahead, *extent)
+    size = F.greatest(*[F.col(f"high_{a}") - F.col(f"low_{a}") for a in AXES])
+    boxed = boxed.withColumn("size", F.when(size > 0, size).otherwise(F.lit(1.0)))
+    grid = {a: F.expr(_clamped(f"(({a} - low_{a}) / size * {GRID})")) for a in AXES}
+    cell = sum(F.floor(grid[a]) * step for a, step in zip(AXES, (GRID * GRID, GRID, 1))).cast("long")
+    bits = F.substring(F.bitmap_construct_agg("cell").over(whole), 1, GRID**3 // 8)
+    known = boxed.withColumn("cell", cell).withColumn("bits", F.when(F.col("r") == 1, bits))
+    known = known.select("segment", *[F.col(a).alias(f"{a}_0") for a in AXES], *[f"{a}_{s}" for s in STEPS for a in AXES], *[f"low_{a}" for a in AXES], "size", "bits")
+    filled = known.mapInArrow(_counted, f"segment {points.schema['segment'].dataType.simpleString()}, place long, n long, total long")
+    histogram = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.expr(f"CAST(place DIV {BINS} + 1 AS INT)"))
+    return filled.select("segment", histogram.alias("histogram"), (F.col("place") % BINS).alias("bin"), "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
 
 
 def shape_ensemble(spark, sf_dir):
