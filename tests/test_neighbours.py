@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from terravox.operators import pivots
 from terravox.operators.neighbours import nearest
 from terravox.operators.pivots import Cells, distances, nearest_join
 
@@ -68,3 +69,24 @@ def test_bounds_are_below_all_distances(seed):
     bounds = cells.bounds(d)
     assert all((true[:, home == c].min(axis=1) >= bounds[:, c]).all() for c in range(20))
     assert (bounds > 0).mean() > 0.3
+
+
+def test_rows_meet_the_pivots_a_few_at_a_time(spark, monkeypatch, tmp_path):
+    """What a worker holds of distances to pivots does not grow with Arrow's batches, nor do sums of rows that are equally far."""
+    seen, plain = tmp_path / "seen", pivots.distances
+
+    def counted(x, y):
+        with seen.open("a") as f:
+            f.write(f"{len(x)} ")
+        return plain(x, y)
+
+    monkeypatch.setattr(pivots, "distances", counted)
+    rows = [(i, [float(i % 40), 1.0]) for i in range(1500)]
+    joined = nearest_join(vectors(spark, rows).coalesce(1), vectors(spark, rows).coalesce(1), 3, pivots=20)
+    assert rows_of(joined.neighbours) == brute(rows, rows, 3)
+    assert max(map(int, seen.read_text().split())) <= pivots.QUERY_ROWS
+    summed, exact = [], pivots.exact
+    monkeypatch.setattr(pivots, "exact", lambda x, y: summed.append(len(x)) or exact(x, y))
+    best = pivots.Best(np.arange(256), np.zeros((256, 2)), 3)
+    best.offer(np.arange(300, 1324), np.zeros((1024, 2)))
+    assert best.t.tolist() == [[300, 301, 302]] * 256 and max(summed) <= 8192
