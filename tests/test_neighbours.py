@@ -90,3 +90,23 @@ def test_rows_meet_the_pivots_a_few_at_a_time(spark, monkeypatch, tmp_path):
     best = pivots.Best(np.arange(256), np.zeros((256, 2)), 3)
     best.offer(np.arange(300, 1324), np.zeros((1024, 2)))
     assert best.t.tolist() == [[300, 301, 302]] * 256 and max(summed) <= 8192
+
+
+def test_a_query_goes_to_each_block_once(spark, monkeypatch):
+    """Where the bounds rule out no cell, rows that are shuffled do not grow with the cells."""
+    sent, written = [], pivots.written
+
+    def counted(df, what):
+        out = written(df, what)
+        if what == "asked":
+            lists = next(f.name for f in out.schema if f.dataType.simpleString() == "array<int>")
+            sent.append(out.selectExpr(f"sum(size({lists}))").first()[0])
+        return out
+
+    monkeypatch.setattr(pivots, "written", counted)
+    r = random.Random(4)
+    rows = [(i, [r.gauss(0, 1) for _ in range(24)]) for i in range(400)]
+    joined = nearest_join(vectors(spark, rows), vectors(spark, rows), 3, pivots=100, cell_rows=16)
+    assert rows_of(joined.neighbours) == brute(rows, rows, 3)
+    assert len(sent) == 2 and sum(sent) <= 2 * 16 * len(rows)
+    assert sum(w["asked"] for w in joined.work.collect()) > 2 * sum(sent)
