@@ -4,7 +4,7 @@ import random
 
 import duckdb
 
-from terravox.plans import shape_plans
+from terravox.plans import shape_plans, voxel_plans
 
 
 def items(spark, folder, rows):
@@ -43,3 +43,19 @@ def test_points_are_dealt_and_sorted_once(spark, tmp_path):
     assert "HashAggregate" not in plan and "Join" not in plan
     whole = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert whole.count("Exchange hashpartitioning") == 1 and whole.count("Sort [") == 1
+
+
+def test_occupancy_equals_sql_and_holds_no_cells(spark, tmp_path):
+    """Segments that fill the grid, reach beyond it, lack coordinates or have all points in one cell; no table of cells, no join."""
+    r = random.Random(6)
+    rows = [(1, i % 7, i, r.uniform(0, 90), 1999.7 * r.uniform(0, 90), r.uniform(0, 0.2)) for i in range(9000)]
+    rows += [(s, 1, i, r.uniform(0, 3), 1999.7 * r.uniform(0, 3), 0.01 * r.randrange(3)) for s in range(2, 60) for i in range(r.randrange(1, 9))]
+    rows += [(70, 1, i, 2.0, 3.0, 0.04) for i in range(5)] + [(71, 1, i, *((None, 1.0, 0.1) if i % 3 else (2.0, None, 0.1))) for i in range(6)]
+    rows += [(72, 1, i, 1.0 * i if i % 2 else None, 5.0, 0.1) for i in range(9)] + [(None, 1, 1, 1.0, 1.0, 0.1)]
+    found = voxel_plans.voxel_occupancy(spark, items(spark, tmp_path, rows))
+    got = sorted(map(tuple, found.collect()))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+        assert got == sorted(db.execute(voxel_plans.VOXEL_OCCUPANCY).fetchall())
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate" not in plan and "Join" not in plan
