@@ -68,11 +68,11 @@ SELECT robot, count(*) FILTER (d2 <= 100) n_kept, count(*) FILTER (d2 > 100) n_r
 def voxel_occupancy(spark, sf_dir):
     """Occupied voxels of each segment in a grid centred on it."""
     points = lineitem_points(spark, sf_dir).filter("segment IS NOT NULL").select("segment", *AXES)
-    # Points are shuffled and sorted once, by segment; the centre is a window over them, occupied voxels are bits while the rows stream by.
-    whole = Window.partitionBy("segment")
-    grid = points.select("*", *[F.avg(a).over(whole).alias(f"m{a}") for a in AXES])
+    centre = points.groupBy("segment").agg(*[F.round(F.avg(a), 3).alias(f"m{a}") for a in AXES])
+    grid = points.join(centre, "segment")
     for a, size, n in (("x", 2.0, 32), ("y", 2.0, 32), ("z", 1.0, 16)):
-        grid = grid.withColumn(f"i{a}", F.floor((F.col(a) - F.round(f"m{a}", 3)) / size + (n - 1) / 2).cast("long")).filter(F.col(f"i{a}").between(0, n - 1))
+        grid = grid.withColumn(f"i{a}", F.floor((F.col(a) - F.col(f"m{a}")) / size + (n - 1) / 2).cast("long")).filter(F.col(f"i{a}").between(0, n - 1))
+    # Occupied voxels are bits that fill as a segment's rows stream by: no table of a task's voxels is held.
     place = F.col("ix") * 512 + F.col("iy") * 16 + F.col("iz")
     return grid.groupBy("segment").agg(F.bitmap_count(F.bitmap_construct_agg(place)).alias("n_occupied"), F.count("*").alias("n_inside"))
 
