@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravox.functions.geometry import voxel_index
+from terravox.operators.graph import stars
 from terravox.ship import ship
 
 #: Squared distances this near to the squared radius are computed again, as SQL sums them.
 SLACK = 1e-9
 #: A mean point shares its cell of the radius's size with more points than this, where balls are summed by blocks.
 CROWD = 16
+#: So few pairs in all are rows, however they lie.
+FEW = 5000
 
 
 class Halves:
@@ -134,6 +137,74 @@ def sums_within(asked: np.ndarray, given: np.ndarray, values: np.ndarray, radius
     return out
 
 
+def around_runs(asked: np.ndarray, given: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, Callable[[np.ndarray, np.ndarray], np.ndarray]]]:
+    """(a, b, near): some asked points at a time with all given ones of a layer that can be near; near(a, b): which of a lie within the radius of which of b."""
+    if not len(asked) or not len(given):
+        return
+    middle = asked.mean(axis=0)
+    left, right = lifted(asked - middle)[0], lifted(given - middle)[1]
+    many = [(part, Halves(given[part], 16)) for part in layers(given)]
+    near = lambda a, b: close(left[a], right[b], radius, lambda i, j: (asked[a[i]], given[b[j]]))
+    for mine in layers(asked):
+        few = Halves(asked[mine], 32)
+        for part, tree in many:
+            deep = len(tree.levels) - 1
+            for runs, within, (q, g) in met(few, tree, radius):
+                # Nodes wholly within are runs like the others here.
+                of, run = [q], [g]
+                for level, (a, node) in enumerate(within):
+                    wide = 1 << (deep - level)
+                    of.append(np.repeat(a, wide))
+                    run.append((node[:, None] * wide + np.arange(wide)).reshape(-1))
+                of, run = np.concatenate(of), np.concatenate(run)
+                order = np.argsort(of, kind="stable")
+                of, run = of[order], run[order]
+                ends = np.searchsorted(of, np.arange(runs.start, runs.stop + 1))
+                for i, lo, hi in zip(runs, ends, ends[1:]):
+                    if hi > lo:
+                        own, others = few.order[i], tree.order[run[lo:hi]].reshape(-1)
+                        own, others = mine[own[own >= 0]], part[others[others >= 0]]
+                        if len(own) and len(others):
+                            yield own, others, near
+
+
+def agree(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Which directions a have a product of at least that with which b, whatever the sign, as SQL computes it."""
+    size = np.abs(a @ b.T)
+    sure, near = size >= least + SLACK, size >= least - SLACK
+    if np.count_nonzero(sure) != np.count_nonzero(near):
+        i, j = np.nonzero(sure ^ near)
+        sure[i, j] = np.abs(a[i, 0] * b[j, 0] + a[i, 1] * b[j, 1] + a[i, 2] * b[j, 2]) >= least
+    return sure
+
+
+def linked(asked: np.ndarray, given: np.ndarray, radius: float, directions: np.ndarray, least: float) -> np.ndarray:
+    """For each given point, the first of those it hangs together with by links of the asked points (indices into given), as far as they tell.
+
+    Points that are known to hang together are not compared again, so the links that are looked at stay few.
+    """
+    root = np.arange(len(given))
+
+    def roots(of: np.ndarray) -> np.ndarray:
+        out = root[of]
+        while (root[out] != out).any():
+            out = root[out]
+        return out
+
+    for a, b, near in around_runs(given[asked], given, radius):
+        mine, theirs = roots(asked[a]), roots(b)
+        if (mine == mine[0]).all():
+            b, theirs = b[theirs != mine[0]], theirs[theirs != mine[0]]
+        if not len(b):
+            continue
+        i, j = np.nonzero(near(a, b) & agree(directions[asked[a]], directions[b], least))
+        u, v = mine[i], theirs[j]
+        if (u != v).any():
+            moved, to = stars(u[u != v], v[u != v])
+            root[moved] = to
+    return roots(np.arange(len(given)))
+
+
 def blocks(asked: DataFrame, given: DataFrame, radius: float, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, dims: Sequence[str] = ("x", "y", "z"), on: Sequence[str] = (), side: int = 2) -> DataFrame:
     """run(asked rows of a block, all given rows that can lie within the radius of one) for each block that has asked rows.
 
@@ -157,8 +228,8 @@ def blocks(asked: DataFrame, given: DataFrame, radius: float, run: Callable[[pd.
 def crowded(given: DataFrame, radius: float, dims: Sequence[str] = ("x", "y", "z"), on: Sequence[str] = ()) -> float:
     """The mean number of points beside a point in its cell of the radius's size if pairs within the radius are too many to be rows, else 0."""
     n = given.groupBy(*on, *[voxel_index(F.col(d), radius).alias(f"cell_{d}") for d in dims]).agg(F.count("*").alias("n"))
-    mean = n.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0.0
-    return mean if mean > CROWD else 0.0
+    pairs, points = n.agg(F.sum(F.col("n") * F.col("n")), F.sum("n")).first()
+    return pairs / points if points and pairs > max(FEW, CROWD * points) else 0.0
 
 
 def wide(crowd: float) -> int:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from terravox.operators import balls
+from terravox.operators import balls, segments
 from terravox.operators import normals as N
 from terravox.plans import segment_plans
 
@@ -20,6 +20,7 @@ def no_pairs(monkeypatch):
     for module in (N, segment_plans):
         monkeypatch.setattr(module, "range_join", refused)
     monkeypatch.setattr(balls, "CROWD", 2)
+    monkeypatch.setattr(balls, "FEW", 0)
 
 
 def crowd(n, seed=3):
@@ -95,3 +96,21 @@ def test_counts_and_curvature_of_crowded_events(spark, no_pairs, tmp_path):
     assert len(n) == len(curved) == 1200 and {r["curvature"] for r in curved.values()} == {0.0}
     for pid, *at in points[::13]:
         assert n[pid] == curved[pid]["n"] == sum(within(at, p[1:], 0.5) for p in points)
+
+
+def test_smooth_segments_of_a_crowd(spark, monkeypatch):
+    """Growth by blocks gives what growth by pairs gives, and pairs no rows."""
+    r = random.Random(5)
+    turns = [(0.0, 0.0, 1.0), (0.6, 0.0, 0.8), (0.28, 0.0, 0.96), (0.0, 0.6, -0.8), (0.0, 1.0, 0.0)]
+    rows = [(i, *p, *turns[min(4, int(2 * abs(p[0]) + r.random()))], r.choice([0.01, 0.02, 0.1, 0.3])) for i, p in enumerate(crowd(1100))]
+    points = spark.createDataFrame([*rows, (1100, None, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0)], "pid long, " + XYZ + ", nx double, ny double, nz double, curvature double")
+    want = {tuple(row) for row in segments.smooth(points, 0.21, 0.8, 0.2, 3).collect()}
+
+    def refused(*args, **kwargs):
+        raise AssertionError("pairs of rows")
+
+    monkeypatch.setattr(balls, "CROWD", 2)
+    monkeypatch.setattr(balls, "FEW", 0)
+    monkeypatch.setattr(segments, "radius_pairs", refused)
+    got = {tuple(row) for row in segments.smooth(points, 0.21, 0.8, 0.2, 3).collect()}
+    assert got == want and len({s for _, s in want}) > 3
