@@ -208,7 +208,7 @@ def linked(asked: np.ndarray, given: np.ndarray, radius: float, directions: np.n
 def blocks(asked: DataFrame, given: DataFrame, radius: float, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, dims: Sequence[str] = ("x", "y", "z"), on: Sequence[str] = (), side: int = 2) -> DataFrame:
     """run(asked rows of a block, all given rows that can lie within the radius of one) for each block that has asked rows.
 
-    asked and given have the same columns. Blocks are ``side`` radii wide, two at least, and those of rows equal in the columns ``on``.
+    asked and given have the same columns. Blocks are ``side`` radii wide, and those of rows equal in the columns ``on``.
     """
     ship(asked.sparkSession)
     cells, size, reach = [f"cell_{i}" for i in range(len(dims))], side * radius, radius * (1 + SLACK)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from terravox.operators import balls, segments
@@ -137,3 +138,27 @@ def test_close_pairs_of_crowded_segments(spark, monkeypatch, tmp_path, twice):
     monkeypatch.setattr(balls, "CROWD", 4)
     assert list(map(tuple, segment_plans.close_segment_pairs(spark, str(tmp_path)).collect())) == [(n, round(0.0 if twice else least**0.5, 4))]
     assert max(counted) < n / 4
+
+
+def test_better_ones_of_crowded_segments(spark, monkeypatch, tmp_path):
+    """Only places that can be near are compared, and those before a segment are counted to the last one."""
+    r, tried, close = random.Random(12), [], balls.close
+
+    def counted(left, right, *rest):
+        tried.append(len(left) * len(right))
+        return close(left, right, *rest)
+
+    monkeypatch.setattr(balls, "close", counted)
+    n = 2500
+    at = np.array([(r.randrange(80) / 10, r.randrange(80) / 10, r.randrange(11) / 10) for _ in range(n)])
+    born, size = np.array([r.randrange(40) for _ in range(n)]), np.array([r.randrange(1, 4) for _ in range(n)])
+    given = pd.DataFrame({"segment": r.sample(range(9000), n), "n": size, "born": born}).assign(x=at[:, 0], y=at[:, 1], z=at[:, 2])
+    asked = given.sample(frac=0.5, random_state=1)
+    got = {row.segment: (row.n_better, row.first_better) for row in segment_plans._better(1.0)(asked, given).itertuples()}
+    ids, want = given["segment"].to_numpy(), {}
+    for row in asked.itertuples():
+        d2 = (row.x - at[:, 0]) ** 2 + (row.y - at[:, 1]) ** 2 + (row.z - at[:, 2]) ** 2
+        better = (d2 <= 1) & ((born < row.born) | ((born == row.born) & ((size > row.n) | ((size == row.n) & (ids < row.segment)))))
+        if better.any():
+            want[row.segment] = (better.sum(), ids[better].min())
+    assert got == want and 0 < sum(tried) < len(asked) * n * 0.6
